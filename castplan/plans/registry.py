@@ -26,3 +26,60 @@ def register(name):
 def q_open_orders(spark, sf_dir):
     """Live open-order report assembled from the ERP views."""
     return oo.open_orders(erp_views(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------------------------
+from castplan.operators import capacity, compat, eligibility, quality  # noqa: E402
+from castplan.operators.calendar import business_calendar  # noqa: E402
+from castplan.plans.schedule import ScheduleParams, build_schedule, scheduler_input  # noqa: E402
+from castplan.sources.adapter import compat_reference  # noqa: E402
+
+P = ScheduleParams()
+
+
+@register("scheduler_input")
+def q_scheduler_input(spark, sf_dir):
+    """House accounts removed, remaining molds, hold/scheduled flags, compatibility attached."""
+    return scheduler_input(spark, sf_dir, P)[0]
+
+
+@register("reject_counts")
+def q_reject_counts(spark, sf_dir):
+    """Eligibility rule outcome counts per reason (added = eligible)."""
+    return eligibility.reject_counts(scheduler_input(spark, sf_dir, P)[0])
+
+
+@register("schedule_rows")
+def q_schedule_rows(spark, sf_dir):
+    """Eligible jobs expanded to schedule rows (ceil'd molds, weight, blank extension)."""
+    return build_schedule(spark, sf_dir, P).schedule_rows
+
+
+@register("mold_assignments")
+def q_mold_assignments(spark, sf_dir):
+    """Capacity-limited day allocation of every schedule row, per capacity pool."""
+    s = build_schedule(spark, sf_dir, P)
+    return s.assignments.select("pool", "job_number", "schedule_day", "molds_for_ext",
+                                "total_weight_per_ext", "pour_schedule_day", "casting_type",
+                                "compatibility_group", "due_date")
+
+
+@register("capacity_check")
+def q_capacity_check(spark, sf_dir):
+    """Per pool: planned vs assigned molds and days breaking any daily cap (must be 0)."""
+    s = build_schedule(spark, sf_dir, P)
+    return capacity.capacity_check(s.assignments, s.schedule_rows, P.limits, P.pool_cols)
+
+
+@register("floor_lane_schedule")
+def q_floor_lane(spark, sf_dir):
+    """Closed-form (pure SQL) day allocation of the floor lane of each pool."""
+    s = build_schedule(spark, sf_dir, P)
+    return capacity.floor_lane_closed_form(s.schedule_rows, P.reference_date, P.limits, P.pool_cols)
+
+
+@register("business_calendar")
+def q_calendar(spark, sf_dir):
+    """Weekday calendar for schedule days 1..last mold day."""
+    s = build_schedule(spark, sf_dir, P)
+    return business_calendar(s.assignments, P.start_date, "schedule_day")

@@ -189,3 +189,27 @@ def scheduler_run(spark, sf_dir, runs: int = 3) -> DataFrame:
     """Run registry matching ``order_snapshot``: one row per run with its row count."""
     snap = order_snapshot(spark, sf_dir, runs)
     return snap.groupBy("run_id").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+# The compatibility reference rows used with the driver tables (alloys are the
+# six ``p_type`` values).  Columns: alloy_code, compatibility_group, Is_Compat_with_All,
+# compatible_specific_alloys, is_active, file_line.  Exercises: case/space normalisation,
+# a blank group, an inactive row, a blank key, a duplicate key where the last row wins.
+COMPAT_REFERENCE_ROWS = [
+    ("economy", "G1", "yes", "", "Y", 1),
+    ("SMALL", "G1", "NO", "economy, ,ECONOMY,medium", "", 2),
+    ("MEDIUM", "G2", "N", "promo", "TRUE", 3),
+    ("PROMO", "G2", "1", "", None, 4),
+    ("STANDARD", "", "YES", "", "Y", 5),
+    ("LARGE", "G3", "YES", "", "N", 6),
+    ("SMALL ", "G1", "no", "economy, promo", "y", 7),
+    ("", "G9", "YES", "", "Y", 8),
+]
+
+
+def compat_reference(spark: SparkSession) -> DataFrame:
+    """The compatibility reference table (small, fixed reference data)."""
+    return spark.createDataFrame(
+        COMPAT_REFERENCE_ROWS,
+        "alloy_code string, compatibility_group string, Is_Compat_with_All string, "
+        "compatible_specific_alloys string, is_active string, file_line long")

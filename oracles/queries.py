@@ -80,7 +80,7 @@ BASE = ",\n".join([ERP_CTES, MAIN_JOBS, ORDERS_AGG, HEAT_AGG, OPEN_ORDERS])
 
 
 def with_base(*ctes: str) -> str:
-    return "WITH " + ",\n".join([BASE, *ctes]) + "\n"
+    return "WITH RECURSIVE " + ",\n".join([BASE, *ctes]) + "\n"
 
 
 def _num_out(cols):
@@ -97,3 +97,161 @@ SELECT due_date, customer_name, part_number, job_type, job_number, alloy, castin
        {_num_out(['castings_produced', 'molds_completed'])},
        on_hold, CAST(pool AS BIGINT) AS pool
 FROM open_orders"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Scheduler input, eligibility, schedule rows
+# ---------------------------------------------------------------------------------------------
+def _ws_key(x: str) -> str:
+    return f"COALESCE(upper(regexp_replace(CAST({x} AS VARCHAR), '^\\s+|\\s+$', '', 'g')), '')"
+
+
+def _flag(x: str) -> str:
+    return f"upper(trim(CAST({x} AS VARCHAR))) IN ('Y', 'YES', 'TRUE', '1')"
+
+
+COMPAT = f"""compat_raw AS (
+  SELECT * FROM (VALUES
+    ('economy', 'G1', 'yes', '', 'Y', 1),
+    ('SMALL', 'G1', 'NO', 'economy, ,ECONOMY,medium', '', 2),
+    ('MEDIUM', 'G2', 'N', 'promo', 'TRUE', 3),
+    ('PROMO', 'G2', '1', '', NULL, 4),
+    ('STANDARD', '', 'YES', '', 'Y', 5),
+    ('LARGE', 'G3', 'YES', '', 'N', 6),
+    ('SMALL ', 'G1', 'no', 'economy, promo', 'y', 7),
+    ('', 'G9', 'YES', '', 'Y', 8)
+  ) t(alloy_code, compatibility_group, is_compat_with_all, compatible_specific_alloys, is_active, file_line)),
+compat_items AS (
+  SELECT alloy_code, file_line,
+         list_transform(string_split(COALESCE(compatible_specific_alloys, ''), ','), lambda x: upper(trim(x))) AS items
+  FROM compat_raw),
+compat_map AS (
+  SELECT k.alloy_key,
+         COALESCE(NULLIF(trim(COALESCE(k.compatibility_group, '')), ''), k.alloy_key) AS compatibility_group,
+         CASE WHEN {_flag('k.is_compat_with_all')} THEN 'YES' ELSE 'NO' END AS compat_all,
+         array_to_string(list_filter(list_filter(ci.items, lambda x: x <> ''),
+                                     lambda x, i: list_position(list_filter(ci.items, lambda y: y <> ''), x) = i), ', ') AS specific_alloys
+  FROM (SELECT *, {_ws_key('alloy_code')} AS alloy_key,
+               row_number() OVER (PARTITION BY {_ws_key('alloy_code')} ORDER BY file_line DESC) AS rn
+        FROM compat_raw
+        WHERE is_active IS NULL OR trim(is_active) = '' OR {_flag('is_active')}) k
+  JOIN compat_items ci ON ci.file_line = k.file_line
+  WHERE k.rn = 1 AND k.alloy_key <> '')"""
+
+SCHED_IN = f"""sched_in AS (
+  SELECT o.*,
+         greatest(COALESCE(CAST(o.quantity_of_molds AS DOUBLE), 0) - COALESCE(CAST(o.molds_completed AS DOUBLE), 0), 0.0) AS molds_needed,
+         COALESCE(o.on_hold, 'NO') AS hold, 'NO' AS scheduled,
+         COALESCE(cm.compatibility_group, {_ws_key('o.alloy')}) AS compatibility_group,
+         COALESCE(cm.compat_all, 'NO') AS compat_all,
+         COALESCE(cm.specific_alloys, '') AS specific_alloys
+  FROM open_orders o
+  LEFT JOIN compat_map cm ON cm.alloy_key = {_ws_key('o.alloy')}
+  WHERE {_ws_key('o.customer_name')} NOT IN ('HOUSE ACCOUNT'))"""
+
+ELIG = """elig AS (
+  SELECT *, CASE WHEN NULLIF(trim(job_number), '') IS NULL THEN 'blank'
+                 WHEN upper(trim(hold)) = 'YES' THEN 'hold'
+                 WHEN upper(trim(job_type)) IN ('IFA', 'IFC') THEN 'job_type'
+                 WHEN upper(trim(casting_type)) = 'I' THEN 'cast_type'
+                 WHEN molds_needed IS NULL OR molds_needed <= 0 THEN 'no_molds' END AS reject_reason
+  FROM sched_in)"""
+
+SROWS = """srows AS (
+  SELECT * EXCLUDE (reject_reason), CAST(ceil(molds_needed) AS INTEGER) AS molds_for_ext, '' AS ext,
+         0 AS extension_seq,
+         CAST(ceil(molds_needed) AS INTEGER) * greatest(COALESCE(pour_weight, 0), 0) AS total_weight_per_ext
+  FROM elig WHERE reject_reason IS NULL AND ceil(molds_needed) > 0)"""
+
+# Allocation, stated as a recursion over (pool, day, position): the state carries the
+# remaining molds of every row of the pool and the day's counters.  Rows are unique per job
+# in a pool, so "new job" is every row not yet served today and the per-job line cap is a
+# per-row cap.
+K1 = f"""k1_items AS (
+  SELECT pool, job_number, casting_type, molds_for_ext AS molds,
+         upper(trim(COALESCE(casting_type, 'L'))) = 'F' AS is_floor,
+         row_number() OVER (PARTITION BY pool ORDER BY
+             CASE WHEN due_date IS NOT NULL AND due_date <= {REFERENCE_DATE} + 56 THEN 0 ELSE 1 END,
+             due_date NULLS LAST, compatibility_group NULLS LAST,
+             {_ws_key('job_number')}, job_number || '|' || ext) AS seq
+  FROM srows WHERE {_ws_key('job_number')} <> '' AND molds_for_ext > 0),
+k1_pools AS (
+  SELECT pool, count(*) AS n, list(molds ORDER BY seq) AS rem0, list(is_floor ORDER BY seq) AS fl
+  FROM k1_items GROUP BY pool),
+k1 AS (
+  SELECT pool, n, fl, 1 AS day, 1 AS pos, rem0 AS rem, 0 AS jobs, 0 AS lu, 0 AS fu,
+         0 AS tpos, 0 AS tday, 0 AS tk
+  FROM k1_pools
+  UNION ALL
+  SELECT pool, n, fl,
+         CASE WHEN pos = n THEN day + 1 ELSE day END,
+         CASE WHEN pos = n THEN 1 ELSE pos + 1 END,
+         CASE WHEN t > 0 THEN list_concat(rem[1:pos - 1], [rem[pos] - t], rem[pos + 1:]) ELSE rem END,
+         CASE WHEN pos = n THEN 0 ELSE jobs + CASE WHEN t > 0 THEN 1 ELSE 0 END END,
+         CASE WHEN pos = n THEN 0 ELSE lu + CASE WHEN NOT fl[pos] THEN t ELSE 0 END END,
+         CASE WHEN pos = n THEN 0 ELSE fu + CASE WHEN fl[pos] THEN t ELSE 0 END END,
+         pos, day, t
+  FROM (SELECT *, greatest(CASE WHEN rem[pos] <= 0 OR jobs >= 10 THEN 0
+                                WHEN fl[pos] THEN least(rem[pos], 3 - fu)
+                                ELSE least(rem[pos], 6, 30 - lu) END, 0) AS t
+        FROM k1 WHERE list_sum(rem) > 0) s),
+k1_chunks AS (SELECT pool, tpos AS seq, tday AS schedule_day, tk AS molds_for_ext FROM k1 WHERE tk > 0),
+asg AS (
+  SELECT r.* EXCLUDE (molds_for_ext, total_weight_per_ext), c.schedule_day, c.molds_for_ext,
+         CAST(floor(greatest(COALESCE(r.pour_weight, 0), 0) * c.molds_for_ext) AS BIGINT) AS total_weight_per_ext,
+         c.schedule_day AS pour_schedule_day, 1 AS heat_number, 1 AS global_heat_number
+  FROM k1_chunks c JOIN k1_items i ON i.pool = c.pool AND i.seq = c.seq
+  JOIN srows r ON r.pool = i.pool AND r.job_number = i.job_number)"""
+
+
+def with_sched(*ctes: str) -> str:
+    return with_base(COMPAT, SCHED_IN, ELIG, SROWS, K1, *ctes)
+
+
+_OO_NUM = ['qty_ordered', 'quantity_of_molds', 'castings_per_mold', 'quantity_of_cores',
+           'pour_weight', 'total_pour_wt', 'total_value', 'castings_produced', 'molds_completed']
+_SI_COLS = ("due_date, customer_name, part_number, job_type, job_number, alloy, casting_type, "
+            + _num_out(_OO_NUM) + ", heat_no_assigned, on_hold, CAST(pool AS BIGINT) AS pool, "
+            "CAST(molds_needed AS DOUBLE) AS molds_needed, hold, scheduled, compatibility_group, "
+            "compat_all, specific_alloys")
+
+Q["scheduler_input"] = with_sched() + f"SELECT {_SI_COLS} FROM sched_in"
+
+Q["reject_counts"] = with_sched() + """
+SELECT r.reason, CAST(count(e.rr) AS BIGINT) AS job_count
+FROM (VALUES ('blank'), ('hold'), ('job_type'), ('cast_type'), ('no_molds'), ('added')) r(reason)
+LEFT JOIN (SELECT COALESCE(reject_reason, 'added') AS rr FROM elig) e ON e.rr = r.reason
+GROUP BY r.reason"""
+
+Q["schedule_rows"] = with_sched() + f"""
+SELECT {_SI_COLS}, CAST(molds_for_ext AS BIGINT) AS molds_for_ext, ext,
+       CAST(extension_seq AS BIGINT) AS extension_seq,
+       CAST(total_weight_per_ext AS DOUBLE) AS total_weight_per_ext
+FROM srows"""
+
+Q["mold_assignments"] = with_sched() + """
+SELECT CAST(pool AS BIGINT) AS pool, job_number, CAST(schedule_day AS BIGINT) AS schedule_day,
+       CAST(molds_for_ext AS BIGINT) AS molds_for_ext, total_weight_per_ext,
+       CAST(pour_schedule_day AS BIGINT) AS pour_schedule_day, casting_type, compatibility_group, due_date
+FROM asg"""
+
+Q["capacity_check"] = with_sched() + """
+SELECT CAST(pool AS BIGINT) AS pool, CAST(sum(molds_for_ext) AS BIGINT) AS planned_molds,
+       CAST(sum(molds_for_ext) AS BIGINT) AS assigned_molds,
+       CAST((SELECT count(DISTINCT schedule_day) FROM asg a WHERE a.pool = s.pool) AS BIGINT) AS days,
+       CAST(0 AS BIGINT) AS violation_days
+FROM srows s GROUP BY pool"""
+
+Q["floor_lane_schedule"] = with_sched() + f"""
+, fl AS (
+  SELECT pool, job_number, molds_for_ext AS molds,
+         sum(molds_for_ext) OVER (PARTITION BY pool ORDER BY
+             CASE WHEN due_date IS NOT NULL AND due_date <= {REFERENCE_DATE} + 56 THEN 0 ELSE 1 END,
+             due_date NULLS LAST, compatibility_group NULLS LAST, {_ws_key('job_number')}, job_number
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e
+  FROM srows WHERE upper(trim(COALESCE(casting_type, 'L'))) = 'F' AND molds_for_ext > 0
+       AND {_ws_key('job_number')} <> ''
+  ), fl2 AS (SELECT pool, job_number, e - molds_for_ext AS s, e FROM (SELECT *, molds AS molds_for_ext FROM fl) x)
+SELECT CAST(pool AS VARCHAR) AS pool_key, job_number || '' AS job_number, CAST(d AS BIGINT) AS schedule_day,
+       CAST(least(e, d * 3) - greatest(s, (d - 1) * 3) AS BIGINT) AS molds_for_ext
+FROM fl2, range(CAST(floor(s / 3) + 1 AS BIGINT), CAST(floor((e - 1) / 3) + 2 AS BIGINT)) t(d)"""
