@@ -83,3 +83,50 @@ def q_calendar(spark, sf_dir):
     """Weekday calendar for schedule days 1..last mold day."""
     s = build_schedule(spark, sf_dir, P)
     return business_calendar(s.assignments, P.start_date, "schedule_day")
+
+
+from castplan.plans import mold_reports, shipping  # noqa: E402
+
+
+@register("daily_mold_schedule")
+def q_daily_mold_schedule(spark, sf_dir):
+    """Day blocks: chunk rows with pour date, buffer and risk, plus a totals row per day."""
+    return mold_reports.daily_mold_schedule(build_schedule(spark, sf_dir, P).assignments, P.start_date)
+
+
+@register("mold_schedule_sheet")
+def q_mold_schedule_sheet(spark, sf_dir):
+    """Mold schedule sheet columns with totals rows and average molds per day."""
+    return mold_reports.mold_schedule_sheet(build_schedule(spark, sf_dir, P).assignments, P.start_date)
+
+
+@register("mold_capacity")
+def q_mold_capacity(spark, sf_dir):
+    """Line/floor mold use per pool and day against the daily limits."""
+    return mold_reports.mold_capacity(build_schedule(spark, sf_dir, P).assignments, P.limits)
+
+
+@register("day_summary")
+def q_day_summary(spark, sf_dir):
+    """Per pool and day: distinct jobs, molds and rounded row weight."""
+    return mold_reports.day_summary(build_schedule(spark, sf_dir, P).assignments)
+
+
+@register("report_averages")
+def q_report_averages(spark, sf_dir):
+    """Average molds per day and poured pounds per day, per pool."""
+    return mold_reports.report_averages(build_schedule(spark, sf_dir, P).assignments)
+
+
+@register("job_shipping_outlook")
+def q_job_shipping_outlook(spark, sf_dir):
+    """Per job: planned vs scheduled molds, dates, expected ship, buffer, status, on-time."""
+    s = build_schedule(spark, sf_dir, P)
+    return shipping.job_shipping_outlook(s.schedule_rows, s.assignments, P.start_date)
+
+
+@register("job_status")
+def q_job_status(spark, sf_dir):
+    """Overall job status (projection of the shipping outlook)."""
+    s = build_schedule(spark, sf_dir, P)
+    return shipping.job_status(shipping.job_shipping_outlook(s.schedule_rows, s.assignments, P.start_date))

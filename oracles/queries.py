@@ -255,3 +255,135 @@ Q["floor_lane_schedule"] = with_sched() + f"""
 SELECT CAST(pool AS VARCHAR) AS pool_key, job_number || '' AS job_number, CAST(d AS BIGINT) AS schedule_day,
        CAST(least(e, d * 3) - greatest(s, (d - 1) * 3) AS BIGINT) AS molds_for_ext
 FROM fl2, range(CAST(floor(s / 3) + 1 AS BIGINT), CAST(floor((e - 1) / 3) + 2 AS BIGINT)) t(d)"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Mold reports and shipping
+# ---------------------------------------------------------------------------------------------
+def day_date_sql(d: str) -> str:
+    """Schedule day -> date.  The calendar starts Saturday 2001-06-02, so day 1 is Monday
+    2001-06-04 and every five days add a week."""
+    return f"(DATE '2001-06-04' + CAST(7 * (({d} - 1) // 5) + (({d} - 1) % 5) AS INTEGER))"
+
+
+def risk_sql(b: str):
+    st = (f"CASE WHEN {b} IS NULL THEN 'UNKNOWN' WHEN {b} < 14 THEN 'AT RISK' "
+          f"WHEN {b} < 21 THEN 'WATCH' ELSE 'ON TRACK' END")
+    tx = (f"CASE WHEN {b} IS NULL THEN 'No due date available' "
+          f"WHEN {b} < 14 THEN 'Pour is less than 14 days before due' "
+          f"WHEN {b} < 21 THEN 'Pour is within a narrow due-date buffer window' "
+          f"ELSE 'Pour meets the minimum 14-day due buffer' END")
+    return st, tx
+
+
+_rs, _rt = risk_sql("date_diff('day', " + day_date_sql("pour_schedule_day") + ", due_date)")
+DR = f"""dr AS (
+  SELECT *, {day_date_sql('schedule_day')} AS mold_date, dayname({day_date_sql('schedule_day')}) AS mold_weekday,
+         {day_date_sql('pour_schedule_day')} AS pour_date, dayname({day_date_sql('pour_schedule_day')}) AS pour_weekday,
+         date_diff('day', {day_date_sql('pour_schedule_day')}, due_date) AS pour_buffer_days,
+         {_rs} AS due_buffer_status, {_rt} AS planner_diagnostic
+  FROM asg)"""
+
+_DETAIL = ("due_date, customer_name, part_number, job_number, ext, alloy, casting_type, "
+           "CAST(quantity_of_molds AS DOUBLE) AS quantity_of_molds, CAST(castings_per_mold AS DOUBLE) AS castings_per_mold, "
+           "CAST(quantity_of_cores AS DOUBLE) AS quantity_of_cores, CAST(heat_number AS BIGINT) AS heat_number, "
+           "CAST(pour_schedule_day AS BIGINT) AS pour_schedule_day, mold_date, mold_weekday, pour_date, pour_weekday, "
+           "CAST(pour_buffer_days AS BIGINT) AS pour_buffer_days, due_buffer_status, planner_diagnostic")
+_NULL_DETAIL = ("NULL::DATE AS due_date, NULL AS customer_name, NULL AS part_number, NULL AS job_number, NULL AS ext, "
+                "NULL AS alloy, NULL AS casting_type, NULL::DOUBLE AS quantity_of_molds, NULL::DOUBLE AS castings_per_mold, "
+                "NULL::DOUBLE AS quantity_of_cores, NULL::BIGINT AS heat_number, NULL::BIGINT AS pour_schedule_day, "
+                "NULL::DATE AS mold_date, NULL AS mold_weekday, NULL::DATE AS pour_date, NULL AS pour_weekday, "
+                "NULL::BIGINT AS pour_buffer_days, NULL AS due_buffer_status, NULL AS planner_diagnostic")
+
+DAILY = f"""daily AS (
+  SELECT CAST(pool AS BIGINT) AS pool, CAST(schedule_day AS BIGINT) AS schedule_day, {_DETAIL},
+         CAST(total_weight_per_ext AS BIGINT) AS total_weight_per_ext, CAST(molds_for_ext AS BIGINT) AS molds_for_ext,
+         'detail' AS row_type
+  FROM dr
+  UNION ALL
+  SELECT CAST(pool AS BIGINT), CAST(schedule_day AS BIGINT), {_NULL_DETAIL},
+         CAST(sum(total_weight_per_ext) AS BIGINT), CAST(sum(molds_for_ext) AS BIGINT), 'total'
+  FROM dr GROUP BY pool, schedule_day)"""
+
+Q["daily_mold_schedule"] = with_sched(DR, DAILY) + "SELECT * FROM daily"
+
+Q["mold_schedule_sheet"] = with_sched(DR, DAILY) + f"""
+SELECT d.pool, d.schedule_day, d.row_type, {day_date_sql('d.schedule_day')} AS mold_date,
+       d.customer_name, d.part_number, d.job_number, d.ext, d.alloy, d.casting_type AS mold_type,
+       d.quantity_of_molds, d.quantity_of_cores, d.total_weight_per_ext AS total_weight,
+       d.molds_for_ext AS molds_today, a.avg_molds_per_day
+FROM daily d LEFT JOIN (
+  SELECT CAST(pool AS BIGINT) AS pool, CAST(sum(molds_for_ext) AS DOUBLE) / count(DISTINCT schedule_day) AS avg_molds_per_day
+  FROM asg GROUP BY pool) a ON a.pool = d.pool"""
+
+_LANE = """lane AS (
+  SELECT pool, schedule_day,
+         sum(CASE WHEN upper(trim(COALESCE(casting_type, ''))) <> 'F' THEN greatest(round(molds_for_ext), 0) ELSE 0 END) AS line_molds,
+         sum(CASE WHEN upper(trim(COALESCE(casting_type, ''))) = 'F' THEN greatest(round(molds_for_ext), 0) ELSE 0 END) AS floor_molds
+  FROM asg GROUP BY pool, schedule_day)"""
+
+Q["mold_capacity"] = with_sched(_LANE) + """
+SELECT CAST(pool AS BIGINT) AS pool, CAST(schedule_day AS BIGINT) AS schedule_day,
+       CAST(line_molds AS BIGINT) AS line_molds, CAST(floor_molds AS BIGINT) AS floor_molds,
+       'Day ' || CAST(schedule_day AS VARCHAR) AS day_label,
+       'L=' || CAST(CAST(line_molds AS BIGINT) AS VARCHAR) || '/30' AS line_capacity,
+       'F=' || CAST(CAST(floor_molds AS BIGINT) AS VARCHAR) || '/3' AS floor_capacity,
+       round(line_molds / 30.0, 4) AS line_utilization, round(floor_molds / 3.0, 4) AS floor_utilization
+FROM lane"""
+
+Q["day_summary"] = with_sched() + """
+SELECT CAST(pool AS BIGINT) AS pool, CAST(schedule_day AS BIGINT) AS schedule_day,
+       count(DISTINCT NULLIF(trim(job_number), '')) AS unique_jobs,
+       CAST(sum(molds_for_ext) AS BIGINT) AS total_molds,
+       CAST(sum(round_even(COALESCE(molds_for_ext, 0) * COALESCE(pour_weight, 0), 0)) AS BIGINT) AS total_row_weight
+FROM asg GROUP BY pool, schedule_day"""
+
+Q["report_averages"] = with_sched() + """
+SELECT CAST(pool AS BIGINT) AS pool, count(DISTINCT schedule_day) AS mold_days,
+       CAST(sum(molds_for_ext) AS BIGINT) AS total_molds,
+       round(sum(molds_for_ext) / count(DISTINCT schedule_day), 4) AS avg_molds_per_day,
+       count(DISTINCT pour_schedule_day) AS pour_days,
+       CAST(sum(total_weight_per_ext) AS BIGINT) AS total_poured_lbs,
+       round(sum(total_weight_per_ext) / count(DISTINCT pour_schedule_day), 4) AS avg_poured_lbs_per_day
+FROM asg GROUP BY pool"""
+
+SHIP = f"""ship AS (
+  SELECT p.pool, p.job AS job_number, p.planned_molds, p.due_date, p.customer_name,
+         COALESCE(a.scheduled_molds, 0) AS scheduled_molds, a.mold_day, a.pour_day,
+         CASE WHEN a.mold_day IS NULL THEN NULL ELSE {day_date_sql('a.mold_day')} END AS mold_date,
+         CASE WHEN a.pour_day IS NULL THEN NULL ELSE {day_date_sql('a.pour_day')} END AS pour_date
+  FROM (SELECT pool, {_ws_key('job_number')} AS job, sum(molds_for_ext) AS planned_molds,
+               min(CAST(due_date AS DATE)) AS due_date,
+               min(trim(customer_name)) FILTER (WHERE trim(customer_name) <> '') AS customer_name
+        FROM srows GROUP BY 1, 2) p
+  LEFT JOIN (SELECT pool, {_ws_key('job_number')} AS job, sum(molds_for_ext) AS scheduled_molds,
+                    min(schedule_day) AS mold_day, max(pour_schedule_day) AS pour_day
+             FROM asg GROUP BY 1, 2) a ON a.pool = p.pool AND a.job = p.job),
+ship2 AS (
+  SELECT *, pour_date + 14 AS expected_ship_date, date_diff('day', pour_date + 14, due_date) AS ship_buffer_days,
+         CASE WHEN scheduled_molds <= 0 THEN 'Not Yet Scheduled'
+              WHEN scheduled_molds < planned_molds THEN 'Partially Scheduled' ELSE 'Scheduled' END AS schedule_status
+  FROM ship),
+ship3 AS (
+  SELECT *, CASE WHEN schedule_status = 'Not Yet Scheduled' THEN 'NOT SCHEDULED'
+                 WHEN ship_buffer_days IS NULL THEN 'UNKNOWN'
+                 WHEN ship_buffer_days >= 0 THEN 'YES' ELSE 'NO' END AS on_time
+  FROM ship2)"""
+
+_SHIP_OUT = """CAST(pool AS BIGINT) AS pool, job_number, schedule_status, COALESCE(NULLIF(trim(customer_name), ''), '') AS customer_name,
+       CAST(planned_molds AS BIGINT) AS planned_molds, CAST(scheduled_molds AS BIGINT) AS scheduled_molds,
+       CAST(mold_day AS BIGINT) AS mold_day, mold_date, CAST(pour_day AS BIGINT) AS pour_day, pour_date,
+       expected_ship_date, due_date, CAST(ship_buffer_days AS BIGINT) AS ship_buffer_days, on_time,
+       CASE upper(schedule_status) WHEN 'SCHEDULED' THEN 'green' WHEN 'PARTIALLY SCHEDULED' THEN 'yellow'
+            WHEN 'NOT YET SCHEDULED' THEN 'orange' END AS status_band,
+       CASE on_time WHEN 'YES' THEN 'green' WHEN 'NO' THEN 'red' WHEN 'NOT SCHEDULED' THEN 'orange' ELSE 'gray' END AS on_time_band,
+       CASE WHEN ship_buffer_days IS NULL THEN 'gray' WHEN ship_buffer_days < 0 THEN 'red'
+            WHEN ship_buffer_days < 4 THEN 'yellow' ELSE 'green' END AS ship_buffer_band"""
+
+Q["job_shipping_outlook"] = with_sched(SHIP) + f"SELECT {_SHIP_OUT} FROM ship3"
+
+Q["job_status"] = with_sched(SHIP) + """
+SELECT CAST(pool AS BIGINT) AS pool, job_number, COALESCE(NULLIF(trim(customer_name), ''), '') AS customer_name,
+       expected_ship_date, due_date, CAST(ship_buffer_days AS BIGINT) AS ship_buffer_days, on_time, schedule_status,
+       CASE on_time WHEN 'YES' THEN 'green' WHEN 'NO' THEN 'red' WHEN 'NOT SCHEDULED' THEN 'orange' ELSE 'gray' END AS on_time_band
+FROM ship3"""
