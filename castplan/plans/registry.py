@@ -130,3 +130,80 @@ def q_job_status(spark, sf_dir):
     """Overall job status (projection of the shipping outlook)."""
     s = build_schedule(spark, sf_dir, P)
     return shipping.job_status(shipping.job_shipping_outlook(s.schedule_rows, s.assignments, P.start_date))
+
+
+from castplan.operators import heats  # noqa: E402
+from castplan.plans import heat_reports, melt_reports  # noqa: E402
+
+
+def _plan(spark, sf_dir):
+    return heats.melt_plan(build_schedule(spark, sf_dir, P).assignments, P.reference_date)
+
+
+def _summary(spark, sf_dir):
+    return heat_reports.heat_summary_rows(_plan(spark, sf_dir), P.start_date, P.reference_date)
+
+
+@register("melt_plan")
+def q_melt_plan(spark, sf_dir):
+    """Pour days and heat numbers of every assignment chunk (our documented producer)."""
+    return _plan(spark, sf_dir).select(
+        "pool", "job_number", "schedule_day", "original_pour_schedule_day", "pour_schedule_day",
+        "heat_number", "global_heat_number", "heat_status", "planning_priority", "review_window",
+        "days_until_due", "molds_for_ext", "total_weight_per_ext")
+
+
+@register("heat_summary")
+def q_heat_summary(spark, sf_dir):
+    """Heat summary rows: status, due window, weight, molds, lead days, two-week rule."""
+    return _summary(spark, sf_dir)
+
+
+@register("heat_planner")
+def q_heat_planner(spark, sf_dir):
+    """Heat planner sheet rows with blank manual-entry columns and status bands."""
+    return heat_reports.heat_planner_rows(_summary(spark, sf_dir))
+
+
+@register("heat_daily_totals")
+def q_heat_daily_totals(spark, sf_dir):
+    """Per pool and date: heats, planned/overflow/at-risk counts, weight and molds."""
+    return heat_reports.heat_daily_totals(_summary(spark, sf_dir))
+
+
+@register("heat_detail")
+def q_heat_detail(spark, sf_dir):
+    """Row-level heat plan with due buffer."""
+    return heat_reports.heat_detail_rows(_plan(spark, sf_dir), P.start_date)
+
+
+@register("heat_sheet")
+def q_heat_sheet(spark, sf_dir):
+    """Heat schedule sheet with per-day totals rows and average poured pounds per day."""
+    return heat_reports.heat_sheet(_summary(spark, sf_dir))
+
+
+@register("melt_management")
+def q_melt_management(spark, sf_dir):
+    """Melt management summary per heat: customers, jobs, date ranges, ship date, status."""
+    plan = _plan(spark, sf_dir)
+    return melt_reports.melt_management(
+        heat_reports.heat_summary_rows(plan, P.start_date, P.reference_date), plan, P.start_date)
+
+
+@register("melt_capacity")
+def q_melt_capacity(spark, sf_dir):
+    """Daily melt capacity: heats and pounds per pour day against the targets."""
+    return melt_reports.melt_capacity(_plan(spark, sf_dir), P.limits)
+
+
+@register("melt_schedule")
+def q_melt_schedule(spark, sf_dir):
+    """Melt department schedule rows with molds on floor (gaps-and-islands running sum)."""
+    return melt_reports.melt_schedule(_plan(spark, sf_dir), P.start_date)
+
+
+@register("melt_gap_diagnostics")
+def q_melt_gap_diagnostics(spark, sf_dir):
+    """Skipped pour days with mold-window capacity use, heat moves and likely cause."""
+    return melt_reports.melt_gap_diagnostics(_plan(spark, sf_dir), P.start_date, P.limits)
