@@ -387,3 +387,226 @@ SELECT CAST(pool AS BIGINT) AS pool, job_number, COALESCE(NULLIF(trim(customer_n
        expected_ship_date, due_date, CAST(ship_buffer_days AS BIGINT) AS ship_buffer_days, on_time, schedule_status,
        CASE on_time WHEN 'YES' THEN 'green' WHEN 'NO' THEN 'red' WHEN 'NOT SCHEDULED' THEN 'orange' ELSE 'gray' END AS on_time_band
 FROM ship3"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Melt plan and heat / melt reports
+# ---------------------------------------------------------------------------------------------
+_DU = f"date_diff('day', {REFERENCE_DATE}, due_date)"
+MP = f"""mp0 AS (
+  SELECT * EXCLUDE (pour_schedule_day, global_heat_number), schedule_day AS original_pour_schedule_day,
+         CAST(ceil(schedule_day / 2.0) * 2 AS INTEGER) AS pour_schedule_day,
+         {_DU} AS days_until_due,
+         CASE WHEN due_date IS NULL THEN 2 WHEN {_DU} <= 14 THEN 0 WHEN {_DU} <= 70 THEN 1 ELSE 2 END AS planning_priority_rank
+  FROM asg),
+mp1 AS (
+  SELECT *, floor(COALESCE(sum(total_weight_per_ext) OVER (
+                PARTITION BY pool, pour_schedule_day, compatibility_group
+                ORDER BY alloy NULLS LAST, job_number NULLS LAST, ext NULLS LAST, schedule_day
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2300) AS gheat
+  FROM mp0),
+mp2 AS (
+  SELECT * EXCLUDE (heat_number, gheat),
+         dense_rank() OVER (PARTITION BY pool, pour_schedule_day ORDER BY compatibility_group NULLS LAST, gheat) AS heat_number
+  FROM mp1),
+mp_days AS (
+  SELECT pool, pour_schedule_day,
+         COALESCE(sum(max(heat_number)) OVER (PARTITION BY pool ORDER BY pour_schedule_day
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+  FROM mp2 GROUP BY pool, pour_schedule_day),
+mp AS (
+  SELECT m.*, d.prev + m.heat_number AS global_heat_number, m.heat_number AS heat_slot,
+         CASE WHEN m.heat_number <= 5 THEN 'Planned' ELSE 'Overflow' END AS heat_status,
+         CASE m.planning_priority_rank WHEN 0 THEN 'Highest Priority' WHEN 1 THEN 'Priority Review' ELSE 'Standard' END AS planning_priority,
+         CASE m.planning_priority_rank WHEN 0 THEN 'Next 2 Weeks' WHEN 1 THEN 'Next 10 Weeks' ELSE 'Outside 10 Weeks' END AS review_window
+  FROM mp2 m JOIN mp_days d ON d.pool = m.pool AND d.pour_schedule_day = m.pour_schedule_day)"""
+
+_lbl = "CASE WHEN trim(ext) <> '' THEN trim(job_number) || '-' || trim(ext) ELSE trim(job_number) END"
+HS = f"""hs0 AS (
+  SELECT pool, pour_schedule_day, heat_number, any_value(heat_slot) AS heat_slot,
+         any_value(global_heat_number) AS global_heat_number, any_value(heat_status) AS heat_status,
+         min(planning_priority_rank) AS rnk, min(alloy) AS anchor_alloy,
+         any_value(compatibility_group) AS compatibility_group,
+         min(due_date) AS earliest_due_date, max(due_date) AS latest_due_date,
+         CAST(sum(total_weight_per_ext) AS DOUBLE) AS total_weight_lbs, CAST(sum(molds_for_ext) AS DOUBLE) AS total_molds,
+         count(*) AS rows_in_heat,
+         array_to_string(list_sort(list_distinct(list(trim(job_number)))), ', ') AS jobs,
+         array_to_string(list_sort(list_distinct(list({_lbl}))), ', ') AS extensions,
+         max(pour_schedule_day - schedule_day) AS max_mold_lead_days,
+         round(avg(pour_schedule_day - schedule_day), 1) AS avg_mold_lead_days,
+         min(days_until_due) AS min_until_due,
+         string_agg({_lbl} || ' | Due ' || COALESCE(strftime(due_date, '%m/%d/%Y'), '') || ' | Molds '
+                    || COALESCE(CAST(CAST(molds_for_ext AS BIGINT) AS VARCHAR), ''), '; '
+                    ORDER BY alloy NULLS LAST, job_number NULLS LAST, ext NULLS LAST, schedule_day NULLS LAST) AS job_breakout
+  FROM mp GROUP BY pool, pour_schedule_day, heat_number),
+hs1 AS (
+  SELECT *, {day_date_sql('pour_schedule_day')} AS schedule_date,
+         date_diff('day', {day_date_sql('pour_schedule_day')}, earliest_due_date) AS buf
+  FROM hs0),
+hs AS (
+  SELECT CAST(pool AS BIGINT) AS pool, CAST(pour_schedule_day AS BIGINT) AS pour_schedule_day,
+         CAST(heat_number AS BIGINT) AS heat_number, schedule_date, dayname(schedule_date) AS weekday,
+         CAST(heat_slot AS BIGINT) AS heat_slot, CAST(global_heat_number AS BIGINT) AS global_heat_number, heat_status,
+         CASE rnk WHEN 0 THEN 'Highest Priority' WHEN 1 THEN 'Priority Review' ELSE 'Standard' END AS planning_priority,
+         CASE rnk WHEN 0 THEN 'Next 2 Weeks' WHEN 1 THEN 'Next 10 Weeks' ELSE 'Outside 10 Weeks' END AS review_window,
+         anchor_alloy, compatibility_group, earliest_due_date, latest_due_date,
+         earliest_due_date - 14 AS target_pour_date, CAST(buf AS BIGINT) AS pour_buffer_days,
+         {risk_sql('buf')[0]} AS due_buffer_status, total_weight_lbs, total_molds,
+         CAST(rows_in_heat AS BIGINT) AS rows_in_heat, jobs, extensions,
+         CAST(max_mold_lead_days AS BIGINT) AS max_mold_lead_days, CAST(avg_mold_lead_days AS DOUBLE) AS avg_mold_lead_days,
+         CASE WHEN buf IS NULL THEN 'UNKNOWN' WHEN buf >= 14 THEN 'PASS'
+              WHEN min_until_due IS NOT NULL AND min_until_due < 14 THEN 'EXCEPTION - NO TIME' ELSE 'VIOLATION' END AS two_week_rule_status,
+         CASE WHEN buf IS NULL THEN 'Cannot evaluate two-week rule without due date'
+              WHEN buf >= 14 THEN 'Pour is at least 14 days before due'
+              WHEN min_until_due IS NOT NULL AND min_until_due < 14 THEN 'Due is already inside 14 days; poured at earliest feasible slot'
+              ELSE 'Pour is inside 14-day window even though due runway exists' END AS two_week_rule_note,
+         job_breakout, {risk_sql('buf')[1]} AS planner_diagnostic
+  FROM hs1)"""
+
+Q["melt_plan"] = with_sched(MP) + """
+SELECT CAST(pool AS BIGINT) AS pool, job_number, CAST(schedule_day AS BIGINT) AS schedule_day,
+       CAST(original_pour_schedule_day AS BIGINT) AS original_pour_schedule_day,
+       CAST(pour_schedule_day AS BIGINT) AS pour_schedule_day, CAST(heat_number AS BIGINT) AS heat_number,
+       CAST(global_heat_number AS BIGINT) AS global_heat_number, heat_status, planning_priority, review_window,
+       CAST(days_until_due AS BIGINT) AS days_until_due, CAST(molds_for_ext AS BIGINT) AS molds_for_ext,
+       CAST(total_weight_per_ext AS BIGINT) AS total_weight_per_ext
+FROM mp"""
+
+Q["heat_summary"] = with_sched(MP, HS) + "SELECT * FROM hs"
+
+Q["heat_planner"] = with_sched(MP, HS) + """
+SELECT * EXCLUDE (rows_in_heat, job_breakout), NULL::VARCHAR AS manual_alloy, NULL::DOUBLE AS manual_weight_lbs,
+       NULL::DOUBLE AS manual_molds, NULL::VARCHAR AS planner_notes,
+       CASE upper(two_week_rule_status) WHEN 'PASS' THEN 'green' WHEN 'EXCEPTION - NO TIME' THEN 'yellow'
+            WHEN 'VIOLATION' THEN 'red' ELSE 'gray' END AS two_week_band,
+       CASE upper(due_buffer_status) WHEN 'ON TRACK' THEN 'green' WHEN 'WATCH' THEN 'yellow'
+            WHEN 'AT RISK' THEN 'red' ELSE 'gray' END AS due_buffer_band
+FROM hs"""
+
+Q["heat_daily_totals"] = with_sched(MP, HS) + """
+SELECT pool, schedule_date, weekday, count(DISTINCT heat_number) AS total_heats,
+       count(*) FILTER (WHERE heat_status = 'Planned') AS planned_heats,
+       count(*) FILTER (WHERE heat_status = 'Overflow') AS overflow_heats,
+       sum(total_weight_lbs) AS total_weight_lbs, sum(total_molds) AS total_molds,
+       count(*) FILTER (WHERE due_buffer_status = 'AT RISK') AS at_risk_heats
+FROM hs WHERE COALESCE(heat_status, '') <> 'Reserved'
+GROUP BY pool, schedule_date, weekday"""
+
+Q["heat_detail"] = with_sched(MP) + f"""
+SELECT CAST(pool AS BIGINT) AS pool, {day_date_sql('pour_schedule_day')} AS schedule_date,
+       dayname({day_date_sql('pour_schedule_day')}) AS weekday, CAST(pour_schedule_day AS BIGINT) AS pour_schedule_day,
+       CAST(heat_number AS BIGINT) AS heat_number, CAST(global_heat_number AS BIGINT) AS global_heat_number,
+       planning_priority, review_window, CAST(days_until_due AS BIGINT) AS days_until_due, due_date,
+       CAST(date_diff('day', {day_date_sql('pour_schedule_day')}, due_date) AS BIGINT) AS due_buffer_days,
+       compatibility_group, alloy, job_number, ext, CAST(extension_seq AS BIGINT) AS extension_seq,
+       CAST(molds_for_ext AS BIGINT) AS molds_for_ext, CAST(total_weight_per_ext AS DOUBLE) AS total_weight_per_ext
+FROM mp"""
+
+Q["heat_sheet"] = with_sched(MP, HS) + """
+SELECT x.*, a.avg_poured_lbs_per_day FROM (
+  SELECT pool, schedule_date, weekday, heat_slot, heat_number, heat_status, anchor_alloy, compatibility_group,
+         earliest_due_date, due_buffer_status, two_week_rule_status, total_weight_lbs, total_molds, 'detail' AS row_type
+  FROM hs
+  UNION ALL
+  SELECT pool, schedule_date, weekday, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+         sum(total_weight_lbs), sum(total_molds), 'total'
+  FROM hs GROUP BY pool, schedule_date, weekday) x
+LEFT JOIN (SELECT pool, sum(total_weight_lbs) / count(DISTINCT schedule_date) AS avg_poured_lbs_per_day
+           FROM hs WHERE COALESCE(heat_status, '') <> 'Reserved' GROUP BY pool) a ON a.pool = x.pool"""
+
+
+def _range_text(a: str, b: str) -> str:
+    return (f"CASE WHEN {a} IS NULL THEN NULL WHEN {a} = {b} THEN strftime({a}, '%m/%d/%Y') "
+            f"ELSE strftime({a}, '%m/%d/%Y') || ' - ' || strftime({b}, '%m/%d/%Y') END")
+
+
+Q["melt_management"] = with_sched(MP, HS) + f"""
+SELECT h.pool, h.pour_schedule_day, h.heat_number, h.schedule_date AS pour_date, p.customers, p.poured_job_ids,
+       {_range_text('least(h.earliest_due_date, h.latest_due_date)', 'greatest(h.earliest_due_date, h.latest_due_date)')} AS due_dates,
+       {_range_text('p.m0', 'p.m1')} AS mold_dates,
+       {_range_text('h.schedule_date', 'h.schedule_date')} AS pour_dates,
+       h.schedule_date + 14 AS expected_ship_date, h.pour_buffer_days, h.due_buffer_status,
+       h.two_week_rule_status, h.planner_diagnostic
+FROM hs h LEFT JOIN (
+  SELECT pool, pour_schedule_day, heat_number,
+         array_to_string(list_sort(list_distinct(list(NULLIF(trim(customer_name), '')) FILTER (WHERE NULLIF(trim(customer_name), '') IS NOT NULL))), ', ') AS customers,
+         array_to_string(list_sort(list_distinct(list(NULLIF(trim(job_number), '')) FILTER (WHERE NULLIF(trim(job_number), '') IS NOT NULL))), ', ') AS poured_job_ids,
+         min({day_date_sql('schedule_day')}) AS m0, max({day_date_sql('schedule_day')}) AS m1
+  FROM mp GROUP BY 1, 2, 3) p
+  ON p.pool = h.pool AND p.pour_schedule_day = h.pour_schedule_day AND p.heat_number = h.heat_number
+WHERE COALESCE(h.heat_status, '') <> 'Reserved'"""
+
+Q["melt_capacity"] = with_sched(MP) + """
+SELECT CAST(pool AS BIGINT) AS pool, CAST(pour_schedule_day AS BIGINT) AS pour_schedule_day,
+       count(DISTINCT NULLIF(trim(CAST(heat_number AS VARCHAR)), '')) AS heat_count,
+       CAST(round(sum(COALESCE(total_weight_per_ext, 0))) AS BIGINT) AS total_weight,
+       'Day ' || CAST(pour_schedule_day AS VARCHAR) AS day_label,
+       'Heats=' || CAST(count(DISTINCT NULLIF(trim(CAST(heat_number AS VARCHAR)), '')) AS VARCHAR) || '/5' AS heat_capacity,
+       'Lbs=' || CAST(CAST(round(sum(COALESCE(total_weight_per_ext, 0))) AS BIGINT) AS VARCHAR) || '/10000' AS weight_capacity
+FROM mp GROUP BY pool, pour_schedule_day"""
+
+_MS_ORDER = ("NULLIF(trim(alloy), '') ASC NULLS LAST, job_number ASC NULLS LAST, ext ASC NULLS LAST, "
+             "COALESCE(trim(CAST(heat_number AS VARCHAR)), '') ASC NULLS LAST, schedule_day ASC NULLS LAST")
+Q["melt_schedule"] = with_sched(MP) + f"""
+, ms0 AS (
+  SELECT *, COALESCE(trim(CAST(heat_number AS VARCHAR)), '') AS hk,
+         CASE WHEN lag(COALESCE(trim(CAST(heat_number AS VARCHAR)), '')) OVER (PARTITION BY pool, pour_schedule_day ORDER BY {_MS_ORDER})
+                   = COALESCE(trim(CAST(heat_number AS VARCHAR)), '') THEN 0 ELSE 1 END AS is_new
+  FROM mp),
+ms1 AS (
+  SELECT *, sum(is_new) OVER (PARTITION BY pool, pour_schedule_day ORDER BY {_MS_ORDER}
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM ms0)
+SELECT CAST(pool AS BIGINT) AS pool, CAST(pour_schedule_day AS BIGINT) AS pour_schedule_day,
+       CAST(schedule_day AS BIGINT) AS schedule_day, {day_date_sql('pour_schedule_day')} + 1 AS pour_date,
+       dayname({day_date_sql('pour_schedule_day')}) AS weekday, CAST(heat_number AS BIGINT) AS heat_number,
+       trim(alloy) AS alloy, trim(job_number) AS job_number,
+       CAST(COALESCE(sum(greatest(round(COALESCE(molds_for_ext, 0)), 0)) OVER (
+            PARTITION BY pool, pour_schedule_day, run ORDER BY {_MS_ORDER}
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS molds_on_floor,
+       CAST(COALESCE(total_weight_per_ext, 0) AS DOUBLE) AS pour_weight_required_lbs, trim(part_number) AS part_number
+FROM ms1"""
+
+Q["melt_gap_diagnostics"] = with_sched(MP) + f"""
+, pdays AS (SELECT DISTINCT pool, pour_schedule_day AS day FROM mp),
+miss AS (
+  SELECT b.pool, r.day, greatest(1, r.day - 5) AS ws
+  FROM (SELECT pool, min(day) AS lo, max(day) AS hi FROM pdays GROUP BY pool) b,
+       LATERAL (SELECT unnest(range(b.lo, b.hi + 1)) AS day) r
+  WHERE NOT EXISTS (SELECT 1 FROM pdays p WHERE p.pool = b.pool AND p.day = r.day)),
+use_d AS (
+  SELECT pool, schedule_day AS wday,
+         sum(CASE WHEN upper(trim(COALESCE(casting_type, ''))) = 'F' THEN greatest(round(COALESCE(molds_for_ext, 0)), 0) ELSE 0 END) AS f,
+         sum(CASE WHEN upper(trim(COALESCE(casting_type, ''))) <> 'F' THEN greatest(round(COALESCE(molds_for_ext, 0)), 0) ELSE 0 END) AS l
+  FROM mp GROUP BY 1, 2),
+used AS (
+  SELECT m.pool, m.day, COALESCE(sum(u.l), 0) AS line_used, COALESCE(sum(u.f), 0) AS floor_used
+  FROM miss m LEFT JOIN use_d u ON u.pool = m.pool AND u.wday >= m.ws AND u.wday < m.day
+  GROUP BY 1, 2),
+moves AS (SELECT DISTINCT pool, original_pour_schedule_day AS o, pour_schedule_day AS p, heat_number FROM mp WHERE heat_number IS NOT NULL),
+mv AS (
+  SELECT pool, o AS day, count(*) AS orig, count(*) FILTER (WHERE p > o) AS pushed,
+         COALESCE(array_to_string(list_sort(list_distinct(list(p) FILTER (WHERE p > o))), ', '), '') AS pushed_to
+  FROM moves GROUP BY 1, 2),
+g AS (
+  SELECT m.pool, m.day, m.ws, COALESCE(v.orig, 0) AS orig, COALESCE(v.pushed, 0) AS pushed,
+         COALESCE(v.pushed_to, '') AS pushed_to, CAST(u.line_used AS BIGINT) AS line_used,
+         CAST(u.floor_used AS BIGINT) AS floor_used, (m.day - m.ws) * 30 AS line_cap, (m.day - m.ws) * 3 AS floor_cap
+  FROM miss m JOIN used u ON u.pool = m.pool AND u.day = m.day
+  LEFT JOIN mv v ON v.pool = m.pool AND v.day = m.day)
+SELECT CAST(pool AS BIGINT) AS pool, CAST(day AS BIGINT) AS skipped_pour_day, {day_date_sql('day')} AS skipped_pour_date,
+       dayname({day_date_sql('day')}) AS weekday, CAST(orig AS BIGINT) AS original_heats_on_day,
+       CAST(pushed AS BIGINT) AS heats_pushed_later, pushed_to AS pushed_to_pour_days,
+       CASE WHEN day - ws > 0 THEN CAST(ws AS VARCHAR) || '-' || CAST(day - 1 AS VARCHAR) ELSE '' END AS mold_window_days,
+       CAST(line_used AS VARCHAR) || '/' || CAST(line_cap AS VARCHAR) AS window_line_usage,
+       CAST(floor_used AS VARCHAR) || '/' || CAST(floor_cap AS VARCHAR) AS window_floor_usage,
+       CASE WHEN orig <= 0 THEN 'No heats remained targeted to this day after sequencing and prioritization.'
+            WHEN pushed <= 0 THEN 'No final pours landed on this day after melt-plan rebuild.'
+            WHEN greatest(line_cap - line_used, 0) <= 0 AND greatest(floor_cap - floor_used, 0) <= 0
+              THEN 'Original heats were pushed later because no pre-pour line or floor mold capacity remained in the 5-day window.'
+            WHEN greatest(line_cap - line_used, 0) <= 0
+              THEN 'Original heats were pushed later because line mold capacity was fully consumed in the 5-day window.'
+            WHEN greatest(floor_cap - floor_used, 0) <= 0
+              THEN 'Original heats were pushed later because floor mold capacity was fully consumed in the 5-day window.'
+            ELSE 'Original heats were pushed later to keep heat sequence and mold constraints feasible.' END AS likely_cause
+FROM g"""
