@@ -97,11 +97,13 @@ def _dec(c) -> Column:
     return c.cast("decimal(18,4)")
 
 
-def open_orders(erp: ErpViews, keep_pool: bool = True) -> DataFrame:
+def open_orders(erp: ErpViews, keep_pool: bool = True, complete_only: bool = True) -> DataFrame:
     """Live open-order report: one row per job with due date, part, alloy, quantities.
 
     Output columns follow ``schemas.OPEN_ORDER_COLUMNS`` plus ``pool`` (capacity pool of
-    the job; constant 0 when the job master has none).
+    the job; constant 0 when the job master has none).  ``complete_only=False`` skips the
+    completeness filter (due date on/after 2000-01-01, customer, part and job present), which
+    is what the required-column validation inspects.
     """
     o = open_orders_by_job(erp).alias("o")
     m = main_jobs(erp).alias("m")
@@ -138,6 +140,8 @@ def open_orders(erp: ErpViews, keep_pool: bool = True) -> DataFrame:
         F.coalesce(F.col("m.on_hold"), F.lit("NO")).alias("on_hold"),
         F.coalesce(F.col("m.pool"), F.lit(0)).alias("pool"),
     )
+    if not complete_only:
+        return out if keep_pool else out.drop("pool")
     out = out.where(F.col("due_date").isNotNull()
                     & (F.col("due_date") >= F.lit(_dt.date.fromisoformat(MIN_VALID_DUE_DATE)))
                     & blank_to_null("customer_name").isNotNull()

@@ -207,3 +207,116 @@ def q_melt_schedule(spark, sf_dir):
 def q_melt_gap_diagnostics(spark, sf_dir):
     """Skipped pour days with mold-window capacity use, heat moves and likely cause."""
     return melt_reports.melt_gap_diagnostics(_plan(spark, sf_dir), P.start_date, P.limits)
+
+
+import datetime as _dt  # noqa: E402
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from castplan.functions.clean import normalize_alloy_list, text_to_decimal, canonical_number_text  # noqa: E402
+from castplan.functions.dates import add_business_days, decode_erp_date  # noqa: E402
+from castplan.operators import priority, reporting  # noqa: E402
+from castplan.operators.open_orders import dashboard_history  # noqa: E402
+from castplan.sources.adapter import order_snapshot, read_table, scheduler_run  # noqa: E402
+
+
+@register("validation_summary")
+def q_validation_summary(spark, sf_dir):
+    """Required-column blank counts and sample jobs over the assembled (unfiltered) rows."""
+    rows = oo.open_orders(erp_views(spark, sf_dir), complete_only=False)
+    return quality.validation_summary(rows)
+
+
+@register("missing_job_audit")
+def q_missing_job_audit(spark, sf_dir):
+    """Order lines without a job key: total count and the first ten by order and line."""
+    return quality.missing_job_audit(erp_views(spark, sf_dir))
+
+
+@register("audit_by_month")
+def q_audit_by_month(spark, sf_dir):
+    """Missing-job audit per month, newest twelve months kept (retention)."""
+    return quality.audit_by_month(erp_views(spark, sf_dir))
+
+
+@register("open_order_report")
+def q_open_order_report(spark, sf_dir):
+    """Open-order report rendered as text with canonical numbers and the Scheduled flag."""
+    s = build_schedule(spark, sf_dir, P)
+    return reporting.open_order_report(s.open_orders, s.assignments)
+
+
+@register("dashboard_history")
+def q_dashboard_history(spark, sf_dir):
+    """History dashboard for the latest snapshot run, with per-job order roll-ups."""
+    return dashboard_history(erp_views(spark, sf_dir), order_snapshot(spark, sf_dir),
+                             scheduler_run(spark, sf_dir))
+
+
+@register("dashboard_history_window")
+def q_dashboard_history_window(spark, sf_dir):
+    """History dashboard for run 2 restricted to due dates in the second quarter of 2001."""
+    return dashboard_history(erp_views(spark, sf_dir), order_snapshot(spark, sf_dir),
+                             scheduler_run(spark, sf_dir), run_id=2,
+                             start_due_date="2001-04-01", end_due_date="2001-06-30")
+
+
+@register("due_date_decode")
+def q_due_date_decode(spark, sf_dir):
+    """Mixed-encoding required dates of every order line decoded (detail, then header)."""
+    erp = erp_views(spark, sf_dir)
+    lines = oo.order_lines(erp)
+    dd = decode_erp_date(F.col("d.required_date"))
+    hd = decode_erp_date(F.col("h.required_date"))
+    return lines.select(F.col("d.order_number").alias("order_number"),
+                        F.col("d.line_number").alias("line_number"),
+                        F.col("d.required_date").alias("detail_text"),
+                        F.col("h.required_date").alias("header_text"),
+                        dd.alias("detail_date"), hd.alias("header_date"),
+                        F.coalesce(dd, hd).alias("due_date"))
+
+
+@register("business_day_add")
+def q_business_day_add(spark, sf_dir):
+    """Order date shifted by (orderkey % 21 - 10) business days, weekends skipped."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    n = (F.col("o_orderkey") % 21 - 10).cast("int")
+    return o.select("o_orderkey", F.col("o_orderdate").cast("date").alias("order_date"),
+                    n.alias("offset_days"),
+                    add_business_days(F.col("o_orderdate").cast("date"), n).alias("shifted_date"))
+
+
+@register("alloy_list_normalize")
+def q_alloy_list_normalize(spark, sf_dir):
+    """Comma lists built from part attributes: trimmed, upper-cased, deduplicated in order."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    raw = F.concat_ws(",", F.lower("p_type"), F.lit(" "), F.col("p_type"), F.col("p_brand"),
+                      F.concat(F.lit(" "), F.lower("p_brand")))
+    return p.select("p_partkey", raw.alias("raw_list"), normalize_alloy_list(raw).alias("normalized"))
+
+
+@register("number_text")
+def q_number_text(spark, sf_dir):
+    """ERP number text (with $ and thousands commas) parsed to decimals and canonical text."""
+    erp = erp_views(spark, sf_dir)
+    jm = erp.job_master
+    return jm.select("job_number", "pour_weight_text",
+                     text_to_decimal("pour_weight_text").alias("pour_weight"),
+                     canonical_number_text("pour_weight_text").alias("canonical_text"),
+                     text_to_decimal("tool_impressions").alias("castings_per_mold"))
+
+
+@register("planning_priority")
+def q_planning_priority(spark, sf_dir):
+    """Schedule rows classified into priority windows and ranked per pool."""
+    s = build_schedule(spark, sf_dir, P)
+    return priority.prioritize(s.schedule_rows, P.reference_date).select(
+        "pool", "job_number", "due_date", "planning_priority_rank", "planning_priority",
+        "review_window", "days_until_due", "planning_seq")
+
+
+@register("co_pour_candidates")
+def q_co_pour_candidates(spark, sf_dir):
+    """For each alloy on open orders, the alloys on open orders it may share a heat with."""
+    inp = scheduler_input(spark, sf_dir, P)[0]
+    return compat.co_pour_candidates(inp, compat.compat_map(compat_reference(spark)))

@@ -610,3 +610,151 @@ SELECT CAST(pool AS BIGINT) AS pool, CAST(day AS BIGINT) AS skipped_pour_day, {d
               THEN 'Original heats were pushed later because floor mold capacity was fully consumed in the 5-day window.'
             ELSE 'Original heats were pushed later to keep heat sequence and mold constraints feasible.' END AS likely_cause
 FROM g"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Quality, audits, history dashboard, scalar functions, compatibility pairs
+# ---------------------------------------------------------------------------------------------
+_ASM = OPEN_ORDERS.replace("open_orders AS (", "assembled AS (", 1)
+_ASM = _ASM[:_ASM.index("  WHERE due_date IS NOT NULL")] + ")"
+
+_val_parts = []
+for _c in ["due_date", "customer_name", "part_number", "job_number"]:
+    _blank = f"NULLIF(trim(CAST({_c} AS VARCHAR)), '') IS NULL"
+    _val_parts.append(f"""SELECT '{_c}' AS column_name, count(*) FILTER (WHERE {_blank}) AS blank_rows,
+       COALESCE(array_to_string(list_sort(list_distinct(list(COALESCE(job_number, '')) FILTER (WHERE {_blank})))[1:5], ', '), '') AS sample_jobs,
+       count(*) AS total_rows FROM assembled""")
+Q["validation_summary"] = with_base(_ASM) + "\nUNION ALL\n".join(_val_parts)
+
+MISSING = f"""missing AS (
+  SELECT h.order_number, d.line_number, h.customer_name, d.product_number AS part_number,
+         d.job_number AS detail_job_number, h.job_number AS header_job_number, h.ship_date
+  FROM oe_detail d JOIN oe_header h ON h.order_number = d.order_number
+  WHERE NULLIF(upper(trim(COALESCE({nb('d.job_number')}, {nb('h.job_number')}))), '') IS NULL)"""
+
+Q["missing_job_audit"] = with_base(MISSING) + """
+SELECT order_number, CAST(line_number AS BIGINT) AS line_number, customer_name, part_number, detail_job_number,
+       header_job_number, (SELECT count(*) FROM missing) AS missing_count, 'live' AS source
+FROM missing
+ORDER BY order_number NULLS LAST, line_number NULLS LAST, customer_name NULLS LAST, part_number NULLS LAST,
+         detail_job_number NULLS LAST, header_job_number NULLS LAST
+LIMIT 10"""
+
+Q["audit_by_month"] = with_base(MISSING) + """
+, pm AS (SELECT strftime(ship_date, '%Y-%m') AS month, count(*) AS missing_count, min(order_number) AS first_order
+         FROM missing GROUP BY 1)
+SELECT * FROM pm WHERE month IN (SELECT month FROM pm ORDER BY month DESC LIMIT 12)"""
+
+
+def _canon_num(x: str) -> str:
+    t = f"CAST(TRY_CAST(NULLIF(trim(replace(replace(CAST({x} AS VARCHAR), ',', ''), '$', '')), '') AS DECIMAL(38,10)) AS VARCHAR)"
+    return f"regexp_replace(regexp_replace({t}, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+
+
+_TXT = ["customer_name", "part_number", "job_type", "job_number", "alloy", "casting_type", "heat_no_assigned"]
+_NUM = ['qty_ordered', 'quantity_of_molds', 'castings_per_mold', 'quantity_of_cores', 'pour_weight',
+        'total_pour_wt', 'total_value', 'castings_produced']
+Q["open_order_report"] = with_sched() + f"""
+SELECT CAST(o.pool AS BIGINT) AS pool,
+       CASE WHEN EXISTS (SELECT 1 FROM asg a WHERE {_ws_key('a.job_number')} = {_ws_key('o.job_number')}) THEN 'YES' ELSE 'NO' END AS scheduled,
+       COALESCE(strftime(o.due_date, '%Y-%m-%d'), '') AS due_date,
+       {", ".join(f"COALESCE(trim(CAST(o.{c} AS VARCHAR)), '') AS {c}" for c in _TXT)},
+       {", ".join(f"COALESCE({_canon_num('o.' + c)}, '') AS {c}" for c in _NUM)},
+       COALESCE({_canon_num("COALESCE(CAST(o.molds_completed AS VARCHAR), '0')")}, '') AS molds_completed
+FROM sched_in o"""
+
+_DASH = f"""obj AS (
+  SELECT upper(trim(COALESCE({nb('d.job_number')}, {nb('h.job_number')}))) AS job_key,
+         max({nb('h.customer_po')}) AS customer_po, sum(COALESCE(d.quantity_ordered, 0)) AS quantity_ordered,
+         sum(COALESCE(d.pieces_shipped_to_date, 0)) AS quantity_shipped_to_date, max(h.ship_date) AS ship_date,
+         sum(COALESCE(d.extended_order_value, 0)) AS total_value
+  FROM oe_detail d JOIN oe_header h ON h.order_number = d.order_number
+  WHERE COALESCE({nb('d.job_number')}, {nb('h.job_number')}) IS NOT NULL GROUP BY 1)"""
+
+
+def _dash_select(run_filter: str, date_filter: str = "") -> str:
+    return f"""
+SELECT s.job_number, o.customer_po, CAST(o.quantity_ordered AS DOUBLE) AS quantity_ordered,
+       CAST(o.quantity_shipped_to_date AS DOUBLE) AS quantity_shipped_to_date, o.ship_date,
+       CAST(o.total_value AS DOUBLE) AS total_value, CAST(s.pour_weight AS DOUBLE) AS pour_weight,
+       CAST(COALESCE(NULLIF(s.total_pour_wt, 0), s.pour_weight * s.quantity_of_molds, 0) AS DOUBLE) AS total_pour_wt,
+       CAST({to_dec6('jm.tool_impressions')} AS DOUBLE) AS castings_per_mold,
+       CAST(s.quantity_of_cores AS DOUBLE) AS quantity_of_cores, CAST(s.castings_produced AS DOUBLE) AS castings_produced,
+       CAST(s.molds_completed AS DOUBLE) AS molds_completed
+FROM order_snapshot s
+LEFT JOIN job_master jm ON upper(trim(jm.job_number)) = upper(trim(s.job_number))
+LEFT JOIN obj o ON o.job_key = upper(trim(s.job_number))
+WHERE s.run_id = ({run_filter}) {date_filter}"""
+
+
+Q["dashboard_history"] = ("WITH RECURSIVE " + ",\n".join([ERP_CTES, ORDER_SNAPSHOT, _DASH])
+                          + _dash_select("SELECT max(run_id) FROM scheduler_run"))
+Q["dashboard_history_window"] = ("WITH RECURSIVE " + ",\n".join([ERP_CTES, ORDER_SNAPSHOT, _DASH])
+                                 + _dash_select("SELECT 2", "AND s.due_date >= DATE '2001-04-01' "
+                                                "AND s.due_date < DATE '2001-06-30' + 1"))
+
+Q["due_date_decode"] = "WITH RECURSIVE " + ERP_CTES + f"""
+SELECT d.order_number, CAST(d.line_number AS BIGINT) AS line_number, d.required_date AS detail_text,
+       h.required_date AS header_text, {decode_date('d.required_date')} AS detail_date,
+       {decode_date('h.required_date')} AS header_date,
+       COALESCE({decode_date('d.required_date')}, {decode_date('h.required_date')}) AS due_date
+FROM oe_detail d JOIN oe_header h ON h.order_number = d.order_number"""
+
+# business days: step through the days with a recursive walk (independent of the closed form)
+Q["business_day_add"] = """
+WITH RECURSIVE o AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date, CAST(o_orderkey % 21 - 10 AS INTEGER) AS n FROM orders),
+walk AS (
+  SELECT o_orderkey, order_date, n, order_date AS cur, abs(n) AS left_days, CASE WHEN n >= 0 THEN 1 ELSE -1 END AS step
+  FROM o
+  UNION ALL
+  SELECT o_orderkey, order_date, n,
+         CASE WHEN isodow(cur + step) = 6 AND step = 1 THEN cur + 3
+              WHEN isodow(cur + step) = 7 AND step = 1 THEN cur + 2
+              WHEN isodow(cur + step) = 7 AND step = -1 THEN cur - 3
+              WHEN isodow(cur + step) = 6 AND step = -1 THEN cur - 2
+              ELSE cur + step END,
+         left_days - 1, step
+  FROM walk WHERE left_days > 0)
+SELECT o_orderkey, order_date, CAST(n AS BIGINT) AS offset_days, cur AS shifted_date FROM walk WHERE left_days = 0"""
+
+Q["alloy_list_normalize"] = """
+WITH p AS (
+  SELECT p_partkey, concat_ws(',', lower(p_type), ' ', p_type, p_brand, ' ' || lower(p_brand)) AS raw_list FROM part),
+q AS (SELECT p_partkey, raw_list,
+             list_filter(list_transform(string_split(raw_list, ','), lambda x: upper(trim(x))), lambda x: x <> '') AS items
+      FROM p)
+SELECT p_partkey, raw_list, array_to_string(list_filter(items, lambda x, i: list_position(items, x) = i), ', ') AS normalized
+FROM q"""
+
+Q["number_text"] = "WITH RECURSIVE " + ERP_CTES + f"""
+SELECT job_number, pour_weight_text, CAST({to_dec6('pour_weight_text')} AS DOUBLE) AS pour_weight,
+       {_canon_num('pour_weight_text')} AS canonical_text,
+       CAST({to_dec6('tool_impressions')} AS DOUBLE) AS castings_per_mold
+FROM job_master"""
+
+Q["planning_priority"] = with_sched() + f"""
+SELECT CAST(pool AS BIGINT) AS pool, job_number, due_date,
+       CAST(CASE WHEN due_date IS NULL THEN 2 WHEN {_DU} <= 14 THEN 0 WHEN {_DU} <= 70 THEN 1 ELSE 2 END AS BIGINT) AS planning_priority_rank,
+       CASE WHEN due_date IS NULL THEN 'Standard' WHEN {_DU} <= 14 THEN 'Highest Priority' WHEN {_DU} <= 70 THEN 'Priority Review' ELSE 'Standard' END AS planning_priority,
+       CASE WHEN due_date IS NULL THEN 'Outside 10 Weeks' WHEN {_DU} <= 14 THEN 'Next 2 Weeks' WHEN {_DU} <= 70 THEN 'Next 10 Weeks' ELSE 'Outside 10 Weeks' END AS review_window,
+       CAST({_DU} AS BIGINT) AS days_until_due,
+       row_number() OVER (PARTITION BY pool ORDER BY
+           CASE WHEN due_date IS NULL THEN 2 WHEN {_DU} <= 14 THEN 0 WHEN {_DU} <= 70 THEN 1 ELSE 2 END,
+           due_date NULLS LAST, job_number NULLS LAST, extension_seq NULLS LAST) AS planning_seq
+FROM srows"""
+
+Q["co_pour_candidates"] = with_sched() + f"""
+, present AS (SELECT DISTINCT {_ws_key('alloy')} AS alloy_key FROM sched_in WHERE {_ws_key('alloy')} <> ''),
+m AS (SELECT p.alloy_key, c.compatibility_group, c.compat_all, c.specific_alloys
+      FROM present p JOIN compat_map c ON c.alloy_key = p.alloy_key),
+pairs AS (
+  SELECT a.alloy_key AS anchor_alloy, b.alloy_key AS cand
+  FROM m a JOIN m b ON a.compatibility_group = b.compatibility_group
+  WHERE a.alloy_key = b.alloy_key OR (a.compatibility_group <> '' AND (a.compat_all = 'YES'
+        OR list_contains(list_transform(string_split(a.specific_alloys, ','), lambda x: trim(x)), b.alloy_key)))
+  UNION ALL
+  SELECT alloy_key, alloy_key FROM present WHERE alloy_key NOT IN (SELECT alloy_key FROM m))
+SELECT anchor_alloy, array_to_string(list_sort(list_distinct(list(cand))), ', ') AS accepted_alloys,
+       count(DISTINCT cand) AS n_accepted
+FROM pairs GROUP BY anchor_alloy"""
