@@ -320,3 +320,39 @@ def q_co_pour_candidates(spark, sf_dir):
     """For each alloy on open orders, the alloys on open orders it may share a heat with."""
     inp = scheduler_input(spark, sf_dir, P)[0]
     return compat.co_pour_candidates(inp, compat.compat_map(compat_reference(spark)))
+
+
+from castplan.schemas import HEADER_TO_COLUMN, OPEN_ORDER_HEADERS  # noqa: E402
+from castplan.sources import history  # noqa: E402
+
+
+def export_text(df):
+    """Open-order rows as the ERP export would carry them: every column as text under its
+    report header (dates yyyy-MM-dd, NULL stays NULL)."""
+    cols = []
+    for h in OPEN_ORDER_HEADERS:
+        c = HEADER_TO_COLUMN[h]
+        v = F.date_format(c, "yyyy-MM-dd") if c == "due_date" else F.col(c).cast("string")
+        cols.append(v.alias(h))
+    return df.select(*cols)
+
+
+@register("snapshot_raw")
+def q_snapshot_raw(spark, sf_dir):
+    """Open-order export rows stored as raw trimmed text under run 1."""
+    orders = oo.open_orders(erp_views(spark, sf_dir))
+    return history.raw_snapshot_rows(export_text(orders), 1)
+
+
+@register("snapshot_typed")
+def q_snapshot_typed(spark, sf_dir):
+    """Raw text snapshot rows converted back to typed columns."""
+    orders = oo.open_orders(erp_views(spark, sf_dir))
+    return history.transform_raw_snapshot(history.raw_snapshot_rows(export_text(orders), 1))
+
+
+@register("order_lifecycle")
+def q_order_lifecycle(spark, sf_dir):
+    """Per job over all snapshot runs: latest values, first/last run seen, runs seen."""
+    snap = order_snapshot(spark, sf_dir).withColumn("job_number", F.upper(F.trim("job_number")))
+    return history.upsert_lifecycle(None, snap)

@@ -758,3 +758,45 @@ pairs AS (
 SELECT anchor_alloy, array_to_string(list_sort(list_distinct(list(cand))), ', ') AS accepted_alloys,
        count(DISTINCT cand) AS n_accepted
 FROM pairs GROUP BY anchor_alloy"""
+
+
+# ---------------------------------------------------------------------------------------------
+# History: raw / typed snapshot, lifecycle
+# ---------------------------------------------------------------------------------------------
+_EXPORT = [("due_date", "strftime(due_date, '%Y-%m-%d')")] + [
+    (c, f"CAST({c} AS VARCHAR)") for c in
+    ["customer_name", "part_number", "job_type", "job_number", "alloy", "casting_type", "qty_ordered",
+     "quantity_of_molds", "castings_per_mold", "quantity_of_cores", "pour_weight", "total_pour_wt",
+     "total_value", "heat_no_assigned", "castings_produced", "molds_completed", "on_hold"]]
+RAW = "raw AS (SELECT CAST(1 AS BIGINT) AS run_id, " + ", ".join(
+    f"trim({e}) AS {c}_raw" for c, e in _EXPORT) + " FROM open_orders)"
+
+Q["snapshot_raw"] = with_base(RAW) + "SELECT * FROM raw"
+
+
+def _dec4(x: str) -> str:
+    return f"TRY_CAST(NULLIF(trim(replace(replace({x}, ',', ''), '$', '')), '') AS DECIMAL(18,4))"
+
+
+_TYPED_NUM = ["qty_ordered", "quantity_of_molds", "castings_per_mold", "quantity_of_cores", "pour_weight",
+              "total_pour_wt", "total_value", "castings_produced", "molds_completed"]
+Q["snapshot_typed"] = with_base(RAW) + f"""
+SELECT run_id, COALESCE({decode_date('due_date_raw')}, CAST(TRY_CAST(due_date_raw AS TIMESTAMP) AS DATE)) AS due_date,
+       {nb('customer_name_raw')} AS customer_name, {nb('part_number_raw')} AS part_number,
+       {nb('job_type_raw')} AS job_type, upper(trim(job_number_raw)) AS job_number, {nb('alloy_raw')} AS alloy,
+       {nb('casting_type_raw')} AS casting_type,
+       {", ".join(f"CAST({_dec4(c + '_raw')} AS DOUBLE) AS {c}" for c in _TYPED_NUM)},
+       {nb('heat_no_assigned_raw')} AS heat_no_assigned,
+       CASE WHEN upper(trim(on_hold_raw)) = 'YES' THEN 'YES' ELSE 'NO' END AS on_hold
+FROM raw WHERE upper(trim(job_number_raw)) IS NOT NULL AND upper(trim(job_number_raw)) <> ''"""
+
+Q["order_lifecycle"] = "WITH RECURSIVE " + ",\n".join([ERP_CTES, ORDER_SNAPSHOT]) + """
+, s AS (SELECT * EXCLUDE (job_number), upper(trim(job_number)) AS job_number FROM order_snapshot),
+agg AS (SELECT job_number, min(run_id) AS first_seen_run, max(run_id) AS last_seen_run, count(*) AS runs_seen
+        FROM s GROUP BY job_number)
+SELECT s.run_id, s.job_number, s.due_date, CAST(s.pour_weight AS DOUBLE) AS pour_weight,
+       CAST(s.total_pour_wt AS DOUBLE) AS total_pour_wt, CAST(s.quantity_of_molds AS DOUBLE) AS quantity_of_molds,
+       CAST(s.quantity_of_cores AS DOUBLE) AS quantity_of_cores, CAST(s.castings_produced AS DOUBLE) AS castings_produced,
+       CAST(s.molds_completed AS DOUBLE) AS molds_completed,
+       a.first_seen_run, a.last_seen_run, a.runs_seen
+FROM s JOIN agg a ON a.job_number = s.job_number AND a.last_seen_run = s.run_id"""
