@@ -25,7 +25,8 @@ def prioritize(rows: DataFrame, reference_date, partition_cols=("pool",)) -> Dat
         "review_window": review_window(F.col("planning_priority_rank")),
     })
     if "compatibility_group" not in df.columns:
-        df = df.withColumn("compatibility_group", F.coalesce(F.col("alloy"), F.lit("")))
+        alloy = F.col("alloy") if "alloy" in df.columns else F.lit(None).cast("string")
+        df = df.withColumn("compatibility_group", F.coalesce(alloy, F.lit("")))
     if "compat_all" not in df.columns:
         df = df.withColumn("compat_all", F.lit("NO"))
     if "extension_seq" not in df.columns:
