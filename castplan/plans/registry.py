@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from castplan.operators import open_orders as oo
 from castplan.plans.outputs import canonical
+from castplan.session import ensure_checkpoint_dir
 from castplan.sources.adapter import erp_views
 
 QUERIES = {}
@@ -25,7 +26,7 @@ def register(name):
 @register("open_orders")
 def q_open_orders(spark, sf_dir):
     """Live open-order report assembled from the ERP views."""
-    return oo.open_orders(erp_views(spark, sf_dir))
+    return shared_orders(spark, sf_dir)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -34,31 +35,54 @@ from castplan.operators.calendar import business_calendar  # noqa: E402
 from castplan.plans.schedule import ScheduleParams, build_schedule, scheduler_input  # noqa: E402
 from castplan.sources.adapter import compat_reference  # noqa: E402
 
-P = ScheduleParams()
+P = ScheduleParams(materialize=True)
+_MEMO: dict = {}
+
+
+def memo(spark, sf_dir, key, build):
+    """Per-session memo of shared intermediate plans (and their checkpoints), so that the
+    reports of one run fan out from one computed schedule instead of recomputing it."""
+    k = (spark.sparkContext.applicationId, sf_dir, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
+def shared_orders(spark, sf_dir):
+    """Open orders of the run, computed once and checkpointed."""
+    def build():
+        ensure_checkpoint_dir(spark)
+        return oo.open_orders(erp_views(spark, sf_dir)).checkpoint(eager=True)
+    return memo(spark, sf_dir, "open_orders", build)
+
+
+def schedule(spark, sf_dir):
+    return memo(spark, sf_dir, "schedule",
+                lambda: build_schedule(spark, sf_dir, P, shared_orders(spark, sf_dir)))
 
 
 @register("scheduler_input")
 def q_scheduler_input(spark, sf_dir):
     """House accounts removed, remaining molds, hold/scheduled flags, compatibility attached."""
-    return scheduler_input(spark, sf_dir, P)[0]
+    return schedule(spark, sf_dir).scheduler_input
 
 
 @register("reject_counts")
 def q_reject_counts(spark, sf_dir):
     """Eligibility rule outcome counts per reason (added = eligible)."""
-    return eligibility.reject_counts(scheduler_input(spark, sf_dir, P)[0])
+    return eligibility.reject_counts(schedule(spark, sf_dir).scheduler_input)
 
 
 @register("schedule_rows")
 def q_schedule_rows(spark, sf_dir):
     """Eligible jobs expanded to schedule rows (ceil'd molds, weight, blank extension)."""
-    return build_schedule(spark, sf_dir, P).schedule_rows
+    return schedule(spark, sf_dir).schedule_rows
 
 
 @register("mold_assignments")
 def q_mold_assignments(spark, sf_dir):
     """Capacity-limited day allocation of every schedule row, per capacity pool."""
-    s = build_schedule(spark, sf_dir, P)
+    s = schedule(spark, sf_dir)
     return s.assignments.select("pool", "job_number", "schedule_day", "molds_for_ext",
                                 "total_weight_per_ext", "pour_schedule_day", "casting_type",
                                 "compatibility_group", "due_date")
@@ -67,21 +91,21 @@ def q_mold_assignments(spark, sf_dir):
 @register("capacity_check")
 def q_capacity_check(spark, sf_dir):
     """Per pool: planned vs assigned molds and days breaking any daily cap (must be 0)."""
-    s = build_schedule(spark, sf_dir, P)
+    s = schedule(spark, sf_dir)
     return capacity.capacity_check(s.assignments, s.schedule_rows, P.limits, P.pool_cols)
 
 
 @register("floor_lane_schedule")
 def q_floor_lane(spark, sf_dir):
     """Closed-form (pure SQL) day allocation of the floor lane of each pool."""
-    s = build_schedule(spark, sf_dir, P)
+    s = schedule(spark, sf_dir)
     return capacity.floor_lane_closed_form(s.schedule_rows, P.reference_date, P.limits, P.pool_cols)
 
 
 @register("business_calendar")
 def q_calendar(spark, sf_dir):
     """Weekday calendar for schedule days 1..last mold day."""
-    s = build_schedule(spark, sf_dir, P)
+    s = schedule(spark, sf_dir)
     return business_calendar(s.assignments, P.start_date, "schedule_day")
 
 
@@ -91,44 +115,44 @@ from castplan.plans import mold_reports, shipping  # noqa: E402
 @register("daily_mold_schedule")
 def q_daily_mold_schedule(spark, sf_dir):
     """Day blocks: chunk rows with pour date, buffer and risk, plus a totals row per day."""
-    return mold_reports.daily_mold_schedule(build_schedule(spark, sf_dir, P).assignments, P.start_date)
+    return mold_reports.daily_mold_schedule(schedule(spark, sf_dir).assignments, P.start_date)
 
 
 @register("mold_schedule_sheet")
 def q_mold_schedule_sheet(spark, sf_dir):
     """Mold schedule sheet columns with totals rows and average molds per day."""
-    return mold_reports.mold_schedule_sheet(build_schedule(spark, sf_dir, P).assignments, P.start_date)
+    return mold_reports.mold_schedule_sheet(schedule(spark, sf_dir).assignments, P.start_date)
 
 
 @register("mold_capacity")
 def q_mold_capacity(spark, sf_dir):
     """Line/floor mold use per pool and day against the daily limits."""
-    return mold_reports.mold_capacity(build_schedule(spark, sf_dir, P).assignments, P.limits)
+    return mold_reports.mold_capacity(schedule(spark, sf_dir).assignments, P.limits)
 
 
 @register("day_summary")
 def q_day_summary(spark, sf_dir):
     """Per pool and day: distinct jobs, molds and rounded row weight."""
-    return mold_reports.day_summary(build_schedule(spark, sf_dir, P).assignments)
+    return mold_reports.day_summary(schedule(spark, sf_dir).assignments)
 
 
 @register("report_averages")
 def q_report_averages(spark, sf_dir):
     """Average molds per day and poured pounds per day, per pool."""
-    return mold_reports.report_averages(build_schedule(spark, sf_dir, P).assignments)
+    return mold_reports.report_averages(schedule(spark, sf_dir).assignments)
 
 
 @register("job_shipping_outlook")
 def q_job_shipping_outlook(spark, sf_dir):
     """Per job: planned vs scheduled molds, dates, expected ship, buffer, status, on-time."""
-    s = build_schedule(spark, sf_dir, P)
+    s = schedule(spark, sf_dir)
     return shipping.job_shipping_outlook(s.schedule_rows, s.assignments, P.start_date)
 
 
 @register("job_status")
 def q_job_status(spark, sf_dir):
     """Overall job status (projection of the shipping outlook)."""
-    s = build_schedule(spark, sf_dir, P)
+    s = schedule(spark, sf_dir)
     return shipping.job_status(shipping.job_shipping_outlook(s.schedule_rows, s.assignments, P.start_date))
 
 
@@ -137,11 +161,13 @@ from castplan.plans import heat_reports, melt_reports  # noqa: E402
 
 
 def _plan(spark, sf_dir):
-    return heats.melt_plan(build_schedule(spark, sf_dir, P).assignments, P.reference_date)
+    return memo(spark, sf_dir, "melt_plan", lambda: heats.melt_plan(
+        schedule(spark, sf_dir).assignments, P.reference_date).checkpoint(eager=True))
 
 
 def _summary(spark, sf_dir):
-    return heat_reports.heat_summary_rows(_plan(spark, sf_dir), P.start_date, P.reference_date)
+    return memo(spark, sf_dir, "heat_summary", lambda: heat_reports.heat_summary_rows(
+        _plan(spark, sf_dir), P.start_date, P.reference_date).checkpoint(eager=True))
 
 
 @register("melt_plan")
@@ -187,8 +213,7 @@ def q_heat_sheet(spark, sf_dir):
 def q_melt_management(spark, sf_dir):
     """Melt management summary per heat: customers, jobs, date ranges, ship date, status."""
     plan = _plan(spark, sf_dir)
-    return melt_reports.melt_management(
-        heat_reports.heat_summary_rows(plan, P.start_date, P.reference_date), plan, P.start_date)
+    return melt_reports.melt_management(_summary(spark, sf_dir), plan, P.start_date)
 
 
 @register("melt_capacity")
@@ -242,7 +267,7 @@ def q_audit_by_month(spark, sf_dir):
 @register("open_order_report")
 def q_open_order_report(spark, sf_dir):
     """Open-order report rendered as text with canonical numbers and the Scheduled flag."""
-    s = build_schedule(spark, sf_dir, P)
+    s = schedule(spark, sf_dir)
     return reporting.open_order_report(s.open_orders, s.assignments)
 
 
@@ -309,7 +334,7 @@ def q_number_text(spark, sf_dir):
 @register("planning_priority")
 def q_planning_priority(spark, sf_dir):
     """Schedule rows classified into priority windows and ranked per pool."""
-    s = build_schedule(spark, sf_dir, P)
+    s = schedule(spark, sf_dir)
     return priority.prioritize(s.schedule_rows, P.reference_date).select(
         "pool", "job_number", "due_date", "planning_priority_rank", "planning_priority",
         "review_window", "days_until_due", "planning_seq")
@@ -318,7 +343,7 @@ def q_planning_priority(spark, sf_dir):
 @register("co_pour_candidates")
 def q_co_pour_candidates(spark, sf_dir):
     """For each alloy on open orders, the alloys on open orders it may share a heat with."""
-    inp = scheduler_input(spark, sf_dir, P)[0]
+    inp = schedule(spark, sf_dir).scheduler_input
     return compat.co_pour_candidates(inp, compat.compat_map(compat_reference(spark)))
 
 
@@ -340,15 +365,14 @@ def export_text(df):
 @register("snapshot_raw")
 def q_snapshot_raw(spark, sf_dir):
     """Open-order export rows stored as raw trimmed text under run 1."""
-    orders = oo.open_orders(erp_views(spark, sf_dir))
-    return history.raw_snapshot_rows(export_text(orders), 1)
+    return history.raw_snapshot_rows(export_text(shared_orders(spark, sf_dir)), 1)
 
 
 @register("snapshot_typed")
 def q_snapshot_typed(spark, sf_dir):
     """Raw text snapshot rows converted back to typed columns."""
-    orders = oo.open_orders(erp_views(spark, sf_dir))
-    return history.transform_raw_snapshot(history.raw_snapshot_rows(export_text(orders), 1))
+    return history.transform_raw_snapshot(
+        history.raw_snapshot_rows(export_text(shared_orders(spark, sf_dir)), 1))
 
 
 @register("order_lifecycle")

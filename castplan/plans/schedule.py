@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from castplan.operators import capacity, compat, eligibility, open_orders as oo, quality
+from castplan.session import ensure_checkpoint_dir
 from castplan.schemas import DEFAULT_HOUSE_ACCOUNTS, CapacityLimits
 from castplan.sources.adapter import compat_reference, erp_views
 
@@ -42,19 +43,30 @@ class Schedule:
     params: ScheduleParams
 
 
-def scheduler_input(spark: SparkSession, sf_dir: str, p: ScheduleParams) -> DataFrame:
-    erp = erp_views(spark, sf_dir)
-    orders = quality.exclude_customers(oo.open_orders(erp), p.house_accounts)
+def scheduler_input(spark: SparkSession, sf_dir: str, p: ScheduleParams, orders: DataFrame | None = None):
+    """(scheduler input, open orders after exclusion) for the driver tables."""
+    if orders is None:
+        orders = oo.open_orders(erp_views(spark, sf_dir))
+    orders = quality.exclude_customers(orders, p.house_accounts)
     if p.validate:
         orders = quality.validate_rows(orders)
     cmap = compat.compat_map(compat_reference(spark))
     return compat.attach_compat(eligibility.scheduler_input(orders, p.honor_hold), cmap), orders
 
 
-def build_schedule(spark: SparkSession, sf_dir: str, p: ScheduleParams | None = None) -> Schedule:
+def build_schedule(spark: SparkSession, sf_dir: str, p: ScheduleParams | None = None,
+                   open_orders: DataFrame | None = None) -> Schedule:
+    """``open_orders`` may be passed in already materialised (shared with other reports)."""
     p = p or ScheduleParams()
-    inp, orders = scheduler_input(spark, sf_dir, p)
+    if p.materialize:
+        ensure_checkpoint_dir(spark)
+        if open_orders is None:
+            # open orders are the expensive scan-join-aggregate; pin them once, reliably
+            open_orders = oo.open_orders(erp_views(spark, sf_dir)).checkpoint(eager=True)
+    inp, orders = scheduler_input(spark, sf_dir, p, open_orders)
     rows = eligibility.schedule_rows(eligibility.eligible(inp))
+    if p.materialize:
+        rows = rows.checkpoint(eager=True)
     asg = capacity.mold_assignments(rows, p.reference_date, p.limits, p.pool_cols)
     if p.materialize:
         asg = asg.checkpoint(eager=True)
