@@ -21,6 +21,7 @@ pure-SQL equivalent for floor-only pools.
 from __future__ import annotations
 
 import datetime as _dt
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,6 +122,98 @@ def allocate_sorted(jobs, is_floor, molds, limits: CapacityLimits = CapacityLimi
     return out_pos, out_day, out_take
 
 
+class _LaneStream:
+    """Rows of one pool, in priority order, pulled lazily from Arrow batches into two lane
+    queues.  Only rows needed to decide the current day are ever held."""
+
+    def __init__(self, batches):
+        from collections import deque
+        self._rows = self._iter(batches)
+        self.done = False
+        self.line, self.floor = deque(), deque()
+        self.items = {}  # position -> [row_key, job, remaining, pool_key]
+        self.pos = 0
+
+    @staticmethod
+    def _iter(batches):
+        for b in batches:
+            yield from zip(b["pool_key"].tolist(), b["row_key"].tolist(), b["job_key"].tolist(),
+                           b["is_floor"].tolist(), b["molds"].tolist())
+
+    def pull(self) -> bool:
+        for pool_key, row_key, job, is_floor, molds in self._rows:
+            if molds <= 0:
+                continue
+            self.items[self.pos] = [row_key, job, int(molds), pool_key]
+            (self.floor if is_floor else self.line).append(self.pos)
+            self.pos += 1
+            return True
+        self.done = True
+        return False
+
+
+def allocate_stream(batches, limits: CapacityLimits = CapacityLimits(), out_rows: int = 8192):
+    """Streaming form of the rule for pools whose rows have distinct jobs.
+
+    ``batches`` must arrive in priority order.  Yields DataFrames of chunks
+    (``pool_key, row_key, schedule_day, molds_for_ext``).  Memory holds the rows between the
+    earliest unfinished row and the furthest row the current day had to look at.
+    """
+    s = _LaneStream(batches)
+    lmax, fmax = limits.line_molds_per_day, limits.floor_molds_per_day
+    jcap, maxj = limits.line_molds_per_job_per_day, max(int(limits.max_jobs_per_day), 1)
+    out = {"pool_key": [], "row_key": [], "schedule_day": [], "molds_for_ext": []}
+    day = 0
+    while True:
+        if not s.line and not s.floor and not s.pull():
+            break
+        day += 1
+        jobs_today = 0
+        used_l = used_f = 0
+        popped_l, popped_f = [], []
+        while jobs_today < maxj:
+            la = s.line[0] if (used_l < lmax and s.line) else None
+            fb = s.floor[0] if (used_f < fmax and s.floor) else None
+            if la is None and fb is None:
+                # unread rows come after every read row: read one more if a lane is open
+                if (used_l < lmax or used_f < fmax) and not s.done and s.pull():
+                    continue
+                break
+            if fb is None or (la is not None and la < fb):
+                i = s.line.popleft()
+                popped_l.append(i)
+                t = min(s.items[i][2], jcap, lmax - used_l)
+                used_l += t
+            else:
+                i = s.floor.popleft()
+                popped_f.append(i)
+                t = min(s.items[i][2], fmax - used_f)
+                used_f += t
+            it = s.items[i]
+            it[2] -= t
+            jobs_today += 1
+            out["pool_key"].append(it[3])
+            out["row_key"].append(it[0])
+            out["schedule_day"].append(day)
+            out["molds_for_ext"].append(t)
+        s.line.extendleft(reversed([i for i in popped_l if s.items[i][2] > 0]))
+        s.floor.extendleft(reversed([i for i in popped_f if s.items[i][2] > 0]))
+        for i in popped_l + popped_f:
+            if s.items[i][2] == 0:
+                del s.items[i]
+        if len(out["row_key"]) >= out_rows:
+            yield pd.DataFrame(out).astype({"schedule_day": "int32", "molds_for_ext": "int32"})
+            out = {k: [] for k in out}
+    if out["row_key"]:
+        yield pd.DataFrame(out).astype({"schedule_day": "int32", "molds_for_ext": "int32"})
+
+
+def _stream_pool_fn(limits: CapacityLimits):
+    def fill_pool_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from allocate_stream(batches, limits)
+    return fill_pool_stream
+
+
 def _fill_pool_fn(limits: CapacityLimits):
     def fill_pool(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
@@ -163,24 +256,48 @@ def allocation_input(rows: DataFrame, reference_date, pool_cols=("pool",),
     ).where((F.col("job_key") != "") & (F.col("molds") > 0))
 
 
+SORT_KEYS = ("pool_key", "urgent", "due_ord", "group_key", "job_key", "row_key")
+
+
+def jobs_unique_per_pool(inp: DataFrame) -> bool:
+    """True when no job has two rows in one pool (one small aggregate over narrow rows)."""
+    return inp.groupBy("pool_key", "job_key").count().where(F.col("count") > 1).isEmpty()
+
+
 def allocate(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(),
-             pool_cols=("pool",), row_key_cols=("job_number", "ext")) -> DataFrame:
+             pool_cols=("pool",), row_key_cols=("job_number", "ext"), mode: str = "auto") -> DataFrame:
     """Allocation chunks: ``pool_key, row_key, schedule_day, molds_for_ext`` (one per row-day).
 
-    Grouped by pool: pools run in parallel, one task per pool.  ``pool_cols=()`` gives one
-    pool (the single-line plant) which is necessarily one task.
+    Pools run in parallel; inside a pool the rule is sequential.
+
+    * ``mode="stream"`` (rows with distinct jobs per pool): the narrow rows are hash
+      partitioned by pool and sorted inside partitions by the priority keys; that ordering
+      satisfies the grouped map's own requirement, so each pool arrives as an ordered
+      stream of Arrow batches and is allocated in bounded memory, chunks streaming out.
+    * ``mode="group"``: the general rule (several rows per job share its job slot and cap,
+      which needs every later row of a job): each pool is materialised in its task.
+    * ``mode="auto"`` picks ``stream`` when jobs are unique per pool.
     """
     inp = allocation_input(rows, reference_date, pool_cols, row_key_cols)
-    return inp.groupBy("pool_key").applyInPandas(_fill_pool_fn(limits), CHUNK_SCHEMA)
+    if mode == "auto":
+        mode = "stream" if jobs_unique_per_pool(inp) else "group"
+    if mode == "group":
+        return inp.groupBy("pool_key").applyInPandas(_fill_pool_fn(limits), CHUNK_SCHEMA)
+    # pool_key ASC (nulls first) matches the grouped map's required ordering, so Spark adds
+    # no re-sort above this one and the priority order reaches the function intact
+    ordered = (inp.repartition("pool_key")
+               .sortWithinPartitions(F.col("pool_key").asc(),
+                                     *[F.col(c).asc_nulls_last() for c in SORT_KEYS[1:]]))
+    return ordered.groupBy("pool_key").applyInPandas(_stream_pool_fn(limits), CHUNK_SCHEMA)
 
 
 def mold_assignments(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(),
-                     pool_cols=("pool",), row_key_cols=("job_number", "ext")) -> DataFrame:
+                     pool_cols=("pool",), row_key_cols=("job_number", "ext"), mode: str = "auto") -> DataFrame:
     """Schedule rows expanded to day chunks: every input column plus ``schedule_day`` and the
     chunk's ``molds_for_ext`` / ``total_weight_per_ext`` (truncated to whole pounds), and the
     pour defaults ``pour_schedule_day = schedule_day``, ``heat_number = global_heat = 1``.
     """
-    chunks = allocate(rows, reference_date, limits, pool_cols, row_key_cols)
+    chunks = allocate(rows, reference_date, limits, pool_cols, row_key_cols, mode)
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_key_cols])
     pool_key = (F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pool_cols])
                 if pool_cols else F.lit(""))

@@ -145,3 +145,41 @@ def test_capacity_check_finds_no_violation(spark):
     out = capacity.mold_assignments(df, REF)
     chk = capacity.capacity_check(out, df).first()
     assert chk["planned_molds"] == chk["assigned_molds"] and chk["violation_days"] == 0
+
+
+def test_stream_allocator_equals_brute_force():
+    import pandas as pd
+    rnd = random.Random(11)
+    for _ in range(1000):
+        n = rnd.randint(0, 35)
+        items = [(f"J{k}", rnd.choice("FLL"), rnd.randint(0, 20)) for k in range(n)]
+        mj = rnd.choice([1, 2, 3, 10])
+        df = pd.DataFrame({"pool_key": ["p"] * n, "row_key": [str(k) for k in range(n)],
+                           "job_key": [i[0] for i in items], "is_floor": [i[1] == "F" for i in items],
+                           "molds": [i[2] for i in items]})
+        bs = rnd.choice([1, 4, 50])
+        got = []
+        for b in capacity.allocate_stream(iter([df.iloc[a:a + bs] for a in range(0, n, bs)]),
+                                          CapacityLimits(max_jobs_per_day=mj), out_rows=3):
+            got += list(zip(map(int, b.row_key), b.schedule_day, b.molds_for_ext))
+        assert sorted(got) == sorted(brute_allocate(items, max_jobs=mj))
+
+
+def test_stream_and_group_modes_agree(spark):
+    rnd = random.Random(5)
+    rows = [{"job": f"J{i:03d}", "molds": rnd.randint(1, 17), "cast": rnd.choice("FLLL"), "pool": i % 4,
+             "due": f"2026-{rnd.randint(8, 12):02d}-{rnd.randint(1, 28):02d}"} for i in range(120)]
+    df = alloc_frame(spark, rows)
+    key = lambda x: sorted(tuple(r) for r in x.collect())
+    a = capacity.allocate(df, REF, mode="stream")
+    b = capacity.allocate(df, REF, mode="group")
+    assert key(a) == key(b)
+    assert capacity.jobs_unique_per_pool(capacity.allocation_input(df, REF))
+
+
+def test_repeated_jobs_use_group_mode(spark):
+    rows = [{"job": "J1", "molds": 4, "ext": "A"}, {"job": "J1", "molds": 4, "ext": "B"}]
+    df = alloc_frame(spark, rows)
+    assert not capacity.jobs_unique_per_pool(capacity.allocation_input(df, REF))
+    out = capacity.mold_assignments(df, REF)  # auto -> group: the rows share the 6-mold job cap
+    assert by_day(out) == {1: 6, 2: 2}
