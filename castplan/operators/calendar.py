@@ -29,9 +29,12 @@ def day_date(day, start_date) -> Column:
 
 
 def business_calendar(days: DataFrame, start_date, day_col: str = "day") -> DataFrame:
-    """Calendar rows ``day, date, weekday`` for days 1..max(``day_col``) of ``days``."""
-    top = days.agg(F.max(day_col).cast("int").alias("_max"))
-    cal = top.select(F.explode(F.sequence(F.lit(1), F.greatest(F.col("_max"), F.lit(1))))
-                     .alias("day"), "_max").where(F.col("_max").isNotNull()).drop("_max")
+    """Calendar rows ``day, date, weekday`` for days 1..max(``day_col``) of ``days``.
+
+    The last day is one scalar; the rows come from a distributed ``range``.
+    """
+    top = days.agg(F.max(day_col)).first()[0]
+    spark = days.sparkSession
+    cal = spark.range(1, int(top or 0) + 1).select(F.col("id").cast("int").alias("day"))
     return cal.select("day", day_date(F.col("day"), start_date).alias("date")) \
         .withColumn("weekday", weekday_name("date"))

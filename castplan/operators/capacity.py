@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from castplan.functions.clean import norm_key_ws
 from castplan.functions.dates import as_date_lit
+from castplan.operators.prefix import running_sum
 from castplan.schemas import FLOOR_CAST_TYPE, URGENT_WINDOW_WEEKS, CapacityLimits
 
 CHUNK_SCHEMA = "pool_key string, row_key string, schedule_day int, molds_for_ext int"
@@ -326,11 +327,10 @@ def floor_lane_closed_form(rows: DataFrame, reference_date,
     inp = allocation_input(rows, reference_date, pool_cols, ("job_number",))
     inp = inp.where(F.col("is_floor"))
     cap = limits.floor_molds_per_day
-    w = (Window.partitionBy("pool_key")
-         .orderBy(F.col("urgent"), F.col("due_ord").asc_nulls_last(), F.col("group_key").asc_nulls_last(),
-                  F.col("job_key"), F.col("row_key"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = inp.withColumn("_end", F.sum("molds").over(w)).withColumn("_start", F.col("_end") - F.col("molds"))
+    order = [F.col("urgent"), F.col("due_ord").asc_nulls_last(), F.col("group_key").asc_nulls_last(),
+             F.col("job_key"), F.col("row_key")]
+    c = running_sum(inp, ["pool_key"], order, "molds", "_end")
+    c = c.withColumn("_start", F.col("_end") - F.col("molds"))
     d = c.withColumn("schedule_day", F.explode(F.sequence(
         (F.floor(F.col("_start") / cap) + 1).cast("int"), (F.floor((F.col("_end") - 1) / cap) + 1).cast("int"))))
     lo = F.greatest(F.col("_start"), (F.col("schedule_day") - 1) * cap)

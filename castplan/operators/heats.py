@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from castplan.functions.dates import days_until, priority_label, priority_rank, review_window
+from castplan.operators.prefix import running_sum
 from castplan.schemas import MAX_PLANNED_HEATS_PER_DAY
 
 HEAT_WEIGHT_LIMIT_LBS = 2300
@@ -56,8 +57,7 @@ def melt_plan(assignments: DataFrame, reference_date, furnace_every_n_days: int
         F.col("compatibility_group").asc_nulls_last(), F.col("_gheat"))
     df = df.withColumn("heat_number", F.dense_rank().over(w_heat).cast("int"))
     per_day = df.groupBy("pool", "pour_schedule_day").agg(F.max("heat_number").alias("_n"))
-    w_day = Window.partitionBy("pool").orderBy("pour_schedule_day").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_day.withColumn("_prev", F.coalesce(F.sum("_n").over(w_day), F.lit(0))).drop("_n")
+    offs = running_sum(per_day, ["pool"], ["pour_schedule_day"], "_n", "_prev", inclusive=False).drop("_n")
     df = df.join(offs, ["pool", "pour_schedule_day"], "left")
     return (df.withColumns({
         "global_heat_number": (F.col("_prev") + F.col("heat_number")).cast("int"),

@@ -52,11 +52,15 @@ def open_orders_by_job(erp: ErpViews) -> DataFrame:
 
 
 def heat_list_by_job(erp: ErpViews) -> DataFrame:
-    """Comma list of heats per job, ordered by numeric value (non-numeric as 0), then text."""
+    """Comma list of the distinct heats of each job, ordered by numeric value (non-numeric
+    as 0), then text.  Heat rows are reduced to distinct (job, heat) pairs first (partial
+    aggregation before the shuffle), so the list is bounded by the heats a job used, not by
+    how many heat rows the ERP repeats."""
     h = (erp.jc_heat
          .select(norm_key("job_number").alias("job_key"),
                  blank_to_null("heat_number").alias("heat"))
-         .where(blank_to_null("job_key").isNotNull() & F.col("heat").isNotNull()))
+         .where(blank_to_null("job_key").isNotNull() & F.col("heat").isNotNull())
+         .distinct())
     return h.groupBy("job_key").agg(
         F.expr("listagg(heat, ', ') WITHIN GROUP "
                "(ORDER BY coalesce(try_cast(heat AS bigint), 0), heat)").alias("heat_list"))

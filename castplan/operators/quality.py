@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from castplan.functions.clean import blank_to_null, norm_key_ws
@@ -30,21 +30,31 @@ def exclude_customers_df(df: DataFrame, names_df: DataFrame, name_col: str = "na
 
 def validation_summary(df: DataFrame, required=REQUIRED_TEXT_COLUMNS,
                        job_column: str = "job_number", samples: int = 5) -> DataFrame:
-    """One pass over the rows: row count, and per required column the blank count and up to
-    ``samples`` sample jobs (smallest job numbers) among the blank rows.
+    """Row count and, per required column, the blank count and up to ``samples`` sample jobs
+    (smallest job numbers) among the blank rows.
 
-    Result: one row per required column (``column_name, blank_rows, sample_jobs, total_rows``).
+    Counts come from one aggregate pass.  Samples are a top-k per column: blank (column,
+    job) pairs, deduplicated, ranked with ``row_number() <= k`` — Spark plans that as a
+    per-partition group limit before the shuffle, so no column's blank rows gather in one
+    task.  Result: one row per required column.
     """
     aggs = [F.count(F.lit(1)).alias("total_rows")]
     for c in required:
-        blank = blank_to_null(c).isNull()
-        aggs.append(F.count_if(blank).alias(f"blank__{c}"))
-        aggs.append(F.slice(F.array_sort(F.collect_set(F.when(blank, F.coalesce(
-            F.col(job_column).cast("string"), F.lit(""))))), 1, samples).alias(f"sample__{c}"))
+        aggs.append(F.count_if(blank_to_null(c).isNull()).alias(f"blank__{c}"))
     one = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `blank__{c}`, array_join(`sample__{c}`, ', ')" for c in required)
-    return one.selectExpr("total_rows",
-                          f"stack({len(required)}, {stack}) AS (column_name, blank_rows, sample_jobs)")
+    stack = ", ".join(f"'{c}', `blank__{c}`" for c in required)
+    counts = one.selectExpr("total_rows", f"stack({len(required)}, {stack}) AS (column_name, blank_rows)")
+    pairs = None
+    for c in required:
+        p = df.where(blank_to_null(c).isNull()).select(
+            F.lit(c).alias("column_name"), F.coalesce(F.col(job_column).cast("string"), F.lit("")).alias("job"))
+        pairs = p if pairs is None else pairs.unionByName(p)
+    w = Window.partitionBy("column_name").orderBy("job")
+    top = (pairs.distinct().withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= samples)
+           .groupBy("column_name")
+           .agg(F.array_join(F.array_sort(F.collect_list("job")), ", ").alias("sample_jobs")))
+    return (counts.join(top, "column_name", "left")
+            .withColumn("sample_jobs", F.coalesce(F.col("sample_jobs"), F.lit(""))))
 
 
 def validate_rows(df: DataFrame, required=REQUIRED_TEXT_COLUMNS, job_column="job_number") -> DataFrame:

@@ -99,11 +99,12 @@ def melt_gap_diagnostics(plan: DataFrame, start_date, limits: CapacityLimits = C
     join by exploding each missing day into its (at most ``window_days``) window days.
     """
     pour_days = plan.select("pool", "pour_schedule_day").distinct()
-    bounds = pour_days.groupBy("pool").agg(F.min("pour_schedule_day").alias("_lo"),
-                                           F.max("pour_schedule_day").alias("_hi"))
-    all_days = bounds.select("pool", F.explode(F.sequence("_lo", "_hi")).alias("day"))
-    missing = all_days.join(pour_days.withColumnRenamed("pour_schedule_day", "day"),
-                            ["pool", "day"], "left_anti")
+    # skipped days are the gaps between consecutive pour days; each gap is exploded on its own
+    w = Window.partitionBy("pool").orderBy("pour_schedule_day")
+    gaps = (pour_days.withColumn("_prev", F.lag("pour_schedule_day").over(w))
+            .where(F.col("pour_schedule_day") - F.col("_prev") > 1))
+    missing = gaps.select("pool", F.explode(F.sequence(F.col("_prev") + 1, F.col("pour_schedule_day") - 1))
+                          .alias("day"))
     ct = F.upper(F.trim(F.coalesce(F.col("casting_type"), F.lit(""))))
     m = F.greatest(F.round(F.coalesce(F.col("molds_for_ext"), F.lit(0))), F.lit(0))
     usage = plan.groupBy("pool", F.col("schedule_day").alias("wday")).agg(

@@ -43,7 +43,7 @@ ORDERS_AGG = f"""orders_agg AS (
 
 HEAT_AGG = f"""heat_agg AS (
   SELECT job_key, string_agg(heat, ', ' ORDER BY COALESCE(TRY_CAST(heat AS BIGINT), 0), heat) AS heat_list
-  FROM (SELECT upper(trim(job_number)) AS job_key, {nb('heat_number')} AS heat FROM jc_heat) x
+  FROM (SELECT DISTINCT upper(trim(job_number)) AS job_key, {nb('heat_number')} AS heat FROM jc_heat) x
   WHERE NULLIF(job_key, '') IS NOT NULL AND heat IS NOT NULL
   GROUP BY job_key)"""
 
@@ -800,3 +800,7 @@ SELECT s.run_id, s.job_number, s.due_date, CAST(s.pour_weight AS DOUBLE) AS pour
        CAST(s.molds_completed AS DOUBLE) AS molds_completed,
        a.first_seen_run, a.last_seen_run, a.runs_seen
 FROM s JOIN agg a ON a.job_number = s.job_number AND a.last_seen_run = s.run_id"""
+
+Q["business_calendar"] = with_sched() + f"""
+SELECT CAST(d AS BIGINT) AS day, {day_date_sql('d')} AS date, dayname({day_date_sql('d')}) AS weekday
+FROM range(1, (SELECT max(schedule_day) FROM asg) + 1) t(d)"""
