@@ -366,3 +366,12 @@ def capacity_check(assignments: DataFrame, rows: DataFrame, limits: CapacityLimi
         F.coalesce("assigned_molds", F.lit(0)).alias("assigned_molds"),
         F.coalesce("days", F.lit(0)).alias("days"),
         F.coalesce("violation_days", F.lit(0)).alias("violation_days"))
+
+
+def seed_when_empty(assignments: DataFrame, rows: DataFrame) -> DataFrame:
+    """When allocation produced nothing, seed a melt schedule with every row on pour day 1
+    in heat 1 (one cheap emptiness probe; otherwise the assignments pass through)."""
+    if not assignments.isEmpty():
+        return assignments
+    return rows.withColumns({"schedule_day": F.lit(None).cast("int"), "pour_schedule_day": F.lit(1),
+                             "heat_number": F.lit(1), "global_heat_number": F.lit(1)})

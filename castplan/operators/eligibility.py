@@ -74,6 +74,7 @@ def schedule_rows(eligible_rows: DataFrame) -> DataFrame:
     Rows whose ceil'd mold need is not positive are dropped.
     """
     m = ceil_int("molds_needed")
+    eligible_rows = with_defaults(eligible_rows, {"pour_weight": 0})
     return (eligible_rows.withColumn("molds_for_ext", m).where(F.col("molds_for_ext") > 0)
             .withColumns({"ext": F.lit(""), "extension_seq": F.lit(0),
                           "total_weight_per_ext": row_weight(F.col("molds_for_ext"), F.col("pour_weight"))}))

@@ -203,3 +203,13 @@ def dashboard_history(erp: ErpViews, snapshot: DataFrame, runs: DataFrame, run_i
         .cast("decimal(18,4)").alias("total_pour_wt"),
         F.coalesce(F.col("castings_per_mold"), F.lit(0)).alias("castings_per_mold"),
         F.col("s.quantity_of_cores"), F.col("s.castings_produced"), F.col("s.molds_completed"))
+
+
+def dashboard_rows(erp: ErpViews, snapshot: DataFrame | None = None, runs: DataFrame | None = None,
+                   **window):
+    """Source choice: ``("history", rows)`` when snapshot and run tables are available,
+    otherwise ``("live", open_orders)``.  The two shapes differ (12 vs 18 columns), so the
+    result is tagged; errors in the history plan are raised, not hidden."""
+    if snapshot is not None and runs is not None:
+        return "history", dashboard_history(erp, snapshot, runs, **window)
+    return "live", open_orders(erp)

@@ -71,3 +71,21 @@ def build_schedule(spark: SparkSession, sf_dir: str, p: ScheduleParams | None =
     if p.materialize:
         asg = asg.checkpoint(eager=True)
     return Schedule(orders, inp, rows, asg, p)
+
+
+def load_scheduler_input(spark: SparkSession, source: str, sf_dir: str | None = None,
+                         report_path: str | None = None, report_format: str = "csv",
+                         p: ScheduleParams | None = None, compat_table: DataFrame | None = None) -> DataFrame:
+    """Scheduler input from ``source``: ``"sql"`` assembles it from the ERP views (house
+    accounts removed, remaining molds derived); ``"report"`` reads an open-order report
+    extract and trusts its Molds Needed / Hold / Scheduled columns.  Anything else raises."""
+    from castplan.sources.files import read_open_order_report
+    p = p or ScheduleParams()
+    cmap = compat.compat_map(compat_table if compat_table is not None else compat_reference(spark))
+    if source == "sql":
+        return scheduler_input(spark, sf_dir, p)[0] if compat_table is None else compat.attach_compat(
+            eligibility.scheduler_input(quality.exclude_customers(
+                oo.open_orders(erp_views(spark, sf_dir)), p.house_accounts), p.honor_hold), cmap)
+    if source in ("report", "excel"):
+        return compat.attach_compat(read_open_order_report(spark, report_path, report_format), cmap)
+    raise RuntimeError(f"Unsupported scheduler input source '{source}'. Use 'sql' or 'report'.")

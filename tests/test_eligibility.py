@@ -82,3 +82,24 @@ def test_priority_windows(spark):
     assert out["J2"]["planning_priority"] == "Priority Review" and out["J2"]["review_window"] == "Next 10 Weeks"
     assert out["J3"]["planning_priority_rank"] == 2 and out["J3"]["planning_seq"] == 4
     assert [out[j]["planning_seq"] for j in ("J1", "J2", "J4")] == [1, 2, 3]
+
+
+def test_report_source_and_seed(spark, tmpdir_path):
+    from castplan.operators import capacity
+    from castplan.plans.schedule import load_scheduler_input
+    p = f"{tmpdir_path}/oor.csv"
+    with open(p, "w") as fh:
+        fh.write(" Job Number ,Alloy,Molds Needed,Hold,Scheduled,Casting Type,Job Type,Due Date\n"
+                 "J1,economy,3,NO,NO,L,JOB,2001-06-20\nJ2,LARGE,0,NO,NO,L,JOB,2001-07-01\n")
+    inp = load_scheduler_input(spark, "report", report_path=p)
+    got = {r["job_number"]: (r["molds_needed"], r["compatibility_group"]) for r in inp.collect()}
+    assert got == {"J1": ("3", "G1"), "J2": ("0", "LARGE")}
+    try:
+        load_scheduler_input(spark, "ftp")
+        raise AssertionError("expected failure")
+    except RuntimeError as exc:
+        assert "Unsupported" in str(exc)
+    rows = eligibility.schedule_rows(eligibility.eligible(inp))
+    empty = rows.limit(0).withColumn("schedule_day", F.lit(1))
+    seeded = capacity.seed_when_empty(empty, rows).collect()
+    assert [(r["job_number"], r["pour_schedule_day"], r["heat_number"]) for r in seeded] == [("J1", 1, 1)]
