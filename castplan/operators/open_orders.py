@@ -25,7 +25,10 @@ def order_job_key(detail_job: Column, header_job: Column) -> Column:
 
 
 def order_lines(erp: ErpViews) -> DataFrame:
-    """Order detail joined to its header (inner, on order number)."""
+    """Order detail joined to its header (inner, on order number); columns are addressed as
+    ``d.<col>`` / ``h.<col>``.  Uses the run's materialised lines when present."""
+    if erp.lines is not None:
+        return erp.lines
     d = erp.oe_detail.alias("d")
     h = erp.oe_header.alias("h")
     return d.join(h, F.col("d.order_number") == F.col("h.order_number"), "inner")
@@ -144,14 +147,18 @@ def open_orders(erp: ErpViews, keep_pool: bool = True, complete_only: bool = Tru
         F.coalesce(F.col("m.on_hold"), F.lit("NO")).alias("on_hold"),
         F.coalesce(F.col("m.pool"), F.lit(0)).alias("pool"),
     )
-    if not complete_only:
-        return out if keep_pool else out.drop("pool")
-    out = out.where(F.col("due_date").isNotNull()
+    if complete_only:
+        out = complete_rows(out)
+    return out if keep_pool else out.drop("pool")
+
+
+def complete_rows(df: DataFrame) -> DataFrame:
+    """Completeness filter: due date on/after the minimum, customer, part and job present."""
+    return df.where(F.col("due_date").isNotNull()
                     & (F.col("due_date") >= F.lit(_dt.date.fromisoformat(MIN_VALID_DUE_DATE)))
                     & blank_to_null("customer_name").isNotNull()
                     & blank_to_null("part_number").isNotNull()
                     & blank_to_null("job_number").isNotNull())
-    return out if keep_pool else out.drop("pool")
 
 
 def orders_by_job_history(erp: ErpViews) -> DataFrame:
@@ -213,3 +220,12 @@ def dashboard_rows(erp: ErpViews, snapshot: DataFrame | None = None, runs: DataF
     if snapshot is not None and runs is not None:
         return "history", dashboard_history(erp, snapshot, runs, **window)
     return "live", open_orders(erp)
+
+
+def materialize_order_lines(erp: ErpViews, path: str) -> ErpViews:
+    """Write the order lines once as Parquet (``d`` and ``h`` as structs, so readers keep
+    nested column pruning) and return views that read them from there."""
+    from dataclasses import replace
+    lines = order_lines(erp).select(F.struct("d.*").alias("d"), F.struct("h.*").alias("h"))
+    lines.write.mode("overwrite").parquet(path)
+    return replace(erp, lines=lines.sparkSession.read.parquet(path))

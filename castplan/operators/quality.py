@@ -44,11 +44,10 @@ def validation_summary(df: DataFrame, required=REQUIRED_TEXT_COLUMNS,
     one = df.agg(*aggs)
     stack = ", ".join(f"'{c}', `blank__{c}`" for c in required)
     counts = one.selectExpr("total_rows", f"stack({len(required)}, {stack}) AS (column_name, blank_rows)")
-    pairs = None
-    for c in required:
-        p = df.where(blank_to_null(c).isNull()).select(
-            F.lit(c).alias("column_name"), F.coalesce(F.col(job_column).cast("string"), F.lit("")).alias("job"))
-        pairs = p if pairs is None else pairs.unionByName(p)
+    job = F.coalesce(F.col(job_column).cast("string"), F.lit(""))
+    flags = F.array(*[F.when(blank_to_null(c).isNull(), F.lit(c)) for c in required])
+    pairs = (df.select(job.alias("job"), F.explode(flags).alias("column_name"))
+             .where(F.col("column_name").isNotNull()))
     w = Window.partitionBy("column_name").orderBy("job")
     top = (pairs.distinct().withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= samples)
            .groupBy("column_name")

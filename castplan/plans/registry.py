@@ -48,12 +48,29 @@ def memo(spark, sf_dir, key, build):
     return _MEMO[k]
 
 
-def shared_orders(spark, sf_dir):
-    """Open orders of the run, computed once and checkpointed."""
+def run_erp(spark, sf_dir):
+    """ERP views of the run with the order lines (detail x header, the largest join)
+    written once to the shared checkpoint folder and read back by every report."""
+    def build():
+        root = ensure_checkpoint_dir(spark)
+        tag = abs(hash(sf_dir)) % 10**8
+        path = f"{root}/castplan-{spark.sparkContext.applicationId}/order_lines_{tag}"
+        return oo.materialize_order_lines(erp_views(spark, sf_dir), path)
+    return memo(spark, sf_dir, "erp", build)
+
+
+def assembled_orders(spark, sf_dir):
+    """Open-order rows before the completeness filter, computed once and checkpointed
+    (the validation audit reads them unfiltered, everything else filtered)."""
     def build():
         ensure_checkpoint_dir(spark)
-        return oo.open_orders(erp_views(spark, sf_dir)).checkpoint(eager=True)
-    return memo(spark, sf_dir, "open_orders", build)
+        return oo.open_orders(run_erp(spark, sf_dir), complete_only=False).checkpoint(eager=True)
+    return memo(spark, sf_dir, "assembled_orders", build)
+
+
+def shared_orders(spark, sf_dir):
+    """Open orders of the run (completeness filter over the shared checkpoint)."""
+    return oo.complete_rows(assembled_orders(spark, sf_dir))
 
 
 def schedule(spark, sf_dir):
@@ -248,20 +265,19 @@ from castplan.sources.adapter import order_snapshot, read_table, scheduler_run
 @register("validation_summary")
 def q_validation_summary(spark, sf_dir):
     """Required-column blank counts and sample jobs over the assembled (unfiltered) rows."""
-    rows = oo.open_orders(erp_views(spark, sf_dir), complete_only=False)
-    return quality.validation_summary(rows)
+    return quality.validation_summary(assembled_orders(spark, sf_dir))
 
 
 @register("missing_job_audit")
 def q_missing_job_audit(spark, sf_dir):
     """Order lines without a job key: total count and the first ten by order and line."""
-    return quality.missing_job_audit(erp_views(spark, sf_dir))
+    return quality.missing_job_audit(run_erp(spark, sf_dir))
 
 
 @register("audit_by_month")
 def q_audit_by_month(spark, sf_dir):
     """Missing-job audit per month, newest twelve months kept (retention)."""
-    return quality.audit_by_month(erp_views(spark, sf_dir))
+    return quality.audit_by_month(run_erp(spark, sf_dir))
 
 
 @register("open_order_report")
@@ -274,14 +290,14 @@ def q_open_order_report(spark, sf_dir):
 @register("dashboard_history")
 def q_dashboard_history(spark, sf_dir):
     """History dashboard for the latest snapshot run, with per-job order roll-ups."""
-    return dashboard_history(erp_views(spark, sf_dir), order_snapshot(spark, sf_dir),
+    return dashboard_history(run_erp(spark, sf_dir), order_snapshot(spark, sf_dir),
                              scheduler_run(spark, sf_dir))
 
 
 @register("dashboard_history_window")
 def q_dashboard_history_window(spark, sf_dir):
     """History dashboard for run 2 restricted to due dates in the second quarter of 2001."""
-    return dashboard_history(erp_views(spark, sf_dir), order_snapshot(spark, sf_dir),
+    return dashboard_history(run_erp(spark, sf_dir), order_snapshot(spark, sf_dir),
                              scheduler_run(spark, sf_dir), run_id=2,
                              start_due_date="2001-04-01", end_due_date="2001-06-30")
 
@@ -289,7 +305,7 @@ def q_dashboard_history_window(spark, sf_dir):
 @register("due_date_decode")
 def q_due_date_decode(spark, sf_dir):
     """Mixed-encoding required dates of every order line decoded (detail, then header)."""
-    erp = erp_views(spark, sf_dir)
+    erp = run_erp(spark, sf_dir)
     lines = oo.order_lines(erp)
     dd = decode_erp_date(F.col("d.required_date"))
     hd = decode_erp_date(F.col("h.required_date"))

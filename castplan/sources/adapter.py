@@ -172,6 +172,7 @@ class ErpViews:
     job_master: DataFrame
     ic_master: DataFrame
     jc_heat: DataFrame
+    lines: DataFrame | None = None  # materialised order lines (structs ``d`` and ``h``)
 
 
 def erp_views(spark: SparkSession, sf_dir: str, n_pools: int = N_POOLS) -> ErpViews:
