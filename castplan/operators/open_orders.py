@@ -186,10 +186,10 @@ def dashboard_history(erp: ErpViews, snapshot: DataFrame, runs: DataFrame, run_i
     ``run_id``, so partitioned snapshot tables are pruned to that one partition.
     """
     if run_id is None:
-        target = runs.agg(F.max("run_id").alias("target_run"))
+        target = runs.agg(F.max("run_id")).scalar()   # scalar subquery, evaluated once
     else:
-        target = runs.sparkSession.range(1).select(F.lit(run_id).cast("long").alias("target_run"))
-    s = snapshot.join(F.broadcast(target), snapshot.run_id == target.target_run, "inner")
+        target = F.lit(int(run_id)).cast("long")
+    s = snapshot.where(F.col("run_id") == target)
     if start_due_date is not None:
         s = s.where(F.col("due_date") >= F.lit(_dt.date.fromisoformat(str(start_due_date))))
     if end_due_date is not None:
