@@ -9,7 +9,7 @@ the same arithmetic.  Key decisions:
 * ``oe_detail``  one row per lineitem; job key ``' j<partkey>'`` with blank keys for some parts
 * ``job_master`` one row per part (part left-join customer on custkey = partkey)
 * ``ic_master``  one row per part; base material (alloy) = ``p_type``
-* ``jc_heat``    returned lines only: one (job, heat) row each, heat derived from the supplier
+* ``jc_heat``    one (job, heat) row per order line, heat derived from the supplier
 * ``pool``       capacity pool of a job = ``p_partkey % n_pools`` (a plant/line attribute)
 
 All arithmetic is on integer keys, never on row order, so both engines agree.
@@ -156,11 +156,9 @@ def ic_master(spark, sf_dir) -> DataFrame:
 
 
 def jc_heat(spark, sf_dir) -> DataFrame:
-    li = balanced(read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
-                  .where(F.col("l_returnflag") == "R"))
+    li = balanced(read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"))
     s = F.col("l_suppkey")
-    return (li.where(F.col("l_returnflag") == "R")
-            .select(F.concat(F.lit("J"), F.col("l_partkey").cast("string")).alias("job_number"),
+    return (li.select(F.concat(F.lit("J"), F.col("l_partkey").cast("string")).alias("job_number"),
                     F.when(s % 7 == 0, F.concat(F.lit("X"), (s % 3).cast("string")))
                     .otherwise((s % 12).cast("string")).alias("heat_number")))
 
@@ -182,7 +180,8 @@ def erp_views(spark: SparkSession, sf_dir: str, n_pools: int = N_POOLS) -> ErpVi
 
 
 def order_snapshot(spark, sf_dir, runs: int = 3) -> DataFrame:
-    """Typed history snapshot: one row per (run, job); run r omits parts with (key + r) % 10 = 0.
+    """Typed history snapshot: one row per (run, open job); a job drops out of the runs in
+    which its completed molds have reached the molds required (it is finished).
 
     Stands in for the typed snapshot a daily load produces (see ``sources.history``).
     Molds completed and castings produced grow with the run number.
@@ -191,7 +190,7 @@ def order_snapshot(spark, sf_dir, runs: int = 3) -> DataFrame:
     k = F.col("p_partkey")
     r = F.col("run_id")
     base = part.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run_id"))
-    return (base.where((k + r) % 10 != 0)
+    return (base.where(k % 5 + r - 1 < k % 17 + 1)
             .select(r.cast("long").alias("run_id"),
                     F.when(k % 7 == 0, F.concat(F.lit("j"), k.cast("string"), F.lit(" ")))
                     .otherwise(F.concat(F.lit("J"), k.cast("string"))).alias("job_number"),

@@ -87,7 +87,7 @@ JC_HEAT = """jc_heat AS (
   SELECT 'J' || CAST(l_partkey AS VARCHAR) AS job_number,
          CASE WHEN l_suppkey % 7 = 0 THEN 'X' || CAST(l_suppkey % 3 AS VARCHAR)
               ELSE CAST(l_suppkey % 12 AS VARCHAR) END AS heat_number
-  FROM lineitem WHERE l_returnflag = 'R')"""
+  FROM lineitem)"""
 
 ORDER_SNAPSHOT = """order_snapshot AS (
   SELECT CAST(r.run_id AS BIGINT) AS run_id,
@@ -102,7 +102,7 @@ ORDER_SNAPSHOT = """order_snapshot AS (
          CAST((p_partkey % 5) * 2 * r.run_id AS DECIMAL(18,4)) AS castings_produced,
          CAST(p_partkey % 5 + r.run_id - 1 AS DECIMAL(18,4)) AS molds_completed
   FROM part CROSS JOIN (SELECT unnest(range(1, 4)) AS run_id) r
-  WHERE (p_partkey + r.run_id) % 10 <> 0),
+  WHERE p_partkey % 5 + r.run_id - 1 < p_partkey % 17 + 1),
 scheduler_run AS (SELECT run_id, count(*) AS row_count FROM order_snapshot GROUP BY run_id)"""
 
 ERP_CTES = ",\n".join([OE_HEADER, OE_DETAIL, JOB_MASTER, IC_MASTER, JC_HEAT])

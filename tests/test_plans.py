@@ -7,7 +7,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from castplan.operators import capacity
 from castplan.plans.schedule import ScheduleParams, build_schedule
-from castplan.sources.adapter import jc_heat
+from castplan.operators.open_orders import order_lines
+from castplan.sources.adapter import erp_views
 
 
 def plan_text(df):
@@ -36,6 +37,8 @@ def test_allocation_is_one_grouped_map_over_narrow_sorted_rows(spark):
 
 
 def test_filter_and_projection_reach_the_scan(spark):
-    text = plan_text(jc_heat(spark, SF_SMALL))
-    assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in text
-    assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_returnflag:string>" in text
+    from pyspark.sql import functions as F
+    lines = order_lines(erp_views(spark, SF_SMALL)).where(F.col("d.line_number") == 1).select("d.order_number")
+    text = plan_text(lines)
+    assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,1), IsNotNull(l_orderkey)]" in text
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in text
