@@ -87,25 +87,23 @@ def can_share_heat(anchor_key, cand_key, anchor_group, cand_group, anchor_all, a
 def co_pour_candidates(alloys: DataFrame, compat: DataFrame, alloy_col: str = "alloy") -> DataFrame:
     """For each distinct alloy present in ``alloys``, the alloys present that it can accept.
 
-    Pairs are only formed inside a compatibility group (equi-join on the group), over
-    distinct alloy codes, so the work is bounded by the alloy vocabulary, never by rows.
+    No pairs are formed: each compatibility group's present members are gathered once (a
+    list bounded by the alloy vocabulary), every anchor joins its own group's single row,
+    and the accepted set is the whole member list (accept-all anchors) or the members that
+    the anchor lists, plus the anchor itself.  Unmapped alloys accept only themselves.
     Output: ``anchor_alloy, accepted_alloys`` (sorted, comma separated), ``n_accepted``.
     """
     present = (alloys.select(norm_key_ws(alloy_col).alias("alloy_key"))
                .where(F.col("alloy_key") != "").distinct())
-    m = present.join(_lookup(compat), "alloy_key", "inner")
-    a = m.select(*[F.col(c).alias("a_" + c) for c in m.columns])
-    b = m.select(*[F.col(c).alias("b_" + c) for c in m.columns])
-    pairs = a.join(b, (F.col("a_compatibility_group") == F.col("b_compatibility_group"))
-                   & can_share_heat(F.col("a_alloy_key"), F.col("b_alloy_key"),
-                                    F.col("a_compatibility_group"), F.col("b_compatibility_group"),
-                                    F.col("a_compat_all"), F.col("a_specific_alloys")), "inner")
-    pairs = pairs.select(F.col("a_alloy_key").alias("anchor_alloy"),
-                         F.col("b_alloy_key").alias("cand"))
-    # unmapped alloys can still share with themselves
-    unmapped = present.join(m.select("alloy_key"), "alloy_key", "left_anti").select(
-        F.col("alloy_key").alias("anchor_alloy"), F.col("alloy_key").alias("cand"))
-    allp = pairs.unionByName(unmapped)
-    return allp.groupBy("anchor_alloy").agg(
-        F.array_join(F.array_sort(F.collect_set("cand")), ", ").alias("accepted_alloys"),
-        F.count_distinct("cand").alias("n_accepted"))
+    m = present.join(_lookup(compat), "alloy_key", "left")
+    members = (m.where(F.col("compatibility_group").isNotNull() & (F.col("compatibility_group") != ""))
+               .groupBy("compatibility_group").agg(F.collect_set("alloy_key").alias("_members")))
+    j = m.join(members, "compatibility_group", "left")
+    own = F.array(F.col("alloy_key"))
+    listed = F.transform(F.split(F.coalesce(F.col("specific_alloys"), F.lit("")), ","), lambda x: F.trim(x))
+    group_part = (F.when(F.col("compat_all") == "YES", F.col("_members"))
+                  .otherwise(F.array_intersect(F.col("_members"), listed)))
+    accepted = F.array_sort(F.array_union(own, F.coalesce(group_part, F.array().cast("array<string>"))))
+    return j.select(F.col("alloy_key").alias("anchor_alloy"),
+                    F.array_join(accepted, ", ").alias("accepted_alloys"),
+                    F.size(accepted).cast("long").alias("n_accepted"))
