@@ -158,7 +158,10 @@ def allocate_stream(batches, limits: CapacityLimits = CapacityLimits(), out_rows
 
     ``batches`` must arrive in priority order.  Yields DataFrames of chunks
     (``pool_key, row_key, schedule_day, molds_for_ext``).  Memory holds the rows between the
-    earliest unfinished row and the furthest row the current day had to look at.
+    earliest unfinished row and the furthest row the current day had to look at: small when
+    the line and floor lanes progress at similar rates, but when one lane is the bottleneck
+    the other runs ahead and the held rows grow with the pool (the rule itself serves those
+    far-ahead rows early, so they must be seen).
     """
     s = _LaneStream(batches)
     lmax, fmax = limits.line_molds_per_day, limits.floor_molds_per_day
@@ -274,7 +277,8 @@ def allocate(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityL
     * ``mode="stream"`` (rows with distinct jobs per pool): the narrow rows are hash
       partitioned by pool and sorted inside partitions by the priority keys; that ordering
       satisfies the grouped map's own requirement, so each pool arrives as an ordered
-      stream of Arrow batches and is allocated in bounded memory, chunks streaming out.
+      stream of Arrow batches and chunks stream out; only the rows between the two lanes'
+      fronts are held (see ``allocate_stream``).
     * ``mode="group"``: the general rule (several rows per job share its job slot and cap,
       which needs every later row of a job): each pool is materialised in its task.
     * ``mode="auto"`` picks ``stream`` when jobs are unique per pool.

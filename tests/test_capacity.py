@@ -183,3 +183,37 @@ def test_repeated_jobs_use_group_mode(spark):
     assert not capacity.jobs_unique_per_pool(capacity.allocation_input(df, REF))
     out = capacity.mold_assignments(df, REF)  # auto -> group: the rows share the 6-mold job cap
     assert by_day(out) == {1: 6, 2: 2}
+
+
+def test_stream_memory_follows_lane_balance():
+    """Memory held by the stream is the distance between the two lanes' progress: small for a
+    balanced mix, growing with the pool when one lane is the bottleneck (still exact)."""
+    import pandas as pd
+
+    def run(n, floor_every, molds):
+        held = []
+
+        class Probe(capacity._LaneStream):
+            def pull(self):
+                ok = super().pull()
+                held.append(len(self.items))
+                return ok
+
+        orig = capacity._LaneStream
+        capacity._LaneStream = Probe
+        try:
+            df = pd.DataFrame({"pool_key": ["p"] * n, "row_key": [str(k) for k in range(n)],
+                               "job_key": [f"J{k}" for k in range(n)],
+                               "is_floor": [k % floor_every == 0 for k in range(n)],
+                               "molds": [molds(k) for k in range(n)]})
+            batches = (df.iloc[a:a + 4096] for a in range(0, n, 4096))
+            total = sum(int(b.molds_for_ext.sum()) for b in capacity.allocate_stream(batches))
+        finally:
+            capacity._LaneStream = orig
+        assert total == int(df.molds.sum())
+        return max(held)
+
+    # 10 line rows x 6 molds and 1 floor row x 6 molds take 2 days in each lane
+    assert run(60_000, 11, lambda k: 6) < 100
+    # rare floor rows: the floor lane runs far ahead, the buffer grows with the pool
+    assert run(20_000, 500, lambda k: (k * 7) % 13 + 1) > 5_000
