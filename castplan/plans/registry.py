@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from castplan.functions.clean import normalize_alloy_list, text_to_decimal, canonical_number_text
+from castplan.functions.dates import add_business_days, decode_erp_date
+from castplan.operators import capacity, compat, eligibility, quality
+from castplan.operators import heats
 from castplan.operators import open_orders as oo
+from castplan.operators import priority, reporting
+from castplan.operators.calendar import business_calendar
+from castplan.operators.open_orders import dashboard_history
+from castplan.plans import heat_reports, melt_reports
+from castplan.plans import mold_reports, shipping
 from castplan.plans.outputs import canonical
+from castplan.plans.schedule import ScheduleParams, build_schedule
+from castplan.schemas import HEADER_TO_COLUMN, OPEN_ORDER_HEADERS
 from castplan.session import ensure_checkpoint_dir
+from castplan.sources import history
+from castplan.sources.adapter import compat_reference
+from castplan.sources.adapter import order_snapshot, read_table, scheduler_run
 from castplan.sources.adapter import erp_views
 
 QUERIES = {}
@@ -23,18 +38,6 @@ def register(name):
     return deco
 
 
-@register("open_orders")
-def q_open_orders(spark, sf_dir):
-    """Live open-order report assembled from the ERP views."""
-    return shared_orders(spark, sf_dir)
-
-
-# ---------------------------------------------------------------------------------------------
-from castplan.operators import capacity, compat, eligibility, quality  # noqa: E402
-from castplan.operators.calendar import business_calendar  # noqa: E402
-from castplan.plans.schedule import ScheduleParams, build_schedule, scheduler_input  # noqa: E402
-from castplan.sources.adapter import compat_reference  # noqa: E402
-
 P = ScheduleParams(materialize=True)
 _MEMO: dict = {}
 
@@ -74,10 +77,20 @@ def shared_orders(spark, sf_dir):
 
 
 def schedule(spark, sf_dir):
+    """The run's schedule (open orders -> schedule rows -> assignments), built once."""
     return memo(spark, sf_dir, "schedule",
                 lambda: build_schedule(spark, sf_dir, P, shared_orders(spark, sf_dir)))
 
 
+# =============================================================================================
+# Registered queries
+# =============================================================================================
+@register("open_orders")
+def q_open_orders(spark, sf_dir):
+    """Live open-order report assembled from the ERP views."""
+    return shared_orders(spark, sf_dir)
+
+
 @register("scheduler_input")
 def q_scheduler_input(spark, sf_dir):
     """House accounts removed, remaining molds, hold/scheduled flags, compatibility attached."""
@@ -126,9 +139,6 @@ def q_calendar(spark, sf_dir):
     return business_calendar(s.assignments, P.start_date, "schedule_day")
 
 
-from castplan.plans import mold_reports, shipping  # noqa: E402
-
-
 @register("daily_mold_schedule")
 def q_daily_mold_schedule(spark, sf_dir):
     """Day blocks: chunk rows with pour date, buffer and risk, plus a totals row per day."""
@@ -173,10 +183,6 @@ def q_job_status(spark, sf_dir):
     return shipping.job_status(shipping.job_shipping_outlook(s.schedule_rows, s.assignments, P.start_date))
 
 
-from castplan.operators import heats  # noqa: E402
-from castplan.plans import heat_reports, melt_reports  # noqa: E402
-
-
 def _plan(spark, sf_dir):
     return memo(spark, sf_dir, "melt_plan", lambda: heats.melt_plan(
         schedule(spark, sf_dir).assignments, P.reference_date).checkpoint(eager=True))
@@ -251,17 +257,6 @@ def q_melt_gap_diagnostics(spark, sf_dir):
     return melt_reports.melt_gap_diagnostics(_plan(spark, sf_dir), P.start_date, P.limits)
 
 
-import datetime as _dt  # noqa: E402
-
-from pyspark.sql import functions as F  # noqa: E402
-
-from castplan.functions.clean import normalize_alloy_list, text_to_decimal, canonical_number_text  # noqa: E402
-from castplan.functions.dates import add_business_days, decode_erp_date  # noqa: E402
-from castplan.operators import priority, reporting  # noqa: E402
-from castplan.operators.open_orders import dashboard_history  # noqa: E402
-from castplan.sources.adapter import order_snapshot, read_table, scheduler_run  # noqa: E402
-
-
 @register("validation_summary")
 def q_validation_summary(spark, sf_dir):
     """Required-column blank counts and sample jobs over the assembled (unfiltered) rows."""
@@ -363,10 +358,6 @@ def q_co_pour_candidates(spark, sf_dir):
     return compat.co_pour_candidates(inp, compat.compat_map(compat_reference(spark)))
 
 
-from castplan.schemas import HEADER_TO_COLUMN, OPEN_ORDER_HEADERS  # noqa: E402
-from castplan.sources import history  # noqa: E402
-
-
 def export_text(df):
     """Open-order rows as the ERP export would carry them: every column as text under its
     report header (dates yyyy-MM-dd, NULL stays NULL)."""
