@@ -132,22 +132,31 @@ class _LaneStream:
         self._rows = self._iter(batches)
         self.done = False
         self.line, self.floor = deque(), deque()
-        self.items = {}  # position -> [row_key, job, remaining, pool_key]
-        self.pos = 0
+        self.items = {}  # priority position -> [row_key, job, remaining, pool_key]
+        self.line_closed = self.floor_closed = False  # lane's last row already read
 
     @staticmethod
     def _iter(batches):
+        pos = 0
         for b in batches:
-            yield from zip(b["pool_key"].tolist(), b["row_key"].tolist(), b["job_key"].tolist(),
-                           b["is_floor"].tolist(), b["molds"].tolist())
+            seqs = b["seq"].tolist() if "seq" in b.columns else range(pos, pos + len(b))
+            last = b["lane_last"].tolist() if "lane_last" in b.columns else [False] * len(b)
+            pos += len(b)
+            yield from zip(seqs, b["pool_key"].tolist(), b["row_key"].tolist(), b["job_key"].tolist(),
+                           b["is_floor"].tolist(), b["molds"].tolist(), last)
 
     def pull(self) -> bool:
-        for pool_key, row_key, job, is_floor, molds in self._rows:
+        """Read one more row into its lane.  Rows of one lane must arrive in priority order;
+        the two lanes may interleave in any way (``seq`` is the priority position)."""
+        for seq, pool_key, row_key, job, is_floor, molds, last in self._rows:
+            if is_floor:
+                self.floor_closed = self.floor_closed or bool(last)
+            else:
+                self.line_closed = self.line_closed or bool(last)
             if molds <= 0:
                 continue
-            self.items[self.pos] = [row_key, job, int(molds), pool_key]
-            (self.floor if is_floor else self.line).append(self.pos)
-            self.pos += 1
+            self.items[seq] = [row_key, job, int(molds), pool_key]
+            (self.floor if is_floor else self.line).append(seq)
             return True
         self.done = True
         return False
@@ -176,12 +185,14 @@ def allocate_stream(batches, limits: CapacityLimits = CapacityLimits(), out_rows
         used_l = used_f = 0
         popped_l, popped_f = [], []
         while jobs_today < maxj:
+            # an open lane without a buffered head may still have an earlier row unread
+            if not s.done and ((used_l < lmax and not s.line and not s.line_closed)
+                               or (used_f < fmax and not s.floor and not s.floor_closed)):
+                s.pull()
+                continue
             la = s.line[0] if (used_l < lmax and s.line) else None
             fb = s.floor[0] if (used_f < fmax and s.floor) else None
             if la is None and fb is None:
-                # unread rows come after every read row: read one more if a lane is open
-                if (used_l < lmax or used_f < fmax) and not s.done and s.pull():
-                    continue
                 break
             if fb is None or (la is not None and la < fb):
                 i = s.line.popleft()
@@ -290,12 +301,33 @@ def allocate(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityL
         return inp.groupBy("pool_key").applyInPandas(_fill_pool_fn(limits), CHUNK_SCHEMA)
     # pool_key ASC (nulls first) matches the grouped map's required ordering, so Spark adds
     # no re-sort above this one and the priority order reaches the function intact
-    ordered = (inp.repartition("pool_key")
-               .sortWithinPartitions(F.col("pool_key").asc(),
-                                     *[F.col(c).asc_nulls_last() for c in SORT_KEYS[1:]]))
+    ordered = (lane_paced(inp, limits).repartition("pool_key")
+               .sortWithinPartitions(F.col("pool_key").asc(), F.col("est_day"), F.col("seq")))
     return ordered.groupBy("pool_key").applyInPandas(_stream_pool_fn(limits), CHUNK_SCHEMA)
 
 
+def lane_paced(inp: DataFrame, limits: CapacityLimits = CapacityLimits()) -> DataFrame:
+    """Add ``seq`` (priority position in the pool) and ``est_day``, a lower bound of the day a
+    row can start: its lane's molds before it over the lane's daily molds, or its lane's rows
+    before it over the daily job slots.  Delivering rows by ``(est_day, seq)`` keeps each
+    lane in priority order while pacing the two lanes against each other, so a fast lane's
+    rows arrive about when they are needed instead of after the slow lane's backlog;
+    ``lane_last`` marks each lane's final row.
+    All three running counts are distributed (``prefix.running_sum``)."""
+    order = [F.col(c).asc_nulls_last() for c in SORT_KEYS[1:]]
+    d = running_sum(inp.withColumn("_one", F.lit(1)), ["pool_key"], order, "_one", "seq")
+    d = running_sum(d, ["pool_key", "is_floor"], ["seq"], "molds", "_lane_molds", inclusive=False)
+    d = running_sum(d, ["pool_key", "is_floor"], ["seq"], "_one", "_lane_rows", inclusive=False)
+    cap = F.when(F.col("is_floor"), F.lit(limits.floor_molds_per_day)).otherwise(F.lit(limits.line_molds_per_day))
+    est = F.greatest(F.floor(F.col("_lane_molds") / cap),
+                     F.floor(F.col("_lane_rows") / F.lit(max(int(limits.max_jobs_per_day), 1))))
+    # the last row of each lane tells the allocator not to read on for that lane
+    sizes = inp.groupBy("pool_key", "is_floor").agg(F.count(F.lit(1)).alias("_lane_n"))  # pools x 2 rows
+    d = d.join(sizes, ["pool_key", "is_floor"], "inner")
+    return (d.withColumns({"est_day": est.cast("long"), "lane_last": F.col("_lane_rows") + 1 == F.col("_lane_n")})
+            .drop("_one", "_lane_molds", "_lane_rows", "_lane_n"))
+
+
 def mold_assignments(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(),
                      pool_cols=("pool",), row_key_cols=("job_number", "ext"), mode: str = "auto") -> DataFrame:
     """Schedule rows expanded to day chunks: every input column plus ``schedule_day`` and the

@@ -185,12 +185,14 @@ def test_repeated_jobs_use_group_mode(spark):
     assert by_day(out) == {1: 6, 2: 2}
 
 
-def test_stream_memory_follows_lane_balance():
-    """Memory held by the stream is the distance between the two lanes' progress: small for a
-    balanced mix, growing with the pool when one lane is the bottleneck (still exact)."""
+def test_stream_memory_follows_lane_pacing():
+    """Rows held by the stream: in plain priority order a fast lane must read far ahead when
+    the lanes progress at different rates; delivered by (estimated day, seq) — what
+    ``lane_paced`` computes in Spark — the same pool is allocated identically holding few rows."""
+    import numpy as np
     import pandas as pd
 
-    def run(n, floor_every, molds):
+    def run(df):
         held = []
 
         class Probe(capacity._LaneStream):
@@ -202,18 +204,21 @@ def test_stream_memory_follows_lane_balance():
         orig = capacity._LaneStream
         capacity._LaneStream = Probe
         try:
-            df = pd.DataFrame({"pool_key": ["p"] * n, "row_key": [str(k) for k in range(n)],
-                               "job_key": [f"J{k}" for k in range(n)],
-                               "is_floor": [k % floor_every == 0 for k in range(n)],
-                               "molds": [molds(k) for k in range(n)]})
-            batches = (df.iloc[a:a + 4096] for a in range(0, n, 4096))
-            total = sum(int(b.molds_for_ext.sum()) for b in capacity.allocate_stream(batches))
+            batches = (df.iloc[a:a + 4096] for a in range(0, len(df), 4096))
+            out = pd.concat(list(capacity.allocate_stream(batches)))
         finally:
             capacity._LaneStream = orig
-        assert total == int(df.molds.sum())
-        return max(held)
-
-    # 10 line rows x 6 molds and 1 floor row x 6 molds take 2 days in each lane
-    assert run(60_000, 11, lambda k: 6) < 100
-    # rare floor rows: the floor lane runs far ahead, the buffer grows with the pool
-    assert run(20_000, 500, lambda k: (k * 7) % 13 + 1) > 5_000
+        return max(held), sorted(zip(out.row_key, out.schedule_day, out.molds_for_ext))
+
+    n = 20_000
+    df = pd.DataFrame({"seq": np.arange(n), "pool_key": "p", "row_key": [str(k) for k in range(n)],
+                       "job_key": [f"J{k}" for k in range(n)], "is_floor": np.arange(n) % 500 == 0,
+                       "molds": (np.arange(n) * 7) % 13 + 1})
+    held_plain, plain = run(df)
+    lane = df.groupby("is_floor")
+    cap = np.where(df.is_floor, 3, 30)
+    est = np.maximum((lane.molds.cumsum() - df.molds) // cap, lane.cumcount() // 10)
+    last = lane.cumcount(ascending=False) == 0
+    held_paced, paced = run(df.assign(est_day=est, lane_last=last).sort_values(["est_day", "seq"], kind="mergesort"))
+    assert plain == paced
+    assert held_plain > 5_000 and held_paced < 200
