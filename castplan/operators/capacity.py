@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from castplan.functions.clean import norm_key_ws
 from castplan.functions.dates import as_date_lit
-from castplan.operators.prefix import running_sum
+from castplan.operators.prefix import running_sum, running_sums
 from castplan.schemas import FLOOR_CAST_TYPE, URGENT_WINDOW_WEEKS, CapacityLimits
 
 CHUNK_SCHEMA = "pool_key string, row_key string, schedule_day int, molds_for_ext int"
@@ -313,12 +313,20 @@ def lane_paced(inp: DataFrame, limits: CapacityLimits = CapacityLimits()) -> Dat
     lane in priority order while pacing the two lanes against each other, so a fast lane's
     rows arrive about when they are needed instead of after the slow lane's backlog;
     ``lane_last`` marks each lane's final row.
-    All three running counts are distributed (``prefix.running_sum``)."""
+    The running counts come from one distributed pass (``prefix.running_sums``)."""
     order = [F.col(c).asc_nulls_last() for c in SORT_KEYS[1:]]
-    d = running_sum(inp.withColumn("_one", F.lit(1)), ["pool_key"], order, "_one", "seq")
-    d = running_sum(d, ["pool_key", "is_floor"], ["seq"], "molds", "_lane_molds", inclusive=False)
-    d = running_sum(d, ["pool_key", "is_floor"], ["seq"], "_one", "_lane_rows", inclusive=False)
-    cap = F.when(F.col("is_floor"), F.lit(limits.floor_molds_per_day)).otherwise(F.lit(limits.line_molds_per_day))
+    fl = F.col("is_floor")
+    d = running_sums(inp, ["pool_key"], order, {
+        "seq": F.lit(1),
+        "_floor_molds": F.when(fl, F.col("molds")).otherwise(0),
+        "_line_molds": F.when(fl, 0).otherwise(F.col("molds")),
+        "_floor_rows": F.when(fl, 1).otherwise(0),
+        "_line_rows": F.when(fl, 0).otherwise(1)})
+    d = d.withColumns({
+        "_lane_molds": F.when(fl, F.col("_floor_molds")).otherwise(F.col("_line_molds")) - F.col("molds"),
+        "_lane_rows": F.when(fl, F.col("_floor_rows")).otherwise(F.col("_line_rows")) - 1,
+    }).drop("_floor_molds", "_line_molds", "_floor_rows", "_line_rows")
+    cap = F.when(fl, F.lit(limits.floor_molds_per_day)).otherwise(F.lit(limits.line_molds_per_day))
     est = F.greatest(F.floor(F.col("_lane_molds") / cap),
                      F.floor(F.col("_lane_rows") / F.lit(max(int(limits.max_jobs_per_day), 1))))
     # the last row of each lane tells the allocator not to read on for that lane

@@ -1,31 +1,47 @@
 """Running sums that do not put a whole group in one task.
 
 ``Window.partitionBy(g).orderBy(o)`` sends every row of group ``g`` to one task; for a
-group holding a large share of the data that task is the job.  ``running_sum`` instead
+group holding a large share of the data that task is the job.  ``running_sums`` instead
 range-partitions by ``(g, o)`` into slices, sums inside each slice (bounded by the slice
 size), and adds the totals of the earlier slices of the same group, taken from a tiny
 per-(group, slice) table.  The order must be total (end it with a unique key) so that the
-result is exact and deterministic.
+result is exact and deterministic.  Range bounds are sampled from the input and row order
+after a shuffle is not fixed, so the sliced rows are checkpointed once (reliable storage,
+an eager job) and every consumer sees the same slices.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from castplan.session import ensure_checkpoint_dir
 
-def running_sum(df: DataFrame, group_cols, order_cols, value: str, out: str,
-                inclusive: bool = True, slices: int | None = None) -> DataFrame:
+
+def running_sums(df: DataFrame, group_cols, order_cols, values: dict, slices: int | None = None) -> DataFrame:
+    """Inclusive running sums of several value expressions (``{out_name: Column}``) in one
+    slicing pass."""
     n = slices or df.sparkSession.sparkContext.defaultParallelism
     group_cols, order_cols = list(group_cols), list(order_cols)
-    r = df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_slice", F.spark_partition_id())
-    frame_end = Window.currentRow if inclusive else -1
+    ensure_checkpoint_dir(df.sparkSession)
+    tmp = {f"_v_{k}": (v if isinstance(v, Column) else F.col(v)) for k, v in values.items()}
+    r = (df.withColumns(tmp).repartitionByRange(n, *group_cols, *order_cols)
+         .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
     w_local = (Window.partitionBy(*group_cols, "_slice").orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, frame_end))
-    r = r.withColumn("_local", F.coalesce(F.sum(value).over(w_local), F.lit(0)))
-    totals = r.groupBy(*group_cols, "_slice").agg(F.sum(value).alias("_tot"))
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = r.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(w_local) for k in values})
+    totals = r.groupBy(*group_cols, "_slice").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
     w_off = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # one row per (group, slice): bounded by groups x slices
-    offs = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(w_off), F.lit(0))).drop("_tot")
-    return (r.join(offs, [*group_cols, "_slice"], "inner")
-            .withColumn(out, F.col("_off") + F.col("_local")).drop("_slice", "_local", "_off"))
+    offs = totals.select(*group_cols, "_slice", *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0))
+                                                  .alias(f"_o_{k}") for k in values])
+    out = r.join(offs, [*group_cols, "_slice"], "inner")
+    out = out.withColumns({k: F.col(f"_o_{k}") + F.col(f"_l_{k}") for k in values})
+    return out.drop("_slice", *[f"_{p}_{k}" for k in values for p in ("v", "l", "o")])
+
+
+def running_sum(df: DataFrame, group_cols, order_cols, value: str, out: str,
+                inclusive: bool = True, slices: int | None = None) -> DataFrame:
+    """Running sum of one column; ``inclusive=False`` excludes the row itself."""
+    r = running_sums(df, group_cols, order_cols, {out: F.col(value)}, slices)
+    return r if inclusive else r.withColumn(out, F.col(out) - F.col(value))

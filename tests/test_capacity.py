@@ -222,3 +222,18 @@ def test_stream_memory_follows_lane_pacing():
     held_paced, paced = run(df.assign(est_day=est, lane_last=last).sort_values(["est_day", "seq"], kind="mergesort"))
     assert plain == paced
     assert held_plain > 5_000 and held_paced < 200
+
+
+def test_running_sums_are_exact_over_many_slices(spark):
+    from pyspark.sql import functions as F
+    from castplan.operators.prefix import running_sums
+    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"),
+                                     (F.col("id") % 7).alias("v")).repartition(5)
+    out = running_sums(df, ["g"], ["k"], {"cs": F.col("v"), "rn": F.lit(1)}, slices=16)
+    got = {(r["g"], r["k"]): (r["cs"], r["rn"]) for r in out.collect()}
+    for g in range(3):
+        cs = rn = 0
+        for k in range(g, 5000, 3):
+            cs += k % 7
+            rn += 1
+            assert got[(g, k)] == (cs, rn)
