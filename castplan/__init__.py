@@ -12,3 +12,11 @@ to the driver except one-row validation results.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Functions that run inside Python workers (the allocator's grouped map) are shipped by value,
+# so executors do not need this package installed or on their path.
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
