@@ -237,3 +237,14 @@ def test_running_sums_are_exact_over_many_slices(spark):
             cs += k % 7
             rn += 1
             assert got[(g, k)] == (cs, rn)
+
+
+def test_stream_equals_group_on_driver_schedule(spark):
+    from conftest import SF_CHECK
+    from castplan.plans.schedule import ScheduleParams, build_schedule
+    p = ScheduleParams()
+    rows = build_schedule(spark, SF_CHECK, p).schedule_rows
+    a = capacity.allocate(rows, p.reference_date, p.limits, p.pool_cols, mode="stream")
+    b = capacity.allocate(rows, p.reference_date, p.limits, p.pool_cols, mode="group")
+    ka, kb = sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
+    assert len(ka) > 1000 and ka == kb
