@@ -2,7 +2,19 @@
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_SPACED = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL = {
+    "op6_bbit_minhash": f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_SPACED.format('text')} AS w FROM documents),
+gram AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g
+         FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(4, len(w)) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * m >= 80 * (p.n + q.n - m)),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM doc UNION SELECT link.x, reach.seen FROM reach JOIN link ON link.y = reach.doc_id)
+SELECT doc.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, min(seen) AS component_id, doc.doc_id = min(seen) AS kept
+FROM doc LEFT JOIN size USING (doc_id) JOIN reach USING (doc_id) GROUP BY doc.doc_id, size.n""",
     "op10_benchmark_decontamination": f"""
 WITH item AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import decontamination
+from castplan.llm import bbit_minhash, decontamination
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``documents`` on 4-word shingles at a similarity of 0.8."""
+    return bbit_minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of ``benchmark`` against every whole text of ``documents``."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,5 +28,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op6_bbit_minhash": op6_bbit_minhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
