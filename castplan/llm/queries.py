@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination
+from castplan.llm import bbit_minhash, decontamination, line_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its globally repeated line chunks removed."""
+    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", *line_dedup.ADDED, F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+
+
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on 4-word shingles at a similarity of 0.8."""
     return bbit_minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
@@ -28,6 +34,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op6_bbit_minhash": op6_bbit_minhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
