@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination, line_dedup
+from castplan.llm import bbit_minhash, decontamination, line_dedup, quality_qda
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *line_dedup.ADDED, F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
 
 
+def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that aren't held out."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_qda.score(docs, _read(spark, sf_dir, "labels"), keep=["doc_id"])
+    return out.select("doc_id", (~quality_qda.training_row()).alias("held_out"), "score", "predicted")
+
+
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on 4-word shingles at a similarity of 0.8."""
     return bbit_minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
@@ -35,6 +42,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_quality_qda": op3_quality_qda,
     "op6_bbit_minhash": op6_bbit_minhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
