@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination, line_dedup, quality_qda
+from castplan.llm import bbit_minhash, decontamination, length_packing, line_dedup, quality_qda
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
 
 
+def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its bucket, batch and padding."""
+    return length_packing.pack(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of ``benchmark`` against every whole text of ``documents``."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,5 +49,6 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality_qda": op3_quality_qda,
     "op6_bbit_minhash": op6_bbit_minhash,
+    "op8_length_packing": op8_length_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
