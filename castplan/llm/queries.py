@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination, length_packing, line_dedup, quality_qda
+from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, quality_qda
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *line_dedup.ADDED, F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
 
 
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes, split over size, source and language."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    dims = [kd_sharding.log_ordinal(F.octet_length("text")), kd_sharding.text_ordinal(F.col("source")), kd_sharding.text_ordinal(F.col("lang"))]
+    out = kd_sharding.kd_shards(docs, dims, shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels that aren't held out."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +56,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_kd_sharding": op2_kd_sharding,
     "op3_quality_qda": op3_quality_qda,
     "op6_bbit_minhash": op6_bbit_minhash,
     "op8_length_packing": op8_length_packing,
