@@ -4,7 +4,38 @@ _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRST
 
 _SPACED = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+
+def _number(text: str, size: int) -> str:
+    return f"(CAST('0x' || substr(md5({text}), 1, 7) AS BIGINT) % {size})"
+
+
 ORACLE_SQL = {
+    "op4_url_temporal": f"""
+WITH bare AS (SELECT page_id, url, {_number("coalesce(url, '')", 720)} AS fetched_on,
+              lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')) AS b FROM pages),
+part AS (SELECT row_number() OVER () AS r, *, nullif(regexp_replace(split_part(b, '/', 1), '(^.*@)|(:[0-9]*$)', '', 'g'), '') AS host,
+         regexp_replace(regexp_extract(b, '^[^/]*(/.*)?$', 1), '/+$', '') AS path FROM bare),
+cap AS (SELECT r, page_id, url, fetched_on, host, CASE WHEN path <> '' THEN host || path END AS k1,
+        CASE WHEN regexp_extract(path, '^(/[^/]+)/', 1) <> '' THEN host || regexp_extract(path, '^(/[^/]+)/', 1) || '/' END AS k2, host AS k3,
+        CASE WHEN len(string_split(host, '.')) > 3 THEN array_to_string(string_split(host, '.')[-3:], '.') END AS k4,
+        CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') END AS k5 FROM part),
+look AS (SELECT r, fetched_on, 1 AS rank, k1 AS pattern FROM cap UNION ALL SELECT r, fetched_on, 2, k2 FROM cap UNION ALL
+         SELECT r, fetched_on, 3, k3 FROM cap UNION ALL SELECT r, fetched_on, 4, k4 FROM cap UNION ALL SELECT r, fetched_on, 5, k5 FROM cap),
+pat AS (SELECT DISTINCT pattern FROM look WHERE pattern IS NOT NULL AND {_number("'in' || pattern", 3)} > 0),
+step AS (SELECT pattern, ['allow', 'adult', 'phishing', 'spam'][{_number("'list' || pattern", 4)} + 1] AS list_name,
+         {_number("'start' || pattern", 500)} AS d1, 30 + {_number("'gone' || pattern", 200)} AS d2, {_number("'again' || pattern", 90)} AS d3 FROM pat),
+-- listed again on the day of the removal: the removal is that day's last word
+span AS (SELECT pattern, list_name, d1 AS valid_from, d1 + d2 AS valid_to FROM step
+         UNION ALL SELECT pattern, list_name, d1 + d2 + d3, NULL FROM step WHERE d3 > 0),
+live AS (SELECT r, rank, pattern, list_name, valid_from FROM look JOIN span USING (pattern)
+         WHERE valid_from <= fetched_on AND (valid_to IS NULL OR fetched_on < valid_to)),
+top AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY r) AS n,
+        row_number() OVER (PARTITION BY r ORDER BY rank, list_name <> 'allow', list_name, valid_from) AS o FROM live) WHERE o = 1)
+SELECT page_id, url, fetched_on, host,
+       CASE WHEN list_name IS NULL THEN 'none' WHEN list_name = 'allow' THEN 'allow' ELSE 'block' END AS verdict,
+       list_name AS matched_list, pattern AS matched_pattern, valid_from, CAST(coalesce(n, 0) AS BIGINT) AS n_active
+FROM cap LEFT JOIN top USING (r)""",
     "op6_bbit_minhash": f"""
 WITH RECURSIVE doc AS (SELECT doc_id, {_SPACED.format('text')} AS w FROM documents),
 gram AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g

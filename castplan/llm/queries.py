@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, quality_qda
+from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, quality_qda, url_temporal
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,37 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~quality_qda.training_row()).alias("held_out"), "score", "predicted")
 
 
+def _number(text, size: int):
+    """A number below ``size`` made from md5, the same in any engine."""
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") % size
+
+
+def url_captures(pages: DataFrame) -> DataFrame:
+    """Captures: every page, fetched on a day (0 to 719) made from its URL."""
+    return pages.select("page_id", "url", _number(F.coalesce("url", F.lit("")), 720).alias("fetched_on"))
+
+
+def url_changes(pages: DataFrame) -> DataFrame:
+    """Dated list changes over the patterns that occur in ``pages``: two thirds of them are listed,
+    later removed, and listed again; one list in four allows."""
+    keys = url_temporal.url_keys(F.col("url"))
+    patterns = (pages.select(F.explode(F.array(keys["section_key"], keys["host"], keys["domain3"], keys["domain2"], keys["url_key"])).alias("pattern"))
+                .where("pattern IS NOT NULL").distinct())
+    patterns = patterns.where(_number(F.concat(F.lit("in"), "pattern"), 3) > 0)
+    start = _number(F.concat(F.lit("start"), "pattern"), 500)
+    gone = start + 30 + _number(F.concat(F.lit("gone"), "pattern"), 200)
+    again = gone + _number(F.concat(F.lit("again"), "pattern"), 90)
+    name = F.element_at(F.array(*[F.lit(x) for x in ("allow", "adult", "phishing", "spam")]), (_number(F.concat(F.lit("list"), "pattern"), 4) + 1).cast("int"))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), d.alias("day")) for a, d in (("add", start), ("remove", gone), ("add", again))]))
+    return patterns.select(name.alias("list_name"), "pattern", steps.alias("s")).select("list_name", "pattern", "s.action", "s.day")
+
+
+def op4_url_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture of ``pages`` against the list entries active on the day of its fetch."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_temporal.filter_urls(url_captures(pages), url_changes(pages))
+
+
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on 4-word shingles at a similarity of 0.8."""
     return bbit_minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
@@ -58,6 +89,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kd_sharding": op2_kd_sharding,
     "op3_quality_qda": op3_quality_qda,
+    "op4_url_temporal": op4_url_temporal,
     "op6_bbit_minhash": op6_bbit_minhash,
     "op8_length_packing": op8_length_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
