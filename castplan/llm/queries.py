@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, quality_qda, url_temporal
+from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, order_minhash, quality_qda, url_temporal
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_packing.pack(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of every document and of its edited text."""
+    return order_minhash.edit_report(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of ``benchmark`` against every whole text of ``documents``."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,5 +97,6 @@ QUERIES = {
     "op4_url_temporal": op4_url_temporal,
     "op6_bbit_minhash": op6_bbit_minhash,
     "op8_length_packing": op8_length_packing,
+    "op9_order_minhash": op9_order_minhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
