@@ -2,8 +2,8 @@
 
 The k-mers of a text are its runs of ``K`` words (shorter at its end).  Equal k-mers are numbered
 by occurrence, numbered k-mers are hashed, and the hash space is cut into ``SLOTS`` parts, each a
-sketch of its own (one-permutation form).  A sketch selects its ``LEAST`` smallest numbered k-mers,
-puts them back into text order and hashes that tuple, so moving text changes a fingerprint as
+sketch of its own (one-permutation form).  A sketch selects its two smallest numbered k-mers,
+puts them back into text order and hashes that pair, so moving text changes a fingerprint as
 replacing it does.  The likeness of two fingerprints is the share of equal sketches among those
 that either text fills.
 
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from castplan.llm.shared import slices_for, without
 
-K, SLOTS, LEAST = 3, 32, 2
+K, SLOTS = 3, 64
 _POS = (1 << 24) - 1
-_HASH = (1 << 39) - 1
 _STEPS = [1 << b for b in range(23, -1, -1)]
 
 
@@ -44,20 +43,24 @@ def _kmers(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), positions)
 
 
+def _kmer(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 24)
+
+
 def _numbered(kmers: Column) -> Column:
     """Sorted longs (hash of k-mer and occurrence number, position).
 
-    Equal k-mers stand side by side in text order.  The occurrence number of one that repeats its
-    left neighbour is its distance from the start of the run, found by halving steps.
+    Equal k-mers stand side by side in text order.  A first occurrence keeps its hash; one that
+    repeats its left neighbour is hashed anew with its distance from the start of the run, which
+    halving steps find.
     """
     def number(s):
         def one(x, j):
-            kmer = F.shiftrightunsigned(x, 24)
             start = F.aggregate(F.array(*[F.lit(b) for b in _STEPS]), j, lambda p, b: F.when(
-                (p >= b) & (F.shiftrightunsigned(F.get(s, p - b), 24) == kmer), p - b).otherwise(p))
-            repeats = F.shiftrightunsigned(F.get(s, j - 1), 24) == kmer
-            return _packed(F.xxhash64(kmer, F.when(repeats, j - start).otherwise(F.lit(0))), x.bitwiseAND(F.lit(_POS)))
-        return F.sort_array(F.transform(s, one))
+                (p >= b) & (_kmer(F.get(s, p - b)) == _kmer(x)), p - b).otherwise(p))
+            return F.when(_kmer(F.get(s, j - 1)) == _kmer(x), _packed(F.xxhash64(_kmer(x), j - start), x.bitwiseAND(F.lit(_POS)))).otherwise(x)
+        again = F.exists(F.transform(s, lambda x, j: _kmer(F.get(s, j - 1)) == _kmer(x)), lambda r: r)
+        return F.when(again, F.sort_array(F.transform(s, one))).otherwise(s)
     return let(kmers, number)
 
 
@@ -66,38 +69,37 @@ def _part(x: Column) -> Column:
 
 
 def _sketches(numbered: Column) -> Column:
-    """The tuple hash of every part of the hash space; null where it has no k-mer."""
+    """Longs (part, hash of the part's least two in text order), sorted; empty parts are absent."""
     def least(t):
-        return F.filter(t, lambda x, j: F.coalesce(_part(F.get(t, j - LEAST)) != _part(x), F.lit(True)))
-
-    def in_text_order(own):
-        placed = F.transform(own, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_POS)), 39).bitwiseOR(F.shiftrightunsigned(x, 24)))
-        tuple_hash = F.xxhash64(F.transform(F.sort_array(placed), lambda y: y.bitwiseAND(F.lit(_HASH))))
-        return F.when(F.size(own) > 0, F.shiftrightunsigned(tuple_hash, 33).cast("int"))
+        return F.filter(t, lambda x, j: F.coalesce(_part(F.get(t, j - 2)) != _part(x), F.lit(True)))
 
-    def parts(chosen):
-        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)),
-                           lambda b: let(F.filter(chosen, lambda x: _part(x) == b), in_text_order))
-    return let(let(numbered, least), parts)
+    def pairs(chosen):
+        def pair(x, j):
+            y = F.get(chosen, j + 1)
+            later = x.bitwiseAND(F.lit(_POS)) > y.bitwiseAND(F.lit(_POS))
+            both = F.when(later, F.xxhash64(_kmer(y), _kmer(x))).otherwise(F.xxhash64(_kmer(x), _kmer(y)))
+            tuple_hash = F.when(_part(y) == _part(x), both).otherwise(F.xxhash64(_kmer(x)))
+            head = F.coalesce(_part(F.get(chosen, j - 1)) != _part(x), F.lit(True))
+            return F.when(head, F.shiftleft(_part(x), 32).bitwiseOR(F.shiftrightunsigned(tuple_hash, 32)))
+        return F.filter(F.transform(chosen, pair), lambda p: p.isNotNull())
+    return let(let(numbered, least), pairs)
 
 
 def sketches(text: Column) -> Column:
-    """The fingerprint of a text as ``SLOTS`` ints (null: nothing in that part)."""
-    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    words = F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
-    return _sketches(_numbered(_kmers(words)))
+    """The fingerprint of a text as at most ``SLOTS`` longs."""
+    words = F.when(text.rlike(r"[^ \t-\r]"), F.split(text, r"[ \t-\r]+"))
+    return _sketches(_numbered(_kmers(F.coalesce(words, F.array().cast("array<string>")))))
 
 
 def fingerprint(sketch: Column) -> Column:
-    """Eight hex digits per sketch, dashes for an empty one."""
-    return F.array_join(F.transform(sketch, lambda s: F.coalesce(F.lpad(F.lower(F.hex(s)), 8, "0"), F.lit("-" * 8))), "")
+    """Ten hex digits per sketch: the part of the hash space and the tuple's hash."""
+    return F.array_join(F.transform(sketch, lambda s: F.lpad(F.lower(F.hex(s)), 10, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal sketches among those that either has; 1 if both have none."""
-    marks = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False)).cast("int")))
-    return let(F.filter(marks, lambda m: m.isNotNull()), lambda own: F.when(F.size(own) == 0, F.lit(1.0)).otherwise(
-        F.aggregate(own, F.lit(0), lambda n, m: n + m) / F.size(own).cast("double")))
+    """Share of equal sketches among the parts that either text fills; 1 if both fill none."""
+    filled = F.size(F.array_distinct(F.transform(F.concat(a, b), lambda s: F.shiftrightunsigned(s, 32))))
+    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled.cast("double"))
 
 
 def add_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
