@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, order_minhash, quality_qda, url_temporal
+from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, lstm_extract, order_minhash, quality_qda, url_temporal
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
 
 
+def op7_lstm_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = lstm_extract.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its bucket, batch and padding."""
     return length_packing.pack(_read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -96,6 +102,7 @@ QUERIES = {
     "op3_quality_qda": op3_quality_qda,
     "op4_url_temporal": op4_url_temporal,
     "op6_bbit_minhash": op6_bbit_minhash,
+    "op7_lstm_extract": op7_lstm_extract,
     "op8_length_packing": op8_length_packing,
     "op9_order_minhash": op9_order_minhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
