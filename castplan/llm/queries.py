@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, lstm_extract, order_minhash, quality_qda, url_temporal
+from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, lstm_extract, order_minhash, pseudo_likelihood, quality_qda, url_temporal
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op4_url_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_temporal.filter_urls(url_captures(pages), url_changes(pages))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked pseudo-likelihood of every document under a network trained on the corpus."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudo_likelihood.score(docs, keep=["doc_id"])
+
+
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on 4-word shingles at a similarity of 0.8."""
     return bbit_minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
@@ -101,6 +107,7 @@ QUERIES = {
     "op2_kd_sharding": op2_kd_sharding,
     "op3_quality_qda": op3_quality_qda,
     "op4_url_temporal": op4_url_temporal,
+    "op5_pseudo_likelihood": op5_pseudo_likelihood,
     "op6_bbit_minhash": op6_bbit_minhash,
     "op7_lstm_extract": op7_lstm_extract,
     "op8_length_packing": op8_length_packing,
