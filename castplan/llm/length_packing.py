@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castplan.llm.shared import gapless, materialize, without
+from castplan.llm.shared import gapless, materialize
 
 ADDED = ["n_tokens", "piece", "piece_tokens", "bucket", "bucket_length", "batch", "batch_slot", "padding"]
 
@@ -75,24 +75,26 @@ def choose_edges(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list:
     return edges[::-1]
 
 
-def pieces(docs: DataFrame, max_length: int, n_tokens: Column) -> DataFrame:
-    """One row per piece: ``n_tokens``, ``piece`` (0, 1, ...) and ``piece_tokens``."""
+def pieces(docs: DataFrame, max_length: int) -> DataFrame:
+    """One row per piece of rows with ``n_tokens``: ``piece`` (0, 1, ...) and ``piece_tokens``."""
     last = F.ceil(F.col("n_tokens") / max_length) - 1
-    out = docs.withColumn("n_tokens", n_tokens)
-    out = out.withColumn("piece", F.explode_outer(F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0).cast("long"), last))))
+    out = docs.withColumn("piece", F.explode_outer(F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0).cast("long"), last))))
     return out.withColumn("piece_tokens", F.when(F.col("piece").isNotNull(), F.least(F.lit(max_length).cast("long"), F.col("n_tokens") - F.col("piece") * max_length))
                           .otherwise(F.lit(0).cast("long")))
 
 
 def pack(docs: DataFrame, buckets: int = 12, max_length: int = 4096, token_budget: int = 32768, text_col: str = "text",
          id_col: str = "doc_id", n_tokens: Column | None = None, keep: list | None = None) -> DataFrame:
-    """``keep`` columns (all by default) of every piece, with the columns of ``ADDED``."""
+    """``keep`` columns (by default all but the text) of every piece, with the columns of ``ADDED``.
+
+    Piece ``i`` is the text's tokens ``i * max_length`` up to ``piece_tokens`` more; texts aren't
+    copied to their pieces.
+    """
     if token_budget < max_length:
         raise ValueError("token_budget must hold one piece of max_length tokens")
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
-    base = without(docs, *[c for c in ADDED if c != text_col])
-    counted = pieces(base, max_length, count_words(text_col) if n_tokens is None else n_tokens)
-    cut = materialize(counted.select(*names, "n_tokens", "piece", "piece_tokens"), "pieces")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (*ADDED, text_col if keep is None else "")]
+    counted = docs.select(*names, (count_words(text_col) if n_tokens is None else n_tokens).cast("long").alias("n_tokens"))
+    cut = materialize(pieces(counted, max_length), "pieces")
     histogram = cut.where("piece_tokens > 0").groupBy("piece_tokens").count().orderBy("piece_tokens").collect()
     edges = choose_edges(np.array([r[0] for r in histogram]), np.array([r[1] for r in histogram]), buckets)
     if not edges:
