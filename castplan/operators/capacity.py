@@ -12,18 +12,18 @@ and give each row ``min(remaining, capacity)`` molds where
 Rows may split over days; rows of one job share its job slot and per-job cap.
 
 The rule is sequential inside a pool, so Spark parallelises *across* pools: the narrow
-allocation input (``row_key, job, lane, molds`` and the sort keys) is grouped by the pool
-columns and each pool is filled by ``fill_pool`` (``applyInPandas``).  Wide rows never
-cross the Arrow boundary; chunks join back on ``row_key``.  ``floor_lane_closed_form`` is a
+allocation input (row id, job, lane, molds and the sort keys) is grouped by the pool columns
+and each pool is filled as a stream (``applyInPandas``).  Wide rows never cross the Arrow
+boundary; chunks join back on the row id.  ``floor_lane_closed_form`` is a
 pure-SQL equivalent for floor-only pools.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import heapq
 from typing import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,194 +33,173 @@ from castplan.functions.dates import as_date_lit
 from castplan.operators.prefix import running_sum, running_sums
 from castplan.schemas import FLOOR_CAST_TYPE, URGENT_WINDOW_WEEKS, CapacityLimits
 
-CHUNK_SCHEMA = "pool_key string, row_key string, schedule_day int, molds_for_ext int"
+CHUNK_SCHEMA = "row_hash long, row_copy int, schedule_day int, molds_for_ext int"
+ROW_ID = ["row_hash", "row_copy"]
 
 
-def allocate_sorted(jobs, is_floor, molds, limits: CapacityLimits = CapacityLimits()):
-    """Fill days for rows already in priority order.  Returns (positions, days, takes).
+def with_row_id(rows: DataFrame) -> DataFrame:
+    """``rows`` with a real row id in two columns: a hash of every column, and the number of the
+    copy among rows that are equal in all of them.  Rows that have one keep it."""
+    if set(ROW_ID) <= set(rows.columns):
+        return rows
+    hashed = rows.withColumn("row_hash", F.xxhash64(F.to_json(F.struct(*rows.columns))))
+    return hashed.withColumn("row_copy", F.row_number().over(Window.partitionBy("row_hash").orderBy("row_hash")))
 
-    Pure python over two lane queues (line, floor) merged by position.  A full lane is not
-    scanned, and once the day's job slots are used only later rows of the day's jobs are
-    visited, so the cost is O(chunks + skipped rows), not O(rows x days).
+
+class _Pool:
+    """Pending rows of one pool, read lazily from Arrow batches in any order.
+
+    Of every (job, lane) only the first pending row can take molds at any moment, so each lane is
+    a heap of those.  ``lane_pos``/``job_pos`` number the rows of a lane and of a (job, lane) from
+    1; they tell whether an earlier row is still unread.
     """
-    from collections import deque
-
-    n = len(molds)
-    remaining = [int(x) for x in molds]
-    is_floor = [bool(x) for x in is_floor]
-    jobs = list(jobs)
-    lmax, fmax = limits.line_molds_per_day, limits.floor_molds_per_day
-    jcap, maxj = limits.line_molds_per_job_per_day, max(int(limits.max_jobs_per_day), 1)
-    line_q = deque(i for i in range(n) if not is_floor[i] and remaining[i] > 0)
-    floor_q = deque(i for i in range(n) if is_floor[i] and remaining[i] > 0)
-    by_job: dict = {}
-    for i in range(n):
-        if remaining[i] > 0:
-            by_job.setdefault(jobs[i], []).append(i)
-    repeated = any(len(v) > 1 for v in by_job.values())
-    pending = sum(1 for r in remaining if r > 0)
-    out_pos, out_day, out_take = [], [], []
-    day = 0
-    while pending > 0:
-        day += 1
-        on_day: set = set()
-        line_by_job: dict = {}
-        used_l = used_f = 0
-        last_pos = -1
-        popped_l, popped_f = [], []
-        while len(on_day) < maxj:
-            while line_q and remaining[line_q[0]] == 0:
-                line_q.popleft()
-            while floor_q and remaining[floor_q[0]] == 0:
-                floor_q.popleft()
-            la = line_q[0] if (used_l < lmax and line_q) else None
-            fb = floor_q[0] if (used_f < fmax and floor_q) else None
-            if la is None and fb is None:
-                break
-            if fb is None or (la is not None and la < fb):
-                i = line_q.popleft()
-                popped_l.append(i)
-                cap = min(jcap - line_by_job.get(jobs[i], 0), lmax - used_l)
-                if cap > 0:
-                    t = min(remaining[i], cap)
-                    line_by_job[jobs[i]] = line_by_job.get(jobs[i], 0) + t
-                    used_l += t
-                    on_day.add(jobs[i])
-                else:
-                    t = 0
-            else:
-                i = floor_q.popleft()
-                popped_f.append(i)
-                t = min(remaining[i], fmax - used_f)
-                used_f += t
-                on_day.add(jobs[i])
-            if t > 0:
-                remaining[i] -= t
-                pending -= remaining[i] == 0
-                out_pos.append(i)
-                out_day.append(day)
-                out_take.append(t)
-            last_pos = i
-        if repeated and len(on_day) >= maxj:
-            # job slots are full: only later rows of today's jobs may still take molds
-            for i in sorted(p for j in on_day for p in by_job[j] if p > last_pos and remaining[p] > 0):
-                if is_floor[i]:
-                    t = min(remaining[i], fmax - used_f)
-                    used_f += max(t, 0)
-                else:
-                    t = min(remaining[i], jcap - line_by_job.get(jobs[i], 0), lmax - used_l)
-                    if t > 0:
-                        line_by_job[jobs[i]] = line_by_job.get(jobs[i], 0) + t
-                        used_l += t
-                if t > 0:
-                    remaining[i] -= t
-                    pending -= remaining[i] == 0
-                    out_pos.append(i)
-                    out_day.append(day)
-                    out_take.append(t)
-        line_q.extendleft(reversed([i for i in popped_l if remaining[i] > 0]))
-        floor_q.extendleft(reversed([i for i in popped_f if remaining[i] > 0]))
-    return out_pos, out_day, out_take
-
-
-class _LaneStream:
-    """Rows of one pool, in priority order, pulled lazily from Arrow batches into two lane
-    queues.  Only rows needed to decide the current day are ever held."""
 
     def __init__(self, batches):
-        from collections import deque
         self._rows = self._iter(batches)
-        self.done = False
-        self.line, self.floor = deque(), deque()
-        self.items = {}  # priority position -> [row_key, job, remaining, pool_key]
-        self.line_closed = self.floor_closed = False  # lane's last row already read
+        self.items: dict = {}  # seq -> [row id, job, lane, remaining, lane_pos, job_pos]
+        self.heaps = ([], [])  # line, floor
+        self.frontier, self._ahead = [0, 0], (set(), set())
+        self.sizes = None  # rows per lane
+        self.waiting: dict = {}  # (job, lane) -> {job_pos: seq}
+        self.next_pos: dict = {}  # (job, lane) -> first pending job_pos
+        self.job_sizes: dict = {}  # job -> rows per lane
 
     @staticmethod
     def _iter(batches):
-        pos = 0
+        names = ("seq", "row_hash", "row_copy", "job_key", "is_floor", "molds", "lane_pos", "line_n", "floor_n",
+                 "job_pos", "job_line_n", "job_floor_n")
         for b in batches:
-            seqs = b["seq"].tolist() if "seq" in b.columns else range(pos, pos + len(b))
-            last = b["lane_last"].tolist() if "lane_last" in b.columns else [False] * len(b)
-            pos += len(b)
-            yield from zip(seqs, b["pool_key"].tolist(), b["row_key"].tolist(), b["job_key"].tolist(),
-                           b["is_floor"].tolist(), b["molds"].tolist(), last)
+            yield from zip(*[b[c].tolist() for c in names])
 
     def pull(self) -> bool:
-        """Read one more row into its lane.  Rows of one lane must arrive in priority order;
-        the two lanes may interleave in any way (``seq`` is the priority position)."""
-        for seq, pool_key, row_key, job, is_floor, molds, last in self._rows:
-            if is_floor:
-                self.floor_closed = self.floor_closed or bool(last)
-            else:
-                self.line_closed = self.line_closed or bool(last)
-            if molds <= 0:
-                continue
-            self.items[seq] = [row_key, job, int(molds), pool_key]
-            (self.floor if is_floor else self.line).append(seq)
-            return True
-        self.done = True
-        return False
+        row = next(self._rows, None)
+        if row is None:
+            return False
+        seq, a, b, job, floor, molds, lane_pos, line_n, floor_n, job_pos, job_line_n, job_floor_n = row
+        lane = int(floor)
+        self.sizes = (line_n, floor_n)
+        self._ahead[lane].add(lane_pos)
+        while self.frontier[lane] + 1 in self._ahead[lane]:
+            self.frontier[lane] += 1
+            self._ahead[lane].remove(self.frontier[lane])
+        self.job_sizes[job] = (job_line_n, job_floor_n)
+        self.items[seq] = [(a, b), job, lane, int(molds), lane_pos, job_pos]
+        key = (job, lane)
+        self.waiting.setdefault(key, {})[job_pos] = seq
+        if job_pos == self.next_pos.setdefault(key, 1):
+            heapq.heappush(self.heaps[lane], seq)
+        return True
+
+    def head(self, lane: int):
+        """Priority position of the lane's next row, or None if the lane is empty; reads on
+        until no unread row can come before it."""
+        while True:
+            heap = self.heaps[lane]
+            if heap and self.items[heap[0]][4] <= self.frontier[lane]:
+                return heap[0]
+            if self.sizes is not None and self.frontier[lane] >= self.sizes[lane]:
+                return heap[0] if heap else None
+            if not self.pull():
+                return heap[0] if heap else None
+
+    def first_of(self, job, lane: int):
+        """Priority position of the first pending row of (job, lane), reading on to find it."""
+        while self.next_pos.get((job, lane), 1) <= self.job_sizes[job][lane]:
+            seq = self.waiting.get((job, lane), {}).get(self.next_pos.get((job, lane), 1))
+            if seq is not None:
+                return seq
+            if not self.pull():
+                return None
+        return None
+
+    def finish(self, seq: int) -> None:
+        """Drop a row that has all its molds; its job's next row takes its place in the lane."""
+        _, job, lane, _, _, job_pos = self.items.pop(seq)
+        key = (job, lane)
+        own = self.waiting[key]
+        del own[job_pos]
+        self.next_pos[key] = job_pos + 1
+        if job_pos + 1 in own:
+            heapq.heappush(self.heaps[lane], own[job_pos + 1])
+        elif not own and job_pos >= self.job_sizes[job][lane]:
+            del self.waiting[key]
 
 
 def allocate_stream(batches, limits: CapacityLimits = CapacityLimits(), out_rows: int = 8192):
-    """Streaming form of the rule for pools whose rows have distinct jobs.
-
-    ``batches`` must arrive in priority order.  Yields DataFrames of chunks
-    (``pool_key, row_key, schedule_day, molds_for_ext``).  Memory holds the rows between the
-    earliest unfinished row and the furthest row the current day had to look at: small when
-    the line and floor lanes progress at similar rates, but when one lane is the bottleneck
-    the other runs ahead and the held rows grow with the pool (the rule itself serves those
-    far-ahead rows early, so they must be seen).
+    """The allocation rule for one pool, as a stream; yields DataFrames of chunks.
+
+    One path for any rows: jobs may have several rows, in one lane or both.  Rows may arrive in
+    any order; the order decides only how many are held (see ``lane_paced``).  The cost is
+    O((chunks + days) log rows): a full lane isn't scanned, and of each job one row per lane is looked at.
     """
-    s = _LaneStream(batches)
-    lmax, fmax = limits.line_molds_per_day, limits.floor_molds_per_day
-    jcap, maxj = limits.line_molds_per_job_per_day, max(int(limits.max_jobs_per_day), 1)
-    out = {"pool_key": [], "row_key": [], "schedule_day": [], "molds_for_ext": []}
+    pool = _Pool(batches)
+    caps = (limits.line_molds_per_day, limits.floor_molds_per_day)
+    job_cap, max_jobs = limits.line_molds_per_job_per_day, max(int(limits.max_jobs_per_day), 1)
+    names = (*ROW_ID, "schedule_day", "molds_for_ext")
+    out: list = []
     day = 0
-    while True:
-        if not s.line and not s.floor and not s.pull():
-            break
+
+    def frame():
+        return pd.DataFrame(out, columns=names).astype({"row_hash": "int64", "row_copy": "int32", "schedule_day": "int32", "molds_for_ext": "int32"})
+
+    while pool.items or pool.pull():
         day += 1
-        jobs_today = 0
-        used_l = used_f = 0
-        popped_l, popped_f = [], []
-        while jobs_today < maxj:
-            # an open lane without a buffered head may still have an earlier row unread
-            if not s.done and ((used_l < lmax and not s.line and not s.line_closed)
-                               or (used_f < fmax and not s.floor and not s.floor_closed)):
-                s.pull()
-                continue
-            la = s.line[0] if (used_l < lmax and s.line) else None
-            fb = s.floor[0] if (used_f < fmax and s.floor) else None
-            if la is None and fb is None:
+        jobs: dict = {}  # job -> line molds today
+        used = [0, 0]
+        resting: list = []  # looked at today and still pending
+
+        def room(job, lane):
+            left = caps[lane] - used[lane]
+            return left if lane else min(left, job_cap - jobs.get(job, 0))
+
+        def take(seq):
+            item = pool.items[seq]
+            row, job, lane = item[0], item[1], item[2]
+            n = min(item[3], room(job, lane))
+            if n > 0:
+                item[3] -= n
+                used[lane] += n
+                jobs[job] = jobs.get(job, 0) + (0 if lane else n)
+                out.append((*row, day, n))
+            if item[3] == 0:
+                pool.finish(seq)
+                return True
+            resting.append(seq)
+            return False
+
+        while len(jobs) < max_jobs:
+            heads = [h for h in (pool.head(lane) for lane in (0, 1) if used[lane] < caps[lane]) if h is not None]
+            if not heads:
                 break
-            if fb is None or (la is not None and la < fb):
-                i = s.line.popleft()
-                popped_l.append(i)
-                t = min(s.items[i][2], jcap, lmax - used_l)
-                used_l += t
-            else:
-                i = s.floor.popleft()
-                popped_f.append(i)
-                t = min(s.items[i][2], fmax - used_f)
-                used_f += t
-            it = s.items[i]
-            it[2] -= t
-            jobs_today += 1
-            out["pool_key"].append(it[3])
-            out["row_key"].append(it[0])
-            out["schedule_day"].append(day)
-            out["molds_for_ext"].append(t)
-        s.line.extendleft(reversed([i for i in popped_l if s.items[i][2] > 0]))
-        s.floor.extendleft(reversed([i for i in popped_f if s.items[i][2] > 0]))
-        for i in popped_l + popped_f:
-            if s.items[i][2] == 0:
-                del s.items[i]
-        if len(out["row_key"]) >= out_rows:
-            yield pd.DataFrame(out).astype({"schedule_day": "int32", "molds_for_ext": "int32"})
-            out = {k: [] for k in out}
-    if out["row_key"]:
-        yield pd.DataFrame(out).astype({"schedule_day": "int32", "molds_for_ext": "int32"})
+            seq = min(heads)
+            heapq.heappop(pool.heaps[pool.items[seq][2]])
+            take(seq)
+        if len(jobs) >= max_jobs:
+            # job slots are used: only further rows of today's jobs may take molds, in priority order
+            done: set = set(resting)
+            while True:
+                open_rows = []
+                for job in jobs:
+                    for lane in (0, 1):
+                        if room(job, lane) > 0:
+                            seq = pool.first_of(job, lane)
+                            if seq is not None and seq not in done:
+                                open_rows.append(seq)
+                if not open_rows:
+                    break
+                seq = min(open_rows)
+                lane = pool.items[seq][2]
+                pool.heaps[lane].remove(seq)
+                heapq.heapify(pool.heaps[lane])
+                if not take(seq):
+                    done.add(seq)
+        for seq in resting:
+            heapq.heappush(pool.heaps[pool.items[seq][2]], seq)
+        if len(out) >= out_rows:
+            yield frame()
+            out.clear()
+    if out:
+        yield frame()
 
 
 def _stream_pool_fn(limits: CapacityLimits):
@@ -229,135 +208,107 @@ def _stream_pool_fn(limits: CapacityLimits):
     return fill_pool_stream
 
 
-def _fill_pool_fn(limits: CapacityLimits):
-    def fill_pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame({"pool_key": [], "row_key": [], "schedule_day": [],
-                                 "molds_for_ext": []})
-        pdf = pdf.sort_values(["urgent", "due_ord", "group_key", "job_key", "row_key"],
-                              na_position="last", kind="mergesort").reset_index(drop=True)
-        pos, days, takes = allocate_sorted(pdf["job_key"].to_numpy(), pdf["is_floor"].to_numpy(),
-                                           pdf["molds"].to_numpy(), limits)
-        pos = np.asarray(pos, dtype=np.int64)
-        return pd.DataFrame({
-            "pool_key": pdf["pool_key"].to_numpy()[pos] if len(pos) else [],
-            "row_key": pdf["row_key"].to_numpy()[pos] if len(pos) else [],
-            "schedule_day": np.asarray(days, dtype=np.int32),
-            "molds_for_ext": np.asarray(takes, dtype=np.int32)})
-    return fill_pool
-
-
-def allocation_input(rows: DataFrame, reference_date, pool_cols=("pool",),
-                     row_key_cols=("job_number", "ext")) -> DataFrame:
-    """Narrow per-row allocation input: pool key, row key, job key, lane, molds, sort keys."""
+def _pool_key(pool_cols):
+    """One text per pool; several columns are told apart as JSON."""
+    if not pool_cols:
+        return F.lit("")
+    return F.col(pool_cols[0]).cast("string") if len(pool_cols) == 1 else F.to_json(F.struct(*pool_cols))
+
+
+def allocation_input(rows: DataFrame, reference_date, pool_cols=("pool",)) -> DataFrame:
+    """Narrow per-row allocation input: row id, pool key, job key, lane, molds, sort keys."""
+    rows = with_row_id(rows)
     ref = as_date_lit(reference_date)
     cutoff = F.date_add(ref, 7 * URGENT_WINDOW_WEEKS)
-    due = F.col("due_date").cast("date")
-    pool_key = (F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pool_cols])
-                if pool_cols else F.lit(""))
+    due = F.col("due_date").cast("string").try_cast("date")
     group = (F.col("compatibility_group") if "compatibility_group" in rows.columns
              else F.coalesce(F.col("alloy"), F.lit("")))
     ct = F.upper(F.trim(F.coalesce(F.col("casting_type").cast("string"), F.lit("L"))))
+    ext = F.col("ext").cast("string") if "ext" in rows.columns else F.lit("")
     return rows.select(
-        pool_key.alias("pool_key"),
-        F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_key_cols])
-        .alias("row_key"),
-        norm_key_ws("job_number").alias("job_key"),
+        *ROW_ID, _pool_key(pool_cols).alias("pool_key"), norm_key_ws("job_number").alias("job_key"),
         (ct == FLOOR_CAST_TYPE).alias("is_floor"),
-        F.coalesce(F.col("molds_for_ext").cast("int"), F.lit(0)).alias("molds"),
+        F.coalesce(F.col("molds_for_ext").cast("string").try_cast("double").cast("int"), F.lit(0)).alias("molds"),
         F.when(due.isNotNull() & (due <= cutoff), 0).otherwise(1).alias("urgent"),
         F.datediff(due, F.lit(_dt.date(1970, 1, 1))).alias("due_ord"),
-        group.cast("string").alias("group_key"),
+        group.cast("string").alias("group_key"), F.col("job_number").cast("string").alias("job_text"), ext.alias("ext_key"),
     ).where((F.col("job_key") != "") & (F.col("molds") > 0))
 
 
-SORT_KEYS = ("pool_key", "urgent", "due_ord", "group_key", "job_key", "row_key")
-
-
-def jobs_unique_per_pool(inp: DataFrame) -> bool:
-    """True when no job has two rows in one pool (one small aggregate over narrow rows)."""
-    return inp.groupBy("pool_key", "job_key").count().where(F.col("count") > 1).isEmpty()
+#: Priority order inside a pool: the rule's keys, then text, molds and the row id as tie-breaks.
+SORT_KEYS = ("urgent", "due_ord", "group_key", "job_key", "job_text", "ext_key", "molds", *ROW_ID)
 
 
-def allocate(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(),
-             pool_cols=("pool",), row_key_cols=("job_number", "ext"), mode: str = "auto") -> DataFrame:
-    """Allocation chunks: ``pool_key, row_key, schedule_day, molds_for_ext`` (one per row-day).
+def allocate(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(), pool_cols=("pool",)) -> DataFrame:
+    """Allocation chunks: ``row_hash, row_copy, schedule_day, molds_for_ext`` (one per row-day).
 
-    Pools run in parallel; inside a pool the rule is sequential.
-
-    * ``mode="stream"`` (rows with distinct jobs per pool): the narrow rows are hash
-      partitioned by pool and sorted inside partitions by the priority keys; that ordering
-      satisfies the grouped map's own requirement, so each pool arrives as an ordered
-      stream of Arrow batches and chunks stream out; only the rows between the two lanes'
-      fronts are held (see ``allocate_stream``).
-    * ``mode="group"``: the general rule (several rows per job share its job slot and cap,
-      which needs every later row of a job): each pool is materialised in its task.
-    * ``mode="auto"`` picks ``stream`` when jobs are unique per pool.
+    Pools run in parallel; inside a pool the rule is sequential.  The narrow rows are hash
+    partitioned by pool and sorted inside partitions by estimated day; that ordering satisfies
+    the grouped map's own requirement, so each pool arrives as an ordered stream of Arrow batches
+    and chunks stream out.  There is one path, for unique and for repeated jobs.
     """
-    inp = allocation_input(rows, reference_date, pool_cols, row_key_cols)
-    if mode == "auto":
-        mode = "stream" if jobs_unique_per_pool(inp) else "group"
-    if mode == "group":
-        return inp.groupBy("pool_key").applyInPandas(_fill_pool_fn(limits), CHUNK_SCHEMA)
     # pool_key ASC (nulls first) matches the grouped map's required ordering, so Spark adds
-    # no re-sort above this one and the priority order reaches the function intact
-    ordered = (lane_paced(inp, limits).repartition("pool_key")
+    # no re-sort above this one and the order reaches the function intact
+    ordered = (lane_paced(allocation_input(rows, reference_date, pool_cols), limits).repartition("pool_key")
                .sortWithinPartitions(F.col("pool_key").asc(), F.col("est_day"), F.col("seq")))
     return ordered.groupBy("pool_key").applyInPandas(_stream_pool_fn(limits), CHUNK_SCHEMA)
 
 
 def lane_paced(inp: DataFrame, limits: CapacityLimits = CapacityLimits()) -> DataFrame:
-    """Add ``seq`` (priority position in the pool) and ``est_day``, a lower bound of the day a
-    row can start: its lane's molds before it over the lane's daily molds, or its lane's rows
-    before it over the daily job slots.  Delivering rows by ``(est_day, seq)`` keeps each
-    lane in priority order while pacing the two lanes against each other, so a fast lane's
-    rows arrive about when they are needed instead of after the slow lane's backlog;
-    ``lane_last`` marks each lane's final row.
-    The running counts come from one distributed pass (``prefix.running_sums``)."""
-    order = [F.col(c).asc_nulls_last() for c in SORT_KEYS[1:]]
+    """Add ``seq`` (priority position in the pool), the positions and row counts that the
+    allocator checks reading by (``lane_pos``, ``job_pos``, ...), and ``est_day``, a lower bound of
+    the day a row can start: its lane's molds before it over the lane's daily molds or its lane's
+    rows before it over the daily job slots; a further row of a job may also follow the job's first
+    row, at the pace of the job's daily cap.  Delivering rows by ``(est_day, seq)`` paces the two
+    lanes against each other, so rows arrive about when they are needed instead of after the other
+    lane's backlog."""
+    order = [F.col(c).asc_nulls_last() for c in SORT_KEYS]
     fl = F.col("is_floor")
+    slots = F.lit(max(int(limits.max_jobs_per_day), 1))
     d = running_sums(inp, ["pool_key"], order, {
         "seq": F.lit(1),
         "_floor_molds": F.when(fl, F.col("molds")).otherwise(0),
         "_line_molds": F.when(fl, 0).otherwise(F.col("molds")),
         "_floor_rows": F.when(fl, 1).otherwise(0),
         "_line_rows": F.when(fl, 0).otherwise(1)})
-    d = d.withColumns({
-        "_lane_molds": F.when(fl, F.col("_floor_molds")).otherwise(F.col("_line_molds")) - F.col("molds"),
-        "_lane_rows": F.when(fl, F.col("_floor_rows")).otherwise(F.col("_line_rows")) - 1,
-    }).drop("_floor_molds", "_line_molds", "_floor_rows", "_line_rows")
+    before = F.when(fl, F.col("_floor_molds")).otherwise(F.col("_line_molds")) - F.col("molds")
     cap = F.when(fl, F.lit(limits.floor_molds_per_day)).otherwise(F.lit(limits.line_molds_per_day))
-    est = F.greatest(F.floor(F.col("_lane_molds") / cap),
-                     F.floor(F.col("_lane_rows") / F.lit(max(int(limits.max_jobs_per_day), 1))))
-    # the last row of each lane tells the allocator not to read on for that lane
-    sizes = inp.groupBy("pool_key", "is_floor").agg(F.count(F.lit(1)).alias("_lane_n"))  # pools x 2 rows
-    d = d.join(sizes, ["pool_key", "is_floor"], "inner")
-    return (d.withColumns({"est_day": est.cast("long"), "lane_last": F.col("_lane_rows") + 1 == F.col("_lane_n")})
-            .drop("_one", "_lane_molds", "_lane_rows", "_lane_n"))
-
-
-def mold_assignments(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(),
-                     pool_cols=("pool",), row_key_cols=("job_number", "ext"), mode: str = "auto") -> DataFrame:
+    d = d.withColumn("lane_pos", F.when(fl, F.col("_floor_rows")).otherwise(F.col("_line_rows")))
+    # several rows of a lane's earlier days may belong to one job, which takes one slot
+    lane_est = F.floor(before / cap)
+    job = Window.partitionBy("pool_key", "job_key")
+    lane = Window.partitionBy("pool_key", "job_key", "is_floor").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_est", lane_est)
+    d = d.withColumns({"job_line_n": F.count_if(~fl).over(job), "job_floor_n": F.count_if(fl).over(job), "_job_est": F.min("_est").over(job),
+                       "job_pos": F.count(F.lit(1)).over(lane), "_job_before": F.sum("molds").over(lane) - F.col("molds")})
+    job_cap = F.when(fl, F.lit(limits.floor_molds_per_day)).otherwise(F.lit(limits.line_molds_per_job_per_day))
+    jobs_only = F.floor((F.col("lane_pos") - 1) / slots)
+    alone = F.col("job_line_n") + F.col("job_floor_n") == 1
+    est = F.when(alone, F.greatest("_est", jobs_only)).otherwise(
+        F.least(F.col("_est"), F.col("_job_est") + F.floor(F.col("_job_before") / job_cap)))
+    # rows per lane: one row per pool, joined with a null-safe key
+    sizes = inp.groupBy(F.col("pool_key").alias("_pool")).agg(F.count_if(~fl).alias("line_n"), F.count_if(fl).alias("floor_n"))
+    d = d.withColumn("est_day", est.cast("long")).join(sizes, F.col("pool_key").eqNullSafe(F.col("_pool")), "inner")
+    return d.select("pool_key", "est_day", "seq", *ROW_ID, "job_key", "is_floor", "molds", "lane_pos", "line_n", "floor_n",
+                    "job_pos", "job_line_n", "job_floor_n")
+
+
+def mold_assignments(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(), pool_cols=("pool",)) -> DataFrame:
     """Schedule rows expanded to day chunks: every input column plus ``schedule_day`` and the
     chunk's ``molds_for_ext`` / ``total_weight_per_ext`` (truncated to whole pounds), and the
     pour defaults ``pour_schedule_day = schedule_day``, ``heat_number = global_heat = 1``.
     """
-    chunks = allocate(rows, reference_date, limits, pool_cols, row_key_cols, mode)
-    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_key_cols])
-    pool_key = (F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pool_cols])
-                if pool_cols else F.lit(""))
-    wide = rows.withColumns({"_row_key": key, "_pool_key": pool_key}) \
-        .withColumnRenamed("molds_for_ext", "planned_molds_for_ext") \
-        .drop("total_weight_per_ext")
-    j = chunks.join(wide, (chunks.row_key == wide._row_key) & (chunks.pool_key == wide._pool_key),
-                    "inner")
-    w = F.greatest(F.coalesce(F.col("pour_weight"), F.lit(0)), F.lit(0))
-    return (j.withColumns({
+    rows = with_row_id(rows)
+    chunks = allocate(rows, reference_date, limits, pool_cols)
+    wide = rows.withColumnRenamed("molds_for_ext", "planned_molds_for_ext").drop("total_weight_per_ext")
+    w = F.greatest(F.coalesce(F.col("pour_weight").cast("string").try_cast("double"), F.lit(0.0)), F.lit(0.0)) \
+        if dict(rows.dtypes)["pour_weight"] == "string" else F.greatest(F.coalesce(F.col("pour_weight"), F.lit(0)), F.lit(0))
+    return (chunks.join(wide, ROW_ID, "inner").withColumns({
         "total_weight_per_ext": F.floor(w * F.col("molds_for_ext")).cast("long"),
         "pour_schedule_day": F.col("schedule_day"),
         "heat_number": F.lit(1),
         "global_heat_number": F.lit(1),
-    }).drop("_row_key", "_pool_key", "row_key", "pool_key"))
+    }).drop(*ROW_ID))
 
 
 def floor_lane_closed_form(rows: DataFrame, reference_date,
@@ -368,18 +319,16 @@ def floor_lane_closed_form(rows: DataFrame, reference_date,
     limit.  Equals ``allocate`` for floor-only pools when ``max_jobs_per_day`` is at least
     the floor limit.  Output: ``pool_key, job_number, schedule_day, molds_for_ext``.
     """
-    inp = allocation_input(rows, reference_date, pool_cols, ("job_number",))
-    inp = inp.where(F.col("is_floor"))
+    inp = allocation_input(rows, reference_date, pool_cols).where(F.col("is_floor"))
     cap = limits.floor_molds_per_day
-    order = [F.col("urgent"), F.col("due_ord").asc_nulls_last(), F.col("group_key").asc_nulls_last(),
-             F.col("job_key"), F.col("row_key")]
+    order = [F.col(c).asc_nulls_last() for c in SORT_KEYS]
     c = running_sum(inp, ["pool_key"], order, "molds", "_end")
     c = c.withColumn("_start", F.col("_end") - F.col("molds"))
     d = c.withColumn("schedule_day", F.explode(F.sequence(
         (F.floor(F.col("_start") / cap) + 1).cast("int"), (F.floor((F.col("_end") - 1) / cap) + 1).cast("int"))))
     lo = F.greatest(F.col("_start"), (F.col("schedule_day") - 1) * cap)
     hi = F.least(F.col("_end"), F.col("schedule_day") * cap)
-    return d.select("pool_key", F.col("row_key").alias("job_number"), "schedule_day",
+    return d.select("pool_key", F.col("job_text").alias("job_number"), "schedule_day",
                     (hi - lo).cast("int").alias("molds_for_ext"))
 
 

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -92,39 +94,59 @@ def test_max_jobs_setting_parse():
     assert resolve_max_jobs_per_day(" 7 ") == 7
 
 
-def test_fast_allocator_equals_brute_force():
+def stream_frame(items, shuffled=None):
+    """Rows as ``lane_paced`` delivers them, for items (job, cast type, molds) in priority order."""
+    lane, per_job, rows = [0, 0], {}, []
+    for k, (job, cast, molds) in enumerate(items):
+        floor = cast == "F"
+        lane[floor] += 1
+        per_job[job, floor] = per_job.get((job, floor), 0) + 1
+        rows.append((k, k, 1, job, floor, molds, lane[floor], per_job[job, floor]))
+    df = pd.DataFrame(rows, columns=["seq", "row_hash", "row_copy", "job_key", "is_floor", "molds", "lane_pos", "job_pos"])
+    df = df.assign(line_n=lane[0], floor_n=lane[1], job_line_n=[per_job.get((j, False), 0) for j in df.job_key],
+                   job_floor_n=[per_job.get((j, True), 0) for j in df.job_key])
+    return df if shuffled is None else df.sample(frac=1, random_state=shuffled)
+
+
+def stream(df, max_jobs=10, batch=50):
+    got = []
+    for b in capacity.allocate_stream((df.iloc[a:a + batch] for a in range(0, len(df), batch)),
+                                      CapacityLimits(max_jobs_per_day=max_jobs), out_rows=3):
+        got += list(zip(b.row_hash, b.schedule_day, b.molds_for_ext))
+    return sorted(got)
+
+
+def test_allocator_equals_brute_force_with_repeated_jobs():
     rnd = random.Random(7)
-    for _ in range(1500):
+    for t in range(1500):
         n, nj = rnd.randint(0, 30), rnd.randint(1, 35)
-        items = [(f"J{rnd.randint(1, nj)}", rnd.choice("FLL"), rnd.randint(0, 20)) for _ in range(n)]
+        items = [(f"J{rnd.randint(1, nj)}", rnd.choice("FLL"), rnd.randint(1, 20)) for _ in range(n)]
         mj = rnd.choice([1, 2, 3, 10])
-        pos, day, take = capacity.allocate_sorted([i[0] for i in items], [i[1] == "F" for i in items],
-                                                  [i[2] for i in items], CapacityLimits(max_jobs_per_day=mj))
-        assert sorted(zip(pos, day, take)) == sorted(brute_allocate(items, max_jobs=mj))
+        # in priority order, and in any other order of arrival
+        df = stream_frame(items, rnd.choice([None, t]))
+        assert stream(df, mj, rnd.choice([1, 4, 50])) == sorted(brute_allocate(items, max_jobs=mj))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from("FLLL"), st.integers(0, 25)), max_size=40),
+@given(st.lists(st.tuples(st.sampled_from("FLLL"), st.integers(1, 25)), max_size=40),
        st.integers(1, 12))
 def test_invariants(items, max_jobs):
-    lim = CapacityLimits(max_jobs_per_day=max_jobs)
-    jobs = [f"J{i}" for i in range(len(items))]
-    pos, day, take = capacity.allocate_sorted(jobs, [c == "F" for c, _ in items], [m for _, m in items], lim)
+    out = stream(stream_frame([(f"J{i}", c, m) for i, (c, m) in enumerate(items)]), max_jobs)
     # molds conserved
-    assert sum(take) == sum(m for _, m in items)
+    assert sum(t for _, _, t in out) == sum(m for _, m in items)
     # daily caps respected
-    for d in set(day):
-        idx = [k for k in range(len(day)) if day[k] == d]
-        assert len({jobs[pos[k]] for k in idx}) <= max_jobs
-        assert sum(take[k] for k in idx if items[pos[k]][0] != "F") <= 30
-        assert sum(take[k] for k in idx if items[pos[k]][0] == "F") <= 3
-        assert all(take[k] <= 6 for k in idx if items[pos[k]][0] != "F")
+    for d in {d for _, d, _ in out}:
+        own = [(p, t) for p, e, t in out if e == d]
+        assert len({p for p, _ in own}) <= max_jobs
+        assert sum(t for p, t in own if items[p][0] != "F") <= 30
+        assert sum(t for p, t in own if items[p][0] == "F") <= 3
+        assert all(t <= 6 for p, t in own if items[p][0] != "F")
     # order monotone within a lane: a row never starts before an earlier row of its lane
     first = {}
-    for p, d in zip(pos, day):
-        first.setdefault(p, d)
+    for p, d, _ in out:
+        first[p] = min(d, first.get(p, d))
     for lane in "FL":
-        ps = sorted(p for p in first if items[p][0] == lane)
+        ps = sorted(p for p in first if (items[p][0] == "F") == (lane == "F"))
         assert all(first[a] <= first[b] for a, b in zip(ps, ps[1:]))
 
 
@@ -133,9 +155,9 @@ def test_floor_closed_form_equals_allocator(spark):
     rows = [{"job": f"F{i:03d}", "cast": "F", "molds": rnd.randint(1, 9), "pool": i % 3,
              "due": f"2026-{rnd.randint(8, 12):02d}-{rnd.randint(1, 28):02d}"} for i in range(40)]
     df = alloc_frame(spark, rows)
-    a = capacity.allocate(df, REF, CapacityLimits(), ("pool",), ("job_number",))
+    a = capacity.mold_assignments(df, REF).withColumn("pool_key", F.col("pool").cast("string"))
     b = capacity.floor_lane_closed_form(df, REF, CapacityLimits(), ("pool",))
-    norm = lambda x: sorted(tuple(r) for r in x.select(F.col("pool_key").cast("string"), "job_number" if "job_number" in x.columns else F.col("row_key"), "schedule_day", "molds_for_ext").collect())
+    norm = lambda x: sorted(tuple(r) for r in x.select("pool_key", "job_number", "schedule_day", "molds_for_ext").collect())
     assert norm(a) == norm(b)
 
 
@@ -147,79 +169,74 @@ def test_capacity_check_finds_no_violation(spark):
     assert chk["planned_molds"] == chk["assigned_molds"] and chk["violation_days"] == 0
 
 
-def test_stream_allocator_equals_brute_force():
-    import pandas as pd
-    rnd = random.Random(11)
-    for _ in range(1000):
-        n = rnd.randint(0, 35)
-        items = [(f"J{k}", rnd.choice("FLL"), rnd.randint(0, 20)) for k in range(n)]
-        mj = rnd.choice([1, 2, 3, 10])
-        df = pd.DataFrame({"pool_key": ["p"] * n, "row_key": [str(k) for k in range(n)],
-                           "job_key": [i[0] for i in items], "is_floor": [i[1] == "F" for i in items],
-                           "molds": [i[2] for i in items]})
-        bs = rnd.choice([1, 4, 50])
-        got = []
-        for b in capacity.allocate_stream(iter([df.iloc[a:a + bs] for a in range(0, n, bs)]),
-                                          CapacityLimits(max_jobs_per_day=mj), out_rows=3):
-            got += list(zip(map(int, b.row_key), b.schedule_day, b.molds_for_ext))
-        assert sorted(got) == sorted(brute_allocate(items, max_jobs=mj))
-
-
-def test_stream_and_group_modes_agree(spark):
+def spark_equals_brute(spark, rows):
+    """``allocate`` over pools against the literal rule, row by row."""
+    df = capacity.with_row_id(alloc_frame(spark, rows))
+    inp = capacity.allocation_input(df, REF).toPandas()
+    keys = [k for k in capacity.SORT_KEYS]
+    got = {}
+    for r in capacity.allocate(df, REF).collect():
+        got.setdefault((r.row_hash, r.row_copy), []).append((r.schedule_day, r.molds_for_ext))
+    for _, part in inp.groupby("pool_key", dropna=False):
+        part = part.sort_values(keys, na_position="last", kind="mergesort").reset_index(drop=True)
+        want = {}
+        for i, day, n in brute_allocate([(r.job_key, "F" if r.is_floor else "L", r.molds) for r in part.itertuples()]):
+            want.setdefault((part.row_hash[i], part.row_copy[i]), []).append((day, n))
+        for k, v in want.items():
+            assert sorted(got.pop(k)) == sorted(v)
+    assert not got
+
+
+def test_spark_allocation_equals_brute_force(spark):
     rnd = random.Random(5)
-    rows = [{"job": f"J{i:03d}", "molds": rnd.randint(1, 17), "cast": rnd.choice("FLLL"), "pool": i % 4,
-             "due": f"2026-{rnd.randint(8, 12):02d}-{rnd.randint(1, 28):02d}"} for i in range(120)]
-    df = alloc_frame(spark, rows)
-    key = lambda x: sorted(tuple(r) for r in x.collect())
-    a = capacity.allocate(df, REF, mode="stream")
-    b = capacity.allocate(df, REF, mode="group")
-    assert key(a) == key(b)
-    assert capacity.jobs_unique_per_pool(capacity.allocation_input(df, REF))
+    rows = [{"job": f"J{rnd.randint(1, 90):03d}", "molds": rnd.randint(1, 17), "cast": rnd.choice("FLLL"), "pool": i % 4,
+             "due": f"2026-{rnd.randint(8, 12):02d}-{rnd.randint(1, 28):02d}"} for i in range(160)]
+    spark_equals_brute(spark, rows + rows[:20])  # equal rows too
 
 
-def test_repeated_jobs_use_group_mode(spark):
-    rows = [{"job": "J1", "molds": 4, "ext": "A"}, {"job": "J1", "molds": 4, "ext": "B"}]
-    df = alloc_frame(spark, rows)
-    assert not capacity.jobs_unique_per_pool(capacity.allocation_input(df, REF))
-    out = capacity.mold_assignments(df, REF)  # auto -> group: the rows share the 6-mold job cap
-    assert by_day(out) == {1: 6, 2: 2}
+def test_repeated_jobs_keep_their_molds(spark):
+    for ext in ("A", "B"), ("", ""):
+        rows = [{"job": "J1", "molds": 4, "ext": e} for e in ext]
+        df = alloc_frame(spark, rows)
+        out = capacity.mold_assignments(df, REF)  # the rows share the 6-mold job cap
+        assert by_day(out) == {1: 6, 2: 2} and out.count() == 3
+        check = capacity.capacity_check(out, df).first()
+        assert check["planned_molds"] == check["assigned_molds"] == 8
+
 
+def test_pool_columns_with_separators_do_not_clash(spark):
+    rows = [{"job": f"L{i}", "molds": 6, "pool": 1} for i in range(6)]
+    df = alloc_frame(spark, rows).withColumn("a", F.when(F.col("job_number") < "L3", "x|y").otherwise("x")) \
+        .withColumn("b", F.when(F.col("job_number") < "L3", "z").otherwise("y|z"))
+    out = capacity.mold_assignments(df, REF, pool_cols=("a", "b"))
+    assert by_day(out) == {1: 36}  # two pools of three rows each
 
-def test_stream_memory_follows_lane_pacing():
+
+def test_stream_memory_follows_lane_pacing(monkeypatch):
     """Rows held by the stream: in plain priority order a fast lane must read far ahead when
     the lanes progress at different rates; delivered by (estimated day, seq) — what
     ``lane_paced`` computes in Spark — the same pool is allocated identically holding few rows."""
-    import numpy as np
-    import pandas as pd
-
     def run(df):
         held = []
 
-        class Probe(capacity._LaneStream):
+        class Probe(capacity._Pool):
             def pull(self):
                 ok = super().pull()
                 held.append(len(self.items))
                 return ok
 
-        orig = capacity._LaneStream
-        capacity._LaneStream = Probe
-        try:
-            batches = (df.iloc[a:a + 4096] for a in range(0, len(df), 4096))
-            out = pd.concat(list(capacity.allocate_stream(batches)))
-        finally:
-            capacity._LaneStream = orig
-        return max(held), sorted(zip(out.row_key, out.schedule_day, out.molds_for_ext))
+        monkeypatch.setattr(capacity, "_Pool", Probe)
+        got = stream(df, batch=4096)
+        monkeypatch.undo()
+        return max(held), got
 
     n = 20_000
-    df = pd.DataFrame({"seq": np.arange(n), "pool_key": "p", "row_key": [str(k) for k in range(n)],
-                       "job_key": [f"J{k}" for k in range(n)], "is_floor": np.arange(n) % 500 == 0,
-                       "molds": (np.arange(n) * 7) % 13 + 1})
+    df = stream_frame([(f"J{k}", "F" if k % 500 == 0 else "L", (k * 7) % 13 + 1) for k in range(n)])
     held_plain, plain = run(df)
     lane = df.groupby("is_floor")
     cap = np.where(df.is_floor, 3, 30)
     est = np.maximum((lane.molds.cumsum() - df.molds) // cap, lane.cumcount() // 10)
-    last = lane.cumcount(ascending=False) == 0
-    held_paced, paced = run(df.assign(est_day=est, lane_last=last).sort_values(["est_day", "seq"], kind="mergesort"))
+    held_paced, paced = run(df.assign(est_day=est).sort_values(["est_day", "seq"], kind="mergesort"))
     assert plain == paced
     assert held_plain > 5_000 and held_paced < 200
 
@@ -239,12 +256,22 @@ def test_running_sums_are_exact_over_many_slices(spark):
             assert got[(g, k)] == (cs, rn)
 
 
-def test_stream_equals_group_on_driver_schedule(spark):
+def test_driver_schedule_equals_brute_force(spark):
     from conftest import SF_CHECK
     from castplan.plans.schedule import ScheduleParams, build_schedule
     p = ScheduleParams()
     rows = build_schedule(spark, SF_CHECK, p).schedule_rows
-    a = capacity.allocate(rows, p.reference_date, p.limits, p.pool_cols, mode="stream")
-    b = capacity.allocate(rows, p.reference_date, p.limits, p.pool_cols, mode="group")
-    ka, kb = sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
-    assert len(ka) > 1000 and ka == kb
+    names = {"job": "job_number", "molds": "molds_for_ext", "cast": "casting_type", "pool": "pool", "due": "due_date",
+             "alloy": "alloy", "group": "compatibility_group"}
+    local = [{k: r[v] for k, v in names.items()} for r in rows.collect()]
+    assert len(local) > 500
+    got = capacity.mold_assignments(rows, p.reference_date, p.limits, p.pool_cols)
+    per_pool = {}
+    for r in local:
+        per_pool.setdefault(r["pool"], []).append(r)
+    cutoff = p.reference_date + dt.timedelta(days=56)
+    want = []
+    for pool, own in per_pool.items():
+        own.sort(key=lambda r: (not (r["due"] and r["due"] <= cutoff), r["due"] is None, r["due"] or dt.date.max, r["group"], r["job"].strip().upper()))
+        want += [(pool, own[i]["job"], d, n) for i, d, n in brute_allocate([(r["job"], "F" if (r["cast"] or "L").strip().upper() == "F" else "L", r["molds"]) for r in own])]
+    assert sorted(want) == sorted(map(tuple, got.select("pool", "job_number", "schedule_day", "molds_for_ext").collect()))
