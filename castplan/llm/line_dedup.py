@@ -29,6 +29,8 @@ from castplan.llm import textwords as tw
 from castplan.llm.shared import materialize, text_chunks, without
 
 WINDOW, DIVISOR, LONG_WORDS, MIN_WORDS = 2, 2, 32, 10
+#: Bound on the hashes of repeated chunks (16 bytes each) that are broadcast.
+BROADCAST_HASHES = 1_000_000
 _LINES = tw.byte_table([10], lower=False)
 
 
@@ -107,15 +109,16 @@ def _chunker(options: dict, with_bytes: bool):
 def repeated_places(docs: DataFrame, text_col: str, options: dict) -> DataFrame:
     """``(doc_key, text_key, gone)``: the places of the chunks to remove from each document."""
     own = docs.select("doc_key", "text_key", text_col)
-    keys = own.mapInArrow(_chunker(options, False), _KEYS)
+    keys = materialize(own.mapInArrow(_chunker(options, False), _KEYS), "chunk-keys")
     twice = materialize(keys.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_hash"), "twice")
-    chunks = own.mapInArrow(_chunker(options, True), _BYTES).join(twice, "chunk_hash", "left_semi")
-    chunks = materialize(chunks.withColumn("spot", F.struct("doc_key", "text_key", "place")), "chunks")
+    # few enough hashes go to the bytes by broadcast; beyond that the bytes are dealt by hash
+    few = F.broadcast(twice) if twice.count() <= BROADCAST_HASHES else twice
+    chunks = own.mapInArrow(_chunker(options, True), _BYTES).join(few, "chunk_hash", "left_semi")
     # equal bytes, not equal hashes, make a repeated chunk; copies meet already inside a task
-    first = (chunks.groupBy("chunk_hash", "chunk").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1"))
-    hot = chunks.join(first.select("chunk_hash", "chunk", "first"), ["chunk_hash", "chunk"])
-    return hot.where("spot <> first").groupBy("doc_key", "text_key").agg(F.sort_array(F.collect_set("place")).alias("gone"))
+    first = chunks.groupBy("chunk_hash", "chunk").agg(F.min(F.struct("doc_key", "text_key", "place")).alias("first"))
+    # a place goes if its hash repeats and it isn't the first of its bytes
+    gone = keys.join(few, "chunk_hash", "left_semi").join(first.select("first.*"), ["doc_key", "text_key", "place"], "left_anti")
+    return gone.groupBy("doc_key", "text_key").agg(F.sort_array(F.collect_set("place")).alias("gone"))
 
 
 ADDED = ["n_lines", "n_removed_lines", "n_removed_bytes", "n_removed_chunks"]
