@@ -27,20 +27,20 @@ def as_date_lit(d) -> Column:
 
 
 def decode_erp_date(c) -> Column:
-    """Decode one ERP date field stored as ISO text, ``yyyyMMdd`` text or a day offset.
-
-    Each branch is guarded by a pattern so junk never becomes an absurd date: ISO text
-    (``yyyy-MM-dd`` prefix), else exactly eight digits as ``yyyyMMdd``, else one to seven
-    digits as days after the ERP epoch; anything else is NULL.
+    """Decode one ERP date field: the first conversion that works of ISO text (a time may
+    follow, junk may not), the first eight characters as ``yyyyMMdd``, and a whole number of
+    days from the ERP epoch (also before it).  Anything else, and days that leave the years
+    1 to 9999, is NULL.
     """
     x = F.trim(col_(c).cast("string"))
-    return (
-        F.when(x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"),
-               F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd"))
-        .when(x.rlike(r"^[0-9]{8}$"), F.try_to_date(x, "yyyyMMdd"))
-        .when(x.rlike(r"^[0-9]{1,7}$"),
-              F.date_add(F.lit(_dt.date.fromisoformat(DAY_OFFSET_EPOCH)), x.cast("int")))
-    )
+    iso = F.when(x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"),
+                 F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd"))
+    head = F.substring(x, 1, 8)
+    packed = F.when(head.rlike(r"^[0-9]{8}$"), F.try_to_date(head, "yyyyMMdd"))
+    epoch = _dt.date.fromisoformat(DAY_OFFSET_EPOCH)
+    days = F.when(x.rlike(r"^[+-]?[0-9]+$"), x.try_cast("int"))
+    offset = F.when(days.between((_dt.date.min - epoch).days, (_dt.date.max - epoch).days), F.date_add(F.lit(epoch), days))
+    return F.coalesce(iso, packed, offset)
 
 
 def to_date_or_null(c) -> Column:

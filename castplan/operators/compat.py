@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from castplan.functions.clean import norm_key_ws, normalize_alloy_list, yes_flag
 from castplan.schemas import COMPAT_ALIASES, COMPAT_REQUIRED
 
-# Lookup tables above this many rows are joined without a broadcast hint (AQE decides).
-MAX_BROADCAST_LOOKUP_ROWS = 100_000
-
-
 def resolve_compat_columns(df: DataFrame) -> DataFrame:
     """Rename the first present alias of each field to its canonical name.
 
@@ -50,17 +46,12 @@ def compat_map(raw: DataFrame) -> DataFrame:
         normalize_alloy_list("specific_alloys").alias("specific_alloys"))
 
 
-def _lookup(df: DataFrame, max_rows: int = MAX_BROADCAST_LOOKUP_ROWS) -> DataFrame:
-    """Broadcast hint only for a lookup whose row count is checked to be small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def attach_compat(df: DataFrame, compat: DataFrame, alloy_col: str = "alloy") -> DataFrame:
     """Attach compatibility group / accept-all flag / specific list by alloy.
 
     Unmapped alloys get their own key as group, ``NO`` and ``''``.
     """
-    c = _lookup(compat).select(F.col("alloy_key").alias("_ck"),
+    c = compat.select(F.col("alloy_key").alias("_ck"),
                                F.col("compatibility_group").alias("_cg"),
                                F.col("compat_all").alias("_ca"),
                                F.col("specific_alloys").alias("_cs"))

@@ -54,16 +54,15 @@ def open_orders_by_job(erp: ErpViews) -> DataFrame:
                  F.sum(F.coalesce("value", F.lit(0))).alias("open_value")))
 
 
-def heat_list_by_job(erp: ErpViews) -> DataFrame:
-    """Comma list of the distinct heats of each job, ordered by numeric value (non-numeric
-    as 0), then text.  Heat rows are reduced to distinct (job, heat) pairs first (partial
-    aggregation before the shuffle), so the list is bounded by the heats a job used, not by
-    how many heat rows the ERP repeats."""
+def heat_list_by_job(erp: ErpViews, distinct: bool = False) -> DataFrame:
+    """Comma list of the heats of each job, ordered by numeric value (non-numeric as 0), then
+    text.  Repeated heat rows repeat in the list, as in the source; ``distinct=True`` keeps one
+    of each, reduced map side before the shuffle."""
     h = (erp.jc_heat
          .select(norm_key("job_number").alias("job_key"),
                  blank_to_null("heat_number").alias("heat"))
-         .where(blank_to_null("job_key").isNotNull() & F.col("heat").isNotNull())
-         .distinct())
+         .where(blank_to_null("job_key").isNotNull() & F.col("heat").isNotNull()))
+    h = h.distinct() if distinct else h
     return h.groupBy("job_key").agg(
         F.expr("listagg(heat, ', ') WITHIN GROUP "
                "(ORDER BY coalesce(try_cast(heat AS bigint), 0), heat)").alias("heat_list"))

@@ -94,8 +94,9 @@ def missing_job_lines(erp: ErpViews) -> DataFrame:
 def missing_job_audit(erp: ErpViews, source_label: str = "live", top: int = 10) -> DataFrame:
     """Missing-job audit: total count plus the first ``top`` lines by (order, line).
 
-    Output: one row per sample line (``rank`` 1..top) carrying ``missing_count`` and the
-    ``source`` label; top-k is the feature here (TakeOrderedAndProject, no full sort).
+    Output: one row per sample line carrying ``missing_count`` and the ``source`` label; with no
+    missing line, one row with the count 0 and null line columns.  Top-k is the feature here
+    (TakeOrderedAndProject, no full sort).
     """
     lines = missing_job_lines(erp)
     total = lines.agg(F.count(F.lit(1)).alias("missing_count"))
@@ -103,18 +104,22 @@ def missing_job_audit(erp: ErpViews, source_label: str = "live", top: int = 10)
               .orderBy("order_number", "line_number", "customer_name", "part_number",
                        "detail_job_number", "header_job_number")
               .limit(top))
-    return sample.withColumns({"missing_count": total.scalar(), "source": F.lit(source_label)})
+    found = sample.withColumn("missing_count", total.scalar())
+    none = total.where("missing_count = 0").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in sample.schema.fields], "missing_count")
+    return found.unionByName(none).withColumn("source", F.lit(source_label))
 
 
 def audit_by_month(erp: ErpViews, keep_months: int = AUDIT_RETENTION_MONTHS) -> DataFrame:
     """Monthly missing-job audit blocks with retention: newest ``keep_months`` months kept.
 
-    Months come from the order ship date; retention is ``dense_rank`` over the (few) month
-    keys, computed on the aggregated rows only.
+    Months come from the order ship date; retention looks at the (few) month keys of the
+    aggregated rows only.  Lines without a ship date form a block of their own (month NULL),
+    which retention leaves in place.
     """
     per_month = (missing_job_lines(erp)
                  .groupBy(F.date_format("ship_date", "yyyy-MM").alias("month"))
                  .agg(F.count(F.lit(1)).alias("missing_count"),
                       F.min("order_number").alias("first_order")))
-    newest = per_month.select("month").distinct().orderBy(F.desc("month")).limit(keep_months)
-    return per_month.join(F.broadcast(newest), "month", "left_semi")
+    newest = per_month.select("month").where("month IS NOT NULL").orderBy(F.desc("month")).limit(keep_months)
+    dated = per_month.join(F.broadcast(newest), "month", "left_semi")  # at most keep_months rows
+    return dated.unionByName(per_month.where("month IS NULL"))

@@ -77,15 +77,15 @@ def heat_detail_rows(plan: DataFrame, start_date) -> DataFrame:
 
 
 def heat_sheet(summary: DataFrame) -> DataFrame:
-    """Heat schedule sheet: summary rows plus a totals row per (pool, date) from one grouping-
-    sets pass, and per pool the average poured pounds per day (Reserved excluded)."""
+    """Heat schedule sheet: summary rows as they are plus a totals row per (pool, date), and per
+    pool the average poured pounds per day (Reserved excluded)."""
     cols = ["heat_slot", "heat_number", "heat_status", "anchor_alloy", "compatibility_group",
             "earliest_due_date", "due_buffer_status", "two_week_rule_status"]
     keys = ["pool", "schedule_date", "weekday"]
-    g = summary.groupingSets([keys + cols, keys], *keys, *cols).agg(
-        F.sum("total_weight_lbs").alias("total_weight_lbs"), F.sum("total_molds").alias("total_molds"),
-        F.grouping_id().alias("_gid"))
-    g = g.withColumn("row_type", F.when(F.col("_gid") == 0, "detail").otherwise("total")).drop("_gid")
+    sums = ["total_weight_lbs", "total_molds"]
+    total = summary.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("row_type", F.lit("total"))
+    detail = summary.select(*keys, *cols, *[F.col(c).cast(total.schema[c].dataType).alias(c) for c in sums], F.lit("detail").alias("row_type"))
+    g = detail.unionByName(total, allowMissingColumns=True)
     live = summary.where(F.coalesce(F.col("heat_status"), F.lit("")) != "Reserved")
     avg = live.groupBy("pool").agg(
         (F.sum("total_weight_lbs") / F.greatest(F.count_distinct("schedule_date"), F.lit(1)))

@@ -39,19 +39,21 @@ def daily_rows(assignments: DataFrame, start_date) -> DataFrame:
 
 
 def daily_mold_schedule(assignments: DataFrame, start_date) -> DataFrame:
-    """Detail rows plus one totals row per (pool, day), in one Expand + aggregate pass.
+    """Every chunk as a detail row, plus one totals row per (pool, day).
 
     ``row_type`` is ``detail`` or ``total``; totals carry the day's weight and mold sums and
-    NULL in the detail columns.
+    NULL in the detail columns.  Details aren't shuffled; only the narrow totals are.
     """
-    rows = daily_rows(assignments, start_date)
-    keys = ["pool", "schedule_day"]
-    g = rows.groupingSets([keys + DETAIL_COLUMNS, keys], *keys, *DETAIL_COLUMNS)
-    out = g.agg(F.sum("total_weight_per_ext").alias("total_weight_per_ext"),
-                F.sum("molds_for_ext").alias("molds_for_ext"),
-                F.grouping_id().alias("_gid"))
-    return out.withColumn("row_type", F.when(F.col("_gid") == 0, "detail").otherwise("total")) \
-        .drop("_gid")
+    keys, sums = ["pool", "schedule_day"], ["total_weight_per_ext", "molds_for_ext"]
+    detail = mold_rows(assignments, start_date).withColumns({c: F.col(c).cast("long") for c in sums})
+    total = assignments.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
+    return (detail.withColumn("row_type", F.lit("detail"))
+            .unionByName(total.withColumn("row_type", F.lit("total")), allowMissingColumns=True))
+
+
+def mold_rows(assignments: DataFrame, start_date) -> DataFrame:
+    """Flat mold rows: one per chunk, equal chunks kept apart."""
+    return daily_rows(assignments, start_date).select("pool", "schedule_day", *DETAIL_COLUMNS, "total_weight_per_ext", "molds_for_ext")
 
 
 def mold_schedule_sheet(assignments: DataFrame, start_date) -> DataFrame:

@@ -145,6 +145,36 @@ def q_daily_mold_schedule(spark, sf_dir):
     return mold_reports.daily_mold_schedule(schedule(spark, sf_dir).assignments, P.start_date)
 
 
+@register("mold_rows")
+def q_mold_rows(spark, sf_dir):
+    """Flat mold rows: every chunk once, with dates, buffer and risk."""
+    return mold_reports.mold_rows(schedule(spark, sf_dir).assignments, P.start_date)
+
+
+def _repeated_rows(spark, sf_dir):
+    """Schedule rows split in two, three or four rows of equal job and extension."""
+    rows = schedule(spark, sf_dir).schedule_rows
+    parts = F.least(F.col("molds_for_ext"), (F.col("molds_for_ext") % 3 + 2))
+    split = rows.withColumn("_n", parts).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    share = F.floor(F.col("molds_for_ext") / F.col("_n")) + F.when(F.col("_i") <= F.col("molds_for_ext") % F.col("_n"), 1).otherwise(0)
+    return split.withColumn("molds_for_ext", share.cast("int")).drop("_n", "_i")
+
+
+@register("mold_assignments_repeated_jobs")
+def q_mold_assignments_repeated(spark, sf_dir):
+    """Allocation where every job has several rows with equal extension in its pool."""
+    out = capacity.mold_assignments(_repeated_rows(spark, sf_dir), P.reference_date, P.limits, P.pool_cols)
+    return out.select("pool", "job_number", "planned_molds_for_ext", "schedule_day", "molds_for_ext", "total_weight_per_ext")
+
+
+@register("capacity_check_repeated_jobs")
+def q_capacity_check_repeated(spark, sf_dir):
+    """Planned and assigned molds and broken caps per pool, for jobs of several rows."""
+    rows = _repeated_rows(spark, sf_dir)
+    out = capacity.mold_assignments(rows, P.reference_date, P.limits, P.pool_cols)
+    return capacity.capacity_check(out, rows, P.limits, P.pool_cols)
+
+
 @register("mold_schedule_sheet")
 def q_mold_schedule_sheet(spark, sf_dir):
     """Mold schedule sheet columns with totals rows and average molds per day."""

