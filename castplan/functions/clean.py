@@ -112,8 +112,9 @@ def heat_key(c) -> Column:
 
 
 def row_weight(molds, pour_weight) -> Column:
-    """molds x max(pour weight, 0)."""
-    return col_(molds) * F.greatest(F.coalesce(col_(pour_weight), F.lit(0)), F.lit(0))
+    """molds x max(pour weight, 0); a missing weight counts as 0."""
+    w = col_(pour_weight)
+    return F.coalesce(col_(molds) * F.greatest(w, F.lit(0).cast("int")), F.lit(0))
 
 
 def strip_headers(df):

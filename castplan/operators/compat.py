@@ -86,7 +86,7 @@ def co_pour_candidates(alloys: DataFrame, compat: DataFrame, alloy_col: str = "a
     """
     present = (alloys.select(norm_key_ws(alloy_col).alias("alloy_key"))
                .where(F.col("alloy_key") != "").distinct())
-    m = present.join(_lookup(compat), "alloy_key", "left")
+    m = present.join(compat, "alloy_key", "left")
     members = (m.where(F.col("compatibility_group").isNotNull() & (F.col("compatibility_group") != ""))
                .groupBy("compatibility_group").agg(F.collect_set("alloy_key").alias("_members")))
     j = m.join(members, "compatibility_group", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castplan.functions.clean import canonical_number_text, norm_key_ws, plain_text
-from castplan.schemas import NUMERIC_OPEN_ORDER_COLUMNS, OPEN_ORDER_COLUMNS
+from castplan.schemas import HEADER_TO_COLUMN, NUMERIC_OPEN_ORDER_COLUMNS, OPEN_ORDER_COLUMNS
 
 
 def scheduled_flag(orders: DataFrame, assignments: DataFrame, job_col: str = "job_number") -> DataFrame:
@@ -35,3 +35,11 @@ def open_order_report(orders: DataFrame, assignments: DataFrame) -> DataFrame:
             v = plain_text(c, is_date=(c == "due_date"))
         cols.append(v.alias(c))
     return flagged.select(F.col("pool"), F.col("scheduled"), *cols)
+
+
+def report_sheet(scheduler_input: DataFrame) -> DataFrame:
+    """The scheduler's input as a report sheet: every column as text under its report header,
+    with Molds Needed, Hold, Scheduled and the capacity pool."""
+    return scheduler_input.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(h)
+                                    for h, c in HEADER_TO_COLUMN.items() if c in scheduler_input.columns],
+                                  F.col("pool").cast("string").alias("Pool"))

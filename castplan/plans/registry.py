@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,9 @@ from castplan.operators.open_orders import dashboard_history
 from castplan.plans import heat_reports, melt_reports
 from castplan.plans import mold_reports, shipping
 from castplan.plans.outputs import canonical
-from castplan.plans.schedule import ScheduleParams, build_schedule
+from castplan.plans.schedule import ScheduleParams, build_schedule, load_scheduler_input
 from castplan.schemas import HEADER_TO_COLUMN, OPEN_ORDER_HEADERS
-from castplan.session import ensure_checkpoint_dir
+from castplan.session import ensure_checkpoint_dir, store
 from castplan.sources import history
 from castplan.sources.adapter import compat_reference
 from castplan.sources.adapter import order_snapshot, read_table, scheduler_run
@@ -66,8 +68,7 @@ def assembled_orders(spark, sf_dir):
     """Open-order rows before the completeness filter, computed once and checkpointed
     (the validation audit reads them unfiltered, everything else filtered)."""
     def build():
-        ensure_checkpoint_dir(spark)
-        return oo.open_orders(run_erp(spark, sf_dir), complete_only=False).checkpoint(eager=True)
+        return store(oo.open_orders(run_erp(spark, sf_dir), complete_only=False), "assembled-orders")
     return memo(spark, sf_dir, "assembled_orders", build)
 
 
@@ -214,13 +215,13 @@ def q_job_status(spark, sf_dir):
 
 
 def _plan(spark, sf_dir):
-    return memo(spark, sf_dir, "melt_plan", lambda: heats.melt_plan(
-        schedule(spark, sf_dir).assignments, P.reference_date).checkpoint(eager=True))
+    return memo(spark, sf_dir, "melt_plan", lambda: store(heats.melt_plan(
+        schedule(spark, sf_dir).assignments, P.reference_date), "melt-plan"))
 
 
 def _summary(spark, sf_dir):
-    return memo(spark, sf_dir, "heat_summary", lambda: heat_reports.heat_summary_rows(
-        _plan(spark, sf_dir), P.start_date, P.reference_date).checkpoint(eager=True))
+    return memo(spark, sf_dir, "heat_summary", lambda: store(heat_reports.heat_summary_rows(
+        _plan(spark, sf_dir), P.start_date, P.reference_date), "heat-summary"))
 
 
 @register("melt_plan")
@@ -416,4 +417,30 @@ def q_snapshot_typed(spark, sf_dir):
 def q_order_lifecycle(spark, sf_dir):
     """Per job over all snapshot runs: latest values, first/last run seen, runs seen."""
     snap = order_snapshot(spark, sf_dir).withColumn("job_number", F.upper(F.trim("job_number")))
-    return history.upsert_lifecycle(None, snap)
+    return history.upsert_lifecycle(None, snap).drop("run_ids")
+
+
+@register("order_lifecycle_incremental")
+def q_order_lifecycle_incremental(spark, sf_dir):
+    """The lifecycle folded run by run into a history folder, run 2 loaded twice."""
+    snap = order_snapshot(spark, sf_dir).withColumn("job_number", F.upper(F.trim("job_number")))
+    root = f"{ensure_checkpoint_dir(spark)}/castplan-{spark.sparkContext.applicationId}/history-{uuid.uuid4().hex[:8]}"
+    for run in (1, 2, 3, 2):
+        history.fold_typed(spark, snap.where(F.col("run_id") == run), root, [run])
+    return history.read_current(spark, f"{root}/order_lifecycle").drop("run_ids")
+
+
+@register("report_schedule")
+def q_report_schedule(spark, sf_dir):
+    """The report-file run: the open-order sheet written as CSV text, read back, typed and
+    scheduled; gives the assignments that the ERP run gives."""
+    s = schedule(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/castplan-{spark.sparkContext.applicationId}/report-{uuid.uuid4().hex[:8]}"
+    publish = reporting.report_sheet(s.scheduler_input)
+    publish.write.option("header", True).csv(path)
+    inp = load_scheduler_input(spark, "report", report_path=path, p=P)
+    rows = eligibility.schedule_rows(eligibility.eligible(inp))
+    out = capacity.mold_assignments(rows, P.reference_date, P.limits, P.pool_cols)
+    return out.select("pool", "job_number", "schedule_day", "molds_for_ext",
+                      "total_weight_per_ext", "pour_schedule_day", "casting_type",
+                      "compatibility_group", "due_date")

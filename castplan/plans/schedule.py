@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from castplan.operators import capacity, compat, eligibility, open_orders as oo, quality
-from castplan.session import ensure_checkpoint_dir
+from castplan.session import store
 from castplan.schemas import DEFAULT_HOUSE_ACCOUNTS, CapacityLimits
 from castplan.sources.adapter import compat_reference, erp_views
 
@@ -59,17 +59,16 @@ def build_schedule(spark: SparkSession, sf_dir: str, p: ScheduleParams | None =
     """``open_orders`` may be passed in already materialised (shared with other reports)."""
     p = p or ScheduleParams()
     if p.materialize:
-        ensure_checkpoint_dir(spark)
         if open_orders is None:
             # open orders are the expensive scan-join-aggregate; pin them once, reliably
-            open_orders = oo.open_orders(erp_views(spark, sf_dir)).checkpoint(eager=True)
+            open_orders = store(oo.open_orders(erp_views(spark, sf_dir)), "open-orders")
     inp, orders = scheduler_input(spark, sf_dir, p, open_orders)
     rows = eligibility.schedule_rows(eligibility.eligible(inp))
     if p.materialize:
-        rows = rows.checkpoint(eager=True)
+        rows = store(rows, "schedule-rows")
     asg = capacity.mold_assignments(rows, p.reference_date, p.limits, p.pool_cols)
     if p.materialize:
-        asg = asg.checkpoint(eager=True)
+        asg = store(asg, "assignments")
     return Schedule(orders, inp, rows, asg, p)
 
 

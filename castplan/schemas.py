@@ -89,7 +89,7 @@ OPEN_ORDER_HEADERS = [
 ]
 
 HEADER_TO_COLUMN = dict(zip(OPEN_ORDER_HEADERS, OPEN_ORDER_COLUMNS))
-HEADER_TO_COLUMN.update({"Hold": "hold", "Scheduled": "scheduled", "Molds Needed": "molds_needed"})
+HEADER_TO_COLUMN.update({"Hold": "hold", "Scheduled": "scheduled", "Molds Needed": "molds_needed", "Pool": "pool"})
 
 NUMERIC_OPEN_ORDER_COLUMNS = [
     "qty_ordered", "quantity_of_molds", "castings_per_mold", "quantity_of_cores",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_STORED: list = []
 
 
 def get_spark(master: str | None = None, app_name: str = "castplan",
@@ -47,10 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Clusters name a shared folder there; a machine-local folder is only acceptable for
     local runs and tests, which is the only case where this function creates one.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not (master == "local" or master.startswith("local[")):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a shared "
                                "folder (castplan writes run intermediates there).")
         current = tempfile.mkdtemp(prefix="castplan-ckpt-")
@@ -58,3 +62,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate of the run once as Parquet under ``spark.checkpoint.dir`` and read it
+    back: its readers prune columns and push filters, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/castplan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+    _STORED.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the run's intermediates (call when its reports have been read)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in [x for x in _STORED if x[0] is spark]:
+        path = jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(conf).delete(path, True)
+        _STORED.remove(entry)
+
+
+@atexit.register
+def _drop_at_exit() -> None:
+    for spark in {id(s): s for s, _ in _STORED}.values():
+        try:
+            drop_stored(spark)
+        except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clear
+            pass

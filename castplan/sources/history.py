@@ -1,17 +1,20 @@
 """History tables on partitioned Parquet: run registry, raw and typed snapshots, lifecycle,
 report archive, publishing and audit retention.
 
-Writes follow "stage, then publish": a load writes its partitions under a staging path and
-only then replaces the live partitions, so a failed job leaves the live tables unchanged.
-Partitions are replaced with dynamic partition overwrite, which makes every load idempotent
-(re-running a run id rewrites the same partition instead of appending duplicates).
+A load stages its raw and typed rows and a new version of the lifecycle first; nothing live changes
+until all of them are written.  Then it replaces the run's raw and typed partitions (dynamic
+partition overwrite), names the new lifecycle version (``publish_version``, one marker file, created
+last) and registers the run.  A failure before that leaves every live table as it was; a failure
+amid the publishing is mended by loading the run again, which gives the same tables: a run that is
+loaded twice counts once.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castplan.functions.clean import blank_to_null, norm_key, plain_text, text_to_decimal
@@ -85,49 +88,104 @@ def transform_raw_snapshot(raw: DataFrame) -> DataFrame:
 
 
 def upsert_lifecycle(lifecycle: DataFrame | None, typed: DataFrame) -> DataFrame:
-    """Lifecycle per job: the latest typed row plus first/last seen run and runs seen.
+    """Lifecycle per job: the latest typed row plus first/last seen run, the runs seen and their
+    number.  ``typed`` holds one or more runs that the lifecycle hasn't seen.
 
-    Union of the previous lifecycle and the new run, then one window per job keeps the
-    newest row; groups are per job (small), so no hot group can form.
+    One aggregate per job, combined before the shuffle; of several rows of a job in its latest run
+    the one of the greatest row hash stays.
     """
-    new = typed.select("*", F.col("run_id").alias("first_seen_run"),
-                       F.col("run_id").alias("last_seen_run"), F.lit(1).cast("long").alias("runs_seen"))
-    both = new if lifecycle is None else lifecycle.unionByName(new, allowMissingColumns=True)
-    w = Window.partitionBy("job_number")
-    latest = Window.partitionBy("job_number").orderBy(F.desc("run_id"))
-    return (both.withColumns({"_first": F.min("first_seen_run").over(w),
-                              "_last": F.max("last_seen_run").over(w),
-                              "_seen": F.sum("runs_seen").over(w),
-                              "_rn": F.row_number().over(latest)})
-            .where(F.col("_rn") == 1)
-            .withColumns({"first_seen_run": F.col("_first"), "last_seen_run": F.col("_last"),
-                          "runs_seen": F.col("_seen")})
-            .drop("_first", "_last", "_seen", "_rn"))
+    cols = typed.columns
+    new = typed.withColumn("run_ids", F.array("run_id"))
+    both = new if lifecycle is None else lifecycle.select(*cols, "run_ids").unionByName(new)
+    one = both.groupBy(F.col("job_number").alias("_job")).agg(
+        F.max_by(F.struct(*cols), F.struct("run_id", F.xxhash64(*cols))).alias("_row"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("run_ids")))).alias("run_ids"))
+    return one.select(*[F.col(f"_row.{c}").alias(c) for c in cols], F.array_min("run_ids").alias("first_seen_run"),
+                      F.array_max("run_ids").alias("last_seen_run"), F.size("run_ids").cast("long").alias("runs_seen"), "run_ids")
 
 
-def load_snapshot(spark: SparkSession, snapshot_text: DataFrame, root: str, run_date, source_name: str,
-                  run_id: int | None = None, skip_transform: bool = False) -> int:
-    """Historical snapshot load: register the run, write raw rows, then (unless
-    ``skip_transform``) the typed rows and the lifecycle table.  Returns the run id.
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    fs, p = _fs(spark, f"{path}/_versions")
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The published version of a versioned table, or None before the first."""
+    known = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={known[-1]}") if known else None
+
+
+def write_version(df: DataFrame, path: str, partition_cols=()) -> int:
+    """Write the next version of a table beside the published one; readers don't see it yet."""
+    n = (_versions(df.sparkSession, path) or [0])[-1] + 1
+    df.write.mode("overwrite").partitionBy(*partition_cols).parquet(f"{path}/version={n}")
+    return n
+
 
-    The lifecycle is rebuilt into a staging path and then copied over the live path, so
-    the live table is never read and overwritten in the same job.
+def publish_version(spark: SparkSession, path: str, n: int) -> None:
+    """Make version ``n`` the current one (a marker file), then delete all but the one before."""
+    fs, marker = _fs(spark, f"{path}/_versions/{n}")
+    fs.create(marker).close()
+    for old in [v for v in _versions(spark, path) if v < n - 1]:
+        for name in (f"{path}/_versions/{old}", f"{path}/version={old}"):
+            fs.delete(_fs(spark, name)[1], True)
+
+
+def lifecycle_after(spark: SparkSession, typed: DataFrame, root: str, run_ids: list) -> DataFrame:
+    """The lifecycle once ``typed`` (all rows of ``run_ids``) is loaded.
+
+    New runs are folded in.  Where one of the runs was loaded before, the jobs that it touched then
+    or touches now are derived anew from the typed rows of all their runs; no other job changes.
     """
+    old = read_current(spark, f"{root}/order_lifecycle")
+    if old is None:
+        return upsert_lifecycle(None, typed)
+    seen = old.where(F.arrays_overlap("run_ids", F.array(*[F.lit(int(r)).cast("long") for r in run_ids]))).select("job_number")
+    if seen.isEmpty():
+        return upsert_lifecycle(old, typed)
+    jobs = seen.union(typed.select("job_number")).distinct()
+    earlier = (spark.read.parquet(f"{root}/order_snapshot").where(~F.col("run_id").isin(*[int(r) for r in run_ids]))
+               .join(jobs, "job_number", "left_semi").select(typed.columns))
+    untouched = old.join(jobs, "job_number", "left_anti")
+    return untouched.unionByName(upsert_lifecycle(None, earlier.unionByName(typed))).select(old.columns)
+
+
+def fold_typed(spark: SparkSession, typed: DataFrame, root: str, run_ids: list, raw: DataFrame | None = None) -> None:
+    """Load typed rows (and their raw text) of ``run_ids``: stage everything, then publish."""
+    tag = "-".join(str(r) for r in run_ids[:3]) + f"-{uuid.uuid4().hex[:8]}"
+    staged = {}
+    for name, df in (("order_snapshot_raw", raw), ("order_snapshot", typed)):
+        if df is not None:
+            staged[name] = f"{root}/_staging/{tag}/{name}"
+            df.write.parquet(staged[name])
+    kept = spark.read.schema(typed.schema).parquet(staged["order_snapshot"])
+    version = write_version(lifecycle_after(spark, kept, root, run_ids), f"{root}/order_lifecycle")
+    for name, path in staged.items():
+        _write_partitions(spark.read.parquet(path), f"{root}/{name}", ["run_id"])
+    publish_version(spark, f"{root}/order_lifecycle", version)
+    fs, p = _fs(spark, f"{root}/_staging/{tag}")
+    fs.delete(p, True)
+
+
+def load_snapshot(spark: SparkSession, snapshot_text: DataFrame, root: str, run_date, source_name: str,
+                  run_id: int | None = None, skip_transform: bool = False) -> int:
+    """Historical snapshot load: raw rows, then (unless ``skip_transform``) typed rows and the
+    lifecycle, and the run's registration last.  Returns the run id.  Loading a run again replaces
+    it."""
     rows = snapshot_text.count()
     if rows == 0:
-        raise RuntimeError("Input CSV is empty. Nothing to load.")
+        raise RuntimeError("The snapshot export has no data rows.")
     run_id = run_id or next_run_id(spark, f"{root}/scheduler_run")
     raw = raw_snapshot_rows(snapshot_text, run_id)
-    _write_partitions(raw, f"{root}/order_snapshot_raw", ["run_id"])
-    if not skip_transform:
-        raw_run = spark.read.parquet(f"{root}/order_snapshot_raw").where(F.col("run_id") == run_id)
-        typed = transform_raw_snapshot(raw_run)
-        _write_partitions(typed, f"{root}/order_snapshot", ["run_id"])
-        old = _read_or_none(spark, f"{root}/order_lifecycle")
-        typed_run = spark.read.parquet(f"{root}/order_snapshot").where(F.col("run_id") == run_id)
-        staged = f"{root}/_staging/order_lifecycle_{run_id}"
-        upsert_lifecycle(old, typed_run).write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(f"{root}/order_lifecycle")
+    if skip_transform:
+        _write_partitions(raw, f"{root}/order_snapshot_raw", ["run_id"])
+    else:
+        fold_typed(spark, transform_raw_snapshot(raw), root, [run_id], raw)
     register_run(spark, f"{root}/scheduler_run", run_date, source_name, rows, run_id)
     return run_id
 
@@ -166,15 +224,13 @@ def write_reports(reports: dict, root: str, fmt: str = "parquet") -> list:
 
 def append_audit(spark: SparkSession, audit: DataFrame, path: str, when: _dt.datetime,
                  keep_months: int = AUDIT_RETENTION_MONTHS) -> DataFrame:
-    """Append an audit block for ``when``'s month and keep only the newest ``keep_months``
-    months: the kept rows are staged and then published over the table."""
+    """Append an audit block for ``when``'s month and keep only the newest ``keep_months`` months
+    (rows without a month stay): the kept rows become the table's next version."""
     month = when.strftime("%Y-%m")
     block = audit.withColumns({"audit_ts": F.lit(when.strftime("%Y-%m-%d %H:%M:%S")), "month": F.lit(month)})
-    prev = _read_or_none(spark, path)
+    prev = read_current(spark, path)
     allrows = block if prev is None else prev.unionByName(block, allowMissingColumns=True)
-    newest = allrows.select("month").distinct().orderBy(F.desc("month")).limit(keep_months)
-    kept = allrows.join(F.broadcast(newest), "month", "left_semi")
-    staged = f"{path}_staging"
-    kept.write.mode("overwrite").partitionBy("month").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").partitionBy("month").parquet(path)
-    return spark.read.parquet(path)
+    newest = allrows.select("month").where("month IS NOT NULL").distinct().orderBy(F.desc("month")).limit(keep_months)
+    kept = allrows.join(F.broadcast(newest), "month", "left_semi").unionByName(allrows.where("month IS NULL"))
+    publish_version(spark, path, write_version(kept, path, ["month"]))
+    return read_current(spark, path)

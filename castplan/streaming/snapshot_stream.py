@@ -2,10 +2,10 @@
 
 Daily ERP export CSVs land in a folder as ``<name>_YYYY-MM-DD.csv``.  The stream reads new
 files with a fixed all-text schema, derives ``run_id`` (yyyymmdd) from the file name, and a
-``foreachBatch`` writer replaces each run's raw and typed partitions (dynamic partition
-overwrite, so a replayed batch after a failure rewrites the same partitions — idempotent)
-and folds the runs into the lifecycle table.  ``trigger(availableNow=True)`` processes what
-has landed and stops, which suits a daily schedule; the checkpoint lives under the
+``foreachBatch`` writer folds the batch's runs into the history tables (``history.fold_typed``:
+staged, then published; a replayed batch gives the same tables).  Rows of files without a date in
+the name are not loaded; the files are listed in ``skipped_files``.  ``trigger(availableNow=True)``
+processes what has landed and stops, which suits a daily schedule; the checkpoint lives under the
 session's ``spark.checkpoint.dir``.
 """
 
@@ -21,22 +21,16 @@ from castplan.sources import history
 def _process_batch(root: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        stray = batch.where("run_id IS NULL").select(F.col("_file").alias("file")).distinct().withColumn("batch_id", F.lit(batch_id))
+        if not stray.isEmpty():
+            history._write_partitions(stray, f"{root}/skipped_files", ["batch_id"])
         cols = [F.trim(F.col(f"`{h}`")).alias(HEADER_TO_COLUMN[h] + "_raw") for h in OPEN_ORDER_HEADERS]
-        raw = batch.select(F.col("run_id"), *cols)
-        if raw.isEmpty():
-            return
-        raw = raw.persist()
-        history._write_partitions(raw, f"{root}/order_snapshot_raw", ["run_id"])
-        typed = history.transform_raw_snapshot(raw)
-        history._write_partitions(typed, f"{root}/order_snapshot", ["run_id"])
-        runs = raw.groupBy("run_id").agg(F.count(F.lit(1)).alias("row_count"))
-        history._write_partitions(runs, f"{root}/scheduler_run", ["run_id"])
-        # lifecycle: rebuild from all typed runs (idempotent on replay), staged then published
-        snap = spark.read.parquet(f"{root}/order_snapshot")
-        staged = f"{root}/_staging/order_lifecycle_b{batch_id}"
-        history.upsert_lifecycle(None, snap).write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(f"{root}/order_lifecycle")
-        raw.unpersist()
+        raw = batch.where("run_id IS NOT NULL").select("run_id", *cols)
+        counts = raw.groupBy("run_id").agg(F.count(F.lit(1)).alias("row_count"))
+        run_ids = [r.run_id for r in counts.collect()]  # one row per landed file
+        if run_ids:
+            history.fold_typed(spark, history.transform_raw_snapshot(raw), root, run_ids, raw)
+            history._write_partitions(counts, f"{root}/scheduler_run", ["run_id"])
     return run
 
 
@@ -46,7 +40,6 @@ def snapshot_stream(spark: SparkSession, landing_dir: str, root: str, checkpoint
     src = (spark.readStream.schema(RAW_TEXT_SCHEMA).option("header", True).csv(landing_dir)
            .withColumn("_file", F.input_file_name()))
     stamp = F.regexp_extract("_file", r"(\d{4})-(\d{2})-(\d{2})\.csv$", 0)
-    src = src.withColumn("run_id", F.regexp_replace(F.substring(stamp, 1, 10), "-", "").cast("long")) \
-        .where(F.col("run_id").isNotNull()).drop("_file")
+    src = src.withColumn("run_id", F.regexp_replace(F.substring(stamp, 1, 10), "-", "").try_cast("long"))
     return (src.writeStream.foreachBatch(_process_batch(root)).option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())

@@ -851,3 +851,6 @@ FROM s JOIN agg a ON a.job_number = s.job_number AND a.last_seen_run = s.run_id"
 Q["business_calendar"] = with_sched() + f"""
 SELECT CAST(d AS BIGINT) AS day, {day_date_sql('d')} AS date, dayname({day_date_sql('d')}) AS weekday
 FROM range(1, (SELECT max(schedule_day) FROM asg) + 1) t(d)"""
+
+Q["order_lifecycle_incremental"] = Q["order_lifecycle"]
+Q["report_schedule"] = Q["mold_assignments"]

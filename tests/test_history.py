@@ -34,7 +34,7 @@ def test_snapshot_load_lifecycle_and_runs(spark, tmpdir_path):
     typed = spark.read.parquet(f"{root}/order_snapshot")
     j1 = typed.where((F.col("run_id") == 1) & (F.col("job_number") == "J1")).first()
     assert float(j1["pour_weight"]) == 1100 and j1["due_date"] == dt.date(2026, 8, 4)
-    life = {r["job_number"]: r for r in spark.read.parquet(f"{root}/order_lifecycle").collect()}
+    life = {r["job_number"]: r for r in history.read_current(spark, f"{root}/order_lifecycle").collect()}
     assert life["J1"]["run_id"] == 2 and float(life["J1"]["molds_completed"]) == 5
     assert life["J1"]["first_seen_run"] == 1 and life["J1"]["runs_seen"] == 2
     assert life["J2"]["last_seen_run"] == 1
@@ -43,6 +43,37 @@ def test_snapshot_load_lifecycle_and_runs(spark, tmpdir_path):
     # re-loading run 2 replaces its partitions (idempotent)
     history.load_snapshot(spark, read_snapshot_csv(spark, p2), root, "2026-08-11", "erp", run_id=2)
     assert spark.read.parquet(f"{root}/order_snapshot_raw").where("run_id = 2").count() == 1
+    again = {r["job_number"]: r for r in history.read_current(spark, f"{root}/order_lifecycle").collect()}
+    assert again == life
+    # a reload without J1 takes the job back to its earlier run
+    p3 = f"{tmpdir_path}/s3.csv"
+    _csv(p3, [_row("J7", "1")])
+    history.load_snapshot(spark, read_snapshot_csv(spark, p3), root, "2026-08-11", "erp", run_id=2)
+    life = {r["job_number"]: r for r in history.read_current(spark, f"{root}/order_lifecycle").collect()}
+    assert set(life) == {"J1", "J2", "J7"} and life["J1"]["run_id"] == 1 and life["J1"]["runs_seen"] == 1
+
+
+def test_failed_load_changes_nothing(spark, tmpdir_path, monkeypatch):
+    root, p = f"{tmpdir_path}/hist", f"{tmpdir_path}/s.csv"
+    _csv(p, [_row("J1", "3")])
+    history.load_snapshot(spark, read_snapshot_csv(spark, p), root, "2026-08-10", "erp")
+    read = lambda: [sorted(map(str, d.collect())) for d in (
+        history.read_current(spark, f"{root}/order_lifecycle"), *[spark.read.parquet(f"{root}/{t}") for t in
+                                                                 ("order_snapshot_raw", "order_snapshot", "scheduler_run")])]
+    before = read()
+
+    def fail(*a):
+        raise RuntimeError("lost between stage and publish")
+    monkeypatch.setattr(history, "_write_partitions", fail)
+    try:
+        history.load_snapshot(spark, read_snapshot_csv(spark, p), root, "2026-08-11", "erp")
+        raise AssertionError("expected failure")
+    except RuntimeError as exc:
+        assert "between" in str(exc)
+    monkeypatch.undo()
+    assert read() == before
+    assert history.load_snapshot(spark, read_snapshot_csv(spark, p), root, "2026-08-11", "erp") == 2
+    assert history.read_current(spark, f"{root}/order_lifecycle").first()["runs_seen"] == 2
 
 
 def test_skip_transform_and_bad_csv(spark, tmpdir_path):
@@ -92,13 +123,29 @@ def test_streaming_available_now(spark, tmpdir_path):
     os.makedirs(landing)
     _csv(f"{landing}/erp_2026-08-10.csv", [_row("J1", "3"), _row("J2", "1")])
     _csv(f"{landing}/erp_2026-08-11.csv", [_row("J1", "6")])
+    _csv(f"{landing}/stray.csv", [_row("J5", "1")])
     q = snapshot_stream(spark, landing, f"{tmpdir_path}/root", f"{tmpdir_path}/ckpt")
     q.awaitTermination(300)
-    life = {r["job_number"]: r for r in spark.read.parquet(f"{tmpdir_path}/root/order_lifecycle").collect()}
+    life = {r["job_number"]: r for r in history.read_current(spark, f"{tmpdir_path}/root/order_lifecycle").collect()}
     assert life["J1"]["run_id"] == 20260811 and float(life["J1"]["molds_completed"]) == 6
-    assert life["J1"]["runs_seen"] == 2 and life["J2"]["last_seen_run"] == 20260810
+    assert life["J1"]["runs_seen"] == 2 and life["J2"]["last_seen_run"] == 20260810 and "J5" not in life
+    assert [r["file"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmpdir_path}/root/skipped_files").collect()] == ["stray.csv"]
     # a new file is picked up by the next availableNow run
     _csv(f"{landing}/erp_2026-08-12.csv", [_row("J2", "2")])
     snapshot_stream(spark, landing, f"{tmpdir_path}/root", f"{tmpdir_path}/ckpt").awaitTermination(300)
-    life = {r["job_number"]: r for r in spark.read.parquet(f"{tmpdir_path}/root/order_lifecycle").collect()}
+    life = {r["job_number"]: r for r in history.read_current(spark, f"{tmpdir_path}/root/order_lifecycle").collect()}
     assert life["J2"]["run_id"] == 20260812
+
+
+def test_report_file_is_typed_and_scheduled(spark, tmpdir_path):
+    from castplan.operators import capacity, eligibility
+    from castplan.plans.schedule import load_scheduler_input
+    path = f"{tmpdir_path}/report.csv"
+    with open(path, "w") as fh:
+        fh.write("Due Date,Job Number,Casting Type,Pour Weight,Molds Needed,Hold,Alloy,Job Type,Quantity of Molds\n"
+                 "2026-08-20,J1,L,12.5,7,NO,A,JOB,9\n,J2,F,\"$1,000.25\",2.5,NO,A,JOB,\nsoon,J3,L,n/a,1,NO,,JOB,x\n2026-08-21,J4,L,5,3,YES,A,JOB,3\n")
+    inp = load_scheduler_input(spark, "report", report_path=path)
+    rows = eligibility.schedule_rows(eligibility.eligible(inp))
+    out = capacity.mold_assignments(rows, dt.date(2026, 8, 10)).collect()
+    got = sorted((r["job_number"], r["schedule_day"], r["molds_for_ext"], r["total_weight_per_ext"], r["pool"]) for r in out)
+    assert got == [("J1", 1, 6, 75, 0), ("J1", 2, 1, 12, 0), ("J2", 1, 3, 3000, 0), ("J3", 1, 1, 0, 0)]
