@@ -41,5 +41,4 @@ def report_sheet(scheduler_input: DataFrame) -> DataFrame:
     """The scheduler's input as a report sheet: every column as text under its report header,
     with Molds Needed, Hold, Scheduled and the capacity pool."""
     return scheduler_input.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(h)
-                                    for h, c in HEADER_TO_COLUMN.items() if c in scheduler_input.columns],
-                                  F.col("pool").cast("string").alias("Pool"))
+                                    for h, c in HEADER_TO_COLUMN.items() if c in scheduler_input.columns])
