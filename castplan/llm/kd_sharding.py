@@ -32,19 +32,26 @@ def text_ordinal(value: Column) -> Column:
     return F.coalesce(F.shiftrightunsigned(F.xxhash64(value), 33), F.lit(0)).cast("long")
 
 
+def linear_ordinal(value: Column, least, most) -> Column:
+    """A number's place on the axis between the least and the most value."""
+    width = max(1, (most or 0) - (least or 0))
+    return F.coalesce(((value - F.lit(least or 0)) / width * (_HALF - 1)).cast("long"), F.lit(0))
+
+
 def log_ordinal(value: Column) -> Column:
     """A positive number's place on the axis, on a log scale up to 2^62."""
     return F.coalesce((F.log2(F.greatest(value, F.lit(1)).cast("double")) / 62 * (_HALF - 1)).cast("long"), F.lit(0))
 
 
 def _positions(narrow: DataFrame, dims: int) -> DataFrame:
-    place = F.element_at(F.array(*[F.col(f"d{i}") for i in range(dims)]), F.col("dim") + 1)
+    place = F.element_at(F.array(*[F.col(f"d{i}") for i in range(dims)]), F.col("dim").cast("int") + 1)
     return narrow.withColumn("pos", place * _HALF + F.col("tie"))
 
 
-def _table(spark, rows: list, schema: str) -> DataFrame:
-    """A table of at most one row per shard, small enough to broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+def _table(spark, rows: list, columns: str) -> DataFrame:
+    """A literal table of longs, at most one row per shard: small enough to broadcast."""
+    values = ", ".join("(" + ", ".join(f"{int(v)}L" for v in row) + ")" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})"))
 
 
 def _cuts(nodes: DataFrame, spark, todo: dict, dims: int) -> dict:
@@ -53,11 +60,11 @@ def _cuts(nodes: DataFrame, spark, todo: dict, dims: int) -> dict:
     state = {n: {"dim": t["dim"], "lo": t["lo"] * _HALF, "hi": t["hi"] * _HALF + _HALF - 1, "before": 0} for n, t in todo.items()}
     while state:
         ranges = _table(spark, [(n, s["dim"], s["lo"], s["hi"], (s["hi"] - s["lo"]) // BINS + 1) for n, s in state.items()],
-                        "node int, dim int, lo long, hi long, width long")
+                        "node, dim, lo, hi, width")
         inside = _positions(nodes.join(ranges, "node"), dims).where("pos BETWEEN lo AND hi")
         bins = inside.groupBy("node", F.expr("(pos - lo) div width").alias("bin")).agg(
             F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-        goals = _table(spark, [(n, int(todo[n]["goal"] - s["before"])) for n, s in state.items()], "node int, goal long")
+        goals = _table(spark, [(n, int(todo[n]["goal"] - s["before"])) for n, s in state.items()], "node, goal")
         # at most BINS rows per node
         running = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
         chosen = (bins.withColumn("upto", running).join(goals, "node").where("upto >= goal")
@@ -79,20 +86,20 @@ def kd_shards(docs: DataFrame, dimensions: list[Column], shards: int | None = No
               text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row.
 
-    ``dimensions``: ordinals of 0 to 2^31 - 1 (``text_ordinal``, ``log_ordinal``).  The leaves
-    are ``shards``, or as many as ``target_bytes`` asks for.
+    ``dimensions``: ordinals of 0 to 2^31 - 1 (``text_ordinal``, ``linear_ordinal``,
+    ``log_ordinal``).  The leaves are ``shards``, or as many as ``target_bytes`` asks for.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     crc = F.crc32(text.cast("binary"))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                          crc.alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(id_col, crc), 33).alias("tie"),
-                         *[d.alias(f"d{i}") for i, d in enumerate(dimensions)])
+                         *[d.alias(f"d{i}") for i, d in enumerate(dimensions)], F.lit(0).cast("long").alias("node"))
     narrow = materialize(narrow, "narrow")
     total, rows = narrow.agg(F.sum("size"), F.count(F.lit(1))).first()
     if shards is None:
         shards = max(1, -(-int(total or 0) // int(target_bytes)))
-    nodes, leaves = narrow.withColumn("node", F.lit(0)), {0: shards}
+    nodes, leaves = narrow, {0: shards}
     dims = len(dimensions)
     whole: dict = {}
     while rows and any(k > 1 for k in leaves.values()):
@@ -108,7 +115,7 @@ def kd_shards(docs: DataFrame, dimensions: list[Column], shards: int | None = No
         if not todo:  # the shards left over have no rows to divide
             break
         cuts = _cuts(nodes, spark, todo, dims)
-        split = _table(spark, [(n, todo[n]["dim"], int(c), leaves[n] // 2) for n, c in cuts.items()], "node int, dim int, cut long, left int")
+        split = _table(spark, [(n, todo[n]["dim"], int(c), leaves[n] // 2) for n, c in cuts.items()], "node, dim, cut, left")
         placed = _positions(nodes.join(split, "node", "left"), dims)
         nodes = placed.withColumn("node", F.when(F.col("pos") > F.col("cut"), F.col("node") + F.col("left")).otherwise(F.col("node"))).drop("dim", "cut", "left", "pos")
         for n in todo:

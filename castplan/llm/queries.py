@@ -19,9 +19,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards of nearly equal bytes, split over size, source and language."""
+    """All documents in 16 shards of nearly equal bytes, split over source, language and id."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    dims = [kd_sharding.log_ordinal(F.octet_length("text")), kd_sharding.text_ordinal(F.col("source")), kd_sharding.text_ordinal(F.col("lang"))]
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    dims = [kd_sharding.text_ordinal(F.col("source")), kd_sharding.text_ordinal(F.col("lang")), kd_sharding.linear_ordinal(F.col("doc_id"), least, most)]
     out = kd_sharding.kd_shards(docs, dims, shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
