@@ -14,7 +14,7 @@ from castplan.schemas import (DAY_OFFSET_EPOCH, HIGHEST_PRIORITY_WINDOW_DAYS,
 __all__ = [
     "decode_erp_date", "to_date_or_null", "priority_rank", "priority_label", "review_window",
     "days_until", "target_pour_date", "add_business_days", "weekday_name", "format_mdy",
-    "date_range_text", "as_date_lit",
+    "date_range_text", "as_date_lit", "reference_date_or_today",
 ]
 
 
@@ -26,6 +26,18 @@ def as_date_lit(d) -> Column:
     return F.lit(d)
 
 
+def reference_date_or_today(d) -> _dt.date:
+    """A reference date as a date; missing or unreadable means today."""
+    if isinstance(d, _dt.datetime):
+        return d.date()
+    if isinstance(d, _dt.date):
+        return d
+    try:
+        return _dt.date.fromisoformat(str(d).strip()[:10])
+    except ValueError:
+        return _dt.date.today()
+
+
 def decode_erp_date(c) -> Column:
     """Decode one ERP date field: the first conversion that works of ISO text (a time may
     follow, junk may not), the first eight characters as ``yyyyMMdd``, and a whole number of

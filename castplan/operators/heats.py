@@ -7,8 +7,9 @@ documented producer, kept deliberately simple and deterministic:
 * the furnace pours every ``furnace_every_n_days``-th working day: a chunk molded on day
   ``d`` pours on ``ceil(d / n) * n`` (``original_pour_schedule_day`` keeps ``d``);
 * inside one (pool, pour day, compatibility group), chunks are packed in (alloy, job, ext,
-  mold day) order into heats of at most ``heat_weight_limit`` pounds: a chunk joins the heat
-  in which its running weight starts;
+  mold day) order, and a new heat starts each time the weight before a chunk passes another
+  ``heat_weight_mark`` pounds.  The mark cuts, it does not limit: a chunk is never split, so a
+  heat weighs up to the mark plus its last chunk;
 * heats of a pour day are numbered by (group, heat within group); the first
   ``planned_heats_per_day`` are ``Planned``, the rest ``Overflow``;
 * ``global_heat_number`` counts heats through the pool's earlier pour days.
@@ -26,7 +27,7 @@ from castplan.functions.dates import days_until, priority_label, priority_rank,
 from castplan.operators.prefix import running_sum
 from castplan.schemas import MAX_PLANNED_HEATS_PER_DAY
 
-HEAT_WEIGHT_LIMIT_LBS = 2300
+HEAT_WEIGHT_MARK_LBS = 2300
 FURNACE_EVERY_N_DAYS = 2
 
 def heat_order():
@@ -35,7 +36,7 @@ def heat_order():
 
 
 def melt_plan(assignments: DataFrame, reference_date, furnace_every_n_days: int = FURNACE_EVERY_N_DAYS,
-              heat_weight_limit: float = HEAT_WEIGHT_LIMIT_LBS,
+              heat_weight_mark: float = HEAT_WEIGHT_MARK_LBS,
               planned_heats_per_day: int = MAX_PLANNED_HEATS_PER_DAY) -> DataFrame:
     n = int(furnace_every_n_days)
     df = assignments.withColumns({
@@ -52,7 +53,7 @@ def melt_plan(assignments: DataFrame, reference_date, furnace_every_n_days: int
     w_run = (Window.partitionBy("pool", "pour_schedule_day", "compatibility_group").orderBy(*heat_order())
              .rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_before", F.coalesce(F.sum("total_weight_per_ext").over(w_run), F.lit(0)))
-    df = df.withColumn("_gheat", F.floor(F.col("_before") / F.lit(heat_weight_limit)))
+    df = df.withColumn("_gheat", F.floor(F.col("_before") / F.lit(heat_weight_mark)))
     w_heat = Window.partitionBy("pool", "pour_schedule_day").orderBy(
         F.col("compatibility_group").asc_nulls_last(), F.col("_gheat"))
     df = df.withColumn("heat_number", F.dense_rank().over(w_heat).cast("int"))
@@ -66,6 +67,16 @@ def melt_plan(assignments: DataFrame, reference_date, furnace_every_n_days: int
     }).drop("_before", "_gheat", "_prev"))
 
 
+def default_melt_plan(assignments: DataFrame, reference_date) -> DataFrame:
+    """The plan without a producer: every chunk pours on its mold day, in heat 1."""
+    rank = priority_rank(F.col("due_date"), reference_date)
+    return assignments.withColumns({
+        "original_pour_schedule_day": F.col("schedule_day"), "pour_schedule_day": F.col("schedule_day"),
+        "heat_number": F.lit(1), "global_heat_number": F.lit(1), "heat_slot": F.lit(1), "heat_status": F.lit("Planned"),
+        "days_until_due": days_until(F.col("due_date"), reference_date), "planning_priority_rank": rank,
+        "planning_priority": priority_label(rank), "review_window": review_window(rank)})
+
+
 def heat_summary(plan: DataFrame, reference_date) -> DataFrame:
     """One row per (pool, pour day, heat): slot, status, anchor alloy, group, due window,
     weight, molds, rows, jobs and extensions (sorted, comma separated)."""
@@ -75,7 +86,7 @@ def heat_summary(plan: DataFrame, reference_date) -> DataFrame:
         F.first("heat_status").alias("heat_status"),
         F.min("planning_priority_rank").alias("_rank"),
         F.min("alloy").alias("anchor_alloy"),
-        F.first("compatibility_group").alias("compatibility_group"),
+        F.min("compatibility_group").alias("compatibility_group"),
         F.min("due_date").alias("earliest_due_date"),
         F.max("due_date").alias("latest_due_date"),
         F.sum("total_weight_per_ext").cast("double").alias("total_weight_lbs"),

@@ -211,13 +211,14 @@ def dashboard_history(erp: ErpViews, snapshot: DataFrame, runs: DataFrame, run_i
         F.col("s.quantity_of_cores"), F.col("s.castings_produced"), F.col("s.molds_completed"))
 
 
-def dashboard_rows(erp: ErpViews, snapshot: DataFrame | None = None, runs: DataFrame | None = None,
-                   **window):
-    """Source choice: ``("history", rows)`` when snapshot and run tables are available,
-    otherwise ``("live", open_orders)``.  The two shapes differ (12 vs 18 columns), so the
+def dashboard_rows(spark, erp: ErpViews, database: str | None = None, **window):
+    """Source choice from the catalog: ``("history", rows)`` when the run and snapshot tables
+    exist, otherwise ``("live", open_orders)``.  The two shapes differ (12 vs 18 columns), so the
     result is tagged; errors in the history plan are raised, not hidden."""
-    if snapshot is not None and runs is not None:
-        return "history", dashboard_history(erp, snapshot, runs, **window)
+    from castplan.sources.catalog import history_available
+    if history_available(spark, database):
+        table = (lambda t: spark.table(f"{database}.{t}" if database else t))
+        return "history", dashboard_history(erp, table("order_snapshot"), table("scheduler_run"), **window)
     return "live", open_orders(erp)
 
 

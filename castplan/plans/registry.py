@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from castplan.operators import open_orders as oo
 from castplan.operators import priority, reporting
 from castplan.operators.calendar import business_calendar
 from castplan.operators.open_orders import dashboard_history
-from castplan.plans import heat_reports, melt_reports
+from castplan.plans import heat_reports, melt_reports, publication
 from castplan.plans import mold_reports, shipping
 from castplan.plans.outputs import canonical
 from castplan.plans.schedule import ScheduleParams, build_schedule, load_scheduler_input
@@ -430,6 +431,49 @@ def q_order_lifecycle_incremental(spark, sf_dir):
     return history.read_current(spark, f"{root}/order_lifecycle").drop("run_ids")
 
 
+@register("published_sheets")
+def q_published_sheets(spark, sf_dir):
+    """The six sheets published to a folder and read back: rows per sheet."""
+    root = f"{ensure_checkpoint_dir(spark)}/castplan-{spark.sparkContext.applicationId}/sheets-{uuid.uuid4().hex[:8]}"
+    paths = publication.publish_sheets(schedule(spark, sf_dir), _plan(spark, sf_dir), _summary(spark, sf_dir), root)
+    counts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("sheet"), "row_count")
+              for name, df in publication.read_sheets(spark, paths).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _default_plan(spark, sf_dir):
+    return memo(spark, sf_dir, "default_plan", lambda: store(heats.default_melt_plan(
+        schedule(spark, sf_dir).assignments, P.reference_date), "default-plan"))
+
+
+def _default_summary(spark, sf_dir):
+    return heat_reports.heat_summary_rows(_default_plan(spark, sf_dir), P.start_date, P.reference_date)
+
+
+@register("heat_summary_default")
+def q_heat_summary_default(spark, sf_dir):
+    """Heat summary where every chunk pours on its mold day in heat 1."""
+    return _default_summary(spark, sf_dir)
+
+
+@register("heat_daily_totals_default")
+def q_heat_daily_totals_default(spark, sf_dir):
+    """Daily heat totals of the default plan."""
+    return heat_reports.heat_daily_totals(_default_summary(spark, sf_dir))
+
+
+@register("melt_management_default")
+def q_melt_management_default(spark, sf_dir):
+    """Melt management summary of the default plan."""
+    return melt_reports.melt_management(_default_summary(spark, sf_dir), _default_plan(spark, sf_dir), P.start_date)
+
+
+@register("melt_capacity_default")
+def q_melt_capacity_default(spark, sf_dir):
+    """Daily melt capacity of the default plan."""
+    return melt_reports.melt_capacity(_default_plan(spark, sf_dir), P.limits)
+
+
 @register("report_schedule")
 def q_report_schedule(spark, sf_dir):
     """The report-file run: the open-order sheet written as CSV text, read back, typed and

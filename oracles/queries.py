@@ -472,7 +472,7 @@ HS = f"""hs0 AS (
   SELECT pool, pour_schedule_day, heat_number, any_value(heat_slot) AS heat_slot,
          any_value(global_heat_number) AS global_heat_number, any_value(heat_status) AS heat_status,
          min(planning_priority_rank) AS rnk, min(alloy) AS anchor_alloy,
-         any_value(compatibility_group) AS compatibility_group,
+         min(compatibility_group) AS compatibility_group,
          min(due_date) AS earliest_due_date, max(due_date) AS latest_due_date,
          CAST(sum(total_weight_per_ext) AS DOUBLE) AS total_weight_lbs, CAST(sum(molds_for_ext) AS DOUBLE) AS total_molds,
          count(*) AS rows_in_heat,
@@ -854,3 +854,20 @@ FROM range(1, (SELECT max(schedule_day) FROM asg) + 1) t(d)"""
 
 Q["order_lifecycle_incremental"] = Q["order_lifecycle"]
 Q["report_schedule"] = Q["mold_assignments"]
+
+# The default plan: pour day = mold day, heat 1.
+_MP_DEFAULT = f"""mp AS (
+  SELECT * EXCLUDE (pour_schedule_day, heat_number, global_heat_number), schedule_day AS original_pour_schedule_day,
+         schedule_day AS pour_schedule_day, 1 AS heat_number, 1 AS global_heat_number, 1 AS heat_slot, 'Planned' AS heat_status,
+         {_DU} AS days_until_due,
+         CASE WHEN due_date IS NULL THEN 2 WHEN {_DU} <= 14 THEN 0 WHEN {_DU} <= 70 THEN 1 ELSE 2 END AS planning_priority_rank,
+         CASE WHEN due_date IS NULL THEN 'Standard' WHEN {_DU} <= 14 THEN 'Highest Priority' WHEN {_DU} <= 70 THEN 'Priority Review' ELSE 'Standard' END AS planning_priority,
+         CASE WHEN due_date IS NULL THEN 'Outside 10 Weeks' WHEN {_DU} <= 14 THEN 'Next 2 Weeks' WHEN {_DU} <= 70 THEN 'Next 10 Weeks' ELSE 'Outside 10 Weeks' END AS review_window
+  FROM asg)"""
+for _name in ("heat_summary", "heat_daily_totals", "melt_management", "melt_capacity"):
+    Q[_name + "_default"] = Q[_name].replace(MP, _MP_DEFAULT)
+
+_SHEETS = {"Overall Summary": "job_status", "Melt Schedule": "melt_schedule", "Melt Diagnostics": "melt_gap_diagnostics",
+           "Mold Schedule": "mold_schedule_sheet", "Melt Summary": "melt_management", "Mold Summary": "job_shipping_outlook"}
+Q["published_sheets"] = "\nUNION ALL\n".join(
+    f"SELECT '{sheet}' AS sheet, count(*) AS row_count FROM ({Q[name]}) t" for sheet, name in _SHEETS.items())
