@@ -205,13 +205,18 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
              .where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")))
     model = fit(materialize(narrow.join(known, "_id").select("label", "_stats"), "training"))
-    source = narrow.withColumnRenamed("_id", id_col) if keep == [id_col] else measure(base.select(*dict.fromkeys([*keep, text_col])), text_col, keep)
+    # the statistics just written serve a result without texts; others are measured and scored in one scan
+    written = keep == [id_col]
+    source = narrow.withColumnRenamed("_id", id_col) if written else base.select(*keep, F.col(text_col).alias("_stats"))
     fields = [source.schema[c] for c in keep]
 
     def run(batches):
         for batch in batches:
-            x = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
-            s = model.score(x)
+            last = batch.column(len(keep))
+            if written:
+                s = model.score(last.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)))
+            else:
+                s = np.concatenate([model.score(statistics(d, o).astype(np.float32)) for _, _, d, o in text_chunks(last)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(s), pa.array((s >= CUT).astype(np.int32))],
                                              names=[*keep, "score", "predicted"])
 

@@ -77,7 +77,7 @@ def gapless(df: DataFrame, group: list[str], order: list[Column], out: str, rows
             .drop("_slice", "_gs", "_before", "_inside", *[f"_g{i}" for i in range(len(group))]))
 
 
-def text_chunks(column: pa.Array, max_bytes: int = 1 << 20):
+def text_chunks(column: pa.Array, max_bytes: int = 1 << 18):
     """Split one Arrow string column into runs of whole texts of about ``max_bytes``.
 
     Yields ``(first_row, end_row, bytes as uint8, offsets)``; nulls are empty texts.  A text

@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int):
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(18, int(n).bit_length())
     if _POWERS.get("n", 0) < size:
         steps = np.full(size, _BASE)
         steps[0] = 1
