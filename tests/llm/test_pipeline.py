@@ -1,7 +1,7 @@
 import corpus_pipeline as P
-from test_line_dedup import brute as brute_lines
-from test_near_duplicates import brute as brute_near
-from test_decontamination import brute as brute_benchmark
+from .test_line_dedup import brute as brute_lines
+from .test_near_duplicates import brute as brute_near
+from .test_decontamination import brute as brute_benchmark
 
 from castplan.llm import length_packing, quality_qda
 
