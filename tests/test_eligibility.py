@@ -92,8 +92,8 @@ def test_report_source_and_seed(spark, tmpdir_path):
         fh.write(" Job Number ,Alloy,Molds Needed,Hold,Scheduled,Casting Type,Job Type,Due Date\n"
                  "J1,economy,3,NO,NO,L,JOB,2001-06-20\nJ2,LARGE,0,NO,NO,L,JOB,2001-07-01\n")
     inp = load_scheduler_input(spark, "report", report_path=p)
-    got = {r["job_number"]: (r["molds_needed"], r["compatibility_group"]) for r in inp.collect()}
-    assert got == {"J1": ("3", "G1"), "J2": ("0", "LARGE")}
+    got = {r["job_number"]: (r["molds_needed"], r["compatibility_group"], r["due_date"]) for r in inp.collect()}
+    assert got == {"J1": (3, "G1", dt.date(2001, 6, 20)), "J2": (0, "LARGE", dt.date(2001, 7, 1))}
     try:
         load_scheduler_input(spark, "ftp")
         raise AssertionError("expected failure")
