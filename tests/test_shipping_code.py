@@ -18,7 +18,8 @@ def test_grouped_map_function_unpickles_without_package():
     code = ("import pickle, sys, pandas as pd\n"
             "assert not any('repo' in p for p in sys.path)\n"
             f"fn = pickle.load(open({fh.name!r}, 'rb'))\n"
-            "df = pd.DataFrame({'pool_key': ['p'], 'row_key': ['r'], 'job_key': ['J'], 'is_floor': [False], 'molds': [8]})\n"
+            "df = pd.DataFrame({'seq': [1], 'row_hash': [5], 'row_copy': [1], 'job_key': ['J'], 'is_floor': [False], 'molds': [8],\n"
+            "                   'lane_pos': [1], 'line_n': [1], 'floor_n': [0], 'job_pos': [1], 'job_line_n': [1], 'job_floor_n': [0]})\n"
             "out = pd.concat(list(fn(iter([df]))))\n"
             "print(out.molds_for_ext.tolist())\n")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
