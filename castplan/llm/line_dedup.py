@@ -1,18 +1,21 @@
-"""Line dedup by content-defined chunks of lines.
-
-A text is cut at newlines.  A rolling hash over the last ``WINDOW`` line hashes ends a chunk
-wherever it is 0 modulo ``DIVISOR``, so the same run of lines is cut alike in every text,
-however far it has shifted.  A line of ``LONG_WORDS`` words or more fills a chunk by itself (the
-usual upper size of content-defined chunking, met inside one line), so that a passage written as
-one long line is found too.
-
-A chunk is removable if it has two lines or more, or is one long line, and holds at least
-``MIN_WORDS`` words.  A first pass counts chunk hashes (aggregated map side); only chunks whose
-hash repeats are then grouped by their bytes, which is the byte comparison.  Of each repeated
-chunk the first place (least doc_id, then place in the text) stays and all others go.
-
-Defined cases: null text stays null and an empty text stays empty; a text of which all is removed
-becomes empty; repeated rows (same doc_id and text) are one document listed again and get the same
+"""Line dedup by overlapping chunks of lines.
+
+A text is cut at newlines.  From every line with words a chunk runs forward, and one runs back, as
+far as it must to be removable: over ``MIN_WORDS`` words, and over two lines with words or a line
+of ``LONG_WORDS`` words or more.  A chunk depends on its own lines only, so a repeated passage of
+two lines or more is made of the same chunks in every text, whatever stands around it, and every
+one of its lines is in one of them: neighbouring chunks share lines, so repeats extend line by line
+to the passage's ends.  A long line is a chunk by itself.  No chunk lies strictly inside another, so
+starts and ends are in the same order.
+
+A first pass counts chunk hashes (aggregated map side); only chunks whose hash repeats are then
+grouped by their bytes, which is the byte comparison.  Of each repeated chunk the first place (least
+doc_id, then place in the text) stays; the lines of all others go.  The first place of a line is
+in first places only, so every distinct line stays at least once.
+
+Defined cases: null text stays null and an empty text stays empty; a text of which no more than
+empty lines is left becomes empty; a line of fewer than ``LONG_WORDS`` words that repeats between
+other neighbours stays; ``n_removed_chunks`` counts overlapping chunks; repeated rows (same doc_id and text) are one document listed again and get the same
 decisions; a null doc_id counts as the last document.  Extra columns pass through; columns that
 clash with the added ones are replaced.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 from castplan.llm import textwords as tw
 from castplan.llm.shared import materialize, text_chunks, without
 
-WINDOW, DIVISOR, LONG_WORDS, MIN_WORDS = 2, 2, 32, 10
+LONG_WORDS, MIN_WORDS = 32, 10
 #: Bound on the hashes of repeated chunks (16 bytes each) that are broadcast.
 BROADCAST_HASHES = 1_000_000
 _LINES = tw.byte_table([10], lower=False)
@@ -49,8 +52,7 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
     return start, np.maximum(end, start), np.searchsorted(start, offsets)
 
 
-def chunk_table(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, divisor: int = DIVISOR,
-                long_words: int = LONG_WORDS, min_words: int = MIN_WORDS):
+def chunk_table(data: np.ndarray, offsets: np.ndarray, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS):
     """Removable chunks: ``(text, first byte, end byte, chunk number, lines, hash)`` as arrays.
 
     ``end byte`` includes the newline that ends the chunk's last line, if any; the hash covers
@@ -61,28 +63,26 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, div
         none = np.zeros(0, np.int64)
         return none, none, none, none, none, none.astype(np.uint64)
     prefix = tw.prefix_hash(data)
-    hashes = tw.span_hash(prefix, start, end)
     word_start, _, _ = tw.words(data, offsets, tw.SPACE_WORDS)
     n_words = np.searchsorted(word_start, end) - np.searchsorted(word_start, start)
     doc = np.searchsorted(first, np.arange(len(start)), "right") - 1
-    rolled = np.zeros(len(start), np.uint64)
-    for back in range(window - 1, -1, -1):  # lines before the text's first count as 0
-        own = np.zeros(len(start), np.uint64)
-        own[back:] = hashes[:len(start) - back]
-        own[(np.arange(len(start)) - back) < first[doc]] = 0
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + own
-    closes = tw.mix(rolled) % np.uint64(divisor) == 0
-    long = n_words >= long_words
-    closes |= long
-    closes[:-1] |= long[1:]
-    closes[first[1:][first[1:] > 0] - 1] = True  # the last line of a text
-    last = np.flatnonzero(closes)
-    head = np.concatenate([[0], last[:-1] + 1])
-    size = np.concatenate([[0], np.cumsum(n_words)])
-    words = size[last + 1] - size[head]
+    # lines without words start and end no chunk; a run of them is inside few
+    at = np.flatnonzero(n_words)
+    size, filled, long = (np.concatenate([[0], np.cumsum(x)]) for x in (n_words, n_words > 0, n_words >= long_words))
+    least = max(min_words, 1)
+
+    def until(total, more):  # the first line by which the total has grown by so much since before line ``at``
+        return np.searchsorted(total, total[at] + more) - 1
+
+    def since(total, more):  # the last line from which it grows by so much up to line ``at``
+        return np.searchsorted(total, total[at + 1] - more, "right") - 1
+
+    last = np.maximum(until(size, least), np.minimum(until(filled, 2), until(long, 1)))
+    head = np.minimum(since(size, least), np.maximum(since(filled, 2), since(long, 1)))
+    ahead, back = last < first[doc[at] + 1], head >= first[doc[at]]
+    both = np.unique(np.concatenate([at[ahead] * len(start) + last[ahead], head[back] * len(start) + at[back]]))
+    head, last = both // len(start), both % len(start)
     number = np.arange(len(head)) - np.searchsorted(head, first[doc[head]])
-    keep = (words >= min_words) & ((last > head) | long[last])
-    head, last, number = head[keep], last[keep], number[keep]
     stop = np.minimum(end[last] + 1, offsets[doc[last] + 1])
     return (doc[head], start[head], stop, number, last - head + 1, tw.span_hash(prefix, start[head], end[last]))
 
@@ -97,6 +97,10 @@ def _chunker(options: dict, with_bytes: bool):
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(2)):
                 doc, start, stop, number, _, hashes = chunk_table(data, offsets, **options)
+                if batch.num_columns > 3:  # named places only
+                    at = np.searchsorted(doc, np.arange(hi - lo + 1))
+                    named = [at[i] + np.sort(places) for i, places in enumerate(batch.column(3).slice(lo, hi - lo).to_pylist())]
+                    doc, start, stop, number, hashes = (x[np.concatenate(named)] for x in (doc, start, stop, number, hashes))
                 keys = [batch.column(c).slice(lo, hi - lo).take(pa.array(doc)) for c in (0, 1)]
                 cols = [*keys, pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64))]
                 if with_bytes:
@@ -111,13 +115,19 @@ def repeated_places(docs: DataFrame, text_col: str, options: dict) -> DataFrame:
     own = docs.select("doc_key", "text_key", text_col)
     keys = materialize(own.mapInArrow(_chunker(options, False), _KEYS), "chunk-keys")
     twice = materialize(keys.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_hash"), "twice")
-    # few enough hashes go to the bytes by broadcast; beyond that the bytes are dealt by hash
-    few = F.broadcast(twice) if twice.count() <= BROADCAST_HASHES else twice
-    chunks = own.mapInArrow(_chunker(options, True), _BYTES).join(few, "chunk_hash", "left_semi")
+    few = twice.count() <= BROADCAST_HASHES
+    twice = F.broadcast(twice) if few else twice
+    again = keys.join(twice, "chunk_hash", "left_semi")
+    if few:  # few enough hashes go to the bytes by broadcast
+        chunks = own.mapInArrow(_chunker(options, True), _BYTES).join(twice, "chunk_hash", "left_semi")
+    else:  # beyond that the texts go to their repeated places, and only those give their bytes
+        again = materialize(again, "again")
+        places = again.groupBy("doc_key", "text_key").agg(F.collect_set("place").alias("places"))
+        chunks = own.join(places, ["doc_key", "text_key"]).mapInArrow(_chunker(options, True), _BYTES)
     # equal bytes, not equal hashes, make a repeated chunk; copies meet already inside a task
     first = chunks.groupBy("chunk_hash", "chunk").agg(F.min(F.struct("doc_key", "text_key", "place")).alias("first"))
     # a place goes if its hash repeats and it isn't the first of its bytes
-    gone = keys.join(few, "chunk_hash", "left_semi").join(first.select("first.*"), ["doc_key", "text_key", "place"], "left_anti")
+    gone = again.join(first.select("first.*"), ["doc_key", "text_key", "place"], "left_anti")
     return gone.groupBy("doc_key", "text_key").agg(F.sort_array(F.collect_set("place")).alias("gone"))
 
 
@@ -133,27 +143,30 @@ def _remover(text_col: str, keep: list, options: dict):
             out, counts = [], []
             for lo, hi, data, offsets in text_chunks(texts):
                 raw = data.tobytes()
-                first = line_spans(data, offsets)[2]
-                doc, start, stop, number, lines, _ = chunk_table(data, offsets, **options)
+                line, _, first = line_spans(data, offsets)
+                doc, start, stop, number, _, _ = chunk_table(data, offsets, **options)
                 at = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
                     a, b = int(offsets[i]), int(offsets[i + 1])
                     places = set(gone[lo + i] or ())
                     cut = [j for j in range(at[i], at[i + 1]) if number[j] in places] if places else []
+                    removed = lines = 0
                     if cut:
                         parts, pos = [], a
                         for j in cut:
-                            parts.append(raw[pos:start[j]])
-                            pos = int(stop[j])
+                            head, end = max(pos, int(start[j])), int(stop[j])
+                            parts.append(raw[pos:head])
+                            removed += end - head
+                            lines += int(np.searchsorted(line, end) - np.searchsorted(line, head))
+                            pos = end
                         parts.append(raw[pos:b])
                         body = b"".join(parts)
-                        if cut and stop[cut[-1]] == b and raw[b - 1:b] != b"\n":
+                        if pos == b and raw[b - 1:b] != b"\n":
                             body = body.removesuffix(b"\n")  # the newline before a removed end
-                        out.append(body.decode("utf-8"))
+                        out.append(body.decode("utf-8") if body.strip(b"\n") else "")
                     else:
                         out.append(texts[lo + i].as_py())
-                    removed = int(sum(stop[j] - start[j] for j in cut))
-                    counts.append((int(first[i + 1] - first[i]), int(sum(lines[j] for j in cut)), removed, len(cut)))
+                    counts.append((int(first[i + 1] - first[i]), lines, removed, len(cut)))
             cols = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in keep]
             cols += [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(ADDED))]
             yield pa.RecordBatch.from_arrays(cols, names=keep + ADDED)
@@ -164,7 +177,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """``docs`` with repeated chunks removed from the text, and ``n_lines`` (before), the removed
     lines and bytes and the number of removed chunks.
 
-    ``options``: window, divisor, long_words, min_words.
+    ``options``: long_words, min_words.
     """
     base = without(docs, *ADDED)
     # ids order the documents; rows of one id are told apart by their text, repeated rows are not

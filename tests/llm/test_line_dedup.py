@@ -79,3 +79,37 @@ def test_hard_rows(spark, hard_docs, no_docs):
     assert any(r.doc_id == 3 and r.text is None for r in rows) and any(r.doc_id == 4 and r.text == "" for r in rows)
     assert [r.n_lines for r in rows if r.doc_id == 9] == [3]
     assert L.dedup_lines(no_docs).count() == 0
+
+
+def test_planted_passages_of_short_lines_go_whole(spark):
+    """Expected texts are put together from the hosts' own lines, without ``chunk_table``."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for p in range(140):
+        n = 2 + p % 7
+        total = rng.randrange(max(51, 4 * n), min(100, 31 * n) + 1)
+        sizes = [total // n + (i < total % n) for i in range(n)]
+        passage = [" ".join(f"p{p}l{i}w{j}" for j in range(size)) for i, size in enumerate(sizes)]
+        assert max(sizes) < L.LONG_WORDS and total > 50
+        for copy in range(3):
+            d = copy * 1000 + p
+            around = [[" ".join(f"d{d}{side}{i}x{j}" for j in range(rng.choice([2, 9, 17, 40]))) for i in range(rng.randrange(4))] for side in "ab"]
+            rows.append((d, "\n".join([*around[0], *passage, *around[1]])))
+            want[d] = "\n".join([*around[0], *(passage if copy == 0 else []), *around[1]])
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: t for d, (t, _) in got.items()} == want
+    assert all(n == (0 if d < 1000 else 2 + d % 1000 % 7) for d, (_, n) in got.items())
+
+
+def test_lone_repeated_lines_stay_and_every_line_stays_once(spark):
+    rng = random.Random(6)
+    common = "one line of twelve words that stands in every text of these"
+    lone = [(d, f"own{d} first line\n{common}\nown{d} last line") for d in range(4)]
+    assert {r.text for r in L.dedup_lines(spark.createDataFrame(lone, "doc_id long, text string")).collect()} == {t for _, t in lone}
+    lines = [" ".join(f"l{i}w{j}" for j in range(rng.choice([1, 6, 12, 40]))) for i in range(12)] + ["", " "]
+    rows = [(d, "\n".join(rng.choices(lines, k=rng.randrange(1, 12)))) for d in range(80)]
+    out = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept, there = ({x for t in texts for x in t.split("\n") if x.strip()} for texts in ([r.text for r in out], [t for _, t in rows]))
+    assert kept == there and sum(r.n_removed_lines for r in out) > 100
+    copies = [(d, "\n \nshort line here\n\nand a second one of eight words now\n") for d in range(3)]
+    assert [r.text.strip() != "" for r in L.dedup_lines(spark.createDataFrame(copies, "doc_id long, text string")).orderBy("doc_id").collect()] == [True, False, False]
