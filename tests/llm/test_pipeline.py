@@ -35,3 +35,14 @@ def test_stages_keep_columns_and_take_hard_rows(spark, hard_docs, tmp_path):
         for docs in (hard_docs, hard_docs.limit(0)):
             out = stage(spark, docs, str(tmp_path))
             assert out.count() <= 3000 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_of_planted_copies_one_document_stays(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # later copies of every document change nothing
+    copies = [docs.withColumn("doc_id", docs.doc_id + at) for at in (1_000_000, 2_000_000)]
+    docs.unionByName(copies[0]).unionByName(copies[1]).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    alone, out = ({(r.doc_id, r.n_tokens) for r in P.run(spark, d).collect()} for d in (SF, str(tmp_path)))
+    assert out == alone and len(alone) > 50
