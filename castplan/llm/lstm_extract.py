@@ -38,7 +38,9 @@ _PATH_DIM, _WORD_DIM, _SHAPE_DIM = 96, 32, 8
 DIM = _PATH_DIM + _WORD_DIM + _SHAPE_DIM
 
 # Element names of HTML.
-_SILENT = ("script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title")
+_SILENT = ("script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title")
+#: These run to the end of the page if they are left open; other open silent tags are skipped alone.
+_RAW = ("script", "style", "textarea")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Names of containers used to re-dress training pages.
@@ -49,8 +51,8 @@ _FURNITURE = ['nav', 'header', 'footer', 'aside', 'form', 'div class="menu"', 'u
               'div class="related"', 'div class="share"', 'div class="social"', 'div class="footer"', 'div id="footer"', 'div class="header"', 'div id="header"', 'div class="masthead"', 'div class="copyright"', 'div class="login"', 'form class="search"', 'div class="pagination"',
               'div class="tags"', 'div role="navigation"', 'div role="banner"', 'div role="contentinfo"', 'aside class="sidebar"', 'div class="reader-comments"', 'div class="replies"', 'dialog', 'menu']
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(_SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
-                    r"|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SILENT}
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -75,6 +77,7 @@ def leaf_blocks(page: str | None) -> list:
         return blocks
     stack: list = []
     links, pieces, linked, at = 0, [], 0, 0
+    left_open: set = set()  # silent tags that no end tag follows any more
 
     def flush():
         nonlocal linked
@@ -85,34 +88,44 @@ def leaf_blocks(page: str | None) -> list:
             pieces.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at:m.start()]
             pieces.append(piece)
             if links:
                 linked += len(piece)
         at = m.end()
-        tag = m[3]
-        if not tag:
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if tag in _CLOSE and not m[1]:
+            if not m[3].endswith("/"):
+                close = None if tag in left_open else _CLOSE[tag].search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    left_open.add(tag)
+                    at = len(page) if tag in _RAW else at
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m[1] else 1
             elif tag == "br":
                 pieces.append(" ")
             continue
         flush()
         links = 0
-        if m[2]:
+        if tag == "head":
+            continue  # what it may hold is silent by itself, and its end tag is optional
+        if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        elif tag not in _VOID and not m[4].rstrip().endswith("/"):
+        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
             if tag in ("p", "li") and stack and stack[-1][0] == tag:
                 stack.pop()  # an open paragraph or item ends where the next begins
-            stack.append((tag, path_tokens(tag, m[4])))
+            stack.append((tag, path_tokens(tag, m[3])))
     if at < len(page):
         pieces.append(page[at:])
     flush()
@@ -132,10 +145,8 @@ def block_vectors(blocks: list) -> np.ndarray:
             paths[path] = got = np.minimum(got, 2)
         out[i, :_PATH_DIM] = got
         words = text.lower().split(" ")
-        # the words of long blocks say little one by one: a spread of them stands for the block
-        some = words if len(words) <= 12 else words[:6] + words[len(words) // 2:len(words) // 2 + 3] + words[-3:]
-        for w in some:
-            out[i, _PATH_DIM + _slot(w.strip(".,;:!?()"), _WORD_DIM)] += 1.0 / len(some) ** 0.5
+        slots = [_slot(w.strip(".,;:!?()"), _WORD_DIM) for w in words]
+        out[i, _PATH_DIM:_PATH_DIM + _WORD_DIM] = np.bincount(slots, minlength=_WORD_DIM) / len(words) ** 0.5
         n = len(text)
         out[i, -_SHAPE_DIM:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, linked / n), text[-1] in ".!?", text[0].isupper(),
                                 "©" in text, i / len(blocks), len(path) / 8)
@@ -244,7 +255,9 @@ def train(pages: list, seed: int = SEED) -> Labeller:
     data.sort(key=lambda d: len(d[0]))
     batches, lo = [], 0
     while lo < len(data):
-        hi = min(lo + 32, len(data))
+        hi = lo + 1  # at most 32 pages, padded to at most 16,384 steps, or one page
+        while hi < len(data) and hi - lo < 32 and (hi - lo + 1) * len(data[hi][0]) <= 16384:
+            hi += 1
         x, mask = _padded([d[0] for d in data[lo:hi]])
         y = np.zeros(mask.shape, np.float32)
         for k, d in enumerate(data[lo:hi]):
@@ -334,7 +347,7 @@ def learn(pages: DataFrame, html_col: str = "html", order_col: str = "url", samp
     rng = np.random.default_rng(SEED)
     data = []
     for page in [_BUILT_IN, *[r[0] for r in sample]]:
-        blocks = leaf_blocks(page)[:200]
+        blocks = leaf_blocks(page)
         labels = [named_label(b[0]) for b in blocks]
         known = [(b, y) for b, y in zip(blocks, labels, strict=True) if y is not None]
         data.append(([b for b, _ in known], [y for _, y in known]))

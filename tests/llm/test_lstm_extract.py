@@ -80,3 +80,26 @@ def test_hard_pages(spark, model):
     assert got[1] == got[2] == got[3] == "" and got[4].count("\n\n") == 2999
     none = pages.limit(0)
     assert X.extract(none).count() == 0
+
+
+def test_open_and_custom_elements_drop_nothing_else(spark, model):
+    def texts(page):
+        return [b[1] for b in X.leaf_blocks(page)]
+    assert texts("<html><head><title>t</title><body><article><p>Main text.</p>") == ["Main text."]
+    assert texts("<head><title>t</title><meta charset=x><style>p{}</style><p>Main.</p>") == ["Main."]
+    assert texts("<p>one <svg-icon></svg-icon> two</p><p>three</p><head-line>Big</head-line>") == ["one", "two", "three", "Big"]
+    for tag in ("select", "object", "iframe", "svg", "noscript", "title"):
+        assert texts(f"<p>a</p><{tag} x=1><p>b</p><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a</p><{tag} x=1>no</{tag.upper()} ><p>b <{tag}/>c</p>") == ["a", "b c"]
+    for tag in ("script", "style", "textarea"):
+        assert texts(f"<p>a</p><{tag}>var b = '<p>no</p>';") == ["a"]
+    assert len(texts("<p>a</p><svg>" * 20_000)) == 20_000  # one search for an end tag, not one each
+    rows = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(20).collect()]
+    got = X.extract_texts(model, [h.replace("</head>", "") for h in rows])
+    assert got == [article_text(h) for h in rows] and all(got)
+
+
+def test_all_words_of_a_block_count():
+    words = [f"w{i}" for i in range(60)]
+    one, two = (X.block_vectors([(("p",), " ".join(w), 0)]) for w in (words, [*words[:15], "z15", *words[16:]]))
+    assert (one != two).any()
