@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castplan.llm import bbit_minhash, decontamination, kd_sharding, length_packing, line_dedup, lstm_extract, order_minhash, pseudo_likelihood, quality_qda, url_temporal
+from castplan.llm import (bbit_minhash, bpe, code_compression, decontamination, kd_sharding, length_packing, line_dedup, lstm_extract, order_minhash,
+                          pseudo_likelihood, quality_qda, url_temporal, whitening)
+from castplan.llm.shared import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -103,6 +106,28 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         (n_hit > 0).alias("contaminated"))
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings: 8 parts, 16 entries, 6 rounds."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows, books = code_compression.compress(vectors)
+    out = code_compression.add_group_totals(materialize(rows, "codes"), "label", "error", "label_error")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened on their first 32 components."""
+    out = whitening.report(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), top=32)
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and what they decode to."""
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep=["doc_id"])
+    out = bpe.decode(docs, vocabulary)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kd_sharding": op2_kd_sharding,
@@ -114,4 +139,7 @@ QUERIES = {
     "op8_length_packing": op8_length_packing,
     "op9_order_minhash": op9_order_minhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_code_compression": op11_code_compression,
+    "op12_whitening": op12_whitening,
+    "op13_bpe": op13_bpe,
 }

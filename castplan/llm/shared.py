@@ -25,9 +25,28 @@ def run_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: later readers prune columns, a lost
     executor costs a re-read, and non-deterministic inputs are fixed."""
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``materialize`` with the folder's path, for ``discard``."""
     path = run_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def fixed_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself if every scan of it gives the same rows in the same order, else a written copy: the
+    order in which an exchange's rows arrive isn't fixed."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialize(df, "fixed") if "Exchange" in plan or "ExistingRDD" in plan else df
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one run folder that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _RUN_FOLDERS.remove((spark, path))
 
 
 def cleanup(spark: SparkSession) -> None:
