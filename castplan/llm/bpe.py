@@ -4,8 +4,8 @@
 order of first occurrence: the numbers in text order are its positions, and every distinct word of
 the block becomes one row (word, block, number), the block's pre-aggregated occurrences.  These rows
 are shuffled and sorted by word, so a task meets all rows of a word next to each other, merges its
-bytes by rank once, and hands the ids to each row.  The rows then go back to their blocks, where ids
-are put in place by position.  A word has at most one row per block, so that a word that is a third of
+bytes by rank once, and hands the ids to each row.  The rows then go back to their blocks, packed, and
+ids are put in place by position.  A word has at most one row per block, so that a word that is a third of
 all pre-tokens is a row in a few hundred thousand.
 
 Positions travel once: a second scan of the same blocks sends them straight to the blocks' tasks.  A
@@ -29,6 +29,7 @@ import hashlib
 import heapq
 import itertools
 import operator
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -45,6 +46,8 @@ from castplan.llm.shared import fixed_rows, without
 BLOCK_TOKENS = 1 << 22
 #: Pre-tokens whose ids are put in place at a time.
 PLACED_TOKENS = 1 << 19
+#: Rows of encoded words that a task holds to pack those of a block together.
+PACKED_ROWS = 1 << 18
 #: Words of more bytes are merged with a heap.
 HEAP_BYTES = 40
 
@@ -69,6 +72,50 @@ class Vocabulary:
         return out
 
 
+def plain_pattern(pattern: str, most: int) -> str | None:
+    """``pattern`` with ranges of code points up to ``most`` for its letter, number and white-space classes, which
+    the standard engine then finds without a Unicode property lookup; None if it has other properties."""
+    text = "".join(map(chr, (c for c in range(most + 1) if not 0xD800 <= c < 0xE000)))
+
+    def ranges(name):
+        points = [ord(c) for c in regex.findall(name, text)]
+        starts = [c for i, c in enumerate(points) if not i or points[i - 1] != c - 1]
+        ends = [c for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+    known = {name: ranges(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        name = next((n for n in (*known, r"\S", "\\") if pattern.startswith(n, i)), pattern[i])
+        if name in known:
+            out.append(known[name] if inside else f"[{known[name]}]")
+        elif name == r"\S" and not inside:
+            out.append(f"[^{known[chr(92) + 's']}]")
+        elif name in (r"\S", "\\") or pattern.startswith("(?", i) and not pattern.startswith(("(?!", "(?=", "(?:"), i):
+            return None
+        else:
+            inside = name == "[" or inside and name != "]"
+            out.append(name)
+        i += len(name)
+    return "".join(out)
+
+
+class Finder:
+    """All matches of a pattern; texts of few code points take the plain forms of it, with equal results."""
+
+    def __init__(self, pattern: str):
+        self.full = regex.compile(pattern)
+        self.plain = [re.compile(p) if (p := plain_pattern(pattern, most)) else self.full for most in (0x7F, 0xFFFF)]
+
+    def __call__(self, text: str):
+        if text.isascii():
+            form = self.plain[0]
+        else:
+            form = self.plain[1] if len(text.encode("utf-16-le")) == 2 * len(text) else self.full
+        # of long texts not all matches are held
+        return form.findall(text) if len(text) < 1 << 20 else map(operator.itemgetter(0), form.finditer(text))
+
+
 def merge(word: bytes, ranks: dict) -> list:
     """Ids of one word: again and again the adjacent pair of least rank, the leftmost first, becomes one."""
     if word in ranks:
@@ -126,8 +173,7 @@ def _merge_long(word: bytes, ranks: dict) -> list:
 
 def _blocks(batches, pattern: str):
     """``(block, digest, words, code arrays, rows)`` of this task's texts; ``rows`` are (batch, from, to)."""
-    find = regex.compile(pattern).finditer
-    match = operator.itemgetter(0)
+    find = Finder(pattern)
     task = TaskContext.get()
     first = (task.partitionId() if task else 0) << 32
 
@@ -142,7 +188,7 @@ def _blocks(batches, pattern: str):
         for i, text in enumerate(batch.column(0)):
             text = text.as_py() or ""
             digest.update(text.encode() + b"\xff")
-            codes.append(np.fromiter(map(words.__getitem__, map(match, find(text))), np.uint32))
+            codes.append(np.fromiter(map(words.__getitem__, find(text)), np.uint32))
             n += len(codes[-1])
             if n >= BLOCK_TOKENS:
                 rows.append((batch, lo, i + 1))
@@ -172,61 +218,128 @@ _WORDS = "word string, block long, number int, ids binary"
 _WORDS_ARROW = pa.schema([("word", pa.string()), ("block", pa.int64()), ("number", pa.int32()), ("ids", pa.binary())])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, all first bytes first, which compresses well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _values(planes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+
+
 def _encode_words(ranks: dict):
-    """Gives sorted words their ids; each distinct word is merged once."""
+    """Gives sorted words their ids; each distinct word is merged once.  The rows of a block that come
+    together in a task go back in one piece: its word numbers, the ids of each, the ids in that order."""
+    def pack(held):
+        block, number = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+        raw = pa.concat_arrays([h[2] for h in held])
+        starts = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1].astype(np.int64) // 4
+        flat = np.frombuffer(raw.buffers()[2], "<u4")
+        by = np.lexsort((number, block))
+        block, number, sizes = block[by], number[by], np.diff(starts)[by]
+        to = np.cumsum(sizes)
+        flat = flat[np.repeat(starts[:-1][by] - to + sizes, sizes) + np.arange(to[-1])]
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        ends = np.concatenate([[0], to])
+        pieces = [_planes(np.diff(number[a:b], prepend=0)) + _planes(sizes[a:b]) + _planes(flat[ends[a]:ends[b]]) for a, b in itertools.pairwise(cuts)]
+        n = len(pieces)
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(np.full(n, PIECE, np.int32)), pa.array(np.diff(cuts).astype(np.int32)),
+                                           pa.array(pieces, pa.binary())], names=_PIECES_NAMES)
+
     def run(batches):
         last, last_ids = None, None
+        held, rows = [], 0
         for batch in batches:
+            seal = batch.filter(batch.column("word").is_null())
+            if seal.num_rows:
+                yield pa.RecordBatch.from_arrays([seal.column("block"), pa.array(np.full(len(seal), SEAL, np.int32)), seal.column("number"), seal.column("ids")], names=_PIECES_NAMES)
+                batch = batch.filter(batch.column("word").is_valid())
+            if not batch.num_rows:
+                continue
             words = batch.column("word").dictionary_encode()
             ids = []
             for word in words.dictionary.to_pylist():
                 if word != last:
                     last, last_ids = word, np.array(merge(word.encode(), ranks), "<u4").tobytes()
                 ids.append(last_ids)
-            found = pa.array(ids, pa.binary()).take(words.indices)
-            found = pa.compute.coalesce(found, batch.column("ids"))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), found], names=["block", "number", "ids"])
+            held.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), pa.array(ids, pa.binary()).take(words.indices)))
+            rows += batch.num_rows
+            if rows >= PACKED_ROWS:
+                yield pack(held)
+                held, rows = [], 0
+        if rows:
+            yield pack(held)
     return run
 
 
-def _pack(codes: list) -> bytes:
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-    return pa.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel()
+#: Order of a block's rows: positions, digest, pieces of ids.
+HEAD, SEAL, PIECE = 0, 1, 2
+_PIECES = "block long, kind int, n int, data binary"
+_PIECES_NAMES = ["block", "kind", "n", "data"]
 
 
 def _positions(pattern: str, keep: list, arrow: pa.Schema):
     """One row per block: its positions, the pre-tokens of each text, the texts' other columns, the digest."""
     def run(batches):
-        for block, digest, _, codes, rows in _blocks(batches, pattern):
+        for block, digest, words, codes, rows in _blocks(batches, pattern):
             columns = [pa.concat_arrays([b.column(c).slice(lo, hi - lo) for b, lo, hi in rows]) for c in range(1, len(keep) + 1)]
-            sizes = np.array([len(c) for c in codes], np.int64)
-            columns.append(pa.array(sizes))
+            columns.append(pa.array(np.array([len(c) for c in codes], np.int64)))
             texts = pa.StructArray.from_arrays(columns, fields=list(arrow.field("texts").type.value_type))
-            one = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), texts)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-2], pa.int32()), pa.array([_pack(codes)], pa.binary()),
+            one = pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), texts)
+            raw = pa.compress(_planes(np.concatenate(codes)), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([HEAD], pa.int32()), pa.array([len(words)], pa.int32()), pa.array([raw], pa.binary()),
                                               pa.array([digest], pa.binary()), one], schema=arrow)
     return run
 
 
-def _reassemble(keep: list):
-    """Streams rows sorted by (block, number): the block's positions, its digest, its words' ids."""
-    def place(codes, sizes, ids, starts, columns):
-        lengths = np.diff(starts)
+class _Block:
+    """The rows of one block on their way back together."""
+
+    def __init__(self):
+        self.head, self.seal, self.pieces, self.found = None, None, [], 0
+
+    def add(self, row: dict) -> None:
+        if row["kind"] == HEAD:
+            self.head = row
+        elif row["kind"] == SEAL:
+            self.seal = row["data"]
+        else:
+            n = row["n"]
+            raw = memoryview(row["data"])
+            sizes = _values(raw[4 * n:], n).astype(np.int64)
+            self.pieces.append((np.cumsum(_values(raw, n)).astype(np.int64), sizes, _values(raw[8 * n:], int(sizes.sum()))))
+            self.found += n
+
+    def words(self):
+        """``(first id, ids)`` of the block's words by number, and all ids."""
+        if self.head is None or self.seal != self.head["digest"] or self.found != self.head["n"]:
+            raise RuntimeError("a block of texts changed between two scans of the input; write the input first")
+        sizes = np.zeros(self.found, np.int64)
+        for number, n, _ in self.pieces:
+            sizes[number] = n
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.zeros(starts[-1], "<u4")
+        for number, n, ids in self.pieces:
+            flat[np.repeat(starts[number] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return starts, sizes, flat
+
+    def texts(self, keep: list):
+        """The block's texts, with the ids of their pre-tokens in place."""
+        starts, lengths, ids = self.words()
+        self.pieces = []
+        columns = self.head["texts"].flatten()
+        sizes, columns = columns[-1].to_numpy(), columns[:-1]
         ends = np.concatenate([[0], np.cumsum(sizes)])
+        codes = _values(pa.decompress(self.head["data"], 4 * int(ends[-1]), codec="zstd", asbytes=True), int(ends[-1]))
         lo = 0
         while lo < len(sizes):
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PLACED_TOKENS, "right")) - 1)
-            out, counts = [], []
-            for part in range(ends[lo], ends[hi], PLACED_TOKENS) or [ends[lo]]:  # a long text in pieces
+            out, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+            for part in range(ends[lo], ends[hi], PLACED_TOKENS):  # a long text in pieces
                 own = codes[part:min(part + PLACED_TOKENS, ends[hi])]
                 n = lengths[own]
                 to = np.cumsum(n)
-                out.append(ids[np.repeat(starts[own] - to + n, n) + np.arange(to[-1] if len(to) else 0)])
+                out.append(ids[np.repeat(starts[own] - to + n, n) + np.arange(to[-1])])
                 counts.append(n)
             flat, total = np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
             cut = total[ends[lo:hi + 1] - ends[lo]]
@@ -234,37 +347,22 @@ def _reassemble(keep: list):
             yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in columns], raw, pa.array(np.diff(cut))], names=[*keep, *ADDED])
             lo = hi
 
-    def finish(block, head, pieces):
-        if head is None or block is None:
-            raise RuntimeError("words without a block of texts: the input changed between two scans; write it first")
-        raw, digest, texts = head
-        if not pieces or pieces[0][0].as_py() != digest:
-            raise RuntimeError("a block of texts changed between two scans of the input; write it first")
-        ids = pa.concat_arrays([p if i else p.slice(1) for i, p in enumerate(pieces)])
-        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1].astype(np.int64) if len(ids) else np.zeros(1, np.int64)
-        data = np.frombuffer(ids.buffers()[2], "<u4", count=int(offsets[-1]) // 4) if len(ids) and offsets[-1] else np.zeros(0, "<u4")
-        columns = texts.flatten()
-        sizes = columns[-1].to_numpy()
-        yield from place(_unpack(raw, int(sizes.sum())), sizes, data, offsets // 4, columns[:-1])
 
+def _reassemble(keep: list):
+    """Streams rows sorted by (block, kind)."""
     def run(batches):
-        block, head, pieces = None, None, []
+        at, block = None, None
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)] if len(blocks) else []
-            for lo, hi in itertools.pairwise(cuts):
-                if block is not None and blocks[lo] != block:
-                    yield from finish(block, head, pieces)
-                    head, pieces = None, []
-                block = blocks[lo]
-                part = batch.slice(lo, hi - lo)
-                if part.column("number")[0].as_py() == -2:
-                    head = (part.column("ids")[0].as_py(), part.column("digest")[0].as_py(), part.column("texts")[0].values)
-                    part = part.slice(1)
-                if part.num_rows:
-                    pieces.append(part.column("ids"))
-        if block is not None:
-            yield from finish(block, head, pieces)
+            texts = batch.column("texts")
+            for i, (k, kind, n, data, digest) in enumerate(zip(*[batch.column(c) for c in ("block", "kind", "n", "data", "digest")], strict=True)):
+                if at != k.as_py():
+                    if block:
+                        yield from block.texts(keep)
+                    at, block = k.as_py(), _Block()
+                block.add({"kind": kind.as_py(), "n": n.as_py(), "data": data.as_buffer(), "digest": digest.as_py(), "texts": texts[i].values}
+                          if kind.as_py() != SEAL else {"kind": SEAL, "data": data.as_py()})
+        if block:
+            yield from block.texts(keep)
     return run
 
 
@@ -279,12 +377,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep
     docs = fixed_rows(docs.select(F.col(text_col).alias("_text"), *keep))
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     texts = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)], T.StructField("size", T.LongType())])
-    block = T.StructType([T.StructField("block", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("ids", T.BinaryType()),
+    block = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("data", T.BinaryType()),
                           T.StructField("digest", T.BinaryType()), T.StructField("texts", T.ArrayType(texts))])
     words = docs.select("_text").mapInArrow(_explode(vocabulary.pattern), _WORDS).repartition("word").sortWithinPartitions("word")
-    encoded = words.mapInArrow(_encode_words(vocabulary.ranks), "block long, number int, ids binary")
+    encoded = words.mapInArrow(_encode_words(vocabulary.ranks), _PIECES)
     positions = docs.mapInArrow(_positions(vocabulary.pattern, keep, to_arrow_schema(block)), block)
-    rows = positions.unionByName(encoded, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "number")
+    rows = positions.unionByName(encoded, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
     out = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
     return rows.mapInArrow(_reassemble(keep), out)
 

@@ -46,9 +46,12 @@ def test_merges_of_words(vocabulary):
 
 def test_odd_white_space_and_letters(vocabulary):
     rng = random.Random(3)
-    find = bpe.regex.compile(vocabulary.pattern).findall
-    for _ in range(2000):
-        text = "".join(rng.choices("ab c\x1c\x1f\x85᠎ 　\xa0漢é's1½٣_-\n\t\r\x0b​￿힣Ⅷ\U0001f600̀ǅ", k=rng.randrange(1, 30)))
+    find, full = bpe.Finder(vocabulary.pattern), bpe.regex.compile(vocabulary.pattern)
+    assert all(f is not find.full for f in find.plain) and bpe.plain_pattern(r"\p{Lu}", 127) is None
+    every = "".join(chr(c) + "x" * (c % 3 == 0) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    assert list(find(every)) == full.findall(every) and list(find(every[:200])) == full.findall(every[:200])
+    for k in range(3000):
+        text = "".join(rng.choices("ab c\x1c\x1f\x85᠎ 　\xa0漢é's1½٣_-\n\t\r\x0b​￿힣Ⅷ\U0001f600̀ǅ"[:40 if k % 3 else 6], k=rng.randrange(1, 30)))
         assert [i for w in find(text) for i in bpe.merge(w.encode(), RANKS)] == REFERENCE.encode_ordinary(text)
 
 
