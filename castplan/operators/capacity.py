@@ -11,10 +11,10 @@ and give each row ``min(remaining, capacity)`` molds where
 
 Rows may split over days; rows of one job share its job slot and per-job cap.
 
-The rule is sequential inside a pool, so Spark parallelises *across* pools: the narrow
-allocation input (row id, job, lane, molds and the sort keys) is grouped by the pool columns
-and each pool is filled as a stream (``applyInPandas``).  Wide rows never cross the Arrow
-boundary; chunks join back on the row id.  ``floor_lane_closed_form`` is a
+The rule is sequential inside a pool, so Spark parallelises across pools and, inside a long pool,
+over speculative blocks of days (``blocks.py``): the narrow allocation input (row id, job, lane,
+molds and positions) is grouped by pool and block and filled there (``applyInPandas``).  Wide rows
+never cross the Arrow boundary; chunks join back on the row id.  ``floor_lane_closed_form`` is a
 pure-SQL equivalent for floor-only pools.
 """
 
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import datetime as _dt
 import heapq
-from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,7 +32,6 @@ from castplan.functions.dates import as_date_lit
 from castplan.operators.prefix import running_sum, running_sums
 from castplan.schemas import FLOOR_CAST_TYPE, URGENT_WINDOW_WEEKS, CapacityLimits
 
-CHUNK_SCHEMA = "row_hash long, row_copy int, schedule_day int, molds_for_ext int"
 ROW_ID = ["row_hash", "row_copy"]
 
 
@@ -50,31 +48,38 @@ class _Pool:
     """Pending rows of one pool, read lazily from Arrow batches in any order.
 
     Of every (job, lane) only the first pending row can take molds at any moment, so each lane is
-    a heap of those.  ``lane_pos``/``job_pos`` number the rows of a lane and of a (job, lane) from
-    1; they tell whether an earlier row is still unread.
+    a heap of those; rows that finish out of turn are dropped when they reach its top.
+    ``lane_pos``/``job_pos`` number the rows of a lane and of a (job, lane) from 1; they tell whether
+    an earlier row is still unread.
     """
 
+    COLUMNS = ("seq", "row_hash", "row_copy", "job_key", "is_floor", "molds", "lane_pos", "line_n", "floor_n",
+               "job_pos", "job_line_n", "job_floor_n")
+
     def __init__(self, batches):
-        self._rows = self._iter(batches)
+        self._rows = self.rows_of(batches)
         self.items: dict = {}  # seq -> [row id, job, lane, remaining, lane_pos, job_pos]
         self.heaps = ([], [])  # line, floor
         self.frontier, self._ahead = [0, 0], (set(), set())
+        self.reach = [0, 0]  # greatest lane_pos that ever took molds
         self.sizes = None  # rows per lane
         self.waiting: dict = {}  # (job, lane) -> {job_pos: seq}
         self.next_pos: dict = {}  # (job, lane) -> first pending job_pos
         self.job_sizes: dict = {}  # job -> rows per lane
 
-    @staticmethod
-    def _iter(batches):
-        names = ("seq", "row_hash", "row_copy", "job_key", "is_floor", "molds", "lane_pos", "line_n", "floor_n",
-                 "job_pos", "job_line_n", "job_floor_n")
+    @classmethod
+    def rows_of(cls, batches):
         for b in batches:
-            yield from zip(*[b[c].tolist() for c in names])
+            yield from zip(*[b[c].tolist() for c in cls.COLUMNS])
 
     def pull(self) -> bool:
         row = next(self._rows, None)
         if row is None:
             return False
+        self.add(row, 1)
+        return True
+
+    def add(self, row, first_pos: int) -> None:
         seq, a, b, job, floor, molds, lane_pos, line_n, floor_n, job_pos, job_line_n, job_floor_n = row
         lane = int(floor)
         self.sizes = (line_n, floor_n)
@@ -86,15 +91,16 @@ class _Pool:
         self.items[seq] = [(a, b), job, lane, int(molds), lane_pos, job_pos]
         key = (job, lane)
         self.waiting.setdefault(key, {})[job_pos] = seq
-        if job_pos == self.next_pos.setdefault(key, 1):
+        if job_pos == self.next_pos.setdefault(key, first_pos):
             heapq.heappush(self.heaps[lane], seq)
-        return True
 
     def head(self, lane: int):
         """Priority position of the lane's next row, or None if the lane is empty; reads on
         until no unread row can come before it."""
+        heap = self.heaps[lane]
         while True:
-            heap = self.heaps[lane]
+            while heap and heap[0] not in self.items:
+                heapq.heappop(heap)
             if heap and self.items[heap[0]][4] <= self.frontier[lane]:
                 return heap[0]
             if self.sizes is not None and self.frontier[lane] >= self.sizes[lane]:
@@ -125,87 +131,86 @@ class _Pool:
             del self.waiting[key]
 
 
+def fill_day(pool: _Pool, limits: CapacityLimits, day: int) -> list:
+    """Give the day's molds; returns its chunks ``(row_hash, row_copy, day, molds)``."""
+    caps = (limits.line_molds_per_day, limits.floor_molds_per_day)
+    job_cap, max_jobs = limits.line_molds_per_job_per_day, max(int(limits.max_jobs_per_day), 1)
+    out: list = []
+    jobs: dict = {}  # job -> line molds today
+    used = [0, 0]
+
+    def room(job, lane):
+        left = caps[lane] - used[lane]
+        return left if lane else min(left, job_cap - jobs.get(job, 0))
+
+    def take(seq):  # whether the row is still pending
+        item = pool.items[seq]
+        row, job, lane = item[0], item[1], item[2]
+        n = min(item[3], room(job, lane))
+        if n > 0:
+            item[3] -= n
+            used[lane] += n
+            jobs[job] = jobs.get(job, 0) + (0 if lane else n)
+            pool.reach[lane] = max(pool.reach[lane], item[4])
+            out.append((*row, day, n))
+        if item[3] == 0:
+            pool.finish(seq)
+            return False
+        return True
+
+    resting: list = []  # taken from its heap today and still pending
+    while len(jobs) < max_jobs:
+        heads = [h for h in (pool.head(lane) for lane in (0, 1) if used[lane] < caps[lane]) if h is not None]
+        if not heads:
+            break
+        seq = min(heads)
+        heapq.heappop(pool.heaps[pool.items[seq][2]])
+        if take(seq):
+            resting.append(seq)
+    if len(jobs) >= max_jobs:
+        # job slots are used: only further rows of today's jobs may take molds, in priority order
+        done = set(resting)
+        while True:
+            open_rows = []
+            for job in jobs:
+                for lane in (0, 1):
+                    if room(job, lane) > 0:
+                        seq = pool.first_of(job, lane)
+                        if seq is not None and seq not in done:
+                            open_rows.append(seq)
+            if not open_rows:
+                break
+            seq = min(open_rows)
+            if take(seq):  # it stays in its heap
+                done.add(seq)
+    for seq in resting:
+        heapq.heappush(pool.heaps[pool.items[seq][2]], seq)
+    return out
+
+
+def chunk_frame(chunks: list) -> pd.DataFrame:
+    return pd.DataFrame(chunks, columns=[*ROW_ID, "schedule_day", "molds_for_ext"]).astype(
+        {"row_hash": "int64", "row_copy": "int32", "schedule_day": "int32", "molds_for_ext": "int32"})
+
+
 def allocate_stream(batches, limits: CapacityLimits = CapacityLimits(), out_rows: int = 8192):
     """The allocation rule for one pool, as a stream; yields DataFrames of chunks.
 
     One path for any rows: jobs may have several rows, in one lane or both.  Rows may arrive in
-    any order; the order decides only how many are held (see ``lane_paced``).  The cost is
-    O((chunks + days) log rows): a full lane isn't scanned, and of each job one row per lane is looked at.
+    any order; the order decides only how many are held (see ``lane_paced``).  A chunk costs the
+    logarithm of the rows held and, once the job slots are used, a look at the day's jobs.
     """
     pool = _Pool(batches)
-    caps = (limits.line_molds_per_day, limits.floor_molds_per_day)
-    job_cap, max_jobs = limits.line_molds_per_job_per_day, max(int(limits.max_jobs_per_day), 1)
-    names = (*ROW_ID, "schedule_day", "molds_for_ext")
     out: list = []
     day = 0
-
-    def frame():
-        return pd.DataFrame(out, columns=names).astype({"row_hash": "int64", "row_copy": "int32", "schedule_day": "int32", "molds_for_ext": "int32"})
-
     while pool.items or pool.pull():
         day += 1
-        jobs: dict = {}  # job -> line molds today
-        used = [0, 0]
-        resting: list = []  # looked at today and still pending
-
-        def room(job, lane):
-            left = caps[lane] - used[lane]
-            return left if lane else min(left, job_cap - jobs.get(job, 0))
-
-        def take(seq):
-            item = pool.items[seq]
-            row, job, lane = item[0], item[1], item[2]
-            n = min(item[3], room(job, lane))
-            if n > 0:
-                item[3] -= n
-                used[lane] += n
-                jobs[job] = jobs.get(job, 0) + (0 if lane else n)
-                out.append((*row, day, n))
-            if item[3] == 0:
-                pool.finish(seq)
-                return True
-            resting.append(seq)
-            return False
-
-        while len(jobs) < max_jobs:
-            heads = [h for h in (pool.head(lane) for lane in (0, 1) if used[lane] < caps[lane]) if h is not None]
-            if not heads:
-                break
-            seq = min(heads)
-            heapq.heappop(pool.heaps[pool.items[seq][2]])
-            take(seq)
-        if len(jobs) >= max_jobs:
-            # job slots are used: only further rows of today's jobs may take molds, in priority order
-            done: set = set(resting)
-            while True:
-                open_rows = []
-                for job in jobs:
-                    for lane in (0, 1):
-                        if room(job, lane) > 0:
-                            seq = pool.first_of(job, lane)
-                            if seq is not None and seq not in done:
-                                open_rows.append(seq)
-                if not open_rows:
-                    break
-                seq = min(open_rows)
-                lane = pool.items[seq][2]
-                pool.heaps[lane].remove(seq)
-                heapq.heapify(pool.heaps[lane])
-                if not take(seq):
-                    done.add(seq)
-        for seq in resting:
-            heapq.heappush(pool.heaps[pool.items[seq][2]], seq)
+        out += fill_day(pool, limits, day)
         if len(out) >= out_rows:
-            yield frame()
+            yield chunk_frame(out)
             out.clear()
     if out:
-        yield frame()
-
-
-def _stream_pool_fn(limits: CapacityLimits):
-    def fill_pool_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from allocate_stream(batches, limits)
-    return fill_pool_stream
+        yield chunk_frame(out)
 
 
 def _pool_key(pool_cols):
@@ -242,16 +247,12 @@ SORT_KEYS = ("urgent", "due_ord", "group_key", "job_key", "job_text", "ext_key",
 def allocate(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(), pool_cols=("pool",)) -> DataFrame:
     """Allocation chunks: ``row_hash, row_copy, schedule_day, molds_for_ext`` (one per row-day).
 
-    Pools run in parallel; inside a pool the rule is sequential.  The narrow rows are hash
-    partitioned by pool and sorted inside partitions by estimated day; that ordering satisfies
-    the grouped map's own requirement, so each pool arrives as an ordered stream of Arrow batches
-    and chunks stream out.  There is one path, for unique and for repeated jobs.
+    Pools run in parallel, and long pools in blocks of days (``blocks.fill``).  There is one path, for
+    unique and for repeated jobs.
     """
-    # pool_key ASC (nulls first) matches the grouped map's required ordering, so Spark adds
-    # no re-sort above this one and the order reaches the function intact
-    ordered = (lane_paced(allocation_input(rows, reference_date, pool_cols), limits).repartition("pool_key")
-               .sortWithinPartitions(F.col("pool_key").asc(), F.col("est_day"), F.col("seq")))
-    return ordered.groupBy("pool_key").applyInPandas(_stream_pool_fn(limits), CHUNK_SCHEMA)
+    from castplan.operators import blocks  # it fills days by this module's rule
+
+    return blocks.fill(lane_paced(allocation_input(rows, reference_date, pool_cols), limits), limits)
 
 
 def lane_paced(inp: DataFrame, limits: CapacityLimits = CapacityLimits()) -> DataFrame:
@@ -273,13 +274,16 @@ def lane_paced(inp: DataFrame, limits: CapacityLimits = CapacityLimits()) -> Dat
         "_line_rows": F.when(fl, 0).otherwise(1)})
     before = F.when(fl, F.col("_floor_molds")).otherwise(F.col("_line_molds")) - F.col("molds")
     cap = F.when(fl, F.lit(limits.floor_molds_per_day)).otherwise(F.lit(limits.line_molds_per_day))
-    d = d.withColumn("lane_pos", F.when(fl, F.col("_floor_rows")).otherwise(F.col("_line_rows")))
+    d = d.withColumns({"lane_pos": F.when(fl, F.col("_floor_rows")).otherwise(F.col("_line_rows")),
+                       "lane_end": F.when(fl, F.col("_floor_molds")).otherwise(F.col("_line_molds"))})
     # several rows of a lane's earlier days may belong to one job, which takes one slot
     lane_est = F.floor(before / cap)
     job = Window.partitionBy("pool_key", "job_key")
     lane = Window.partitionBy("pool_key", "job_key", "is_floor").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_est", lane_est)
     d = d.withColumns({"job_line_n": F.count_if(~fl).over(job), "job_floor_n": F.count_if(fl).over(job), "_job_est": F.min("_est").over(job),
+                       "job_line_last": F.coalesce(F.max(F.when(~fl, F.col("lane_pos"))).over(job), F.lit(0)),
+                       "job_floor_last": F.coalesce(F.max(F.when(fl, F.col("lane_pos"))).over(job), F.lit(0)),
                        "job_pos": F.count(F.lit(1)).over(lane), "_job_before": F.sum("molds").over(lane) - F.col("molds")})
     job_cap = F.when(fl, F.lit(limits.floor_molds_per_day)).otherwise(F.lit(limits.line_molds_per_job_per_day))
     jobs_only = F.floor((F.col("lane_pos") - 1) / slots)
@@ -287,10 +291,12 @@ def lane_paced(inp: DataFrame, limits: CapacityLimits = CapacityLimits()) -> Dat
     est = F.when(alone, F.greatest("_est", jobs_only)).otherwise(
         F.least(F.col("_est"), F.col("_job_est") + F.floor(F.col("_job_before") / job_cap)))
     # rows per lane: one row per pool, joined with a null-safe key
-    sizes = inp.groupBy(F.col("pool_key").alias("_pool")).agg(F.count_if(~fl).alias("line_n"), F.count_if(fl).alias("floor_n"))
+    sizes = inp.groupBy(F.col("pool_key").alias("_pool")).agg(
+        F.count_if(~fl).alias("line_n"), F.count_if(fl).alias("floor_n"),
+        F.sum(F.when(fl, 0).otherwise(F.col("molds"))).alias("line_molds"), F.sum(F.when(fl, F.col("molds")).otherwise(0)).alias("floor_molds"))
     d = d.withColumn("est_day", est.cast("long")).join(sizes, F.col("pool_key").eqNullSafe(F.col("_pool")), "inner")
     return d.select("pool_key", "est_day", "seq", *ROW_ID, "job_key", "is_floor", "molds", "lane_pos", "line_n", "floor_n",
-                    "job_pos", "job_line_n", "job_floor_n")
+                    "job_pos", "job_line_n", "job_floor_n", "job_line_last", "job_floor_last", "lane_end", "line_molds", "floor_molds")
 
 
 def mold_assignments(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(), pool_cols=("pool",)) -> DataFrame:

@@ -6,8 +6,10 @@ range-partitions by ``(g, o)`` into slices, sums inside each slice (bounded by t
 size), and adds the totals of the earlier slices of the same group, taken from a tiny
 per-(group, slice) table.  The order must be total (end it with a unique key) so that the
 result is exact and deterministic.  Range bounds are sampled from the input and row order
-after a shuffle is not fixed, so the sliced rows are checkpointed once (reliable storage,
-an eager job) and every consumer sees the same slices.
+after a shuffle is not fixed, so the sliced rows are written once to the run's folder
+(``session.store``) and every consumer sees the same slices.  Without a number of slices, adaptive
+execution cuts them by their measured size, up to ``spark.sql.shuffle.partitions``.  Rows whose group is
+null are a group.
 """
 
 from __future__ import annotations
@@ -15,29 +17,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from castplan.session import ensure_checkpoint_dir
+from castplan.session import store
 
 
 def running_sums(df: DataFrame, group_cols, order_cols, values: dict, slices: int | None = None) -> DataFrame:
     """Inclusive running sums of several value expressions (``{out_name: Column}``) in one
     slicing pass."""
-    n = slices or df.sparkSession.sparkContext.defaultParallelism
     group_cols, order_cols = list(group_cols), list(order_cols)
-    ensure_checkpoint_dir(df.sparkSession)
     tmp = {f"_v_{k}": (v if isinstance(v, Column) else F.col(v)) for k, v in values.items()}
-    r = (df.withColumns(tmp).repartitionByRange(n, *group_cols, *order_cols)
-         .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
+    ranged = df.withColumns(tmp).repartitionByRange(*([slices] if slices else []), *group_cols, *order_cols)
+    r = store(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
     w_local = (Window.partitionBy(*group_cols, "_slice").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = r.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(w_local) for k in values})
     totals = r.groupBy(*group_cols, "_slice").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
     w_off = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # one row per (group, slice): bounded by groups x slices
-    offs = totals.select(*group_cols, "_slice", *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0))
+    offs = totals.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], F.col("_slice").alias("_gs"), *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0))
                                                   .alias(f"_o_{k}") for k in values])
-    out = r.join(offs, [*group_cols, "_slice"], "inner")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group_cols)] + [F.col("_slice") == F.col("_gs")]
+    out = r.join(offs, same, "inner")
     out = out.withColumns({k: F.col(f"_o_{k}") + F.col(f"_l_{k}") for k in values})
-    return out.drop("_slice", *[f"_{p}_{k}" for k in values for p in ("v", "l", "o")])
+    return out.drop("_slice", "_gs", *[f"_g{i}" for i in range(len(group_cols))], *[f"_{p}_{k}" for k in values for p in ("v", "l", "o")])
 
 
 def running_sum(df: DataFrame, group_cols, order_cols, value: str, out: str,

@@ -153,6 +153,14 @@ def q_mold_rows(spark, sf_dir):
     return mold_reports.mold_rows(schedule(spark, sf_dir).assignments, P.start_date)
 
 
+@register("mold_assignments_hot_pool")
+def q_mold_assignments_hot_pool(spark, sf_dir):
+    """Allocation where half of all plants are one pool: it is filled in blocks of days."""
+    rows = schedule(spark, sf_dir).schedule_rows.withColumn("pool", F.when(F.col("pool") % 2 == 0, 0).otherwise(F.col("pool")))
+    out = capacity.mold_assignments(rows, P.reference_date, P.limits, P.pool_cols)
+    return out.select("pool", "job_number", "schedule_day", "molds_for_ext", "total_weight_per_ext")
+
+
 def _repeated_rows(spark, sf_dir):
     """Schedule rows split in two, three or four rows of equal job and extension."""
     rows = schedule(spark, sf_dir).schedule_rows
@@ -162,19 +170,22 @@ def _repeated_rows(spark, sf_dir):
     return split.withColumn("molds_for_ext", share.cast("int")).drop("_n", "_i")
 
 
+def _repeated_assignments(spark, sf_dir):
+    return memo(spark, sf_dir, "repeated_assignments", lambda: store(capacity.mold_assignments(
+        _repeated_rows(spark, sf_dir), P.reference_date, P.limits, P.pool_cols), "repeated-assignments"))
+
+
 @register("mold_assignments_repeated_jobs")
 def q_mold_assignments_repeated(spark, sf_dir):
     """Allocation where every job has several rows with equal extension in its pool."""
-    out = capacity.mold_assignments(_repeated_rows(spark, sf_dir), P.reference_date, P.limits, P.pool_cols)
+    out = _repeated_assignments(spark, sf_dir)
     return out.select("pool", "job_number", "planned_molds_for_ext", "schedule_day", "molds_for_ext", "total_weight_per_ext")
 
 
 @register("capacity_check_repeated_jobs")
 def q_capacity_check_repeated(spark, sf_dir):
     """Planned and assigned molds and broken caps per pool, for jobs of several rows."""
-    rows = _repeated_rows(spark, sf_dir)
-    out = capacity.mold_assignments(rows, P.reference_date, P.limits, P.pool_cols)
-    return capacity.capacity_check(out, rows, P.limits, P.pool_cols)
+    return capacity.capacity_check(_repeated_assignments(spark, sf_dir), _repeated_rows(spark, sf_dir), P.limits, P.pool_cols)
 
 
 @register("mold_schedule_sheet")

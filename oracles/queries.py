@@ -309,6 +309,29 @@ Q["daily_mold_schedule"] = with_sched(DR, DAILY) + "SELECT * FROM daily"
 
 Q["mold_rows"] = with_sched(DR, DAILY) + "SELECT * EXCLUDE (row_type) FROM daily WHERE row_type = 'detail'"
 
+# Half of all plants as one pool.  A recursion by day over the pending rows: rows are unique per job, so a row
+# takes what its lane's limit leaves after the earlier rows of the lane, if it is among the first ten that take any.
+_HOT = f"""hot_items AS (
+  SELECT CASE WHEN pool % 2 = 0 THEN 0 ELSE pool END AS hp, job_number, molds_for_ext AS molds, pour_weight,
+         upper(trim(COALESCE(casting_type, 'L'))) = 'F' AS fl,
+         row_number() OVER (PARTITION BY CASE WHEN pool % 2 = 0 THEN 0 ELSE pool END ORDER BY
+             CASE WHEN due_date IS NOT NULL AND due_date <= {REFERENCE_DATE} + 56 THEN 0 ELSE 1 END,
+             due_date NULLS LAST, compatibility_group NULLS LAST, {_ws_key('job_number')}, job_number) AS seq
+  FROM srows),
+hot AS (
+  SELECT 0 AS day, hp, seq, fl, CAST(molds AS BIGINT) AS rem, CAST(0 AS BIGINT) AS t FROM hot_items
+  UNION ALL
+  SELECT day + 1, hp, seq, fl, rem - t2, t2 FROM (
+    SELECT *, CASE WHEN t1 > 0 AND count(*) FILTER (t1 > 0) OVER (PARTITION BY hp ORDER BY seq) <= 10 THEN t1 ELSE 0 END AS t2 FROM (
+      SELECT *, CAST(greatest(least(want, CASE WHEN fl THEN 3 ELSE 30 END - COALESCE(sum(want) OVER (
+               PARTITION BY hp, fl ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS BIGINT) AS t1
+      FROM (SELECT *, CASE WHEN fl THEN rem ELSE least(rem, 6) END AS want FROM hot WHERE rem > 0))))"""
+
+Q["mold_assignments_hot_pool"] = with_base(COMPAT, SCHED_IN, ELIG, SROWS, _HOT) + """
+SELECT CAST(h.hp AS BIGINT) AS pool, i.job_number, CAST(h.day AS BIGINT) AS schedule_day, h.t AS molds_for_ext,
+       CAST(floor(greatest(COALESCE(i.pour_weight, 0), 0) * h.t) AS BIGINT) AS total_weight_per_ext
+FROM hot h JOIN hot_items i ON i.hp = h.hp AND i.seq = h.seq WHERE h.t > 0"""
+
 # Jobs of several rows: the state also carries each job's line molds and whether it has a slot today.
 _REPEATED = f"""rrows AS (
   SELECT s.* EXCLUDE (molds_for_ext), i, CAST(s.molds_for_ext // n + CASE WHEN i <= s.molds_for_ext % n THEN 1 ELSE 0 END AS INTEGER) AS molds_for_ext

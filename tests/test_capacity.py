@@ -1,6 +1,7 @@
 """Allocation rule: the worked examples of the planning rules, brute force, invariants."""
 
 import datetime as dt
+import json
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pandas as pd
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from castplan.operators import capacity
+from castplan.operators import blocks, capacity
 from castplan.schemas import CapacityLimits, resolve_max_jobs_per_day
 from helpers import alloc_frame, by_day
 from k1_bruteforce import brute_allocate
@@ -204,6 +205,74 @@ def test_repeated_jobs_keep_their_molds(spark):
         assert check["planned_molds"] == check["assigned_molds"] == 8
 
 
+def in_blocks(items, max_jobs, days, overlap, monkeypatch):
+    """The blocks of one pool, filled one after another as their tasks would, and the second pass."""
+    monkeypatch.setattr(blocks, "DAYS", days)
+    monkeypatch.setattr(blocks, "OVERLAP", overlap)
+    limits = CapacityLimits(max_jobs_per_day=max_jobs)
+    df = stream_frame(items)
+    caps = np.where(df.is_floor, 3, 30)
+    lane_end = df.groupby("is_floor").molds.cumsum()
+    last = [{j: p for j, p, f in zip(df.job_key, df.lane_pos, df.is_floor) if f == floor} for floor in (False, True)]
+    df = df.assign(lane_end=lane_end, job_line_last=[last[0].get(j, 0) for j in df.job_key], job_floor_last=[last[1].get(j, 0) for j in df.job_key])
+    molds = [int(df.molds[df.is_floor == f].sum()) for f in (False, True)]
+    n = max(-(-max(-(-molds[0] // 30), -(-molds[1] // 3)) // days), 1)
+    to = np.minimum((lane_end - 1) // (caps * days), n - 1)
+    since = np.minimum(np.maximum((lane_end - df.molds - caps * 2 * overlap) // (caps * days), 0), to)
+    chunks, metas = [], {}
+    for k in range(n):
+        own = df[(since <= k) & (to >= k)]
+        done, meta = blocks.run_block(list(blocks._Resumed.rows_of([own])), own.lane_end.tolist(), k, n, limits)
+        chunks.append(done)
+        metas[k] = json.loads(json.dumps(meta))
+    got, taken = [], set()
+    est = np.maximum((lane_end - df.molds) // caps, 0)
+    rows = df.assign(est_day=est).sort_values(["est_day", "seq"], kind="mergesort")
+    for what, *v in blocks.repair(metas, blocks._Resumed.rows_of([rows]), limits):
+        if what == "take":
+            taken.add(v[0])
+            got += [(a, d, m) for a, _, d, m in chunks[v[0]] if d >= v[1] and (v[2] is None or d < v[2])]
+        else:
+            got.append((v[0], v[2], v[3]))
+    return sorted(got), n, taken
+
+
+def test_blocks_equal_brute_force(monkeypatch):
+    rnd = random.Random(11)
+    cut = late = 0
+    for t in range(700):
+        n, nj = rnd.randint(1, 60), rnd.choice([3, 10, 200])
+        big = rnd.choice([4, 17, 60])
+        items = [(f"J{rnd.randint(1, nj)}", rnd.choice(rnd.choice(["FLL", "FLLLLLLL", "L", "F"])), rnd.randint(1, big)) for _ in range(n)]
+        mj = rnd.choice([1, 2, 3, 10, 50])
+        days = rnd.choice([3, 5, 9])
+        got, blocks_n, taken = in_blocks(items, mj, days, rnd.choice([1, 2, 3]), monkeypatch)
+        assert got == sorted(brute_allocate(items, max_jobs=mj)), t
+        cut += blocks_n > 2
+        late += blocks_n > 2 and max(taken) > 0
+    assert cut > 200 and late > 60
+
+
+def test_blocks_of_a_long_pool_are_taken_over(monkeypatch):
+    """Where capacity binds on every day the guesses hold, and nothing is filled twice."""
+    rnd = random.Random(12)
+    items = [(f"J{i}", "F" if i % 10 == 0 else "L", rnd.randint(1, 17)) for i in range(3000)]
+    got, n, taken = in_blocks(items, 50, 64, 24, monkeypatch)
+    assert n > 12 and len(taken) == n and got == sorted(brute_allocate(items, max_jobs=50))
+    got, n, taken = in_blocks(items, 10, 64, 24, monkeypatch)  # slots bind; the floor lane's tail is taken over
+    assert got == sorted(brute_allocate(items, max_jobs=10)) and len(taken) > 2
+
+
+def test_a_hot_pool_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "DAYS", 12)
+    monkeypatch.setattr(blocks, "OVERLAP", 4)
+    rnd = random.Random(13)
+    rows = [{"job": f"J{rnd.randint(1, 400):03d}", "molds": rnd.randint(1, 17), "cast": rnd.choice("FLLLLL"), "pool": 0 if i % 2 else i % 6,
+             "due": f"2026-{rnd.randint(8, 12):02d}-{rnd.randint(1, 28):02d}"} for i in range(500)]
+    spark_equals_brute(spark, rows)
+    spark_equals_brute(spark, [{**r, "pool": None} for r in rows[:200]])
+
+
 def test_pool_columns_with_separators_do_not_clash(spark):
     rows = [{"job": f"L{i}", "molds": 6, "pool": 1} for i in range(6)]
     df = alloc_frame(spark, rows).withColumn("a", F.when(F.col("job_number") < "L3", "x|y").otherwise("x")) \
