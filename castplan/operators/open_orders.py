@@ -195,7 +195,7 @@ def dashboard_history(erp: ErpViews, snapshot: DataFrame, runs: DataFrame, run_i
         s = s.where(F.col("due_date") < F.date_add(F.lit(_dt.date.fromisoformat(str(end_due_date))), 1))
     s = s.withColumn("_job_key", norm_key("job_number")).alias("s")
     jm = erp.job_master.select(norm_key("job_number").alias("jm_key"),
-                               text_to_decimal("tool_impressions").alias("castings_per_mold"))
+                               text_to_decimal("tool_impressions").alias("jm_castings_per_mold"))
     o = orders_by_job_history(erp).alias("o")
     j = (s.join(jm, jm.jm_key == F.col("s._job_key"), "left")
          .join(o, F.col("o.job_key") == F.col("s._job_key"), "left"))
@@ -207,7 +207,7 @@ def dashboard_history(erp: ErpViews, snapshot: DataFrame, runs: DataFrame, run_i
         F.coalesce(F.nullif(F.col("s.total_pour_wt"), F.lit(0)),
                    F.col("s.pour_weight") * F.col("s.quantity_of_molds"), F.lit(0))
         .cast("decimal(18,4)").alias("total_pour_wt"),
-        F.coalesce(F.col("castings_per_mold"), F.lit(0)).alias("castings_per_mold"),
+        F.coalesce(F.col("jm_castings_per_mold"), F.lit(0)).alias("castings_per_mold"),
         F.col("s.quantity_of_cores"), F.col("s.castings_produced"), F.col("s.molds_completed"))
 
 

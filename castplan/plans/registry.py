@@ -439,7 +439,7 @@ def q_order_lifecycle_incremental(spark, sf_dir):
     root = f"{ensure_checkpoint_dir(spark)}/castplan-{spark.sparkContext.applicationId}/history-{uuid.uuid4().hex[:8]}"
     for run in (1, 2, 3, 2):
         history.fold_typed(spark, snap.where(F.col("run_id") == run), root, [run])
-    return history.read_current(spark, f"{root}/order_lifecycle").drop("run_ids")
+    return history.read_lifecycle(spark, root).drop("run_ids")
 
 
 @register("published_sheets")

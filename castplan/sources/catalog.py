@@ -23,7 +23,7 @@ def list_columns(spark: SparkSession, table: str, database: str | None = None) -
 
 
 def table_exists(spark: SparkSession, table: str, database: str | None = None) -> bool:
-    return spark.catalog.tableExists(table, database)
+    return spark.catalog.tableExists(f"{database}.{table}" if database else table)
 
 
 def history_available(spark: SparkSession, database: str | None = None) -> bool:

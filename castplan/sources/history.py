@@ -1,25 +1,28 @@
 """History tables on partitioned Parquet: run registry, raw and typed snapshots, lifecycle,
 report archive, publishing and audit retention.
 
-A load stages its raw and typed rows and a new version of the lifecycle first; nothing live changes
-until all of them are written.  Then it replaces the run's raw and typed partitions (dynamic
-partition overwrite), names the new lifecycle version (``publish_version``, one marker file, created
-last) and registers the run.  A failure before that leaves every live table as it was; a failure
-amid the publishing is mended by loading the run again, which gives the same tables: a run that is
-loaded twice counts once.
+A load of one or more runs writes their raw rows, their typed rows, the touched buckets of the lifecycle
+and the run rows, and publishes all of them with one manifest (``loads.py``): a failure at any step
+leaves every table as it was, and a run that is loaded again is replaced wholly, rows that it no
+longer has included.  The source is scanned once, by the write of the raw rows, which also
+counts them; everything else is made from what was written.  The lifecycle is bucketed by a hash of
+the job; a load rewrites the buckets of the jobs it touches.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from castplan.functions.clean import blank_to_null, norm_key, plain_text, text_to_decimal
 from castplan.functions.dates import decode_erp_date
 from castplan.schemas import AUDIT_RETENTION_MONTHS, HEADER_TO_COLUMN, OPEN_ORDER_HEADERS
+from castplan.sources.loads import Load, _fs, current, read, register_tables
+
+#: Buckets of the lifecycle, by a hash of the job number; up to 32 folders are listed without a job.
+BUCKETS = 32
 
 
 def _read_or_none(spark: SparkSession, path: str):
@@ -36,21 +39,26 @@ def _write_partitions(df: DataFrame, path: str, partition_cols) -> None:
      .partitionBy(*partition_cols).parquet(path))
 
 
-def next_run_id(spark: SparkSession, runs_path: str) -> int:
-    """``coalesce(max(run_id), 0) + 1`` over the run registry (one small aggregate)."""
-    runs = _read_or_none(spark, runs_path)
-    if runs is None:
-        return 1
-    return int(runs.agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0]) + 1
+def next_run_id(spark: SparkSession, root: str) -> int:
+    """One more than the greatest registered run id, or 1."""
+    runs = current(spark, root).get("scheduler_run", {"live": {}})["live"]
+    return max(map(int, runs), default=0) + 1
+
+
+_RUN = "run_id long, run_date date, source_name string, row_count long"
+
+
+def run_row(spark: SparkSession, run_id: int, run_date, source_name: str, row_count: int) -> DataFrame:
+    return spark.createDataFrame([(int(run_id), _dt.date.fromisoformat(str(run_date)), source_name, int(row_count))], _RUN)
 
 
-def register_run(spark: SparkSession, runs_path: str, run_date, source_name: str, row_count: int,
+def register_run(spark: SparkSession, root: str, run_date, source_name: str, row_count: int,
                  run_id: int | None = None) -> int:
-    """Append one run row (run id, date, source, row count) and return the run id."""
-    run_id = run_id or next_run_id(spark, runs_path)
-    row = spark.createDataFrame([(int(run_id), _dt.date.fromisoformat(str(run_date)), source_name, int(row_count))],
-                                "run_id long, run_date date, source_name string, row_count long")
-    _write_partitions(row, runs_path, ["run_id"])
+    """Register a run (run id, date, source, row count) without rows and return its id."""
+    run_id = run_id or next_run_id(spark, root)
+    load = Load(spark, root)
+    load.write(run_row(spark, run_id, run_date, source_name, row_count), "scheduler_run", "run_id", [run_id])
+    load.commit()
     return run_id
 
 
@@ -104,89 +112,78 @@ def upsert_lifecycle(lifecycle: DataFrame | None, typed: DataFrame) -> DataFrame
                       F.array_max("run_ids").alias("last_seen_run"), F.size("run_ids").cast("long").alias("runs_seen"), "run_ids")
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def _bucket(job):
+    return F.pmod(F.xxhash64(job), F.lit(BUCKETS)).cast("int")
 
 
-def _versions(spark: SparkSession, path: str) -> list:
-    fs, p = _fs(spark, f"{path}/_versions")
-    return sorted(int(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
+def read_lifecycle(spark: SparkSession, root: str) -> DataFrame | None:
+    life = read(spark, root, "order_lifecycle")
+    return None if life is None else life.drop("bucket")
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The published version of a versioned table, or None before the first."""
-    known = _versions(spark, path)
-    return spark.read.parquet(f"{path}/version={known[-1]}") if known else None
-
-
-def write_version(df: DataFrame, path: str, partition_cols=()) -> int:
-    """Write the next version of a table beside the published one; readers don't see it yet."""
-    n = (_versions(df.sparkSession, path) or [0])[-1] + 1
-    df.write.mode("overwrite").partitionBy(*partition_cols).parquet(f"{path}/version={n}")
-    return n
+def _write_lifecycle(load: Load, typed: DataFrame, run_ids: list) -> None:
+    """The lifecycle once ``typed`` (all rows of ``run_ids``) is loaded, in the buckets that change.
 
+    New runs are folded in.  Where one of the runs was loaded before, the jobs that it touched then
+    or touches now are derived anew from the typed rows of all their runs; no other job changes.
+    """
+    ids = [int(r) for r in run_ids]
+    rows, old = load.read("order_snapshot"), load.read("order_lifecycle")
+    loaded = set(load.tables.get("order_snapshot", {"live": {}})["live"]) & {str(r) for r in ids}
+    jobs = typed.select("job_number")
+    if loaded:
+        jobs = jobs.union(rows.where(F.col("run_id").isin(*map(int, loaded))).select("job_number")).distinct()
+    buckets = [r[0] for r in jobs.select(_bucket("job_number")).distinct().collect()]
+    if old is not None:
+        old = old.where(F.col("bucket").isin(*buckets)) if buckets else old.limit(0)
+    if not loaded:
+        new = upsert_lifecycle(old, typed)
+    else:
+        earlier = rows.where(~F.col("run_id").isin(*ids)).join(jobs, "job_number", "left_semi").select(typed.columns)
+        new = upsert_lifecycle(None, earlier.unionByName(typed))
+        new = old.join(jobs, "job_number", "left_anti").select(new.columns).unionByName(new)
+    # adaptive execution cuts large buckets and joins small ones
+    load.write(new.withColumn("bucket", _bucket("job_number")).hint("rebalance", "bucket"), "order_lifecycle", "bucket", buckets)
 
-def publish_version(spark: SparkSession, path: str, n: int) -> None:
-    """Make version ``n`` the current one (a marker file), then delete all but the one before."""
-    fs, marker = _fs(spark, f"{path}/_versions/{n}")
-    fs.create(marker).close()
-    for old in [v for v in _versions(spark, path) if v < n - 1]:
-        for name in (f"{path}/_versions/{old}", f"{path}/version={old}"):
-            fs.delete(_fs(spark, name)[1], True)
 
+def fold_typed(spark: SparkSession, typed: DataFrame, root: str, run_ids: list) -> None:
+    """Load typed rows of ``run_ids`` and fold them into the lifecycle, at once."""
+    load = Load(spark, root)
+    _write_lifecycle(load, load.write(typed, "order_snapshot", "run_id", run_ids), run_ids)
+    load.commit()
 
-def lifecycle_after(spark: SparkSession, typed: DataFrame, root: str, run_ids: list) -> DataFrame:
-    """The lifecycle once ``typed`` (all rows of ``run_ids``) is loaded.
 
-    New runs are folded in.  Where one of the runs was loaded before, the jobs that it touched then
-    or touches now are derived anew from the typed rows of all their runs; no other job changes.
-    """
-    old = read_current(spark, f"{root}/order_lifecycle")
-    if old is None:
-        return upsert_lifecycle(None, typed)
-    seen = old.where(F.arrays_overlap("run_ids", F.array(*[F.lit(int(r)).cast("long") for r in run_ids]))).select("job_number")
-    if seen.isEmpty():
-        return upsert_lifecycle(old, typed)
-    jobs = seen.union(typed.select("job_number")).distinct()
-    earlier = (spark.read.parquet(f"{root}/order_snapshot").where(~F.col("run_id").isin(*[int(r) for r in run_ids]))
-               .join(jobs, "job_number", "left_semi").select(typed.columns))
-    untouched = old.join(jobs, "job_number", "left_anti")
-    return untouched.unionByName(upsert_lifecycle(None, earlier.unionByName(typed))).select(old.columns)
-
-
-def fold_typed(spark: SparkSession, typed: DataFrame, root: str, run_ids: list, raw: DataFrame | None = None) -> None:
-    """Load typed rows (and their raw text) of ``run_ids``: stage everything, then publish."""
-    tag = "-".join(str(r) for r in run_ids[:3]) + f"-{uuid.uuid4().hex[:8]}"
-    staged = {}
-    for name, df in (("order_snapshot_raw", raw), ("order_snapshot", typed)):
-        if df is not None:
-            staged[name] = f"{root}/_staging/{tag}/{name}"
-            df.write.parquet(staged[name])
-    kept = spark.read.schema(typed.schema).parquet(staged["order_snapshot"])
-    version = write_version(lifecycle_after(spark, kept, root, run_ids), f"{root}/order_lifecycle")
-    for name, path in staged.items():
-        _write_partitions(spark.read.parquet(path), f"{root}/{name}", ["run_id"])
-    publish_version(spark, f"{root}/order_lifecycle", version)
-    fs, p = _fs(spark, f"{root}/_staging/{tag}")
-    fs.delete(p, True)
+def load_runs(load: Load, raw: DataFrame, run_ids: list, skip_transform: bool = False) -> DataFrame:
+    """Write all rows of ``run_ids`` (raw text with ``run_id``) and what follows from them; returns the raw rows
+    as written.  With ``skip_transform`` the runs have raw rows only."""
+    raw = load.write(raw, "order_snapshot_raw", "run_id", run_ids)
+    known = set(load.tables.get("order_snapshot", {"live": {}})["live"]) & {str(r) for r in run_ids}
+    if not skip_transform or known:
+        typed = transform_raw_snapshot(raw.limit(0) if skip_transform else raw)
+        _write_lifecycle(load, load.write(typed, "order_snapshot", "run_id", run_ids), run_ids)
+    return raw
 
 
 def load_snapshot(spark: SparkSession, snapshot_text: DataFrame, root: str, run_date, source_name: str,
-                  run_id: int | None = None, skip_transform: bool = False) -> int:
+                  run_id: int | None = None, skip_transform: bool = False, database: str | None = None) -> int:
     """Historical snapshot load: raw rows, then (unless ``skip_transform``) typed rows and the
-    lifecycle, and the run's registration last.  Returns the run id.  Loading a run again replaces
-    it."""
-    rows = snapshot_text.count()
-    if rows == 0:
-        raise RuntimeError("The snapshot export has no data rows.")
-    run_id = run_id or next_run_id(spark, f"{root}/scheduler_run")
-    raw = raw_snapshot_rows(snapshot_text, run_id)
-    if skip_transform:
-        _write_partitions(raw, f"{root}/order_snapshot_raw", ["run_id"])
-    else:
-        fold_typed(spark, transform_raw_snapshot(raw), root, [run_id], raw)
-    register_run(spark, f"{root}/scheduler_run", run_date, source_name, rows, run_id)
+    lifecycle, and the run's registration.  Returns the run id.  Loading a run again replaces
+    it.  With a ``database`` the tables are those of the session's catalog afterwards."""
+    run_id = run_id or next_run_id(spark, root)
+    load, counted = Load(spark, root), Observation()
+    try:
+        raw = raw_snapshot_rows(snapshot_text, run_id).observe(counted, F.count(F.lit(1)).alias("rows"))
+        load_runs(load, raw, [run_id], skip_transform)
+        rows = counted.get["rows"]
+        if rows == 0:
+            raise RuntimeError("The snapshot export has no data rows.")
+        load.write(run_row(spark, run_id, run_date, source_name, rows), "scheduler_run", "run_id", [run_id])
+    except Exception:
+        load.abandon()
+        raise
+    load.commit()
+    if database:
+        register_tables(spark, root, database)
     return run_id
 
 
@@ -224,13 +221,14 @@ def write_reports(reports: dict, root: str, fmt: str = "parquet") -> list:
 
 def append_audit(spark: SparkSession, audit: DataFrame, path: str, when: _dt.datetime,
                  keep_months: int = AUDIT_RETENTION_MONTHS) -> DataFrame:
-    """Append an audit block for ``when``'s month and keep only the newest ``keep_months`` months
-    (rows without a month stay): the kept rows become the table's next version."""
+    """Append an audit block to ``when``'s month and drop the months beyond the newest ``keep_months``
+    (rows without a month stay).  Files of other months aren't touched."""
     month = when.strftime("%Y-%m")
     block = audit.withColumns({"audit_ts": F.lit(when.strftime("%Y-%m-%d %H:%M:%S")), "month": F.lit(month)})
-    prev = read_current(spark, path)
-    allrows = block if prev is None else prev.unionByName(block, allowMissingColumns=True)
-    newest = allrows.select("month").where("month IS NOT NULL").distinct().orderBy(F.desc("month")).limit(keep_months)
-    kept = allrows.join(F.broadcast(newest), "month", "left_semi").unionByName(allrows.where("month IS NULL"))
-    publish_version(spark, path, write_version(kept, path, ["month"]))
-    return read_current(spark, path)
+    block.write.mode("append").partitionBy("month").parquet(path)
+    fs, pattern = _fs(spark, f"{path}/month=*")
+    months = sorted((x.getPath() for x in fs.globStatus(pattern)), key=lambda p: p.getName(), reverse=True)
+    dated = [p for p in months if p.getName() != "month=__HIVE_DEFAULT_PARTITION__"]
+    for old in dated[keep_months:]:
+        fs.delete(old, True)
+    return spark.read.schema(block.schema).parquet(path)

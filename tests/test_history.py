@@ -1,14 +1,17 @@
 """History sinks and the streaming snapshot driver (written under a scratch folder)."""
 
 import datetime as dt
+import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from castplan.schemas import OPEN_ORDER_HEADERS
 from castplan.sources import catalog, history
 from castplan.sources.files import read_snapshot_csv
-from castplan.streaming.snapshot_stream import snapshot_stream
+from castplan.sources.loads import Load, current, read
+from castplan.streaming.snapshot_stream import ingest, snapshot_stream
 
 
 def _csv(path, rows):
@@ -31,49 +34,140 @@ def test_snapshot_load_lifecycle_and_runs(spark, tmpdir_path):
     r1 = history.load_snapshot(spark, read_snapshot_csv(spark, p1), root, "2026-08-10", "erp")
     r2 = history.load_snapshot(spark, read_snapshot_csv(spark, p2), root, "2026-08-11", "erp")
     assert (r1, r2) == (1, 2)
-    typed = spark.read.parquet(f"{root}/order_snapshot")
+    typed = read(spark, root, "order_snapshot")
     j1 = typed.where((F.col("run_id") == 1) & (F.col("job_number") == "J1")).first()
     assert float(j1["pour_weight"]) == 1100 and j1["due_date"] == dt.date(2026, 8, 4)
-    life = {r["job_number"]: r for r in history.read_current(spark, f"{root}/order_lifecycle").collect()}
+    life = {r["job_number"]: r for r in history.read_lifecycle(spark, root).collect()}
     assert life["J1"]["run_id"] == 2 and float(life["J1"]["molds_completed"]) == 5
     assert life["J1"]["first_seen_run"] == 1 and life["J1"]["runs_seen"] == 2
     assert life["J2"]["last_seen_run"] == 1
-    runs = {r["run_id"]: r["row_count"] for r in spark.read.parquet(f"{root}/scheduler_run").collect()}
+    runs = {r["run_id"]: r["row_count"] for r in read(spark, root, "scheduler_run").collect()}
     assert runs == {1: 2, 2: 1}
     # re-loading run 2 replaces its partitions (idempotent)
     history.load_snapshot(spark, read_snapshot_csv(spark, p2), root, "2026-08-11", "erp", run_id=2)
-    assert spark.read.parquet(f"{root}/order_snapshot_raw").where("run_id = 2").count() == 1
-    again = {r["job_number"]: r for r in history.read_current(spark, f"{root}/order_lifecycle").collect()}
+    assert read(spark, root, "order_snapshot_raw").where("run_id = 2").count() == 1
+    again = {r["job_number"]: r for r in history.read_lifecycle(spark, root).collect()}
     assert again == life
     # a reload without J1 takes the job back to its earlier run
     p3 = f"{tmpdir_path}/s3.csv"
     _csv(p3, [_row("J7", "1")])
     history.load_snapshot(spark, read_snapshot_csv(spark, p3), root, "2026-08-11", "erp", run_id=2)
-    life = {r["job_number"]: r for r in history.read_current(spark, f"{root}/order_lifecycle").collect()}
+    life = {r["job_number"]: r for r in history.read_lifecycle(spark, root).collect()}
     assert set(life) == {"J1", "J2", "J7"} and life["J1"]["run_id"] == 1 and life["J1"]["runs_seen"] == 1
 
 
-def test_failed_load_changes_nothing(spark, tmpdir_path, monkeypatch):
-    root, p = f"{tmpdir_path}/hist", f"{tmpdir_path}/s.csv"
+TABLES = ("order_lifecycle", "order_snapshot_raw", "order_snapshot", "scheduler_run")
+
+
+def everything(spark, root):
+    return {t: sorted(map(str, read(spark, root, t).collect())) for t in TABLES}
+
+
+@pytest.mark.parametrize("step", [*TABLES, "commit"])
+def test_failed_load_changes_nothing(spark, tmpdir_path, monkeypatch, step):
+    root, p, q = f"{tmpdir_path}/hist", f"{tmpdir_path}/s.csv", f"{tmpdir_path}/q.csv"
     _csv(p, [_row("J1", "3")])
+    _csv(q, [_row("J2", "4")])
     history.load_snapshot(spark, read_snapshot_csv(spark, p), root, "2026-08-10", "erp")
-    read = lambda: [sorted(map(str, d.collect())) for d in (
-        history.read_current(spark, f"{root}/order_lifecycle"), *[spark.read.parquet(f"{root}/{t}") for t in
-                                                                 ("order_snapshot_raw", "order_snapshot", "scheduler_run")])]
-    before = read()
-
-    def fail(*a):
-        raise RuntimeError("lost between stage and publish")
-    monkeypatch.setattr(history, "_write_partitions", fail)
-    try:
-        history.load_snapshot(spark, read_snapshot_csv(spark, p), root, "2026-08-11", "erp")
-        raise AssertionError("expected failure")
-    except RuntimeError as exc:
-        assert "between" in str(exc)
+    before = everything(spark, root)
+    write = Load.write
+
+    def fail(self, df, table, *a):
+        if table == step:
+            raise RuntimeError("lost")
+        return write(self, df, table, *a)
+
+    def fail_commit(self):
+        raise RuntimeError("lost")
+    monkeypatch.setattr(Load, "write", fail)
+    if step == "commit":
+        monkeypatch.setattr(Load, "commit", fail_commit)
+    for run_id in (None, 1):  # a new run, and the same again with other rows
+        with pytest.raises(RuntimeError, match="lost"):
+            history.load_snapshot(spark, read_snapshot_csv(spark, q), root, "2026-08-11", "erp", run_id=run_id)
+        assert everything(spark, root) == before
     monkeypatch.undo()
-    assert read() == before
-    assert history.load_snapshot(spark, read_snapshot_csv(spark, p), root, "2026-08-11", "erp") == 2
-    assert history.read_current(spark, f"{root}/order_lifecycle").first()["runs_seen"] == 2
+    assert history.load_snapshot(spark, read_snapshot_csv(spark, q), root, "2026-08-11", "erp") == 2
+    assert {r["job_number"] for r in history.read_lifecycle(spark, root).collect()} == {"J1", "J2"}
+
+
+def test_a_run_loaded_again_leaves_nothing_behind(spark, tmpdir_path):
+    root, p, blank = f"{tmpdir_path}/hist", f"{tmpdir_path}/s.csv", f"{tmpdir_path}/b.csv"
+    _csv(p, [_row("J1", "3")])
+    _csv(blank, [_row(" ", "3")])
+    load = lambda path, **k: history.load_snapshot(spark, read_snapshot_csv(spark, path), root, "2026-08-10", "erp", run_id=1, **k)
+    load(p)
+    load(blank)
+    assert [read(spark, root, t).count() for t in TABLES] == [0, 1, 0, 1]
+    load(p)
+    load(p, skip_transform=True)  # raw rows only: the typed rows of the run before are gone
+    assert [read(spark, root, t).count() for t in TABLES] == [0, 1, 0, 1]
+    with pytest.raises(RuntimeError, match="no data rows"):
+        history.load_snapshot(spark, read_snapshot_csv(spark, p).limit(0), root, "2026-08-10", "erp", run_id=1)
+    assert [read(spark, root, t).count() for t in TABLES] == [0, 1, 0, 1]
+
+
+def test_a_load_scans_its_source_once_and_counts_it(spark, tmpdir_path):
+    root, p = f"{tmpdir_path}/hist", f"{tmpdir_path}/s.csv"
+    _csv(p, [_row(f"J{i}", "3") for i in range(40)])
+    source = read_snapshot_csv(spark, p)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    history.load_snapshot(spark, source.mapInArrow(count, source.schema), root, "2026-08-10", "erp")
+    assert seen.value == 40 and read(spark, root, "scheduler_run").first()["row_count"] == 40
+
+
+def test_a_load_of_one_job_rewrites_one_bucket(spark, tmpdir_path):
+    root, p, one = f"{tmpdir_path}/hist", f"{tmpdir_path}/s.csv", f"{tmpdir_path}/one.csv"
+    _csv(p, [_row(f"J{i}", "3") for i in range(300)])
+    _csv(one, [_row("J7", "9")])
+    history.load_snapshot(spark, read_snapshot_csv(spark, p), root, "2026-08-10", "erp")
+    before = current(spark, root)["order_lifecycle"]["live"]
+    files = {f: os.path.getmtime(f) for f in glob.glob(f"{root}/order_lifecycle/*/*/*.parquet")}
+    history.load_snapshot(spark, read_snapshot_csv(spark, one), root, "2026-08-11", "erp")
+    after = current(spark, root)["order_lifecycle"]["live"]
+    assert len(before) > 25 and len([b for b in after if after[b] != before[b]]) == 1
+    assert {f: os.path.getmtime(f) for f in files} == files and len(glob.glob(f"{root}/order_lifecycle/*/*/*.parquet")) == len(files) + 1
+    life = {r["job_number"]: r for r in history.read_lifecycle(spark, root).collect()}
+    assert len(life) == 300 and life["J7"]["runs_seen"] == 2 and life["J8"]["runs_seen"] == 1
+    for _ in range(2):  # two loads on, the replaced bucket's folder is gone
+        history.load_snapshot(spark, read_snapshot_csv(spark, one), root, "2026-08-11", "erp")
+    assert len(glob.glob(f"{root}/_manifest/*.json")) == 2 and len(glob.glob(f"{root}/order_lifecycle/*/load=*")) == len(before) + 1
+
+
+def test_two_loads_at_once(spark, tmpdir_path):
+    root = f"{tmpdir_path}/hist"
+    first, second = Load(spark, root), Load(spark, root)
+    for load, n in ((first, 1), (second, 2)):
+        load.write(history.run_row(spark, n, "2026-08-10", "erp", 1), "scheduler_run", "run_id", [n])
+    first.commit()
+    with pytest.raises(RuntimeError, match="another load"):
+        second.commit()
+    assert [r["run_id"] for r in read(spark, root, "scheduler_run").collect()] == [1]
+
+
+def test_the_dashboard_finds_loaded_history(spark, tmpdir_path):
+    from conftest import SF_SMALL
+    from castplan.operators.open_orders import dashboard_rows
+    from castplan.sources.adapter import erp_views
+    root, database = f"{tmpdir_path}/hist", "loaded_history"
+    erp = erp_views(spark, SF_SMALL)
+    assert dashboard_rows(spark, erp, database)[0] == "live"
+    for day, jobs in ((10, ["J1", "J2"]), (11, ["J2", "J3", "J4"]), (12, ["J1"])):
+        p = f"{tmpdir_path}/s{day}.csv"
+        _csv(p, [_row(j, "3") for j in jobs])
+        history.load_snapshot(spark, read_snapshot_csv(spark, p), root, f"2026-08-{day}", "erp", database=database)
+    history.load_snapshot(spark, read_snapshot_csv(spark, f"{tmpdir_path}/s10.csv"), root, "2026-08-12", "erp", run_id=3, database=database)
+    kind, rows = dashboard_rows(spark, erp, database)
+    assert kind == "history" and sorted(r["job_number"] for r in rows.collect()) == ["J1", "J2"]
+    kind, rows = dashboard_rows(spark, erp, database, run_id=2)
+    assert sorted(r["job_number"] for r in rows.collect()) == ["J2", "J3", "J4"]
+    plan = rows._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan and spark.table(f"{database}.scheduler_run").count() == 3
 
 
 def test_skip_transform_and_bad_csv(spark, tmpdir_path):
@@ -102,6 +196,9 @@ def test_archive_publish_and_audit_retention(spark, tmpdir_path):
     audit = spark.createDataFrame([(3,)], "missing_count long")
     for m in range(1, 15):
         out = history.append_audit(spark, audit, f"{tmpdir_path}/audit", dt.datetime(2025 + (m - 1) // 12, (m - 1) % 12 + 1, 5))
+        files = {f: os.path.getmtime(f) for f in glob.glob(f"{tmpdir_path}/audit/*/*.parquet")}
+        assert m == 1 or len(older & set(files.items())) >= min(len(older), 11)  # appended to, not rewritten
+        older = set(files.items())
     months = sorted(r[0] for r in out.select("month").distinct().collect())
     assert len(months) == 12 and months[0] == "2025-03" and months[-1] == "2026-02"
     history.save_text_snapshot(spark.createDataFrame([(dt.date(2026, 8, 4), None)], "d date, s string"),
@@ -126,15 +223,47 @@ def test_streaming_available_now(spark, tmpdir_path):
     _csv(f"{landing}/stray.csv", [_row("J5", "1")])
     q = snapshot_stream(spark, landing, f"{tmpdir_path}/root", f"{tmpdir_path}/ckpt")
     q.awaitTermination(300)
-    life = {r["job_number"]: r for r in history.read_current(spark, f"{tmpdir_path}/root/order_lifecycle").collect()}
-    assert life["J1"]["run_id"] == 20260811 and float(life["J1"]["molds_completed"]) == 6
-    assert life["J1"]["runs_seen"] == 2 and life["J2"]["last_seen_run"] == 20260810 and "J5" not in life
-    assert [r["file"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmpdir_path}/root/skipped_files").collect()] == ["stray.csv"]
+    life = {r["job_number"]: r for r in history.read_lifecycle(spark, f"{tmpdir_path}/root").collect()}
+    assert life["J1"]["run_id"] == 20260811001 and float(life["J1"]["molds_completed"]) == 6
+    assert life["J1"]["runs_seen"] == 2 and life["J2"]["last_seen_run"] == 20260810001 and "J5" not in life
+    assert [r["file"].rsplit("/", 1)[1] for r in read(spark, f"{tmpdir_path}/root", "quarantine_files").collect()] == ["stray.csv"]
     # a new file is picked up by the next availableNow run
     _csv(f"{landing}/erp_2026-08-12.csv", [_row("J2", "2")])
     snapshot_stream(spark, landing, f"{tmpdir_path}/root", f"{tmpdir_path}/ckpt").awaitTermination(300)
-    life = {r["job_number"]: r for r in history.read_current(spark, f"{tmpdir_path}/root/order_lifecycle").collect()}
-    assert life["J2"]["run_id"] == 20260812
+    life = {r["job_number"]: r for r in history.read_lifecycle(spark, f"{tmpdir_path}/root").collect()}
+    assert life["J2"]["run_id"] == 20260812001
+
+
+def test_streaming_checks_headers_and_rows(spark, tmpdir_path):
+    landing, root = f"{tmpdir_path}/landing", f"{tmpdir_path}/root"
+    os.makedirs(landing)
+    _csv(f"{landing}/a_2026-08-10.csv", [_row("J1", "3")])
+    turned = OPEN_ORDER_HEADERS[::-1]
+    with open(f"{landing}/b_2026-08-10.csv", "w") as fh:  # another order, one more column, and rows of other lengths
+        fh.write(",".join([*turned, "Note"]) + "\n" + ",".join([*_row("J2", "4")[::-1], "x"]) + "\n")
+        fh.write("only,three,fields\n" + ",".join([*_row("J3", "4")[::-1], "x", "y"]) + "\n")
+    with open(f"{landing}/c_2026-08-10.csv", "w") as fh:
+        fh.write("Due Date,Job Number\n2026-08-04,J9\n")
+    _csv(f"{landing}/d_2026-08-10.csv", [])
+    snapshot_stream(spark, landing, root, f"{tmpdir_path}/ckpt", database="streamed").awaitTermination(300)
+    runs = {r["run_id"]: (r["source_name"].rsplit("/", 1)[1], r["row_count"], str(r["run_date"])) for r in read(spark, root, "scheduler_run").collect()}
+    assert runs == {20260810001: ("a_2026-08-10.csv", 1, "2026-08-10"), 20260810002: ("b_2026-08-10.csv", 1, "2026-08-10")}
+    rows = {r["job_number"]: r for r in read(spark, root, "order_snapshot").collect()}
+    assert set(rows) == {"J1", "J2"} and rows["J2"]["molds_completed"] == 4 and rows["J2"]["pour_weight"] == rows["J1"]["pour_weight"]
+    bad = {r["file"].rsplit("/", 1)[1]: r["reason"] for r in read(spark, root, "quarantine_files").collect()}
+    assert set(bad) == {"c_2026-08-10.csv", "d_2026-08-10.csv"} and bad["c_2026-08-10.csv"].startswith("missing columns: Customer Name")
+    assert bad["d_2026-08-10.csv"] == "no rows"
+    lines = [r["line"] for r in read(spark, root, "quarantine_rows").collect()]
+    assert len(lines) == 2 and "only,three,fields" in lines
+    # a later file of the same day is a run of its own; a replayed file replaces its run
+    _csv(f"{landing}/a_late_2026-08-10.csv", [_row("J1", "5")])
+    snapshot_stream(spark, landing, root, f"{tmpdir_path}/ckpt").awaitTermination(300)
+    life = {r["job_number"]: r for r in history.read_lifecycle(spark, root).collect()}
+    assert life["J1"]["run_id"] == 20260810003 and life["J1"]["runs_seen"] == 2 and life["J2"]["runs_seen"] == 1
+    ingest(spark, root, [f"file://{landing}/a_late_2026-08-10.csv"])
+    assert sorted(r["run_id"] for r in read(spark, root, "scheduler_run").collect()) == [20260810001, 20260810002, 20260810003]
+    assert {r["job_number"]: r for r in history.read_lifecycle(spark, root).collect()} == life
+    assert spark.table("streamed.order_snapshot").count() == 2
 
 
 def test_report_file_is_typed_and_scheduled(spark, tmpdir_path):
