@@ -36,7 +36,7 @@ DAYS, OVERLAP = 256, 32
 #: More pending rows than this before a lane's last touched row: the day gets no digest.
 MOST_PENDING = 4096
 
-_SCHEMA = ("pool_key string, block int, blocks int, row_hash long, row_copy int, schedule_day int, molds_for_ext int, "
+_SCHEMA = ("pool_key string, block int, blocks int, row_hash long, row_copy int, schedule_day int, molds_for_ext int, seq long, "
            "meta string, line_reach long, floor_reach long")
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
@@ -163,7 +163,7 @@ def _block_fn(limits: CapacityLimits):
         out = chunk_frame(chunks).assign(pool_key=pool_key, block=block, blocks=blocks, meta=None, line_reach=None, floor_reach=None)
         if blocks > 1:
             reach = meta["end"][1]["reach"] if meta["end"] else [None, None]
-            row = pd.DataFrame([[pool_key, block, blocks, None, None, None, None, json.dumps(meta), *reach]], columns=_COLUMNS)
+            row = pd.DataFrame([[pool_key, block, blocks, None, None, None, None, None, json.dumps(meta), *reach]], columns=_COLUMNS)
             out = row if out.empty else pd.concat([out.astype(object), row.astype(object)])
         return out[_COLUMNS]
     return fill_block
@@ -204,7 +204,7 @@ def repair(metas: dict, rows, limits: CapacityLimits):
             day += 1
 
 
-_REPAIR = "pool_key string, block int, since int, until int, row_hash long, row_copy int, schedule_day int, molds_for_ext int"
+_REPAIR = "pool_key string, block int, since int, until int, row_hash long, row_copy int, schedule_day int, molds_for_ext int, seq long"
 
 
 def _repair_stream(limits: CapacityLimits):
@@ -228,7 +228,7 @@ def _repair_stream(limits: CapacityLimits):
 
         out: list = []
         for what, *values in repair(metas, rows(), limits):
-            out.append((pool_key, *values, None, None, None, None) if what == "take" else (pool_key, None, None, None, *values))
+            out.append((pool_key, *values, None, None, None, None, None) if what == "take" else (pool_key, None, None, None, *values))
             if len(out) >= 8192:
                 yield pd.DataFrame(out, columns=names, dtype=object)  # no integer may become a double
                 out.clear()
@@ -247,7 +247,7 @@ def block_range(limits: CapacityLimits):
 
 
 def fill(paced: DataFrame, limits: CapacityLimits) -> DataFrame:
-    """Chunks ``row_hash, row_copy, schedule_day, molds_for_ext`` of the rows of ``capacity.lane_paced``."""
+    """Chunks ``row_hash, row_copy, schedule_day, molds_for_ext, seq`` of the rows of ``capacity.lane_paced``."""
     days = F.greatest(F.ceil(F.col("line_molds") / limits.line_molds_per_day), F.ceil(F.col("floor_molds") / limits.floor_molds_per_day))
     paced = paced.withColumn("blocks", F.ceil(days / DAYS).cast("int"))
     most = paced.agg(F.max("blocks")).first()[0] or 0
@@ -257,7 +257,7 @@ def fill(paced: DataFrame, limits: CapacityLimits) -> DataFrame:
     last = F.least(last, F.col("blocks") - 1)
     dealt = paced.withColumn("block", F.explode(F.sequence(F.least(first, last), last)))
     filled = dealt.groupBy("pool_key", "block", "blocks").applyInPandas(_block_fn(limits), _SCHEMA)
-    chunk = [*ROW_ID, "schedule_day", "molds_for_ext"]
+    chunk = [*ROW_ID, "schedule_day", "molds_for_ext", "seq"]
     if most <= 1:
         return filled.select(*chunk)
     filled = store(filled, "blocks")

@@ -36,12 +36,15 @@ ROW_ID = ["row_hash", "row_copy"]
 
 
 def with_row_id(rows: DataFrame) -> DataFrame:
-    """``rows`` with a real row id in two columns: a hash of every column, and the number of the
-    copy among rows that are equal in all of them.  Rows that have one keep it."""
+    """``rows`` with a real row id in two columns.  Rows that have one keep it; the number of
+    ``ordinal.py`` is one by itself; else it is a hash of every column, and a number among the rows of equal hash,
+    by all columns, so that every evaluation gives the same."""
     if set(ROW_ID) <= set(rows.columns):
         return rows
+    if "row_seq" in rows.columns:
+        return rows.withColumns({"row_hash": F.col("row_seq"), "row_copy": F.lit(1)})
     hashed = rows.withColumn("row_hash", F.xxhash64(F.to_json(F.struct(*rows.columns))))
-    return hashed.withColumn("row_copy", F.row_number().over(Window.partitionBy("row_hash").orderBy("row_hash")))
+    return hashed.withColumn("row_copy", F.row_number().over(Window.partitionBy("row_hash").orderBy(*rows.columns)))
 
 
 class _Pool:
@@ -132,7 +135,7 @@ class _Pool:
 
 
 def fill_day(pool: _Pool, limits: CapacityLimits, day: int) -> list:
-    """Give the day's molds; returns its chunks ``(row_hash, row_copy, day, molds)``."""
+    """Give the day's molds; returns its chunks ``(row_hash, row_copy, day, molds, seq)``."""
     caps = (limits.line_molds_per_day, limits.floor_molds_per_day)
     job_cap, max_jobs = limits.line_molds_per_job_per_day, max(int(limits.max_jobs_per_day), 1)
     out: list = []
@@ -152,7 +155,7 @@ def fill_day(pool: _Pool, limits: CapacityLimits, day: int) -> list:
             used[lane] += n
             jobs[job] = jobs.get(job, 0) + (0 if lane else n)
             pool.reach[lane] = max(pool.reach[lane], item[4])
-            out.append((*row, day, n))
+            out.append((*row, day, n, seq))
         if item[3] == 0:
             pool.finish(seq)
             return False
@@ -189,8 +192,8 @@ def fill_day(pool: _Pool, limits: CapacityLimits, day: int) -> list:
 
 
 def chunk_frame(chunks: list) -> pd.DataFrame:
-    return pd.DataFrame(chunks, columns=[*ROW_ID, "schedule_day", "molds_for_ext"]).astype(
-        {"row_hash": "int64", "row_copy": "int32", "schedule_day": "int32", "molds_for_ext": "int32"})
+    return pd.DataFrame(chunks, columns=[*ROW_ID, "schedule_day", "molds_for_ext", "seq"]).astype(
+        {"row_hash": "int64", "row_copy": "int32", "schedule_day": "int32", "molds_for_ext": "int32", "seq": "int64"})
 
 
 def allocate_stream(batches, limits: CapacityLimits = CapacityLimits(), out_rows: int = 8192):
@@ -245,7 +248,8 @@ SORT_KEYS = ("urgent", "due_ord", "group_key", "job_key", "job_text", "ext_key",
 
 
 def allocate(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(), pool_cols=("pool",)) -> DataFrame:
-    """Allocation chunks: ``row_hash, row_copy, schedule_day, molds_for_ext`` (one per row-day).
+    """Allocation chunks: ``row_hash, row_copy, schedule_day, molds_for_ext, seq`` (one per row-day; ``seq`` is
+    the row's priority position in its pool).
 
     Pools run in parallel, and long pools in blocks of days (``blocks.fill``).  There is one path, for
     unique and for repeated jobs.
@@ -301,12 +305,12 @@ def lane_paced(inp: DataFrame, limits: CapacityLimits = CapacityLimits()) -> Dat
 
 def mold_assignments(rows: DataFrame, reference_date, limits: CapacityLimits = CapacityLimits(), pool_cols=("pool",)) -> DataFrame:
     """Schedule rows expanded to day chunks: every input column plus ``schedule_day`` and the
-    chunk's ``molds_for_ext`` / ``total_weight_per_ext`` (truncated to whole pounds), and the
-    pour defaults ``pour_schedule_day = schedule_day``, ``heat_number = global_heat = 1``.
+    chunk's ``molds_for_ext`` / ``total_weight_per_ext`` (truncated to whole pounds), the row's
+    ``priority_seq`` in its pool (chunks follow each other by day, then by it), and the pour defaults ``pour_schedule_day = schedule_day``, ``heat_number = global_heat = 1``.
     """
     rows = with_row_id(rows)
-    chunks = allocate(rows, reference_date, limits, pool_cols)
-    wide = rows.withColumnRenamed("molds_for_ext", "planned_molds_for_ext").drop("total_weight_per_ext")
+    chunks = allocate(rows, reference_date, limits, pool_cols).withColumnRenamed("seq", "priority_seq")
+    wide = rows.withColumnRenamed("molds_for_ext", "planned_molds_for_ext").drop("total_weight_per_ext", "priority_seq")
     w = F.greatest(F.coalesce(F.col("pour_weight").cast("string").try_cast("double"), F.lit(0.0)), F.lit(0.0)) \
         if dict(rows.dtypes)["pour_weight"] == "string" else F.greatest(F.coalesce(F.col("pour_weight"), F.lit(0)), F.lit(0))
     return (chunks.join(wide, ROW_ID, "inner").withColumns({

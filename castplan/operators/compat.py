@@ -75,6 +75,22 @@ def can_share_heat(anchor_key, cand_key, anchor_group, cand_group, anchor_all, a
                            & ((anchor_all == "YES") | listed))))
 
 
+def heat_compat_audit(plan: DataFrame) -> DataFrame:
+    """Per heat: the anchor alloy (of the heat's first row), the rows, and the rows whose alloy the anchor can't
+    share a heat with.  The anchors, one row a heat, are joined back to the heats' rows."""
+    from castplan.operators.heats import plan_order
+
+    keys = ["pool", "pour_schedule_day", "heat_number"]
+    row = plan.withColumn("_key", norm_key_ws("alloy"))
+    anchor = row.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.min_by(F.struct("_key", "compatibility_group", "compat_all", "specific_alloys"), plan_order()).alias("a"))
+    j = row.join(anchor, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "inner")
+    fits = can_share_heat(F.col("a._key"), F.col("_key"), F.col("a.compatibility_group"), F.col("compatibility_group"),
+                          F.col("a.compat_all"), F.col("a.specific_alloys"))
+    return j.groupBy(*keys).agg(F.first("a._key").alias("anchor_alloy"), F.count(F.lit(1)).alias("rows_in_heat"),
+                                F.count_if(~F.coalesce(fits, F.lit(False))).alias("rows_not_accepted"))
+
+
 def co_pour_candidates(alloys: DataFrame, compat: DataFrame, alloy_col: str = "alloy") -> DataFrame:
     """For each distinct alloy present in ``alloys``, the alloys present that it can accept.
 

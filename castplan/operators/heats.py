@@ -12,6 +12,8 @@ documented producer, kept deliberately simple and deterministic:
   heat weighs up to the mark plus its last chunk;
 * heats of a pour day are numbered by (group, heat within group); the first
   ``planned_heats_per_day`` are ``Planned``, the rest ``Overflow``;
+* slots in ``reserved`` are set aside on every pour day, for heats that are planned by hand; heats take
+  the other slots in order (``reserved_slots`` gives the rows of the summary);
 * ``global_heat_number`` counts heats through the pool's earlier pour days.
 
 A (pool, pour day) holds at most ``n`` days of capacity-limited work, so every window here
@@ -30,6 +32,27 @@ from castplan.schemas import MAX_PLANNED_HEATS_PER_DAY
 HEAT_WEIGHT_MARK_LBS = 2300
 FURNACE_EVERY_N_DAYS = 2
 
+
+def plan_order():
+    """The order of a plan's rows: mold day, then the row's priority in its pool."""
+    return F.struct("schedule_day", "priority_seq")
+
+
+def slot_of(heat_number, reserved: tuple):
+    """The slot of a day's n-th heat when some slots are reserved: heats are numbered around them."""
+    slot = F.col(heat_number) if isinstance(heat_number, str) else heat_number
+    for r in sorted(set(reserved)):
+        slot = F.when(slot >= r, slot + 1).otherwise(slot)
+    return slot
+
+
+def reserved_slots(plan: DataFrame, reserved: tuple) -> DataFrame:
+    """One row per pour day and reserved slot, without a heat."""
+    days = plan.select("pool", "pour_schedule_day").distinct()
+    return days.withColumn("heat_slot", F.explode(F.array(*[F.lit(int(r)) for r in sorted(set(reserved))]))).withColumns({
+        "heat_number": F.lit(None).cast("int"), "heat_status": F.lit("Reserved")})
+
+
 def heat_order():
     return [F.col("alloy").asc_nulls_last(), F.col("job_number").asc_nulls_last(),
             F.col("ext").asc_nulls_last(), F.col("schedule_day").asc_nulls_last()]
@@ -37,7 +60,7 @@ def heat_order():
 
 def melt_plan(assignments: DataFrame, reference_date, furnace_every_n_days: int = FURNACE_EVERY_N_DAYS,
               heat_weight_mark: float = HEAT_WEIGHT_MARK_LBS,
-              planned_heats_per_day: int = MAX_PLANNED_HEATS_PER_DAY) -> DataFrame:
+              planned_heats_per_day: int = MAX_PLANNED_HEATS_PER_DAY, reserved: tuple = ()) -> DataFrame:
     n = int(furnace_every_n_days)
     df = assignments.withColumns({
         "original_pour_schedule_day": F.col("schedule_day"),
@@ -62,7 +85,7 @@ def melt_plan(assignments: DataFrame, reference_date, furnace_every_n_days: int
     df = df.join(offs, ["pool", "pour_schedule_day"], "left")
     return (df.withColumns({
         "global_heat_number": (F.col("_prev") + F.col("heat_number")).cast("int"),
-        "heat_slot": F.col("heat_number"),
+        "heat_slot": slot_of("heat_number", reserved),
         "heat_status": F.when(F.col("heat_number") <= planned_heats_per_day, "Planned").otherwise("Overflow"),
     }).drop("_before", "_gheat", "_prev"))
 

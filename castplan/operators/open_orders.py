@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castplan.functions.clean import blank_to_null, hold_flag, norm_key, text_to_decimal
+from castplan.functions.clean import blank_to_null, first_nonblank, hold_flag, norm_key, text_to_decimal, total_pour_fallback, zero_to_null
 from castplan.functions.dates import decode_erp_date
 from castplan.schemas import MIN_VALID_DUE_DATE
 from castplan.sources.adapter import ErpViews
@@ -21,7 +21,7 @@ from castplan.sources.adapter import ErpViews
 
 def order_job_key(detail_job: Column, header_job: Column) -> Column:
     """First non-blank job key (detail, then header), trimmed and upper-cased."""
-    return norm_key(F.coalesce(blank_to_null(detail_job), blank_to_null(header_job)))
+    return norm_key(first_nonblank(detail_job, header_job))
 
 
 def order_lines(erp: ErpViews) -> DataFrame:
@@ -45,13 +45,17 @@ def open_orders_by_job(erp: ErpViews) -> DataFrame:
         F.col("d.quantity_ordered").alias("qty"),
         F.col("d.extended_order_value").alias("value"),
     )
-    return (lines.where(F.col("job_key").isNotNull())
-            .groupBy("job_key")
-            .agg(F.max("part").alias("open_part"),
-                 F.max("job_type").alias("open_job_type"),
-                 F.max("due").alias("open_due"),
-                 F.sum(F.coalesce("qty", F.lit(0))).alias("open_qty"),
-                 F.sum(F.coalesce("value", F.lit(0))).alias("open_value")))
+    # lines are hashed to one row per (job, part, job type); only those few are left for the texts' maxima
+    few = (lines.where(F.col("job_key").isNotNull()).groupBy("job_key", "part", "job_type")
+           .agg(F.max("due").alias("due"), F.sum(F.coalesce("qty", F.lit(0))).alias("qty"), F.sum(F.coalesce("value", F.lit(0))).alias("value")))
+    return few.groupBy("job_key").agg(
+        _greatest_text("part").alias("open_part"), _greatest_text("job_type").alias("open_job_type"), F.max("due").alias("open_due"),
+        F.sum("qty").alias("open_qty"), F.sum("value").alias("open_value"))
+
+
+def _greatest_text(c):
+    """The maximum of a text column by hash aggregation (a plain maximum of texts sorts all rows)."""
+    return F.array_max(F.collect_set(c))
 
 
 def heat_list_by_job(erp: ErpViews, distinct: bool = False) -> DataFrame:
@@ -138,11 +142,11 @@ def open_orders(erp: ErpViews, keep_pool: bool = True, complete_only: bool = Tru
         _dec(F.coalesce(F.col("m.castings_per_mold"), F.lit(0))).alias("castings_per_mold"),
         _dec(F.coalesce(F.col("m.cores"), F.lit(0))).alias("quantity_of_cores"),
         _dec(F.coalesce(weight, F.lit(0))).alias("pour_weight"),
-        _dec(F.coalesce(F.nullif(total, F.lit(0)), weight * molds, F.lit(0))).alias("total_pour_wt"),
+        _dec(total_pour_fallback(total, weight, molds)).alias("total_pour_wt"),
         _dec(F.coalesce(F.col("o.open_value"), F.col("m.total_value"), F.lit(0))).alias("total_value"),
         F.coalesce(F.col("m.main_heat"), F.col("hl.heat_list"), F.lit("")).alias("heat_no_assigned"),
-        _dec(F.nullif(F.coalesce(F.col("m.castings_produced"), F.lit(0)), F.lit(0))).alias("castings_produced"),
-        _dec(F.nullif(F.coalesce(F.col("m.molds_completed"), F.lit(0)), F.lit(0))).alias("molds_completed"),
+        _dec(zero_to_null("m.castings_produced")).alias("castings_produced"),
+        _dec(zero_to_null("m.molds_completed")).alias("molds_completed"),
         F.coalesce(F.col("m.on_hold"), F.lit("NO")).alias("on_hold"),
         F.coalesce(F.col("m.pool"), F.lit(0)).alias("pool"),
     )
@@ -169,12 +173,12 @@ def orders_by_job_history(erp: ErpViews) -> DataFrame:
         F.col("d.pieces_shipped_to_date").alias("shipped"),
         F.col("h.ship_date").alias("ship_date"),
         F.col("d.extended_order_value").alias("value"))
-    return (lines.where(F.col("job_key").isNotNull()).groupBy("job_key")
-            .agg(F.max("po").alias("customer_po"),
-                 F.sum(F.coalesce("qty", F.lit(0))).alias("quantity_ordered"),
-                 F.sum(F.coalesce("shipped", F.lit(0))).alias("quantity_shipped_to_date"),
-                 F.max("ship_date").alias("ship_date"),
-                 F.sum(F.coalesce("value", F.lit(0))).alias("total_value")))
+    few = (lines.where(F.col("job_key").isNotNull()).groupBy("job_key", "po")
+           .agg(F.sum(F.coalesce("qty", F.lit(0))).alias("qty"), F.sum(F.coalesce("shipped", F.lit(0))).alias("shipped"),
+                F.max("ship_date").alias("ship_date"), F.sum(F.coalesce("value", F.lit(0))).alias("value")))
+    return few.groupBy("job_key").agg(
+        _greatest_text("po").alias("customer_po"), F.sum("qty").alias("quantity_ordered"),
+        F.sum("shipped").alias("quantity_shipped_to_date"), F.max("ship_date").alias("ship_date"), F.sum("value").alias("total_value"))
 
 
 def dashboard_history(erp: ErpViews, snapshot: DataFrame, runs: DataFrame, run_id=None,
@@ -204,9 +208,7 @@ def dashboard_history(erp: ErpViews, snapshot: DataFrame, runs: DataFrame, run_i
         F.col("o.customer_po"), F.col("o.quantity_ordered"), F.col("o.quantity_shipped_to_date"),
         F.col("o.ship_date"), F.col("o.total_value"),
         F.col("s.pour_weight"),
-        F.coalesce(F.nullif(F.col("s.total_pour_wt"), F.lit(0)),
-                   F.col("s.pour_weight") * F.col("s.quantity_of_molds"), F.lit(0))
-        .cast("decimal(18,4)").alias("total_pour_wt"),
+        _dec(total_pour_fallback("s.total_pour_wt", "s.pour_weight", "s.quantity_of_molds")).alias("total_pour_wt"),
         F.coalesce(F.col("jm_castings_per_mold"), F.lit(0)).alias("castings_per_mold"),
         F.col("s.quantity_of_cores"), F.col("s.castings_produced"), F.col("s.molds_completed"))
 

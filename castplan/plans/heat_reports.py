@@ -9,29 +9,27 @@ from castplan.functions.dates import target_pour_date, weekday_name
 from castplan.functions.status import (breakout_text, due_buffer_band, risk_diagnostic, risk_status,
                                        two_week_band, two_week_note, two_week_status)
 from castplan.operators.calendar import day_date
-from castplan.operators.heats import heat_summary
+from castplan.operators.heats import heat_summary, plan_order, reserved_slots
 
 HEAT_KEY = ["pool", "pour_schedule_day", "heat_number"]
 
 
-def heat_summary_rows(plan: DataFrame, start_date, reference_date) -> DataFrame:
+def heat_summary_rows(plan: DataFrame, start_date, reference_date, reserved: tuple = ()) -> DataFrame:
     """The 25-column heat summary plus keys.  Heat-level enrichments (lead days, minimum
-    days until due, job breakout) are aggregated once per heat and joined on the heat key."""
+    days until due, job breakout in the order of the plan's rows) are aggregated once per heat and joined on
+    the heat key.  ``reserved`` slots of every pour day are rows without a heat, blank but for the slot."""
     hs = heat_summary(plan, reference_date)
     enrich = plan.groupBy(*HEAT_KEY).agg(
         F.max(F.col("pour_schedule_day") - F.col("schedule_day")).alias("max_mold_lead_days"),
         F.round(F.avg((F.col("pour_schedule_day") - F.col("schedule_day")).cast("decimal(10,0)")), 1)
         .cast("double").alias("avg_mold_lead_days"),
         F.min("days_until_due").alias("_min_until_due"),
-        F.expr("listagg(concat_ws(' | ', CASE WHEN trim(ext) <> '' THEN concat_ws('-', trim(job_number), trim(ext)) "
-               "ELSE trim(job_number) END, concat('Due ', coalesce(date_format(due_date, 'MM/dd/yyyy'), '')), "
-               "concat('Molds ', coalesce(cast(cast(molds_for_ext AS bigint) AS string), ''))), '; ') "
-               "WITHIN GROUP (ORDER BY alloy ASC NULLS LAST, job_number ASC NULLS LAST, ext ASC NULLS LAST, "
-               "schedule_day ASC NULLS LAST)").alias("job_breakout"))
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(plan_order().alias("at"), breakout_text(
+            "job_number", "ext", "due_date", "molds_for_ext").alias("text")))), lambda x: x["text"]), "; ").alias("job_breakout"))
     j = hs.join(enrich, HEAT_KEY, "left")
     j = j.withColumn("schedule_date", day_date("pour_schedule_day", start_date))
     j = j.withColumn("pour_buffer_days", F.datediff(F.col("earliest_due_date"), F.col("schedule_date")))
-    return j.select(
+    rows = j.select(
         *HEAT_KEY, "schedule_date", weekday_name("schedule_date").alias("weekday"), "heat_slot",
         "global_heat_number", "heat_status", "planning_priority", "review_window", "anchor_alloy",
         "compatibility_group", "earliest_due_date", "latest_due_date",
@@ -41,6 +39,12 @@ def heat_summary_rows(plan: DataFrame, start_date, reference_date) -> DataFrame:
         two_week_status("pour_buffer_days", "_min_until_due").alias("two_week_rule_status"),
         two_week_note("pour_buffer_days", "_min_until_due").alias("two_week_rule_note"),
         "job_breakout", risk_diagnostic("pour_buffer_days").alias("planner_diagnostic"))
+    if not reserved:
+        return rows
+    slots = reserved_slots(plan, reserved).withColumn("schedule_date", day_date("pour_schedule_day", start_date))
+    slots = slots.withColumns({"weekday": weekday_name("schedule_date"), "total_weight_lbs": F.lit(0.0), "total_molds": F.lit(0.0), "rows_in_heat": F.lit(0),
+                               **{c: F.lit("") for c, t in rows.dtypes if t == "string" and c not in ("weekday", "heat_status")}})
+    return rows.unionByName(slots.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in slots.columns]), allowMissingColumns=True)
 
 
 def heat_planner_rows(summary: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from castplan.functions.clean import heat_key
 from castplan.functions.dates import date_range_text, weekday_name
 from castplan.functions.status import capacity_label
 from castplan.operators.calendar import day_date
+from castplan.operators.heats import plan_order
+from castplan.operators.ordinal import names_in_order
 from castplan.plans.heat_reports import HEAT_KEY
 from castplan.schemas import CLEANING_DAYS, FLOOR_CAST_TYPE, MOLD_LEAD_WINDOW_DAYS, CapacityLimits
 
@@ -27,17 +29,13 @@ CAUSE_SEQUENCE = ("Original heats were pushed later to keep heat sequence and mo
 
 def melt_management(summary: DataFrame, plan: DataFrame, start_date,
                     cleaning_days: int = CLEANING_DAYS) -> DataFrame:
-    """Per heat (Reserved excluded): customers and jobs poured, due/mold/pour date ranges,
+    """Per heat (Reserved excluded): customers and jobs poured in the order of the plan's rows, due/mold/pour date ranges,
     expected ship date and the heat's risk and two-week status."""
     per_heat = (plan.withColumn("_mold_date", day_date("schedule_day", start_date))
-                .groupBy(*HEAT_KEY).agg(
-                    F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim("customer_name"), F.lit("")))), ", ")
-                    .alias("customers"),
-                    F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim("job_number"), F.lit("")))), ", ")
-                    .alias("poured_job_ids"),
-                    F.min("_mold_date").alias("_m0"), F.max("_mold_date").alias("_m1")))
+                .groupBy(*HEAT_KEY).agg(F.min("_mold_date").alias("_m0"), F.max("_mold_date").alias("_m1")))
+    names = names_in_order(plan, HEAT_KEY, {"customers": "customer_name", "poured_job_ids": "job_number"}, plan_order())
     s = summary.where(F.coalesce(F.col("heat_status"), F.lit("")) != "Reserved")
-    j = s.join(per_heat, HEAT_KEY, "left")
+    j = s.join(per_heat, HEAT_KEY, "left").join(names, HEAT_KEY, "left")
     return j.select(
         *HEAT_KEY, F.col("schedule_date").alias("pour_date"), "customers", "poured_job_ids",
         date_range_text(F.least("earliest_due_date", "latest_due_date"),

@@ -16,16 +16,17 @@ def open_orders_order(df: DataFrame) -> DataFrame:
 
 
 def day_rows_order(df: DataFrame) -> DataFrame:
-    """Rows of a day by alloy, due date, job (missing last)."""
-    keys = [c for c in ("pool", "schedule_day") if c in df.columns]
+    """Rows of a day by alloy, due date, job (missing last); totals after the details."""
+    keys = [c for c in ("pool", "schedule_day", "row_type") if c in df.columns]
     return df.orderBy(*keys, F.col("alloy").asc_nulls_last(), F.col("due_date").asc_nulls_last(),
                       F.col("job_number").asc_nulls_last())
 
 
-def alloy_order(df: DataFrame, alloy_col: str, tie_breakers=()) -> DataFrame:
-    """Alloy first with blank alloys last, then whichever tie-breakers the frame has."""
+def alloy_order(df: DataFrame, alloy_col: str, tie_breakers=(), blocks=()) -> DataFrame:
+    """Alloy first with blank alloys last, then whichever tie-breakers the frame has; inside ``blocks``
+    (pool and day columns) if any."""
     ties = [F.col(c).asc_nulls_last() for c in tie_breakers if c in df.columns]
-    return df.orderBy(F.nullif(F.trim(F.col(alloy_col)), F.lit("")).asc_nulls_last(), *ties)
+    return df.orderBy(*blocks, F.nullif(F.trim(F.col(alloy_col)), F.lit("")).asc_nulls_last(), *ties)
 
 
 def shipping_order(df: DataFrame) -> DataFrame:

@@ -16,10 +16,11 @@ from castplan.operators import open_orders as oo
 from castplan.operators import priority, reporting
 from castplan.operators.calendar import business_calendar
 from castplan.operators.open_orders import dashboard_history
+from castplan.operators.ordinal import sorted_ordinal
 from castplan.plans import heat_reports, melt_reports, publication
 from castplan.plans import mold_reports, shipping
 from castplan.plans.outputs import canonical
-from castplan.plans.schedule import ScheduleParams, build_schedule, load_scheduler_input
+from castplan.plans.schedule import REFERENCE_DATE, START_DATE, ScheduleParams, build_schedule, load_scheduler_input
 from castplan.schemas import HEADER_TO_COLUMN, OPEN_ORDER_HEADERS
 from castplan.session import ensure_checkpoint_dir, store
 from castplan.sources import history
@@ -41,7 +42,7 @@ def register(name):
     return deco
 
 
-P = ScheduleParams(materialize=True)
+P = ScheduleParams(reference_date=REFERENCE_DATE, start_date=START_DATE, materialize=True)
 _MEMO: dict = {}
 
 
@@ -161,13 +162,14 @@ def q_mold_assignments_hot_pool(spark, sf_dir):
     return out.select("pool", "job_number", "schedule_day", "molds_for_ext", "total_weight_per_ext")
 
 
-def _repeated_rows(spark, sf_dir):
+def _repeated_rows(spark, sf_dir, keep_part=False):
     """Schedule rows split in two, three or four rows of equal job and extension."""
-    rows = schedule(spark, sf_dir).schedule_rows
+    rows = schedule(spark, sf_dir).schedule_rows.drop("row_seq")
     parts = F.least(F.col("molds_for_ext"), (F.col("molds_for_ext") % 3 + 2))
     split = rows.withColumn("_n", parts).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     share = F.floor(F.col("molds_for_ext") / F.col("_n")) + F.when(F.col("_i") <= F.col("molds_for_ext") % F.col("_n"), 1).otherwise(0)
-    return split.withColumn("molds_for_ext", share.cast("int")).drop("_n", "_i")
+    split = split.withColumn("molds_for_ext", share.cast("int"))
+    return split.withColumnsRenamed({"_n": "parts", "_i": "part_no"}) if keep_part else split.drop("_n", "_i")
 
 
 def _repeated_assignments(spark, sf_dir):
@@ -442,16 +444,89 @@ def q_order_lifecycle_incremental(spark, sf_dir):
     return history.read_lifecycle(spark, root).drop("run_ids")
 
 
+def _published(spark, sf_dir):
+    """The published sheets, read back from their folders."""
+    def build():
+        root = f"{ensure_checkpoint_dir(spark)}/castplan-{spark.sparkContext.applicationId}/sheets-{uuid.uuid4().hex[:8]}"
+        s = schedule(spark, sf_dir)
+        six = publication.six_sheets(s, _plan(spark, sf_dir), _summary(spark, sf_dir))
+        return six.keys(), publication.read_sheets(spark, publication.publish_sheets({**six, **publication.day_sheets(s)}, root))
+    return memo(spark, sf_dir, "published", build)
+
+
 @register("published_sheets")
 def q_published_sheets(spark, sf_dir):
     """The six sheets published to a folder and read back: rows per sheet."""
-    root = f"{ensure_checkpoint_dir(spark)}/castplan-{spark.sparkContext.applicationId}/sheets-{uuid.uuid4().hex[:8]}"
-    paths = publication.publish_sheets(schedule(spark, sf_dir), _plan(spark, sf_dir), _summary(spark, sf_dir), root)
-    counts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("sheet"), "row_count")
-              for name, df in publication.read_sheets(spark, paths).items()]
+    six, sheets = _published(spark, sf_dir)
+    counts = [sheets[name].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("sheet"), "row_count") for name in six]
     return reduce(DataFrame.unionByName, counts)
 
 
+def _register_sheet(sheet: str):
+    @register("published_" + sheet.lower().replace(" ", "_"))
+    def q_sheet(spark, sf_dir):
+        return _published(spark, sf_dir)[1][sheet]
+    q_sheet.__doc__ = f"The published sheet {sheet}, read back with every row's position in the files."
+
+
+for _sheet in ("Overall Summary", "Melt Schedule", "Melt Diagnostics", "Mold Schedule", "Melt Summary", "Mold Summary", "Open Orders", "Daily Mold Schedule"):
+    _register_sheet(_sheet)
+
+
+#: Slots of every pour day that are set aside in the queries of reserved slots.
+RESERVED = (2, 6)
+
+
+def _reserved(spark, sf_dir):
+    """(plan, summary) with slots set aside on every pour day."""
+    def build():
+        plan = store(heats.melt_plan(schedule(spark, sf_dir).assignments, P.reference_date, reserved=RESERVED), "reserved-plan")
+        return plan, store(heat_reports.heat_summary_rows(plan, P.start_date, P.reference_date, RESERVED), "reserved-summary")
+    return memo(spark, sf_dir, "reserved", build)
+
+
+@register("heat_planner_reserved")
+def q_heat_planner_reserved(spark, sf_dir):
+    """Planner sheet with reserved slots: blank rows to be filled by hand, heats numbered around them."""
+    return heat_reports.heat_planner_rows(_reserved(spark, sf_dir)[1])
+
+
+@register("heat_daily_totals_reserved")
+def q_heat_daily_totals_reserved(spark, sf_dir):
+    """Daily heat totals of a plan with reserved slots, which don't count."""
+    return heat_reports.heat_daily_totals(_reserved(spark, sf_dir)[1])
+
+
+@register("heat_sheet_reserved")
+def q_heat_sheet_reserved(spark, sf_dir):
+    """Heat sheet with its reserved slots as rows."""
+    return heat_reports.heat_sheet(_reserved(spark, sf_dir)[1])
+
+
+@register("melt_management_reserved")
+def q_melt_management_reserved(spark, sf_dir):
+    """Melt management of a plan with reserved slots, which are left out."""
+    plan, summary = _reserved(spark, sf_dir)
+    return melt_reports.melt_management(summary, plan, P.start_date)
+
+
+@register("heat_compat_audit")
+def q_heat_compat_audit(spark, sf_dir):
+    """Per heat: rows whose alloy the heat's first alloy doesn't accept."""
+    return compat.heat_compat_audit(_plan(spark, sf_dir))
+
+
+@register("job_shipping_outlook_repeated_jobs")
+def q_job_shipping_outlook_repeated(spark, sf_dir):
+    """Shipping outlook of jobs of several rows: the customer is the first non-blank one in input order (the
+    rows of a job come last part first; the last part has no customer)."""
+    rows = _repeated_rows(spark, sf_dir, keep_part=True).drop("row_seq")
+    names = F.when(F.col("part_no") == F.col("parts"), F.lit(" ")).otherwise(F.concat("customer_name", F.lit(" / "), F.col("part_no").cast("string")))
+    rows = sorted_ordinal(rows.withColumn("customer_name", names), ["due_date", "job_number", F.col("part_no").desc()])
+    asg = capacity.mold_assignments(rows, P.reference_date, P.limits, P.pool_cols)
+    return shipping.job_shipping_outlook(rows, asg, P.start_date)
+
+
 def _default_plan(spark, sf_dir):
     return memo(spark, sf_dir, "default_plan", lambda: store(heats.default_melt_plan(
         schedule(spark, sf_dir).assignments, P.reference_date), "default-plan"))

@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from castplan.functions.dates import reference_date_or_today
 from castplan.operators import capacity, compat, eligibility, open_orders as oo, quality
+from castplan.operators.ordinal import sorted_ordinal
 from castplan.session import store
 from castplan.schemas import DEFAULT_HOUSE_ACCOUNTS, CapacityLimits
 from castplan.sources.adapter import compat_reference, erp_views
@@ -24,8 +26,8 @@ START_DATE = _dt.date(2001, 6, 2)       # first production day candidate (tomorr
 
 @dataclass
 class ScheduleParams:
-    reference_date: _dt.date = REFERENCE_DATE
-    start_date: _dt.date = START_DATE
+    reference_date: _dt.date | None = None  # today
+    start_date: _dt.date | None = None  # the day after the reference date
     limits: CapacityLimits = field(default_factory=CapacityLimits)
     pool_cols: tuple = ("pool",)
     house_accounts: tuple = DEFAULT_HOUSE_ACCOUNTS
@@ -33,6 +35,10 @@ class ScheduleParams:
     validate: bool = False
     materialize: bool = False
 
+    def __post_init__(self):
+        self.reference_date = reference_date_or_today(self.reference_date)
+        self.start_date = self.start_date or self.reference_date + _dt.timedelta(days=1)
+
 
 @dataclass
 class Schedule:
@@ -63,7 +69,7 @@ def build_schedule(spark: SparkSession, sf_dir: str, p: ScheduleParams | None =
             # open orders are the expensive scan-join-aggregate; pin them once, reliably
             open_orders = store(oo.open_orders(erp_views(spark, sf_dir)), "open-orders")
     inp, orders = scheduler_input(spark, sf_dir, p, open_orders)
-    rows = eligibility.schedule_rows(eligibility.eligible(inp))
+    rows = sorted_ordinal(eligibility.schedule_rows(eligibility.eligible(inp)), ["due_date", "job_number"])
     if p.materialize:
         rows = store(rows, "schedule-rows")
     asg = capacity.mold_assignments(rows, p.reference_date, p.limits, p.pool_cols)

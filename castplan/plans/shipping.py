@@ -17,14 +17,16 @@ def job_shipping_outlook(schedule_rows: DataFrame, assignments: DataFrame, start
     """Per job: planned vs scheduled molds, first mold day, last pour day and their dates,
     expected ship date (pour + cleaning days), ship buffer, schedule status, on-time flag.
 
-    Both sides are aggregated per job first, then joined (left from the planned side).
+    Both sides are aggregated per job first, then joined (left from the planned side).  A job's customer
+    is its first non-blank one by ``row_seq``; of rows without that number, by ``extension_seq`` and name.
     """
+    seq = "row_seq" if "row_seq" in schedule_rows.columns else "struct(extension_seq, trim(customer_name))"
     key = norm_key_ws("job_number")
     planned = (schedule_rows.withColumn("_job", key)
                .groupBy("pool", "_job")
                .agg(F.sum("molds_for_ext").alias("planned_molds"),
                     F.min(F.col("due_date").cast("date")).alias("due_date"),
-                    F.expr("min_by(trim(customer_name), extension_seq) "
+                    F.expr(f"min_by(trim(customer_name), {seq}) "
                            "FILTER (WHERE trim(customer_name) <> '')").alias("customer_name")))
     assigned = (assignments.withColumn("_job", key).groupBy("pool", "_job")
                 .agg(F.sum("molds_for_ext").alias("scheduled_molds"),

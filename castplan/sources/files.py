@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from castplan.functions.clean import blank_to_null, molds_needed, strip_headers, text_to_decimal, with_defaults
 from castplan.functions.dates import decode_erp_date, to_date_or_null
+from castplan.operators.ordinal import file_ordinal
 from castplan.schemas import HEADER_TO_COLUMN, NUMERIC_OPEN_ORDER_COLUMNS, OPEN_ORDER_COLUMNS, OPEN_ORDER_HEADERS
 
 
@@ -23,11 +24,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_open_order_report(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read an open-order report extract (CSV with header, or Parquet), strip the headers,
-    rename report headers to column names and type the columns (``typed_report``).  Columns the
+    rename report headers to column names, number the rows in file order (``row_seq``) and type the
+    columns (``typed_report``).  Columns the
     report already carries (Molds Needed, Hold, Scheduled) are kept as given — the report-only run
     trusts the sheet."""
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    df = strip_headers(reader.format(fmt).load(path))
+    df = strip_headers(file_ordinal(reader.format(fmt).load(path)))
     return typed_report(df.toDF(*[HEADER_TO_COLUMN.get(c, c) for c in df.columns]))
 
 

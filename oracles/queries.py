@@ -197,7 +197,7 @@ k1 AS (
         FROM k1 WHERE list_sum(rem) > 0) s),
 k1_chunks AS (SELECT pool, tpos AS seq, tday AS schedule_day, tk AS molds_for_ext FROM k1 WHERE tk > 0),
 asg AS (
-  SELECT r.* EXCLUDE (molds_for_ext, total_weight_per_ext), c.schedule_day, c.molds_for_ext,
+  SELECT r.* EXCLUDE (molds_for_ext, total_weight_per_ext), c.schedule_day, c.molds_for_ext, c.seq AS priority_seq,
          CAST(floor(greatest(COALESCE(r.pour_weight, 0), 0) * c.molds_for_ext) AS BIGINT) AS total_weight_per_ext,
          c.schedule_day AS pour_schedule_day, 1 AS heat_number, 1 AS global_heat_number
   FROM k1_chunks c JOIN k1_items i ON i.pool = c.pool AND i.seq = c.seq
@@ -226,7 +226,8 @@ GROUP BY r.reason"""
 Q["schedule_rows"] = with_sched() + f"""
 SELECT {_SI_COLS}, CAST(molds_for_ext AS BIGINT) AS molds_for_ext, ext,
        CAST(extension_seq AS BIGINT) AS extension_seq,
-       CAST(total_weight_per_ext AS DOUBLE) AS total_weight_per_ext
+       CAST(total_weight_per_ext AS DOUBLE) AS total_weight_per_ext,
+       row_number() OVER (ORDER BY due_date NULLS LAST, job_number) AS row_seq
 FROM srows"""
 
 Q["mold_assignments"] = with_sched() + """
@@ -506,7 +507,7 @@ HS = f"""hs0 AS (
          min(days_until_due) AS min_until_due,
          string_agg({_lbl} || ' | Due ' || COALESCE(strftime(due_date, '%m/%d/%Y'), '') || ' | Molds '
                     || COALESCE(CAST(CAST(molds_for_ext AS BIGINT) AS VARCHAR), ''), '; '
-                    ORDER BY alloy NULLS LAST, job_number NULLS LAST, ext NULLS LAST, schedule_day NULLS LAST) AS job_breakout
+                    ORDER BY schedule_day, priority_seq) AS job_breakout
   FROM mp GROUP BY pool, pour_schedule_day, heat_number),
 hs1 AS (
   SELECT *, {day_date_sql('pour_schedule_day')} AS schedule_date,
@@ -589,6 +590,12 @@ def _range_text(a: str, b: str) -> str:
             f"ELSE strftime({a}, '%m/%d/%Y') || ' - ' || strftime({b}, '%m/%d/%Y') END")
 
 
+def _in_order(c: str) -> str:
+    """Distinct non-blank names by the first place at which each occurs in the heat's rows."""
+    names = f"list(trim({c}) ORDER BY schedule_day, priority_seq) FILTER (WHERE trim({c}) <> '')"
+    return f"array_to_string(list_filter({names}, lambda x, i: list_position({names}, x) = i), ', ')"
+
+
 Q["melt_management"] = with_sched(MP, HS) + f"""
 SELECT h.pool, h.pour_schedule_day, h.heat_number, h.schedule_date AS pour_date, p.customers, p.poured_job_ids,
        {_range_text('least(h.earliest_due_date, h.latest_due_date)', 'greatest(h.earliest_due_date, h.latest_due_date)')} AS due_dates,
@@ -598,8 +605,7 @@ SELECT h.pool, h.pour_schedule_day, h.heat_number, h.schedule_date AS pour_date,
        h.two_week_rule_status, h.planner_diagnostic
 FROM hs h LEFT JOIN (
   SELECT pool, pour_schedule_day, heat_number,
-         array_to_string(list_sort(list_distinct(list(NULLIF(trim(customer_name), '')) FILTER (WHERE NULLIF(trim(customer_name), '') IS NOT NULL))), ', ') AS customers,
-         array_to_string(list_sort(list_distinct(list(NULLIF(trim(job_number), '')) FILTER (WHERE NULLIF(trim(job_number), '') IS NOT NULL))), ', ') AS poured_job_ids,
+         {_in_order('customer_name')} AS customers, {_in_order('job_number')} AS poured_job_ids,
          min({day_date_sql('schedule_day')}) AS m0, max({day_date_sql('schedule_day')}) AS m1
   FROM mp GROUP BY 1, 2, 3) p
   ON p.pool = h.pool AND p.pour_schedule_day = h.pour_schedule_day AND p.heat_number = h.heat_number
@@ -894,3 +900,48 @@ _SHEETS = {"Overall Summary": "job_status", "Melt Schedule": "melt_schedule", "M
            "Mold Schedule": "mold_schedule_sheet", "Melt Summary": "melt_management", "Mold Summary": "job_shipping_outlook"}
 Q["published_sheets"] = "\nUNION ALL\n".join(
     f"SELECT '{sheet}' AS sheet, count(*) AS row_count FROM ({Q[name]}) t" for sheet, name in _SHEETS.items())
+
+# Every sheet in its order: the position of a row is its place in the published files.
+_DAYS = {"Mold Schedule": "pool, schedule_day, row_type, NULLIF(trim(alloy), '') NULLS LAST, job_number NULLS LAST, ext NULLS LAST",
+         "Melt Schedule": "pool, pour_schedule_day, NULLIF(trim(alloy), '') NULLS LAST, job_number NULLS LAST, heat_number, schedule_day",
+         "Melt Diagnostics": "pool, skipped_pour_day", "Melt Summary": "pool, pour_schedule_day, heat_number",
+         "Open Orders": "due_date NULLS LAST, job_number NULLS LAST",
+         "Daily Mold Schedule": "pool, schedule_day, row_type, alloy NULLS LAST, due_date NULLS LAST, job_number NULLS LAST"}
+for _sheet, _name in {**_SHEETS, "Open Orders": "open_orders", "Daily Mold Schedule": "daily_mold_schedule"}.items():
+    _order = _DAYS.get(_sheet, "schedule_status NULLS LAST, due_date NULLS LAST, job_number NULLS LAST")
+    _rows = f"({Q[_name]})" if _sheet != "Open Orders" else f"({Q[_name]}) o WHERE trim(upper(customer_name)) NOT IN ('HOUSE ACCOUNT')"
+    Q["published_" + _sheet.lower().replace(" ", "_")] = f"SELECT *, row_number() OVER (ORDER BY {_order}) AS position FROM {_rows}"
+
+# Slots 2 and 6 of every pour day are reserved: rows without a heat, and the heats take the other slots.
+_MP_RESERVED = MP.replace("m.heat_number AS heat_slot", """CASE WHEN m.heat_number < 2 THEN m.heat_number WHEN m.heat_number + 1 < 6 THEN m.heat_number + 1
+              ELSE m.heat_number + 2 END AS heat_slot""")
+_BLANK = ("planning_priority, review_window, anchor_alloy, compatibility_group, due_buffer_status, jobs, extensions, "
+          "two_week_rule_status, two_week_rule_note, job_breakout, planner_diagnostic").split(", ")
+_HS_RESERVED = HS.replace("hs AS (", "hs_heats AS (") + f""",
+hs AS (
+  SELECT * FROM hs_heats
+  UNION ALL BY NAME
+  SELECT DISTINCT pool, pour_schedule_day, schedule_date, weekday, CAST(slot AS BIGINT) AS heat_slot, 'Reserved' AS heat_status,
+         0.0::DOUBLE AS total_weight_lbs, 0.0::DOUBLE AS total_molds, CAST(0 AS BIGINT) AS rows_in_heat,
+         {", ".join(f"'' AS {c}" for c in _BLANK)}
+  FROM hs_heats, (VALUES (2), (6)) r(slot))"""
+for _name in ("heat_planner", "heat_daily_totals", "heat_sheet", "melt_management"):
+    Q[_name + "_reserved"] = Q[_name].replace(MP, _MP_RESERVED).replace(HS, _HS_RESERVED)
+
+Q["heat_compat_audit"] = with_sched(MP) + f"""
+, a AS (SELECT *, {_ws_key('alloy')} AS k, first_value({_ws_key('alloy')}) OVER w AS ak, first_value(compatibility_group) OVER w AS ag,
+               first_value(compat_all) OVER w AS aa, first_value(specific_alloys) OVER w AS al
+        FROM mp WINDOW w AS (PARTITION BY pool, pour_schedule_day, heat_number ORDER BY schedule_day, priority_seq))
+SELECT CAST(pool AS BIGINT) AS pool, CAST(pour_schedule_day AS BIGINT) AS pour_schedule_day, CAST(heat_number AS BIGINT) AS heat_number,
+       any_value(ak) AS anchor_alloy, count(*) AS rows_in_heat,
+       count(*) FILTER (WHERE NOT (k <> '' AND ak <> '' AND (k = ak OR (ag <> '' AND ag = compatibility_group
+             AND (aa = 'YES' OR list_contains(list_transform(string_split(al, ','), lambda x: trim(x)), k)))))) AS rows_not_accepted
+FROM a GROUP BY 1, 2, 3"""
+
+Q["job_shipping_outlook_repeated_jobs"] = with_base(COMPAT, SCHED_IN, ELIG, SROWS, _REPEATED) + f"""
+, srows2 AS (SELECT * EXCLUDE (customer_name), CASE WHEN i = least(total, total % 3 + 2) THEN ' ' ELSE customer_name || ' / ' || i END AS customer_name
+             FROM (SELECT *, sum(molds_for_ext) OVER (PARTITION BY pool, job_number) AS total FROM rrows)),
+asg2 AS (SELECT *, schedule_day AS pour_schedule_day FROM r_asg),
+{SHIP.replace("FROM srows GROUP", "FROM srows2 GROUP").replace("FROM asg GROUP", "FROM asg2 GROUP").replace(
+    "min(trim(customer_name)) FILTER", "arg_max(trim(customer_name), i) FILTER")}
+SELECT {_SHIP_OUT} FROM ship3"""

@@ -231,7 +231,7 @@ def in_blocks(items, max_jobs, days, overlap, monkeypatch):
     for what, *v in blocks.repair(metas, blocks._Resumed.rows_of([rows]), limits):
         if what == "take":
             taken.add(v[0])
-            got += [(a, d, m) for a, _, d, m in chunks[v[0]] if d >= v[1] and (v[2] is None or d < v[2])]
+            got += [(a, d, m) for a, _, d, m, _ in chunks[v[0]] if d >= v[1] and (v[2] is None or d < v[2])]
         else:
             got.append((v[0], v[2], v[3]))
     return sorted(got), n, taken
@@ -327,8 +327,9 @@ def test_running_sums_are_exact_over_many_slices(spark):
 
 def test_driver_schedule_equals_brute_force(spark):
     from conftest import SF_CHECK
-    from castplan.plans.schedule import ScheduleParams, build_schedule
-    p = ScheduleParams()
+    from castplan.plans.schedule import REFERENCE_DATE, ScheduleParams, build_schedule
+    p = ScheduleParams(reference_date=REFERENCE_DATE)
+    assert ScheduleParams().reference_date == dt.date.today() and p.start_date == REFERENCE_DATE + dt.timedelta(days=1)
     rows = build_schedule(spark, SF_CHECK, p).schedule_rows
     names = {"job": "job_number", "molds": "molds_for_ext", "cast": "casting_type", "pool": "pool", "due": "due_date",
              "alloy": "alloy", "group": "compatibility_group"}
