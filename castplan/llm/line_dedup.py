@@ -1,12 +1,17 @@
-"""Line dedup by overlapping chunks of lines.
+"""Line dedup by content-defined chunks of lines.
 
-A text is cut at newlines.  From every line with words a chunk runs forward, and one runs back, as
-far as it must to be removable: over ``MIN_WORDS`` words, and over two lines with words or a line
-of ``LONG_WORDS`` words or more.  A chunk depends on its own lines only, so a repeated passage of
-two lines or more is made of the same chunks in every text, whatever stands around it, and every
-one of its lines is in one of them: neighbouring chunks share lines, so repeats extend line by line
-to the passage's ends.  A long line is a chunk by itself.  No chunk lies strictly inside another, so
-starts and ends are in the same order.
+A text is cut at newlines.  A rolling hash over the hashes of ``WINDOW`` consecutive lines with words
+chooses chunk boundaries: forward, a line ends a chunk if the hash of the window that ends with it is
+even; backward, a line starts one if the hash of the window that starts with it is odd.  From every line
+with words a chunk runs forward to its first boundary, and one runs back.  As usual in content-defined
+chunking there is a least and a greatest size: a chunk has ``MIN_WORDS`` words and two lines with words (or a
+line of ``LONG_WORDS`` words) at least, and is cut at ``MAX_WORDS`` words or where its text ends.
+
+A boundary is decided by lines of the chunk only (a chunk of one line by the hash of that line), so the same
+lines give the same chunks whatever stands around them.  Of two neighbouring lines that are long enough,
+either the forward chunk of the first or the backward chunk of the second is just those two, as one hash is even
+or odd; and a passage of ``MAX_WORDS`` words can't outrun its chunks.  So a repeated passage is covered
+line by line to its ends: every repeated chunk is found in every text, and neighbouring chunks share lines.
 
 A first pass counts chunk hashes (aggregated map side); only chunks whose hash repeats are then
 grouped by their bytes, which is the byte comparison.  Of each repeated chunk the first place (least
@@ -31,7 +36,9 @@ from pyspark.sql import types as T
 from castplan.llm import textwords as tw
 from castplan.llm.shared import materialize, text_chunks, without
 
-LONG_WORDS, MIN_WORDS = 32, 10
+#: Lines of the rolling hash; words of a line that is a chunk by itself; least and greatest words of a chunk.
+WINDOW, LONG_WORDS, MIN_WORDS, MAX_WORDS = 2, 32, 10, 50
+_STEP = np.uint64(0xD1342543DE82EF95)
 #: Bound on the hashes of repeated chunks (16 bytes each) that are broadcast.
 BROADCAST_HASHES = 1_000_000
 _LINES = tw.byte_table([10], lower=False)
@@ -52,8 +59,24 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
     return start, np.maximum(end, start), np.searchsorted(start, offsets)
 
 
-def chunk_table(data: np.ndarray, offsets: np.ndarray, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS):
-    """Removable chunks: ``(text, first byte, end byte, chunk number, lines, hash)`` as arrays.
+def rolling(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """At every line the polynomial hash of the ``window`` lines that end with it, modulo 2^64: the line that leaves
+    the window is taken off, the new one added."""
+    weighted = np.zeros(len(hashes), np.uint64)
+    for back in range(min(window, len(hashes))):  # the same sums, term by term
+        weighted[back:] += hashes[:len(hashes) - back] * _STEP ** np.uint64(back)
+    return tw.mix(weighted)
+
+
+def _next(flags: np.ndarray) -> np.ndarray:
+    """At every place the first place from there on that is flagged (the length if none)."""
+    at = np.where(flags, np.arange(len(flags)), len(flags))
+    return np.append(np.minimum.accumulate(at[::-1])[::-1], len(flags))
+
+
+def chunk_table(data: np.ndarray, offsets: np.ndarray, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS):
+    """Removable chunks: ``(text, first byte, end byte, chunk number, lines, hash)`` as arrays, by first
+    byte, then by end byte.
 
     ``end byte`` includes the newline that ends the chunk's last line, if any; the hash covers
     the bytes without it, so a passage at the end of a text matches one in the middle.
@@ -66,25 +89,41 @@ def chunk_table(data: np.ndarray, offsets: np.ndarray, long_words: int = LONG_WO
     word_start, _, _ = tw.words(data, offsets, tw.SPACE_WORDS)
     n_words = np.searchsorted(word_start, end) - np.searchsorted(word_start, start)
     doc = np.searchsorted(first, np.arange(len(start)), "right") - 1
-    # lines without words start and end no chunk; a run of them is inside few
-    at = np.flatnonzero(n_words)
-    size, filled, long = (np.concatenate([[0], np.cumsum(x)]) for x in (n_words, n_words > 0, n_words >= long_words))
+    at = np.flatnonzero(n_words)  # lines without words start and end no chunk
+    n, words = len(at), n_words[at]
+    own = tw.span_hash(prefix, start[at], end[at])
+    even = rolling(own) % 2 == 0
+    alone = tw.mix(own) % 2 == 0  # a chunk of one line has no other to go by
+    size, long = (np.concatenate([[0], np.cumsum(x)]) for x in (words, words >= long_words))
+    begin, after = np.searchsorted(at, first[doc[at]]), np.searchsorted(at, first[doc[at] + 1])  # of each line's text
+    here = np.arange(n)
     least = max(min_words, 1)
 
-    def until(total, more):  # the first line by which the total has grown by so much since before line ``at``
-        return np.searchsorted(total, total[at] + more) - 1
-
-    def since(total, more):  # the last line from which it grows by so much up to line ``at``
-        return np.searchsorted(total, total[at + 1] - more, "right") - 1
-
-    last = np.maximum(until(size, least), np.minimum(until(filled, 2), until(long, 1)))
-    head = np.minimum(since(size, least), np.maximum(since(filled, 2), since(long, 1)))
-    ahead, back = last < first[doc[at] + 1], head >= first[doc[at]]
-    both = np.unique(np.concatenate([at[ahead] * len(start) + last[ahead], head[back] * len(start) + at[back]]))
-    head, last = both // len(start), both % len(start)
-    number = np.arange(len(head)) - np.searchsorted(head, first[doc[head]])
-    stop = np.minimum(end[last] + 1, offsets[doc[last] + 1])
-    return (doc[head], start[head], stop, number, last - head + 1, tw.span_hash(prefix, start[head], end[last]))
+    def forward(total, more):  # the first line by which the total has grown by so much since before line ``here``
+        return np.searchsorted(total, total[here] + more) - 1
+
+    def back(total, more):  # the last line from which it grows by so much up to line ``here``
+        return np.searchsorted(total, total[here + 1] - more, "right") - 1
+
+    # chunks that run forward: from the least end to the first even window, the greatest size or the text's end
+    low = np.maximum(forward(size, least), np.minimum(here + 1, forward(long, 1)))
+    cut = _next(even)
+    found = np.where((low == here) & alone, here, cut[np.minimum(np.maximum(low, here + 1), n)])
+    last = np.minimum(found, np.minimum(np.maximum(forward(size, max_words), low), after - 1))
+    ahead = low < after
+    # chunks that run back, cut where a window starts that is odd
+    high = np.minimum(back(size, least), np.maximum(here - 1, back(long, 1)))
+    odd = np.append(~even[1:], False)
+    before = n - 1 - _next(odd[::-1])  # the last odd place up to n - 1 - index, or -1
+    found = np.where((high == here) & ~alone, here, before[np.clip(n - 1 - np.minimum(high, here - 1), 0, n)])
+    head = np.maximum(found, np.maximum(np.minimum(back(size, max_words), high), begin))
+    behind = high >= begin
+    a, b = np.concatenate([here[ahead], head[behind]]), np.concatenate([last[ahead], here[behind]])
+    both = np.unique(at[a] * len(start) + at[b])
+    a, b = both // len(start), both % len(start)
+    number = np.arange(len(a)) - np.searchsorted(a, first[doc[a]])
+    stop = np.minimum(end[b] + 1, offsets[doc[b] + 1])
+    return doc[a], start[a], stop, number, b - a + 1, tw.span_hash(prefix, start[a], end[b])
 
 
 _KEYS = T.StructType([T.StructField("doc_key", T.LongType()), T.StructField("text_key", T.LongType()),
@@ -155,6 +194,8 @@ def _remover(text_col: str, keep: list, options: dict):
                         parts, pos = [], a
                         for j in cut:
                             head, end = max(pos, int(start[j])), int(stop[j])
+                            if end <= head:
+                                continue  # inside one before it
                             parts.append(raw[pos:head])
                             removed += end - head
                             lines += int(np.searchsorted(line, end) - np.searchsorted(line, head))
@@ -177,7 +218,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """``docs`` with repeated chunks removed from the text, and ``n_lines`` (before), the removed
     lines and bytes and the number of removed chunks.
 
-    ``options``: long_words, min_words.
+    ``options``: long_words, min_words, max_words.
     """
     base = without(docs, *ADDED)
     # ids order the documents; rows of one id are told apart by their text, repeated rows are not

@@ -1,17 +1,58 @@
 import collections
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from castplan.llm import line_dedup as L
+from castplan.llm import textwords as tw
 
 
-def chunks_of(text):
+def hash_of(line):
+    data = np.frombuffer(line, np.uint8)
+    return int(tw.span_hash(tw.prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
+
+
+def mixed(x):
+    return int(tw.mix(np.array([x % 2 ** 64], np.uint64))[0])
+
+
+def chunks_of(text, long_words=32, least=10, most=50):
+    """The chunks by the rule as it is written, line by line: ``(number, first byte, end byte, bytes)``."""
     raw = text.encode()
-    data = np.frombuffer(raw, np.uint8)
-    _, start, stop, number, _, _ = L.chunk_table(data, np.array([0, len(data)]))
-    return [(int(n), int(a), int(b), raw[a:b].removesuffix(b"\n")) for n, a, b in zip(number, start, stop, strict=True)]
+    lines, pos = [], 0
+    for line in raw.split(b"\n"):
+        lines.append((pos, pos + len(line), line))
+        pos += len(line) + 1
+    if raw.endswith(b"\n") or not raw:
+        lines.pop()
+    filled = [(a, b, line, len(re.findall(rb"[^\x20\x09-\x0d]+", line))) for a, b, line in lines]
+    filled = [x for x in filled if x[3]]
+    step = 0xD1342543DE82EF95
+    spans = set()
+    for i in range(len(filled)):
+        for way in (1, -1):
+            j, chunk = i, [filled[i]]
+            while True:
+                words = sum(x[3] for x in chunk)
+                enough = words >= least and (len(chunk) > 1 or chunk[0][3] >= long_words or False)
+                enough = enough or words >= least and any(x[3] >= long_words for x in chunk)
+                if enough:
+                    if len(chunk) == 1:
+                        even = mixed(hash_of(chunk[0][2])) % 2 == 0
+                    else:
+                        p, q = chunk[-2:] if way > 0 else chunk[:2]
+                        even = mixed(hash_of(q[2]) + hash_of(p[2]) * step) % 2 == 0
+                    if even == (way > 0) or words >= most:
+                        break
+                j += way
+                if not 0 <= j < len(filled):
+                    break
+                chunk = [*chunk, filled[j]] if way > 0 else [filled[j], *chunk]
+            if enough:
+                spans.add((chunk[0][0], chunk[-1][1]))
+    return [(n, a, min(b + 1, len(raw)), raw[a:b]) for n, (a, b) in enumerate(sorted(spans))]
 
 
 def brute(rows):
@@ -28,8 +69,9 @@ def brute(rows):
     for d, t in rows:
         raw, pos, parts = t.encode(), 0, []
         for a, b in sorted(cut[d]):
-            parts.append(raw[pos:a])
-            pos = b
+            if b > pos:
+                parts.append(raw[pos:max(a, pos)])
+                pos = b
         out[d] = (b"".join([*parts, raw[pos:]]).decode(), len(cut[d]))
     return out
 
@@ -51,6 +93,36 @@ def test_against_brute_force(spark):
         assert got[d].text.rstrip("\n") == text.rstrip("\n") and got[d].n_removed_chunks == n
 
 
+def test_chunk_table_is_the_rule_as_written():
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = ["\n".join(rng.choice(["", " ", "a", "one two three", "x " * rng.randrange(1, 60)]) + str(rng.randrange(9)) * rng.randrange(2)
+                           for _ in range(rng.randrange(0, 14))) + rng.choice(["", "\n"]) for _ in range(3)]
+        raw = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        doc, start, stop, number, _, _ = L.chunk_table(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        for d, t in enumerate(texts):
+            own = doc == d
+            assert list(zip(number[own], start[own] - offsets[d], stop[own] - offsets[d], strict=True)) == [(n, a, b) for n, a, b, _ in chunks_of(t)], t
+
+
+def test_boundaries_are_shift_resistant():
+    """The chunks inside a passage don't change with the lines around it, and most chunks end at a boundary."""
+    rng = random.Random(10)
+    passage = [" ".join(f"p{i}w{j}" for j in range(rng.choice([4, 9, 14]))) for i in range(40)]
+    inside = []
+    for shift in range(6):
+        around = [" ".join(f"s{shift}x{i}y{j}" for j in range(7)) for i in range(shift)]
+        text = "\n".join([*around, *passage, *around])
+        body = "\n".join(passage)
+        lo = text.index(body)
+        inside.append({c[3] for c in chunks_of(text) if lo <= c[1] and c[2] <= lo + len(body) + 1})
+    common = set.intersection(*inside)
+    assert len(common) > 60 and all(len(x - common) <= 8 for x in inside)
+    words = [len(c.split()) for c in common]
+    assert sum(w < 50 for w in words) > 0.8 * len(words) and len({c.count(b"\n") for c in common}) > 2
+
+
 def test_long_repeated_line_is_removed_once_kept(spark):
     passage = " ".join(f"p{i}" for i in range(55))
     rows = [(d, f"intro {d} text\n{passage}\nouttro {d} words") for d in range(6)] + [(9, passage)]
