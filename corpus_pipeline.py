@@ -5,7 +5,8 @@ keeps, in the columns of ``documents`` except for the last.  ``run`` writes ever
 under ``spark.checkpoint.dir`` and reads it back as the next one's documents.
 
 A document that the quality classifier rejects goes.  Line dedup removes repeated chunks from texts,
-and with them documents of which nothing but white space is left.  Of every near-duplicate group the
+and with them documents of which less than two fifths is left (``LEFT``): what an exact or near copy has of
+its own is no document, and too little for the next stage to know the original by.  Of every near-duplicate group the
 document of least id stays (five-word shingles, similarity 0.8).  Documents that hold a benchmark
 window go.  Packing gives one row per piece of every document left.
 
@@ -23,6 +24,10 @@ from castplan.llm import bbit_minhash, decontamination, length_packing, line_ded
 from castplan.llm.shared import materialize
 
 
+#: Least share of a text's bytes that must be left when repeated chunks are removed.
+LEFT = 0.4
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_qda.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -32,7 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_removed_chunks") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    left = F.col("text").rlike(r"\S")
+    size = F.octet_length("text")
+    left = F.col("text").rlike(r"\S") & (size > LEFT * (size + F.col("n_removed_bytes")))
     return out.where((F.col("n_removed_chunks") == 0) | left).select(docs.columns)
 
 

@@ -13,7 +13,7 @@ def test_run_equals_brute_force(spark):
     good = {r.doc_id for r in quality_qda.score(docs, labels, keep=["doc_id"]).where("predicted = 1").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
     cut = brute_lines(rows)
-    rows = [(d, cut[d][0]) for d, _ in rows if not cut[d][1] or cut[d][0].strip()]
+    rows = [(d, cut[d][0]) for d, t in rows if not cut[d][1] or cut[d][0].strip() and len(cut[d][0].encode()) > 0.4 * len(t.encode())]
     group = brute_near(rows, 5, 80)
     rows = [(d, t) for d, t in rows if group[d][1] == d]
     hits = {d: n for d, _, n, _ in brute_benchmark(rows, [(r.item_id, r.text) for r in bench.collect()])}
@@ -46,3 +46,19 @@ def test_of_planted_copies_one_document_stays(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
     alone, out = ({(r.doc_id, r.n_tokens) for r in P.run(spark, d).collect()} for d in (SF, str(tmp_path)))
     assert out == alone and len(alone) > 50
+
+
+def test_of_planted_near_copies_one_document_stays(spark, tmp_path):
+    """Copies with one line changed: what is left of them without the original's lines goes too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = [r for r in docs.collect() if r.text and 8 <= len(r.text.split("\n")) and len(r.text.split()) > 120]
+    copies = []
+    for r in whole[:40]:
+        lines = r.text.split("\n")
+        lines[3] = "a line of other words stands here in this copy alone, number " + str(r.doc_id)
+        copies.append((r.doc_id + 1_000_000, "\n".join(lines), r.lang, r.source, r.n_chars))
+    docs.unionByName(spark.createDataFrame(copies, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    out = {r.doc_id for r in P.run(spark, str(tmp_path)).collect()}
+    assert len(whole) >= 20 and len({d for d in out if d >= 1_000_000}) <= 0.05 * len(copies) and len(out) > 50
