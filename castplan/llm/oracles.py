@@ -15,16 +15,17 @@ ORACLE_SQL = {
 WITH bare AS (SELECT page_id, url, {_number("coalesce(url, '')", 720)} AS fetched_on,
               lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')) AS b FROM pages),
 part AS (SELECT row_number() OVER () AS r, *, nullif(regexp_replace(split_part(b, '/', 1), '(^.*@)|(:[0-9]*$)', '', 'g'), '') AS host,
-         regexp_replace(regexp_extract(b, '^[^/]*(/.*)?$', 1), '/+$', '') AS path FROM bare),
-cap AS (SELECT r, page_id, url, fetched_on, host, CASE WHEN path <> '' THEN host || path END AS k1,
-        CASE WHEN regexp_extract(path, '^(/[^/]+)/', 1) <> '' THEN host || regexp_extract(path, '^(/[^/]+)/', 1) || '/' END AS k2, host AS k3,
-        CASE WHEN len(string_split(host, '.')) > 3 THEN array_to_string(string_split(host, '.')[-3:], '.') END AS k4,
-        CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') END AS k5 FROM part),
-look AS (SELECT r, fetched_on, 1 AS rank, k1 AS pattern FROM cap UNION ALL SELECT r, fetched_on, 2, k2 FROM cap UNION ALL
-         SELECT r, fetched_on, 3, k3 FROM cap UNION ALL SELECT r, fetched_on, 4, k4 FROM cap UNION ALL SELECT r, fetched_on, 5, k5 FROM cap),
-pat AS (SELECT DISTINCT pattern FROM look WHERE pattern IS NOT NULL AND {_number("'in' || pattern", 3)} > 0),
-step AS (SELECT pattern, ['allow', 'adult', 'phishing', 'spam'][{_number("'list' || pattern", 4)} + 1] AS list_name,
-         {_number("'start' || pattern", 500)} AS d1, 30 + {_number("'gone' || pattern", 200)} AS d2, {_number("'again' || pattern", 90)} AS d3 FROM pat),
+         regexp_extract(b, '^[^/]*(/.*)?$', 1) AS path FROM bare),
+cap AS (SELECT r, page_id, url, fetched_on, host, string_split(host, '.') AS l, string_split(path, '/') AS f, regexp_replace(path, '/+$', '') AS page FROM part),
+keys AS (SELECT r, fetched_on, list_concat(CASE WHEN page <> '' THEN [host || page] ELSE [] END,
+                list_transform(generate_series(len(f) - 1, 2, -1), lambda i: host || array_to_string(f[1:i], '/') || '/'),
+                [host], list_transform(generate_series(2, len(l) - 1), lambda i: array_to_string(l[i:], '.'))) AS k
+         FROM cap WHERE host IS NOT NULL),
+look AS (SELECT r, fetched_on, unnest(generate_series(1, len(k))) AS rank, unnest(k) AS pattern FROM keys),
+pat AS (SELECT DISTINCT pattern FROM look WHERE {_number("'in' || pattern", 3)} > 0),
+seed AS (SELECT pattern, pattern AS s, 0 AS second FROM pat UNION ALL SELECT pattern, pattern || '#2', 1 FROM pat WHERE {_number("'two' || pattern", 3)} = 0),
+step AS (SELECT pattern, ['allow', 'adult', 'phishing', 'spam'][({_number("'list' || pattern", 4)} + second) % 4 + 1] AS list_name,
+         {_number("'start' || s", 500)} AS d1, 30 + {_number("'gone' || s", 200)} AS d2, {_number("'again' || s", 90)} AS d3 FROM seed),
 -- listed again on the day of the removal: the removal is that day's last word
 span AS (SELECT pattern, list_name, d1 AS valid_from, d1 + d2 AS valid_to FROM step
          UNION ALL SELECT pattern, list_name, d1 + d2 + d3, NULL FROM step WHERE d3 > 0),

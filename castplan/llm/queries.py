@@ -49,18 +49,20 @@ def url_captures(pages: DataFrame) -> DataFrame:
 
 
 def url_changes(pages: DataFrame) -> DataFrame:
-    """Dated list changes over the patterns that occur in ``pages``: two thirds of them are listed,
-    later removed, and listed again; one list in four allows."""
-    keys = url_temporal.url_keys(F.col("url"))
-    patterns = (pages.select(F.explode(F.array(keys["section_key"], keys["host"], keys["domain3"], keys["domain2"], keys["url_key"])).alias("pattern"))
-                .where("pattern IS NOT NULL").distinct())
+    """Dated list changes over all patterns that cover a URL of ``pages``: two thirds of them are listed,
+    later removed, and listed again; one list in four allows, and a third of the patterns stand on two lists."""
+    patterns = pages.select(F.explode(url_temporal.url_keys(F.col("url"))).alias("pattern")).distinct()
     patterns = patterns.where(_number(F.concat(F.lit("in"), "pattern"), 3) > 0)
-    start = _number(F.concat(F.lit("start"), "pattern"), 500)
-    gone = start + 30 + _number(F.concat(F.lit("gone"), "pattern"), 200)
-    again = gone + _number(F.concat(F.lit("again"), "pattern"), 90)
-    name = F.element_at(F.array(*[F.lit(x) for x in ("allow", "adult", "phishing", "spam")]), (_number(F.concat(F.lit("list"), "pattern"), 4) + 1).cast("int"))
+    # the second list has a pattern's text with a mark in its dates
+    seed = F.explode(F.when(_number(F.concat(F.lit("two"), "pattern"), 3) == 0, F.array("pattern", F.concat("pattern", F.lit("#2")))).otherwise(F.array("pattern")))
+    entries = patterns.select("pattern", seed.alias("seed"))
+    start = _number(F.concat(F.lit("start"), "seed"), 500)
+    gone = start + 30 + _number(F.concat(F.lit("gone"), "seed"), 200)
+    again = gone + _number(F.concat(F.lit("again"), "seed"), 90)
+    place = (_number(F.concat(F.lit("list"), "pattern"), 4) + F.when(F.col("seed") == F.col("pattern"), 0).otherwise(1)) % 4
+    name = F.element_at(F.array(*[F.lit(x) for x in ("allow", "adult", "phishing", "spam")]), (place + 1).cast("int"))
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), d.alias("day")) for a, d in (("add", start), ("remove", gone), ("add", again))]))
-    return patterns.select(name.alias("list_name"), "pattern", steps.alias("s")).select("list_name", "pattern", "s.action", "s.day")
+    return entries.select(name.alias("list_name"), "pattern", steps.alias("s")).select("list_name", "pattern", "s.action", "s.day")
 
 
 def op4_url_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,27 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def join_unique(left: DataFrame, right: DataFrame, on: list, how: str = "left", share: int = 1000) -> DataFrame:
+    """Join ``left`` (inner or left) to ``right``, which has one row per value of ``on``, whatever the skew of ``left``.
+
+    Values that hold more than 1/``share`` of the rows are fewer than ``share``; their rows of ``right`` are
+    broadcast.  The other rows are shuffled, none of which has a hot value.  A null value matches
+    nothing and isn't shuffled.
+    """
+    present = F.lit(True)
+    for c in on:
+        present = present & F.col(c).isNotNull()
+    known = left.where(present)
+    counts = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_count"))
+    total = known.count()
+    hot = materialize(counts.where(F.col("_count") * share > total).select(*on, F.lit(True).alias("_hot")), "hot")
+    marked = known.join(F.broadcast(hot), on, "left")
+    some = right.join(F.broadcast(hot.drop("_hot")), on, "left_semi")
+    out = marked.where("_hot").drop("_hot").join(F.broadcast(some), on, how)
+    out = out.unionByName(marked.where("_hot IS NULL").drop("_hot").join(right, on, how))
+    return out if how == "inner" else out.unionByName(left.where(~present), allowMissingColumns=True)
+
+
 def slices_for(rows: int, per_slice: int = 100_000) -> int:
     return max(1, -(-rows // per_slice))
 
