@@ -1,9 +1,11 @@
 """Benchmark decontamination: a broadcast set of test n-grams scans every training text.
 
 The benchmark's windows (``window`` consecutive words; a shorter item is one window) become a
-hash set that is broadcast in blocks of bounded size.  Each text is tokenised once per block,
+hash set that is broadcast in blocks of bounded size: of at most 16 MB of distinct texts and ids, in arrays of
+about five times that.  Each text is tokenised once per block,
 its windows are looked up by hash and every hit is verified word by word, byte by byte.  Rows
-never move: the scan is one narrow pass per block.
+never move: the scan is one narrow pass per block.  A task holds the blocks of all passes at once, one Python
+worker each, so a benchmark of several hundred MB wants larger executors.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words is
 ignored; repeated items and repeated rows are handled row by row; an empty benchmark hits
@@ -13,8 +15,6 @@ the added ones are replaced.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,47 +22,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castplan.llm import textwords as tw
-from castplan.llm.shared import text_chunks, without
+from castplan.llm.shared import materialize, text_chunks, without
 
 #: Documented bound on the benchmark bytes held by one broadcast block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 SCAN_FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_SPAN)),
                T.StructField("hit_items", T.ArrayType(T.StringType()))]
 
 
 class WindowSet:
-    """The windows of one block of benchmark items, as sorted arrays."""
+    """The windows of one block of benchmark texts, as sorted arrays: about 30 bytes a word.
+
+    ``items``: ``(item ids, text)``.  A window is kept as the place of its first word in the texts' words.
+    """
 
     def __init__(self, items: list, window: int):
-        vocab: dict = {}
-        windows: dict = {}
-        for item_id, text in items:
-            data = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-            starts, ends, _ = tw.words(data, np.array([0, len(data)]), tw.ALNUM_WORDS)
-            low = tw.ALNUM_WORDS[1][data].tobytes()
-            ids = [vocab.setdefault(low[s:e], len(vocab)) for s, e in zip(starts, ends, strict=True)]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                owners = windows.setdefault(tuple(ids[i:i + size]), set())
-                if item_id is not None:
-                    owners.add(str(item_id))
-        spelled = list(vocab)
-        joined = np.frombuffer(b"".join(spelled), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(w) for w in spelled])]).astype(np.int64)
-        hashes = tw.span_hash(tw.prefix_hash(joined), offsets[:-1], offsets[1:])
-        order = np.argsort(hashes, kind="stable")
-        self.word_hash, self.word_id = hashes[order], order
-        self.letters, self.offsets = joined, offsets
+        raw = [(text or "").encode("utf-8") for _, text in items]
+        self.owners = [sorted({str(i) for i in ids if i is not None}) for ids, _ in items]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        del raw
+        starts, ends, first = tw.words(data, offsets, tw.ALNUM_WORDS)
+        low = tw.ALNUM_WORDS[1][data]
+        hashes = tw.span_hash(tw.prefix_hash(low), starts, ends)
+        # the distinct words, spelled by their first occurrence
+        self.word_hash, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        self.word_id = np.arange(len(at))
+        n = ends[at] - starts[at]
+        self.offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        self.letters = low[np.repeat(starts[at] - self.offsets[:-1], n) + np.arange(self.offsets[-1])]
+        self.ids = ids.astype(np.int32)
+        text_of = np.searchsorted(first, np.arange(len(hashes)), "right") - 1
+        words = np.diff(first)
         self.lengths = []
-        for size in sorted({len(w) for w in windows}):
-            own = [w for w in windows if len(w) == size]
-            grams = np.array(own, np.int64)
-            flat = tw.ngrams(hashes[grams.ravel()], size)[::size]
-            by = np.argsort(flat, kind="stable")
+        for size in np.unique(np.minimum(words[words > 0], window)).tolist():
+            rolled = tw.ngrams(hashes, size)
+            place = np.arange(len(rolled))
+            left = first[text_of[:len(rolled)] + 1] - place  # words from here to the text's end
+            whole = left >= size if size == window else (left == size) & (words[text_of[:len(rolled)]] == size)
+            place = place[whole].astype(np.int32)
+            keys, where, slot = np.unique(rolled[place], return_index=True, return_inverse=True)
+            # the texts of every window, as runs
+            by = np.argsort(slot, kind="stable")
+            runs = np.searchsorted(slot[by], np.arange(len(keys) + 1))
             few = np.zeros(1 << 20, bool)
-            few[flat & np.uint64((1 << 20) - 1)] = True
-            self.lengths.append((size, flat[by], grams[by], [sorted(windows[own[j]]) for j in by], few))
+            few[keys & np.uint64((1 << 20) - 1)] = True
+            self.lengths.append((size, keys, place[where], (runs, text_of[place[by]].astype(np.int32)), few))
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
         """``(first word of each text, hit flag of each word, [(text, owners), ...], starts, ends)``."""
@@ -70,7 +76,7 @@ class WindowSet:
         edges = np.zeros(len(hashes) + 1, np.int64)
         found = []
         low = None
-        for size, keys, grams, owners, few in self.lengths:
+        for size, keys, place, owners, few in self.lengths:
             rolled = tw.ngrams(hashes, size)
             at = np.flatnonzero(few[rolled & np.uint64((1 << 20) - 1)])
             if not len(at):
@@ -84,19 +90,21 @@ class WindowSet:
                 continue
             if low is None:
                 low = tw.ALNUM_WORDS[1][data]
-            ok = self._verified(low, starts, ends, at, slot, size, grams)
+            ok = self._verified(low, starts, ends, at, slot, size, place)
             at, slot, doc = at[ok], slot[ok], doc[ok]
             np.add.at(edges, at, 1)
             np.add.at(edges, at + size, -1)
-            pairs = np.unique(doc * len(keys) + slot)
-            found += [(int(p // len(keys)), owners[int(p % len(keys))]) for p in pairs]
+            runs, texts = owners
+            for p in np.unique(doc * len(keys) + slot).tolist():
+                k = p % len(keys)
+                found.append((p // len(keys), {i for t in np.unique(texts[runs[k]:runs[k + 1]]).tolist() for i in self.owners[t]}))
         return first, np.cumsum(edges[:-1]) > 0, found
 
-    def _verified(self, low, starts, ends, at, slot, size, grams) -> np.ndarray:
+    def _verified(self, low, starts, ends, at, slot, size, places) -> np.ndarray:
         """Whether each hit has the same words, byte for byte."""
         used, back = np.unique((at[:, None] + np.arange(size)).ravel(), return_inverse=True)
         n = ends[used] - starts[used]
-        want = grams[slot].ravel()
+        want = self.ids[(places[slot][:, None] + np.arange(size)).ravel()]
         # every distinct text word against the benchmark word that its hash names
         place = np.searchsorted(self.word_hash, self._rehash(low, starts[used], ends[used]))
         place[place == len(self.word_hash)] = 0
@@ -115,15 +123,21 @@ class WindowSet:
 
 
 def benchmark_blocks(bench: DataFrame, window: int, text_col: str, id_col: str, block_bytes: int) -> list:
-    """The benchmark as broadcast window sets of at most about ``block_bytes`` of text each."""
+    """The benchmark as broadcast window sets of at most about ``block_bytes`` of texts and ids each.
+
+    Equal texts are one text with several ids, so that a repeated item fills no block.  A block is read
+    by the driver on its own and dropped there when it is broadcast.
+    """
     spark = bench.sparkSession
-    total = bench.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    ids = F.collect_set(F.col(id_col).cast("string")).alias("ids")
+    texts = materialize(bench.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(ids), "benchmark")
+    size = F.octet_length("text") + F.aggregate("ids", F.lit(0), lambda a, i: a + F.octet_length(i))
+    total = texts.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-2 * int(total) // block_bytes)) if total > block_bytes else 1
-    own = bench.select(F.col(id_col), F.col(text_col))
     blocks = []
     for k in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64(text_col), F.lit(n)) == k)
-        blocks.append(spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], window)))
+        part = texts if n == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        blocks.append(spark.sparkContext.broadcast(WindowSet([(r["ids"], r["text"]) for r in part.select("ids", "text").collect()], window)))
     return blocks
 
 
@@ -206,7 +220,3 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
             yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(texts, pa.string()))
 
     return found.mapInArrow(cut, T.StructType(fields)).select(names)
-
-
-def items_digest(items: list) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
