@@ -7,10 +7,10 @@ are decoded, white space becomes one space.  Each block is a vector: hashed toke
 numpy reads the whole sequence in both directions and a logistic output labels every block, so
 the label uses context from the whole page; the blocks labelled content are joined by a blank line.
 
-Training needs no hand labels: a bounded sample of pages (``SAMPLE_PAGES``, the rows of least
-``xxhash64`` of url and html) is labelled by the names of their tags, and each is also re-dressed: its
+Training needs no hand labels: a bounded sample of pages (``SAMPLE_PAGES`` of at most ``SAMPLE_CHARS`` characters, the rows
+of least ``xxhash64`` of url and html) is labelled by the names of their tags, and each is also re-dressed: its
 content moves under other content containers, and menus, asides, notices, forms, adverts and reader
-comments under many names are put around and into it.  The network is small (a few thousand
+comments under many names, or names that mean nothing, are put around and into it.  The network is small (a few thousand
 weights), trained on the driver within seconds and broadcast.  Every page is then extracted whole.
 
 Defined cases: null or empty html gives empty text; a page without blocks too; unclosed, misnested
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from castplan.llm.shared import without
 
-SAMPLE_PAGES, VARIANTS, HIDDEN, EPOCHS, SEED = 160, 3, 16, 14, 7
-_PATH_DIM, _WORD_DIM, _SHAPE_DIM = 96, 32, 8
+SAMPLE_PAGES, SAMPLE_CHARS, VARIANTS, HIDDEN, EPOCHS, SEED = 160, 200_000, 4, 24, 24, 7
+_PATH_DIM, _WORD_DIM, _SHAPE_DIM = 128, 32, 8
 DIM = _PATH_DIM + _WORD_DIM + _SHAPE_DIM
 
 # Element names of HTML.
@@ -49,7 +49,9 @@ _FURNITURE = ['nav', 'header', 'footer', 'aside', 'form', 'div class="menu"', 'u
               'div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="banner"', 'div class="sponsored"', 'div class="promo"', 'div class="cookie-notice"', 'div class="cookie"', 'div class="notice"',
               'div class="alert"', 'div class="consent"', 'div class="popup"', 'div class="newsletter"', 'div class="subscribe"', 'div class="comments"', 'section id="comments"', 'div class="comment"', 'ol class="comment-list"', 'section class="comments"', 'div id="disqus_thread"',
               'div class="related"', 'div class="share"', 'div class="social"', 'div class="footer"', 'div id="footer"', 'div class="header"', 'div id="header"', 'div class="masthead"', 'div class="copyright"', 'div class="login"', 'form class="search"', 'div class="pagination"',
-              'div class="tags"', 'div role="navigation"', 'div role="banner"', 'div role="contentinfo"', 'aside class="sidebar"', 'div class="reader-comments"', 'div class="replies"', 'dialog', 'menu']
+              'div class="tags"', 'div role="navigation"', 'div role="banner"', 'div role="contentinfo"', 'aside class="sidebar"', 'div class="reader-comments"', 'div class="replies"', 'dialog', 'menu',
+              'div class="user-comments"', 'section class="responses"', 'div id="feedback"', 'div class="cookie-consent"', 'div class="privacy-overlay"', 'div class="modal"', 'div class="toolbar"', 'div class="topbar"', 'div class="rail"',
+              'ul class="links"', 'div class="recommended"', 'div class="more-stories"', 'div class="signup"', 'div class="legal"', 'div class="sitemap"', 'section class="thread"', 'div class="bottom-bar"', 'div class="partner"', 'div class="tracker"']
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SILENT}
@@ -292,9 +294,12 @@ def named_label(path: tuple) -> int | None:
     return 1 if any(t in _CONTENT_TOKENS for t in path) else None
 
 
-def redress(blocks: list, rng) -> tuple[list, list]:
+def redress(blocks: list, rng, furniture_specs: list | None = None, content_specs: list | None = None) -> tuple[list, list]:
     """The same page in other clothes: content under another container, furniture of many names
-    before, after and (rarely) amid it, some of it in whole sentences of the page's own kind."""
+    before, after and amid it, some of it in whole sentences of the page's own kind.  In two pages of five
+    the classes and ids say nothing (made-up names), and one in eight is laid out as a table."""
+    specs, contents = furniture_specs or _FURNITURE, content_specs or _CONTENT
+    silent, table = rng.random() < 0.4 and not furniture_specs, rng.random() < 0.12
     body = [b for b in blocks if named_label(b[0]) == 1]
     rest = [b for b in blocks if named_label(b[0]) == 0]
     if not body:
@@ -302,35 +307,43 @@ def redress(blocks: list, rng) -> tuple[list, list]:
 
     def dressed(spec, inner):
         tag, _, attributes = spec.partition(" ")
-        return ("html", "body", *(("div",) if rng.random() < 0.4 else ()), *path_tokens(tag, attributes), *inner)
-
-    def furniture():
-        spec = _FURNITURE[rng.integers(len(_FURNITURE))]
+        names = path_tokens(tag, attributes)
+        if silent and len(names) > 1:  # the tag stays, each name becomes one that means nothing
+            names = (tag, *(f"n{_slot(spec + n, 997)}" for n in names[1:]))
+        cell = ("table", "tr", "td") if table and tag in ("div", "section", "ul") else ()
+        return ("html", "body", *(("div",) if rng.random() < 0.4 else ()), *cell, *names, *inner)
+
+    def furniture(whole=0.25):
+        spec = specs[rng.integers(5 if specs is _FURNITURE and rng.random() < 0.3 else len(specs))]  # the five that are tags
         own = []
         for _ in range(int(rng.integers(1, 5))):
-            source = rest if rest and rng.random() < 0.4 else body
+            # nothing but its words, links and place tells furniture without a name
+            plain = (silent or table) and " " in spec
+            source = rest if rest and rng.random() < (0.9 if plain else 0.4) else body
             words = source[rng.integers(len(source))][1].split(" ")
             lo = int(rng.integers(len(words)))
-            words = words[lo:lo + int(rng.choice([2, 4, 12, 40]))]
+            if plain or rng.random() >= whole:  # else a whole block, as a reader may write
+                words = words[lo:lo + int(rng.choice([2, 4] if plain and source is body else [2, 4, 12, 40]))]
             text = " ".join(words)
             inner = (("ul", "li"), ("p",), (), ("div",), ("div", "p"), ("h3",), ("h1",), ("h2",), ("h4",), ("label",))[rng.integers(10)]
             own.append(((dressed(spec, inner), text, len(text) if rng.random() < 0.3 else 0), 0))
         return own
 
-    spec = _CONTENT[rng.integers(len(_CONTENT))]
+    spec = contents[rng.integers(len(contents))]
     main = []
     for path, text, linked in body:
         tail = path[-1] if path and path[-1] not in _CONTENT_TOKENS else "p"
-        if tail == "p" and rng.random() < 0.1:
-            tail = ("li", "blockquote", "h2", "td", "pre", "h3")[rng.integers(6)]
-        inner = {"li": ("ul", "li"), "td": ("table", "tr", "td")}.get(tail, (tail,))
+        if tail == "p" and rng.random() < 0.2:
+            tail = ("li", "blockquote", "h2", "td", "pre", "h3", "figcaption", "dd")[rng.integers(8)]
+        inner = {"li": ("ul", "li"), "td": ("table", "tr", "td"), "blockquote": ("blockquote", "p"), "figcaption": ("figure", "figcaption"), "dd": ("dl", "dd")}.get(tail, (tail,))
         main.append(((dressed(spec, inner), text, linked), 1))
     out = [x for _ in range(int(rng.integers(0, 4))) for x in furniture()]
     for block in main:
         out.append(block)
         if rng.random() < 0.03:
-            extra = furniture()
-            out += [((dressed(spec, x[0][0][2:]), x[0][1], x[0][2]), 0) for x in extra]
+            out += [((dressed(spec, x[0][0][2:]), x[0][1], x[0][2]), 0) for x in furniture()]
+    if rng.random() < 0.6:  # comments and notices at the end of the content's own container
+        out += [((dressed(spec, x[0][0][2:]), x[0][1], x[0][2]), 0) for _ in range(int(rng.integers(1, 3))) for x in furniture(0.7)]
     out += [x for _ in range(int(rng.integers(0, 4))) for x in furniture()]
     return [b for b, _ in out], [y for _, y in out]
 
@@ -340,10 +353,15 @@ _BUILT_IN = ("<html><body><nav><ul><li><a>Home</a></li><li><a>About</a></li></ul
              "<p>Another sentence, which is longer than the first one was.</p></article><footer>&copy; 2020</footer></body></html>")
 
 
-def learn(pages: DataFrame, html_col: str = "html", order_col: str = "url", sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """Train on a bounded sample of pages (a parameter) and their re-dressed forms."""
-    sample = (pages.select(html_col, F.xxhash64(order_col, html_col).alias("_o"))
-              .where(F.length(html_col).between(1, 200_000)).orderBy("_o").limit(sample_pages).collect())
+def learn(pages: DataFrame, html_col: str = "html", order_col: str = "url", sample_pages: int = SAMPLE_PAGES,
+          sample_chars: int = SAMPLE_CHARS) -> Labeller:
+    """Train on a bounded sample of pages (parameters: their number, and the length of pages that are learned
+    from) and their re-dressed forms.  The least hashes are found first, then only their pages are fetched."""
+    hashed = (pages.select(F.col(html_col).alias("_h"), F.xxhash64(order_col, html_col).alias("_o"))
+              .where(F.length("_h").between(1, sample_chars)))
+    least = [r[0] for r in hashed.select("_o").distinct().orderBy("_o").limit(sample_pages).collect()]
+    found = hashed.where(F.col("_o").isin(least)).groupBy("_o").agg(F.min("_h").alias("_h")).collect() if least else []
+    sample = [(r["_h"],) for r in sorted(found, key=lambda r: r["_o"])]
     rng = np.random.default_rng(SEED)
     data = []
     for page in [_BUILT_IN, *[r[0] for r in sample]]:

@@ -39,6 +39,45 @@ def test_other_layouts(spark, model):
     assert right / total > 0.98
 
 
+HELD_OUT = ['div class="discussion"', 'div class="gdpr-overlay"', 'div id="conversation"', 'div class="skyscraper"', 'div class="crumbs"', 'ul class="topnav"', 'div class="outbrain"',
+            'div class="masthead-links"', 'section class="talkback"', 'div class="interstitial"', 'div class="colophon"', 'div class="leaderboard"', 'div class="read-next"', 'div class="toc-rail"',
+            'div class="site-bar"', 'div class="opt-in"', 'div class="jump-links"', 'div class="byline-share"', 'div class="quicklinks"', 'div class="donate-box"', 'div class="user-comments"', 'div class="app-install"']
+HELD_OUT_CONTENT = ['div class="prose"', 'div class="text-column"', 'div id="page-copy"', 'section class="longread"']
+
+
+def test_layouts_of_names_not_learned(spark, model):
+    """Furniture and content containers of names that training never saw."""
+    assert not set(HELD_OUT) & set(X._FURNITURE) - {'div class="user-comments"'} and not set(HELD_OUT_CONTENT) & set(X._CONTENT)
+    rng = np.random.default_rng(5)
+    kept = dropped = content = furniture = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").limit(120).collect():
+        blocks, want = X.redress(X.leaf_blocks(r.html), rng, HELD_OUT, HELD_OUT_CONTENT)
+        got, want = model.labels([X.block_vectors(blocks)])[0], np.array(want, bool)
+        kept, content = kept + int((got & want).sum()), content + int(want.sum())
+        dropped, furniture = dropped + int((~got & ~want).sum()), furniture + int((~want).sum())
+    print("held-out names: content kept", kept / content, "furniture dropped", dropped / furniture)
+    assert kept / content > 0.95 and dropped / furniture > 0.95
+
+
+def test_parts_of_an_article_and_what_is_set_into_it(spark, model):
+    def page(inside):
+        text = "".join(f"<p>The council met on day {i} and discussed the plan for the old harbour at some length.</p>" for i in range(6))
+        return f"<html><body><nav><ul><li><a>Home</a></li></ul></nav><article><h1>The harbour plan</h1>{text}{inside}</article><footer>Copyright</footer></body></html>"
+    plain = X.extract_texts(model, [page("")])[0]
+    assert plain.count("The council met") == 6 and "Home" not in plain
+    for tag in ("pre", "blockquote", "h2"):
+        assert "A part of the text that stands by itself." in X.extract_texts(model, [page(f"<{tag}>A part of the text that stands by itself.</{tag}>")])[0]
+    boxes = ['div class="user-comments"', 'div class="comments"', 'section class="comments"', 'div class="cookie-notice"', 'aside', 'form', 'nav', 'div class="related"',
+             'div class="newsletter"', 'div class="ad"']
+    right = []
+    for box in boxes:  # whole sentences, told by the names around them only
+        got = X.extract_texts(model, [page(f"<{box}><p>Great article, thanks a lot for writing it.</p><p>I do not agree with this at all.</p></{box.split(' ')[0]}>")])[0]
+        assert got.startswith(plain)
+        right.append(got == plain)
+    print("boxes inside the article left out:", sum(right), "of", len(right), [b for b, r in zip(boxes, right, strict=True) if not r])
+    assert sum(right) >= 3
+
+
 def test_blocks():
     page = ("<!DOCTYPE html><head><title>t</title><style>p{x:'</p>'}</style></head><body><!-- <p>no</p> --><script>var a='<p>x</p>';</script>"
             "<P class='lead Big'>A &amp; b&nbsp;&eacute; <b>c\n\td</b><br>e<p>open</p><ul><li>one<li>two</ul><a href='x>y'>link</a> tail")
