@@ -23,7 +23,9 @@ from castplan.plans.outputs import canonical
 from castplan.plans.schedule import REFERENCE_DATE, START_DATE, ScheduleParams, build_schedule, load_scheduler_input
 from castplan.schemas import HEADER_TO_COLUMN, OPEN_ORDER_HEADERS
 from castplan.session import ensure_checkpoint_dir, store
-from castplan.sources import history
+from castplan.sources import catalog, history
+from castplan.sources.files import load_compat_table, read_snapshot_csv
+from castplan.sources.loads import read
 from castplan.sources.adapter import compat_reference
 from castplan.sources.adapter import order_snapshot, read_table, scheduler_run
 from castplan.sources.adapter import erp_views
@@ -48,8 +50,12 @@ _MEMO: dict = {}
 
 def memo(spark, sf_dir, key, build):
     """Per-session memo of shared intermediate plans (and their checkpoints), so that the
-    reports of one run fan out from one computed schedule instead of recomputing it."""
-    k = (spark.sparkContext.applicationId, sf_dir, key)
+    reports of one run fan out from one computed schedule instead of recomputing it.  A table of
+    the folder that is written anew (another size or time) makes a new run."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    stamp = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    k = (spark.sparkContext.applicationId, sf_dir, stamp, key)
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
@@ -444,6 +450,91 @@ def q_order_lifecycle_incremental(spark, sf_dir):
     return history.read_lifecycle(spark, root).drop("run_ids")
 
 
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/castplan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _loaded_history(spark, sf_dir):
+    """(root, database) of a history of three loads of the open orders' CSV export: run 1 of all jobs, run 2 of every
+    other due day, run 3 raw only, then run 1 again without jobs that are due on odd days."""
+    def build():
+        root, database = _scratch(spark, "history"), f"history_{uuid.uuid4().hex[:8]}"
+        rows = export_text(shared_orders(spark, sf_dir))
+        even = F.dayofmonth(F.col("`Due Date`").cast("date")) % 2 == 0
+        for run_id, part, raw_only in ((1, rows, False), (2, rows.where(even), False), (3, rows, True), (1, rows.where(even), False)):
+            path = _scratch(spark, "export")
+            part.write.option("header", True).csv(path)
+            history.load_snapshot(spark, read_snapshot_csv(spark, path), root, f"2001-06-0{run_id}", f"export-{run_id}", run_id, raw_only, database)
+        return root, database
+    return memo(spark, sf_dir, "loaded_history", build)
+
+
+@register("history_runs")
+def q_history_runs(spark, sf_dir):
+    """The run registry after four loads of CSV exports, one of them a repeated run."""
+    return read(spark, _loaded_history(spark, sf_dir)[0], "scheduler_run")
+
+
+@register("history_raw_rows")
+def q_history_raw_rows(spark, sf_dir):
+    """Raw rows per run after the loads, one of them without typed rows."""
+    root = _loaded_history(spark, sf_dir)[0]
+    raw = read(spark, root, "order_snapshot_raw").groupBy("run_id").agg(F.count(F.lit(1)).alias("raw_rows"))
+    typed = read(spark, root, "order_snapshot").groupBy("run_id").agg(F.count(F.lit(1)).alias("typed_rows"))
+    return raw.join(typed, "run_id", "left").fillna(0, ["typed_rows"])
+
+
+@register("history_lifecycle")
+def q_history_lifecycle(spark, sf_dir):
+    """Runs in which each job was seen, after a run was loaded again with fewer jobs."""
+    return history.read_lifecycle(spark, _loaded_history(spark, sf_dir)[0]).select("job_number", "first_seen_run", "last_seen_run", "runs_seen", "molds_completed")
+
+
+@register("dashboard_from_catalog")
+def q_dashboard_from_catalog(spark, sf_dir):
+    """The dashboard of run 2, its source chosen by the catalog that the loads registered."""
+    kind, rows = oo.dashboard_rows(spark, run_erp(spark, sf_dir), _loaded_history(spark, sf_dir)[1], run_id=2)
+    return rows.withColumn("source", F.lit(kind))
+
+
+@register("history_tables")
+def q_history_tables(spark, sf_dir):
+    """The history tables and the number of their columns, as the catalog lists them."""
+    database = _loaded_history(spark, sf_dir)[1]
+    tables = [r["name"] for r in catalog.list_tables(spark, database).collect()]
+    columns = reduce(DataFrame.unionByName, [catalog.list_columns(spark, t, database) for t in tables])
+    return columns.where("name <> 'load'").groupBy(F.col("table").alias("table_name")).agg(F.count(F.lit(1)).alias("n_columns"))
+
+
+@register("text_snapshot")
+def q_text_snapshot(spark, sf_dir):
+    """Schedule rows saved as a dated text snapshot and read back."""
+    path = _scratch(spark, "text")
+    rows = schedule(spark, sf_dir).schedule_rows.select("pool", "job_number", "due_date", "alloy", "molds_for_ext", "heat_no_assigned")
+    history.save_text_snapshot(rows, path, "2001-06-01_080000")
+    return spark.read.schema(", ".join(f"{c} string" for c in [*rows.columns, "snapshot_ts"])).parquet(path)
+
+
+@register("archived_reports")
+def q_archived_reports(spark, sf_dir):
+    """The job status archived twice on one day and once on the next: rows by day and number."""
+    path, status = _scratch(spark, "archive"), q_job_status(spark, sf_dir)
+    for day, part in (("2001-06-01", status), ("2001-06-01", status.where("on_time = 'YES'")), ("2001-06-02", status)):
+        history.archive_report(spark, part, path, day)
+    kept = spark.read.parquet(path)
+    return kept.groupBy(F.col("as_of_date").cast("date").alias("as_of_date"), F.col("seq").cast("long").alias("seq")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@register("compat_table_file")
+def q_compat_table_file(spark, sf_dir):
+    """Alloys of the schedule with their groups, from the compatibility reference read back from a CSV file."""
+    path = _scratch(spark, "compat")
+    compat_reference(spark).orderBy("file_line").drop("file_line").coalesce(1).write.option("header", True).csv(path)
+    cmap = compat.compat_map(load_compat_table(spark, path))
+    alloys = schedule(spark, sf_dir).scheduler_input.select("alloy").distinct()
+    return compat.attach_compat(alloys, cmap).select("alloy", "compatibility_group", "compat_all", "specific_alloys")
+
+
 def _published(spark, sf_dir):
     """The published sheets, read back from their folders."""
     def build():

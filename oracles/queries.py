@@ -945,3 +945,32 @@ asg2 AS (SELECT *, schedule_day AS pour_schedule_day FROM r_asg),
 {SHIP.replace("FROM srows GROUP", "FROM srows2 GROUP").replace("FROM asg GROUP", "FROM asg2 GROUP").replace(
     "min(trim(customer_name)) FILTER", "arg_max(trim(customer_name), i) FILTER")}
 SELECT {_SHIP_OUT} FROM ship3"""
+
+# Four loads of the open orders' export: all, every other due day, all as raw text only, and run 1 again with every other day.
+_LOADED = """loaded AS (SELECT o.*, dayofmonth(due_date) % 2 = 0 AS even FROM open_orders o)"""
+Q["history_runs"] = with_base(_LOADED) + """
+SELECT CAST(r AS BIGINT) AS run_id, DATE '2001-06-01' + CAST(r - 1 AS INTEGER) AS run_date, 'export-' || r AS source_name,
+       CASE WHEN r = 3 THEN (SELECT count(*) FROM loaded) ELSE (SELECT count(*) FROM loaded WHERE even) END AS row_count
+FROM range(1, 4) t(r)"""
+Q["history_raw_rows"] = with_base(_LOADED) + """
+SELECT CAST(r AS BIGINT) AS run_id, CASE WHEN r = 3 THEN (SELECT count(*) FROM loaded) ELSE (SELECT count(*) FROM loaded WHERE even) END AS raw_rows,
+       CASE WHEN r = 3 THEN 0 ELSE (SELECT count(*) FROM loaded WHERE even) END AS typed_rows
+FROM range(1, 4) t(r)"""
+Q["history_lifecycle"] = with_base(_LOADED) + """
+SELECT upper(trim(job_number)) AS job_number, CAST(1 AS BIGINT) AS first_seen_run, CAST(2 AS BIGINT) AS last_seen_run, CAST(2 AS BIGINT) AS runs_seen,
+       CAST(molds_completed AS DOUBLE) AS molds_completed
+FROM loaded WHERE even"""
+Q["dashboard_from_catalog"] = "WITH RECURSIVE " + with_base(_LOADED).removeprefix("WITH RECURSIVE ") + """
+, order_snapshot AS (SELECT CAST(2 AS BIGINT) AS run_id, * EXCLUDE (even) FROM loaded WHERE even), """ + _DASH + "SELECT *, 'history' AS source FROM (" + _dash_select("SELECT 2") + ") d"
+Q["history_tables"] = """
+SELECT * FROM (VALUES ('order_lifecycle', 24), ('order_snapshot', 19), ('order_snapshot_raw', 19), ('scheduler_run', 4)) t(table_name, n_columns)"""
+Q["text_snapshot"] = with_base(COMPAT, SCHED_IN, ELIG, SROWS) + """
+SELECT CAST(pool AS VARCHAR) AS pool, COALESCE(trim(job_number), '') AS job_number, COALESCE(strftime(due_date, '%Y-%m-%d'), '') AS due_date,
+       COALESCE(trim(alloy), '') AS alloy, CAST(molds_for_ext AS VARCHAR) AS molds_for_ext, COALESCE(trim(heat_no_assigned), '') AS heat_no_assigned,
+       '2001-06-01_080000' AS snapshot_ts FROM srows"""
+Q["archived_reports"] = with_sched(SHIP) + """
+SELECT DATE '2001-06-01' AS as_of_date, CAST(1 AS BIGINT) AS seq, count(*) AS row_count FROM ship3
+UNION ALL SELECT DATE '2001-06-01', 2, count(*) FROM ship3 WHERE on_time = 'YES'
+UNION ALL SELECT DATE '2001-06-02', 1, count(*) FROM ship3"""
+Q["compat_table_file"] = with_base(COMPAT, SCHED_IN) + """
+SELECT DISTINCT alloy, compatibility_group, compat_all, specific_alloys FROM sched_in"""
