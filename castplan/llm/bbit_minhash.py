@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from castplan.llm import textwords as tw
 from castplan.llm.components import connected_components
-from castplan.llm.shared import materialize, text_chunks, without
+from castplan.llm.shared import join_unique, materialize, text_chunks, without
 
 BANDS, ROWS, MINIMA, BITS = 35, 5, 176, 4
-#: Shingle hashes of one comparison block (8 bytes each).
-BLOCK_SHINGLES = 400_000
+#: Shingle hashes (8 bytes each) and texts of one comparison block.
+BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 4096
 _SEEDS = np.random.default_rng(20240607).integers(0, 1 << 32, (2, MINIMA), dtype=np.uint64).astype(np.uint32)
 _XOR, _MUL = _SEEDS[0], _SEEDS[1] | np.uint32(1)
 _LOW_NIBBLES = np.uint64(0x1111111111111111)
@@ -162,57 +162,39 @@ def _intersections(left: list, right: list, pairs: np.ndarray) -> np.ndarray:
 def block_links(left: list, right: list | None, threshold_pct: int) -> list:
     """Links of a spanning forest between two blocks (or inside one, ``right`` None).
 
-    A member is ``(node, set, bands, signature words)``.  Candidates are taken from the most to
-    the least similar estimate; a pair whose ends are connected already is skipped.
+    A member is ``(node, set, bands, signature words)``.  Some candidates of one member are held at a
+    time; a pair whose ends are connected already is skipped, so a group of many near copies costs about one
+    run of candidates a member.
     """
     members = left if right is None else left + right
     n = len(left)
-    parent = list(range(len(members)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     floor = estimate_floor(threshold_pct / 100)
     bands = np.array([m[2] for m in members])
     packed = np.array([m[3] for m in members])
-    sizes = np.array([len(m[1]) for m in members])
+    sets = [m[1] for m in members]
+    sizes = np.array([len(s) for s in sets])
+    part_of = np.arange(len(members))  # the connected part of every member
     other = np.arange(len(members)) if right is None else np.arange(n, len(members))
-    found = []
+    links = []
     for i in range(n):
         js = other[other > i] if right is None else other
-        # sizes that can reach the threshold at all
-        js = js[(100 * np.minimum(sizes[js], sizes[i]) >= threshold_pct * np.maximum(sizes[js], sizes[i]))]
-        if len(js):
-            js = js[(bands[js] == bands[i]).any(axis=1)]
-        if len(js):
-            est = estimate(packed[js], packed[i])
-            ok = est >= floor
-            found.append(np.column_stack([np.full(ok.sum(), i), js[ok], est[ok]]))
-    if not found:
-        return []
-    found = np.concatenate(found)
-    found = found[np.argsort(-found[:, 2], kind="stable")]
-    links = []
-    sets = [m[1] for m in members]
-    step, at = 256, 0
-    while at < len(found):
-        part = found[at:at + step, :2].astype(np.int64)
-        at += step
-        step = min(step * 2, 1 << 17)
-        tops = np.array([root(i) for i in range(len(members))])
-        part = part[tops[part[:, 0]] != tops[part[:, 1]]]
-        if not len(part):
-            continue
-        both = _intersections(sets, sets, part)
-        good = 100 * both >= threshold_pct * (sizes[part[:, 0]] + sizes[part[:, 1]] - both)
-        for i, j in part[good]:
-            a, b = root(int(i)), root(int(j))
-            if a != b:
-                parent[b] = a
-                links.append((members[int(i)][0], members[int(j)][0]))
+        js = js[part_of[js] != part_of[i]]
+        step = 4
+        while len(js):  # some at a time, then more: what they connect drops out
+            step = min(2 * step, 512)
+            now, js = js[:step], js[step:]
+            # sizes that can reach the threshold at all, a band in common, an estimate that doesn't rule it out
+            now = now[(100 * np.minimum(sizes[now], sizes[i]) >= threshold_pct * np.maximum(sizes[now], sizes[i]))]
+            now = now[(bands[now] == bands[i]).any(axis=1)] if len(now) else now
+            now = now[estimate(packed[now], packed[i]) >= floor] if len(now) else now
+            if not len(now):
+                continue
+            both = _intersections(sets, sets, np.column_stack([np.full(len(now), i), now]))
+            good = now[100 * both >= threshold_pct * (sizes[i] + sizes[now] - both)]
+            _, first = np.unique(part_of[good], return_index=True)
+            links += [(members[i][0], members[int(j)][0]) for j in good[first]]
+            part_of[np.isin(part_of, part_of[good])] = part_of[i]
+            js = js[part_of[js] != part_of[i]]
     return links
 
 
@@ -267,16 +249,18 @@ def near_duplicate_links(docs: DataFrame, shingle: int = 5, threshold_pct: int =
     sketch = materialize(own.mapInArrow(_sketcher(shingle), _SKETCH), "sketch")
     # a class of equal sets is named by its least doc_id
     classes = sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
+    classes = materialize(classes, "classes")
+    # the rows that name their class, by id and set: copies of one text are different ids
     first = materialize(sketch.where("n_shingles > 0").select("set_a", "set_b", "doc_id", "n_shingles", "bands")
-                        .join(classes, ["set_a", "set_b"]).where("doc_id = node")
-                        .select("node", "n_shingles", "bands"), "classes")
+                        .join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi")
+                        .select(F.col("doc_id").alias("node"), "n_shingles", "bands"), "first")
     keys = first.select("node", F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     stars = keys.join(buckets.select("band", "a"), "band").where("node <> a").select("a", F.col("node").alias("b"))
     groups = connected_components(stars)
     # blocks: each coarse group is cut so that a block holds about BLOCK_SHINGLES hashes
     sized = groups.join(first.groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
-    cuts = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    cuts = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("blocks"))
     placed = materialize(sized.join(cuts, "component")
                          .select("node", F.col("component").alias("grp"), "blocks",
                                  F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("blk")), "blocks")
@@ -287,7 +271,9 @@ def near_duplicate_links(docs: DataFrame, shingle: int = 5, threshold_pct: int =
             .select("grp", "blk", "node", "text", "p.low", "p.high"))
     work = work.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
     links = work.mapInArrow(_linker(shingle, threshold_pct), _LINK)
-    members = (sketch.join(classes, ["set_a", "set_b"], "left")
+    full = sketch.select("doc_id", "n_shingles", "set_a", "set_b")
+    named = join_unique(full.where("n_shingles > 0"), classes, ["set_a", "set_b"]).unionByName(full.where("n_shingles = 0"), allowMissingColumns=True)
+    members = (named
                .select(F.when(F.col("doc_id") < F.lit(_NO_ID), F.col("doc_id")).alias("doc_id"), "n_shingles", "node"))
     return members, links
 
