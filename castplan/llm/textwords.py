@@ -38,29 +38,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int):
-    size = 1 << max(18, int(n).bit_length())
-    if _POWERS.get("n", 0) < size:
-        steps = np.full(size, _BASE)
-        steps[0] = 1
-        back = np.full(size, _BASE_INV)
-        back[0] = 1
-        _POWERS.update(n=size, up=np.cumprod(steps, dtype=np.uint64), down=np.cumprod(back, dtype=np.uint64))
+#: Bytes of a piece: powers are kept for the places of one piece and for the pieces' first places.
+_PIECE = 1 << 18
+
+
+def _powers():
+    if not _POWERS:
+        steps, back = np.full(_PIECE, _BASE), np.full(_PIECE, _BASE_INV)
+        steps[0] = back[0] = 1
+        _POWERS.update(up=np.cumprod(steps, dtype=np.uint64), down=np.cumprod(back, dtype=np.uint64))
     return _POWERS["up"], _POWERS["down"]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte * base^position, modulo 2^64; ``span_hash`` reads any span from them."""
-    up, _ = _powers(len(data))
+    """Prefix sums of byte * base^position, modulo 2^64; ``span_hash`` reads any span from them.
+
+    A long text is summed up piece by piece, so it takes 8 bytes a byte and no tables of its length.
+    """
+    up, _ = _powers()
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=out[1:])
+    for k, lo in enumerate(range(0, len(data), _PIECE)):
+        part = data[lo:lo + _PIECE].astype(np.uint64) + np.uint64(1)
+        part *= up[:len(part)]
+        if k:
+            part *= np.uint64(pow(int(_BASE), lo, 1 << 64))
+            part[:1] += out[lo:lo + 1]
+        np.cumsum(part, out=out[lo + 1:lo + 1 + len(part)])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end)."""
-    _, down = _powers(len(prefix))
-    raw = (prefix[end] - prefix[start]) * down[start]
+    _, down = _powers()
+    raw = prefix[end] - prefix[start]
+    if len(prefix) <= _PIECE:
+        raw = raw * down[start]
+    else:
+        pieces = np.array([pow(int(_BASE_INV), k * _PIECE, 1 << 64) for k in range(len(prefix) // _PIECE + 1)], np.uint64)
+        raw = raw * down[start % _PIECE] * pieces[start // _PIECE]
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
