@@ -83,7 +83,7 @@ def heat_compat_audit(plan: DataFrame) -> DataFrame:
     keys = ["pool", "pour_schedule_day", "heat_number"]
     row = plan.withColumn("_key", norm_key_ws("alloy"))
     anchor = row.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.min_by(F.struct("_key", "compatibility_group", "compat_all", "specific_alloys"), plan_order()).alias("a"))
+        F.min_by(F.struct("_key", "compatibility_group", "compat_all", "specific_alloys"), plan_order(plan)).alias("a"))
     j = row.join(anchor, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "inner")
     fits = can_share_heat(F.col("a._key"), F.col("_key"), F.col("a.compatibility_group"), F.col("compatibility_group"),
                           F.col("a.compat_all"), F.col("a.specific_alloys"))

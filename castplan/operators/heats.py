@@ -33,9 +33,13 @@ HEAT_WEIGHT_MARK_LBS = 2300
 FURNACE_EVERY_N_DAYS = 2
 
 
-def plan_order():
-    """The order of a plan's rows: mold day, then the row's priority in its pool."""
-    return F.struct("schedule_day", "priority_seq")
+def plan_order(plan: DataFrame):
+    """The order of a plan's rows: mold day, then the row's priority in its pool; of plans without
+    priorities alloy, job, extension (missing last) and mold day."""
+    if "priority_seq" in plan.columns:
+        return F.struct("schedule_day", "priority_seq")
+    keys = [k for c in ("alloy", "job_number", "ext", "schedule_day") for k in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    return F.struct(*keys)
 
 
 def slot_of(heat_number, reserved: tuple):

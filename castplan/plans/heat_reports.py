@@ -24,7 +24,7 @@ def heat_summary_rows(plan: DataFrame, start_date, reference_date, reserved: tup
         F.round(F.avg((F.col("pour_schedule_day") - F.col("schedule_day")).cast("decimal(10,0)")), 1)
         .cast("double").alias("avg_mold_lead_days"),
         F.min("days_until_due").alias("_min_until_due"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(plan_order().alias("at"), breakout_text(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(plan_order(plan).alias("at"), breakout_text(
             "job_number", "ext", "due_date", "molds_for_ext").alias("text")))), lambda x: x["text"]), "; ").alias("job_breakout"))
     j = hs.join(enrich, HEAT_KEY, "left")
     j = j.withColumn("schedule_date", day_date("pour_schedule_day", start_date))

@@ -33,7 +33,7 @@ def melt_management(summary: DataFrame, plan: DataFrame, start_date,
     expected ship date and the heat's risk and two-week status."""
     per_heat = (plan.withColumn("_mold_date", day_date("schedule_day", start_date))
                 .groupBy(*HEAT_KEY).agg(F.min("_mold_date").alias("_m0"), F.max("_mold_date").alias("_m1")))
-    names = names_in_order(plan, HEAT_KEY, {"customers": "customer_name", "poured_job_ids": "job_number"}, plan_order())
+    names = names_in_order(plan, HEAT_KEY, {"customers": "customer_name", "poured_job_ids": "job_number"}, plan_order(plan))
     s = summary.where(F.coalesce(F.col("heat_status"), F.lit("")) != "Reserved")
     j = s.join(per_heat, HEAT_KEY, "left").join(names, HEAT_KEY, "left")
     return j.select(

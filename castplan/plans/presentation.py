@@ -33,8 +33,3 @@ def shipping_order(df: DataFrame) -> DataFrame:
     """Shipping outlook by status (alphabetical), due date, job."""
     return df.orderBy(F.col("schedule_status").asc_nulls_last(), F.col("due_date").asc_nulls_last(),
                       F.col("job_number").asc_nulls_last())
-
-
-def top(df: DataFrame, n: int, *order) -> DataFrame:
-    """First ``n`` rows by ``order`` (planned as a bounded top-k, not a full sort)."""
-    return df.orderBy(*order).limit(n)
