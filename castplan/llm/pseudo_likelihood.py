@@ -6,17 +6,19 @@ masked, and the log-probabilities are summed over the text.
 Vocabulary: word counts over the whole corpus (aggregated map side); the ``TOP`` most frequent
 words are a token each, all other words share ``REST`` tokens dealt by hash.  Output is a two-level
 softmax: ``CLASSES`` classes, then the tokens of the class.  The network (embeddings of the context
-positions, one tanh layer, two softmaxes) is plain numpy.  It is trained on windows drawn from every
-part of the corpus by a row hash, ``WINDOWS_PER_MILLION`` for each million words, so what training
-gathers grows with the input.  Windows stay distributed: in each of ``ROUNDS`` rounds, every shard
-of ``SHARD_WINDOWS`` windows trains a copy of the network, and the copies are averaged by a tree of
-sums, so the driver never holds more than ``FAN_IN`` networks.  Scoring is one scan without a
-shuffle, with the weights and the vocabulary broadcast (their sizes are fixed by parameters).
+positions, one tanh layer, two softmaxes) is plain numpy.  It is trained on every window of every
+text: texts are dealt to shards of about ``SHARD_WINDOWS`` windows by a hash, each shard trains a copy of
+the network in one of ``ROUNDS`` rounds (in all of them while there are fewer shards than rounds), and
+a round's copies are averaged by a tree of sums, so the driver never holds more than ``FAN_IN`` networks.
+Equal texts meet in a shard and are trained as one whose windows count as often as it occurs, so
+copies cost no task more.  A shard is trained in an order of its own, so the network doesn't depend on how rows
+are laid out.  Scoring is one scan without a shuffle, with the weights and the vocabulary broadcast (their sizes
+are fixed by parameters).
 
 Defined cases: null, empty and blank texts have no word, log-likelihood 0 and a null mean; context
 beyond the ends of a text is a border token; a word that was never counted falls to its hash token;
-an empty corpus gives uniform probabilities.  Repeated rows score alike (and draw the same windows);
-extra columns pass through; clashing ones are replaced.
+an empty corpus gives uniform probabilities.  Repeated rows score alike; extra columns pass through;
+clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ TOP, REST, CLASSES = 960, 64, 32
 TOKENS = TOP + REST
 IN_CLASS = TOKENS // CLASSES
 BORDER = TOKENS
-WINDOWS_PER_MILLION, SHARD_WINDOWS, ROUNDS, FAN_IN = 4000, 40_000, 4, 32
-BATCH, LEAST_STEPS, SEED = 256, 100, 11
+#: ``WINDOWS_PER_MILLION``: of a million words, those that train; all of them.
+WINDOWS_PER_MILLION, SHARD_WINDOWS, ROUNDS, FAN_IN = 1_000_000, 500_000, 4, 32
+BATCH, LEAST_STEPS, SEED = 4096, 100, 11
 
 
 class Vocabulary:
@@ -126,11 +129,15 @@ class Network:
                 out[rows] += z[np.arange(len(rows)), inner[rows]] - np.log(np.exp(z).sum(axis=1))
         return out
 
-    def gradients(self, context: np.ndarray, token: np.ndarray) -> dict:
+    def gradients(self, context: np.ndarray, token: np.ndarray, copies: np.ndarray | None = None) -> dict:
+        """Gradients of the mean loss of the rows, each counted ``copies`` times."""
         n = len(token)
+        order = np.argsort(token % CLASSES, kind="stable")
+        context, token = context[order], token[order]
+        cls, inner = token % CLASSES, token // CLASSES
         x = self.w["e"][context].reshape(n, -1)
         h = np.tanh(x @ self.w["h"] + self.w["hb"])
-        cls, inner = token % CLASSES, token // CLASSES
+        share = np.full((n, 1), 1 / n, h.dtype) if copies is None else (copies[order] / copies.sum()).astype(h.dtype)[:, None]
 
         def softmax(z):
             z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -139,19 +146,24 @@ class Network:
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
         d = softmax(h @ self.w["c"] + self.w["cb"])
         d[np.arange(n), cls] -= 1
-        d /= n
+        d *= share
         g["c"], g["cb"] = h.T @ d, d.sum(axis=0)
         dh = d @ self.w["c"].T
-        for k in np.unique(cls):
-            rows = np.flatnonzero(cls == k)
-            d = softmax(h[rows] @ self.w["t"][k] + self.w["tb"][k])
-            d[np.arange(len(rows)), inner[rows]] -= 1
-            d /= n
-            g["t"][k], g["tb"][k] = h[rows].T @ d, d.sum(axis=0)
-            dh[rows] += d @ self.w["t"][k].T
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        parts = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts))]
+        z = self.w["tb"][cls]
+        for k, rows in parts:
+            z[rows] += h[rows] @ self.w["t"][k]
+        d = softmax(z)
+        d[np.arange(n), inner] -= 1
+        d *= share
+        for k, rows in parts:
+            g["t"][k], g["tb"][k] = h[rows].T @ d[rows], d[rows].sum(axis=0)
+            dh[rows] += d[rows] @ self.w["t"][k].T
         dz = dh * (1 - h * h)
         g["h"], g["hb"] = x.T @ dz, dz.sum(axis=0)
-        np.add.at(g["e"], context.ravel(), (dz @ self.w["h"].T).reshape(-1, WIDTH))
+        places = context.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["e"] = np.bincount(places.ravel(), (dz @ self.w["h"].T).ravel(), g["e"].size).reshape(g["e"].shape).astype(g["e"].dtype)
         return g
 
 
@@ -163,16 +175,16 @@ def unigram_start(network: Network, counts: np.ndarray) -> None:
     network.w["tb"][:] = np.log(per_class / per_class.sum(axis=1, keepdims=True))
 
 
-def train_copy(weights: dict, rows: np.ndarray, rate: float) -> dict:
-    """Adam over ``(token, context...)`` rows from the given weights: one pass, or as many as make
-    ``LEAST_STEPS`` steps."""
+def train_copy(weights: dict, rows: np.ndarray, copies: np.ndarray, rate: float) -> dict:
+    """Adam over ``(token, context...)`` rows, each of so many ``copies``, from the given weights: one pass, or as
+    many as make ``LEAST_STEPS`` steps."""
     net = Network.__new__(Network)
     net.w = {k: v.copy() for k, v in weights.items()}
     m = {k: np.zeros_like(v) for k, v in weights.items()}
     v2 = {k: np.zeros_like(v) for k, v in weights.items()}
-    batches = [rows[lo:lo + BATCH] for lo in range(0, len(rows), BATCH)]
+    batches = [slice(lo, lo + BATCH) for lo in range(0, len(rows), BATCH)]
     for step, part in enumerate(batches * -(-LEAST_STEPS // len(batches)), 1):
-        for k, d in net.gradients(part[:, 1:], part[:, 0]).items():
+        for k, d in net.gradients(rows[part, 1:].astype(np.int64), rows[part, 0].astype(np.int64), copies[part]).items():
             m[k] += 0.1 * (d - m[k])
             v2[k] += 0.001 * (d * d - v2[k])
             net.w[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v2[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
@@ -198,32 +210,45 @@ def _copy_table(shard: int, n: int, total: np.ndarray) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
-def _draw(shipped, text_col: str, share: float):
-    def run(batches):
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(text_col)):
-                hashes, _, _, first = tw.word_hashes(data, offsets, tw.SPACE_WORDS)
-                tokens = shipped.value.tokens_of(hashes)
-                # a window is drawn by a hash of its text and place: the same windows in any run
-                seed = np.repeat(tw.span_hash(tw.prefix_hash(data), offsets[:-1], offsets[1:]), np.diff(first))
-                place = (np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
-                key = tw.mix(seed + place * np.uint64(0x9E3779B97F4A7C15))
-                at = np.flatnonzero(key < np.uint64(share * 2.0 ** 64))
-                rows = np.column_stack([tokens[at], windows_of(tokens, first)[at]]).astype(np.int16)
-                offs = pa.array(np.arange(len(at) + 1, dtype=np.int32) * (1 + 2 * SIDE))
-                yield pa.RecordBatch.from_arrays([pa.array(tw.mix(key[at]).view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(rows.ravel()))],
-                                                 names=["key", "window"])
-    return run
-
-
-def _fit_shard(weights, rate: float):
+def _windows(table: pa.Table, vocab: Vocabulary, per_million: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(token, context...)`` of every word of the texts, and how often its text occurs."""
+    rows, copies = [np.zeros((0, 1 + 2 * SIDE), np.int16)], [np.zeros(0, np.float32)]
+    times = table.column("copies").to_numpy().astype(np.float32)
+    for lo, hi, data, offsets in text_chunks(table.column("text")):
+        hashes, _, _, first = tw.word_hashes(data, offsets, tw.SPACE_WORDS)
+        tokens = vocab.tokens_of(hashes)
+        found = np.column_stack([tokens, windows_of(tokens, first)]).astype(np.int16)
+        often = np.repeat(times[lo:hi], np.diff(first))
+        if per_million < 1_000_000:
+            some = np.random.default_rng(SEED).random(len(found)) * 1e6 < per_million
+            found, often = found[some], often[some]
+        rows.append(found)
+        copies.append(often)
+    return np.concatenate(rows), np.concatenate(copies)
+
+
+def _fit_shard(shipped, weights, rate: float, per_million: int):
     def fit(key, table):
-        order = np.argsort(table.column("key").to_numpy(), kind="stable")
-        rows = table.column("window").combine_chunks().flatten().to_numpy().reshape(-1, 1 + 2 * SIDE)[order].astype(np.int64)
-        return _copy_table(key[0].as_py(), len(rows), len(rows) * _flat(train_copy(weights.value, rows, rate)))
+        rows, copies = _windows(table, shipped.value, per_million)
+        if len(rows) == 0:
+            return _copy_table(key[0].as_py(), 0, 0 * _flat(weights.value))
+        mixed = np.random.default_rng(SEED).permutation(len(rows))
+        return _copy_table(key[0].as_py(), len(rows), len(rows) * _flat(train_copy(weights.value, rows[mixed], copies[mixed], rate)))
     return fit
 
 
+def shards_of(docs: DataFrame, text_col: str, shards: int) -> DataFrame:
+    """``(shard, key, text)`` of every text; equal texts are in one shard."""
+    key = F.xxhash64(text_col)
+    return docs.where(F.col(text_col).isNotNull()).select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("key"), F.col(text_col).alias("text"))
+
+
+def _in_order(texts: DataFrame, shards: int) -> DataFrame:
+    """The distinct texts of the shards and their ``copies``, sorted in each shard."""
+    counted = texts.repartition(shards, "shard").groupBy("shard", "key", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return counted.sortWithinPartitions("shard", "key", "text")
+
+
 def _add_copies(key, table):
     parts = sorted(zip(table.column("shard").to_pylist(), table.column("n").to_pylist(), table.column("weights").to_pylist(), strict=True))
     return _copy_table(key[0].as_py(), sum(x[1] for x in parts), np.sum([np.frombuffer(x[2]) for x in parts], axis=0))
@@ -236,23 +261,24 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Network, Vocabulary]
     network = Network()
     unigram_start(network, vocab.counts)
     shipped = spark.sparkContext.broadcast(vocab)
-    drawn = materialize(docs.select(text_col).mapInArrow(_draw(shipped, text_col, WINDOWS_PER_MILLION / 1e6), "key long, window array<short>"), "windows")
-    n = drawn.count()
+    n = int(vocab.counts.sum()) * WINDOWS_PER_MILLION // 1_000_000
     if n == 0:
         return network, vocab
     shards = -(-n // SHARD_WINDOWS)
-    drawn = drawn.withColumn("shard", F.pmod("key", F.lit(shards)))
+    texts = shards_of(docs, text_col, shards)
     like = {k: v.copy() for k, v in network.w.items()}
     for r in range(ROUNDS):
         now = spark.sparkContext.broadcast(network.w)
-        copies = materialize(drawn.groupBy("shard").applyInArrow(_fit_shard(now, 0.01 / (1 + r)), _COPY), "copies")
+        part = texts if shards < ROUNDS else texts.where(F.col("shard") % ROUNDS == r)
+        fit = _fit_shard(shipped, now, 0.01 / (1 + r), WINDOWS_PER_MILLION)
+        copies = materialize(_in_order(part, -(-shards // ROUNDS)).groupBy("shard").applyInArrow(fit, _COPY), "copies")
         left = shards
         while left > FAN_IN:
             left = -(-left // FAN_IN)
             copies = copies.select(F.floor(F.col("shard") / FAN_IN).alias("up"), "shard", "n", "weights").groupBy("up").applyInArrow(_add_copies, _COPY)
         parts = sorted((x.shard, x.n, bytes(x.weights)) for x in copies.collect())
-        total = np.sum([np.frombuffer(x[2]) for x in parts], axis=0) / sum(x[1] for x in parts)
-        network.w = _shaped(total, like)
+        if trained := sum(x[1] for x in parts):
+            network.w = _shaped(np.sum([np.frombuffer(x[2]) for x in parts], axis=0) / trained, like)
     return network, vocab
 
 

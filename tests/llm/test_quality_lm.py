@@ -112,3 +112,32 @@ def test_training_beats_frequencies_and_uses_more_with_more(spark, monkeypatch,
     better, plain = (sum(r.log_likelihood for r in L.score(docs, model=(m, vocab)).collect()) for m in (net, start))
     assert better > 0.95 * plain > plain
     assert L.score(no_docs).count() == 0
+
+
+def test_every_window_of_the_corpus_trains(spark, monkeypatch):
+    """What the shards train adds up to the words of the distinct texts, and copies weigh as often as they occur."""
+    docs = spark.createDataFrame([(i, f"w{i} is word number {i} of a text ") for i in range(50)] + [(90, "one more"), (91, "one more"), (92, None)],
+                                 "doc_id long, text string")
+    for shards in (1, 3, 9):
+        rows, weight = 0, 0
+        texts = L.shards_of(docs, "text", shards)
+        for r in range(L.ROUNDS):
+            part = texts if shards < L.ROUNDS else texts.where(F.col("shard") % L.ROUNDS == r)
+            table = L._in_order(part, 2).toArrow()
+            found, copies = L._windows(table, L.Vocabulary(np.zeros(0, np.uint64), np.zeros(L.TOKENS)), L.WINDOWS_PER_MILLION)
+            rows, weight = rows + len(found), weight + copies.sum()
+        times = L.ROUNDS if shards < L.ROUNDS else 1
+        assert (rows, weight) == (times * (50 * 8 + 2), times * (50 * 8 + 4))
+    # the layout of the rows doesn't matter
+    monkeypatch.setattr(L, "SHARD_WINDOWS", 4000)
+    many = spark.createDataFrame([(i, " ".join(f"x{(i * 31 + k * 17) % 400}" for k in range(300))) for i in range(50)], "doc_id long, text string")
+    models = [L.train(d) for d in (many, many.repartition(7))]
+    assert all(np.allclose(models[0][0].w[k], models[1][0].w[k], atol=1e-4) for k in models[0][0].w)
+    # a window that occurs twice weighs as two windows
+    net, rng = L.Network(), np.random.default_rng(1)
+    context, token = rng.integers(0, L.TOKENS, (40, 2 * L.SIDE)), rng.integers(0, L.TOKENS, 40)
+    copies = np.ones(40)
+    copies[:5] = 2
+    once = net.gradients(context, token, copies)
+    twice = net.gradients(np.concatenate([context, context[:5]]), np.concatenate([token, token[:5]]))
+    assert all(np.allclose(once[k], twice[k], atol=1e-6) for k in once)
