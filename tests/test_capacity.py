@@ -345,3 +345,17 @@ def test_driver_schedule_equals_brute_force(spark):
         own.sort(key=lambda r: (not (r["due"] and r["due"] <= cutoff), r["due"] is None, r["due"] or dt.date.max, r["group"], r["job"].strip().upper()))
         want += [(pool, own[i]["job"], d, n) for i, d, n in brute_allocate([(r["job"], "F" if (r["cast"] or "L").strip().upper() == "F" else "L", r["molds"]) for r in own])]
     assert sorted(want) == sorted(map(tuple, got.select("pool", "job_number", "schedule_day", "molds_for_ext").collect()))
+
+
+def test_small_pools_are_filled_in_bundles_of_many_tasks(spark, monkeypatch):
+    """Blocks of many pools are one frame; tasks follow the rows, not their few bytes."""
+    monkeypatch.setattr(blocks, "BUNDLE_ROWS", 10)
+    rows = spark.createDataFrame([(None if p == 3 else p, f"j{p}-{i}", None, "F" if i % 3 else "L", "a", 10 + i % 40) for p in range(12) for i in range(15)],
+                                 "pool int, job_number string, due_date date, casting_type string, alloy string, molds_for_ext int")
+    paced = capacity.lane_paced(capacity.allocation_input(rows, "2001-06-01"))
+    out = blocks.fill(paced, CapacityLimits())
+    assert out.rdd.getNumPartitions() >= 12  # 180 rows
+    own = paced.withColumns({"block": F.lit(0), "blocks": F.lit(1)}).toPandas()
+    alone = [blocks._block_fn(CapacityLimits())((k, 0, 1), part) for k, part in own.groupby(own.pool_key.fillna("none"))]
+    expected = sorted(pd.concat(alone)[["row_hash", "row_copy", "schedule_day", "molds_for_ext", "seq"]].itertuples(index=False, name=None))
+    assert sorted(tuple(r) for r in out.collect()) == expected and len(expected) >= 180
