@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from castplan.operators import capacity, eligibility, heats
+from castplan.operators import capacity, eligibility, heats, prefix
 from castplan.operators.ordinal import file_ordinal, names_in_order, sorted_ordinal
 from castplan.plans import heat_reports, melt_reports, presentation, publication, shipping
 from castplan.plans.schedule import load_scheduler_input
@@ -93,3 +93,23 @@ def test_reserved_slots_are_set_aside(spark):
     totals = heat_reports.heat_daily_totals(summary).collect()
     assert len(totals) == 1 and totals[0]["total_heats"] == 7 and totals[0]["planned_heats"] + totals[0]["overflow_heats"] == 7
     assert melt_reports.melt_management(summary, plan, REF).count() == 7
+
+
+def test_range_bounds_are_found_by_the_sort_keys_alone(spark):
+    """Samples of the range go to the driver, so the other columns only sort inside a slice."""
+    import contextlib
+    import io
+
+    seen = []
+    rows = spark.createDataFrame([(i // 2, f"text {(i * 7) % 40}", "wide" * 50) for i in range(40)], "k int, t string, wide string")
+    kept, prefix.store = prefix.store, lambda df, name: seen.append(df) or kept(df, name)
+    try:
+        out = sorted_ordinal(rows, ["k"])
+    finally:
+        prefix.store = kept
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        seen[0].explain()
+    assert "wide" not in next(line for line in buf.getvalue().splitlines() if "rangepartitioning" in line)
+    numbered = [(r.k, r.t) for r in out.orderBy("row_seq").collect()]
+    assert numbered == sorted(numbered) and [r.row_seq for r in out.orderBy("row_seq").collect()] == list(range(1, 41))
