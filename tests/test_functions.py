@@ -21,6 +21,16 @@ def test_decode_erp_date(spark):
     assert got[4] == dt.date(1800, 12, 28) + dt.timedelta(days=82400)
 
 
+def test_decode_erp_date_reads_real_days_without_formatters(spark):
+    texts = {"2000-02-29": dt.date(2000, 2, 29), "2001-02-29": None, "2001-02-03T08:30:00": dt.date(2001, 2, 3), "2001-02-03 08:30:00.5": dt.date(2001, 2, 3),
+             "2001-02-03xyz": None, "2001-13-01": None, "20000229": dt.date(2000, 2, 29), "20010229": None, "20010203 rush": dt.date(2001, 2, 3),
+             "99991231": dt.date(9999, 12, 31), "00010101": dt.date(1, 1, 1), "2001-2-3": None, "-400": dt.date(1800, 12, 28) - dt.timedelta(days=400)}
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", CF.decode_erp_date("x").alias("d"))
+    # a packed text that is no day is a number of days, if it is in range
+    assert {r["x"]: r["d"] for r in df.collect()} == texts
+    assert "gettimestamp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_business_days_match_stepping(spark):
     start = dt.date(2026, 8, 1)
     rows = []

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from castplan import session
 from castplan.operators import capacity, eligibility, heats, prefix
 from castplan.operators.ordinal import file_ordinal, names_in_order, sorted_ordinal
 from castplan.plans import heat_reports, melt_reports, presentation, publication, shipping
@@ -80,6 +81,21 @@ def test_sheets_are_written_in_order(spark, tmpdir_path):
     assert [r["job_number"] for r in back.orderBy("position").collect()] == read["open"]
 
 
+def test_sheets_are_numbered_without_a_copy(spark, tmpdir_path):
+    spark.range(0, 5000, 1, 7).selectExpr("id", "repeat('x', 40) AS pad").write.parquet(f"{tmpdir_path}/sheet")
+    spark.range(0).write.parquet(f"{tmpdir_path}/empty")
+    kept = len(session._STORED)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        sheets = publication.read_sheets(spark, {"sheet": f"{tmpdir_path}/sheet", "empty": f"{tmpdir_path}/empty"})
+        got = sheets["sheet"].collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(session._STORED) == kept  # nothing is written before or while a sheet is read
+    assert [(r["id"], r["position"]) for r in sorted(got, key=lambda r: r["position"])] == [(i, i + 1) for i in range(5000)]
+    assert got[0]["pad"] == "x" * 40 and sheets["sheet"].columns == ["id", "pad", "position"] and sheets["empty"].count() == 0
+
+
 def test_reserved_slots_are_set_aside(spark):
     rows = [(0, f"J{i}", "A", f"G{i}", 1, 100, 1, i, "", dt.date(2026, 8, 20), "C") for i in range(1, 8)]
     asg = spark.createDataFrame(rows, "pool int, job_number string, alloy string, compatibility_group string, schedule_day int, total_weight_per_ext long, "
